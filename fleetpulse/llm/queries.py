@@ -13,11 +13,28 @@ from fleetpulse.llm.common import checksum_mod, table
 from fleetpulse.llm.decontaminate import contaminated
 from fleetpulse.llm.exact_dedup import exact_dedup
 from fleetpulse.llm.ngram_join import ngram_join
+from fleetpulse.llm.pii import KINDS, find_pii, span_text
+from fleetpulse.llm.suffix_tree_lm import suffix_tree_scores
 from fleetpulse.llm.toxicity import toxic_scores, train
+from fleetpulse.llm.url_filter import filter_urls
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+#: (verdict, host, path) of the url rules.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op1_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_scores(table(spark, sf_dir, "documents"), checksum_mod("doc_id", 7) == 2)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -32,6 +49,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,8 +64,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (checksum_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    kind = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index(k))).cast("bigint").alias(f"n_{k}")
+    base = F.filter("spans", lambda s: s["kind"] < 4)
+    return found.select("doc_id", *[kind(k) for k in KINDS], F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_ngram_jaccard_join, op3_byte_bpe, op4_exact_dedup, op7_benchmark_decontamination, op8_toxicity)
+    f.__name__: f for f in (
+        op1_suffix_tree_lm, op2_ngram_jaccard_join, op3_byte_bpe, op4_exact_dedup, op5_url_filter,
+        op7_benchmark_decontamination, op8_toxicity, op10_pii)
 }
 
 ORACLES: dict[str, str] = {
