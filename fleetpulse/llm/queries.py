@@ -14,6 +14,8 @@ from fleetpulse.llm.decontaminate import contaminated
 from fleetpulse.llm.exact_dedup import exact_dedup
 from fleetpulse.llm.ngram_join import ngram_join
 from fleetpulse.llm.pii import KINDS, find_pii, span_text
+from fleetpulse.llm.substring_dedup import substring_dedup
+from fleetpulse.llm.suffix_array import suffix_array_dedup
 from fleetpulse.llm.suffix_tree_lm import suffix_tree_scores
 from fleetpulse.llm.toxicity import toxic_scores, train
 from fleetpulse.llm.url_filter import filter_urls
@@ -53,6 +55,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut, whole = substring_dedup(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")).unionByName(
+        whole.select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("digest").alias("kept_sha256")))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,6 +72,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (checksum_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut, whole = suffix_array_dedup(table(spark, sf_dir, "documents"))
+    zero = F.lit(0).cast("bigint")
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")).unionByName(
+        whole.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("digest").alias("kept_sha256")))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     kind = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index(k))).cast("bigint").alias(f"n_{k}")
@@ -74,7 +89,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_suffix_tree_lm, op2_ngram_jaccard_join, op3_byte_bpe, op4_exact_dedup, op5_url_filter,
-        op7_benchmark_decontamination, op8_toxicity, op10_pii)
+        op6_substring_dedup, op7_benchmark_decontamination, op8_toxicity, op9_suffix_array_dedup, op10_pii)
 }
 
 ORACLES: dict[str, str] = {
