@@ -1,4 +1,9 @@
 """All registered telemetry queries and the SQL each is held against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from fleetpulse import register
+from fleetpulse.plans import inspect_queries  # noqa: F401  registers its queries
+
+QUERIES = register.QUERIES
+ORACLES = register.ORACLES
