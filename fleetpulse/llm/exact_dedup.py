@@ -78,20 +78,20 @@ def _ids(s: pd.Series) -> np.ndarray:
 
 def _resolve(history: pd.DataFrame, arrivals: pd.DataFrame) -> pd.DataFrame:
     """One bucket: build the hash over its history, look its arrivals up, return one row per distinct digest."""
-    slot_of = PerfectHash(_words(history["digest"]))
+    slot_of = PerfectHash(_words(history["h_digest"]))
     n = len(history)
     table = np.zeros((n, 4), np.uint64)
     winner, size = np.full(n, None, object), np.zeros(n, np.int64)
     if n:
-        own = _words(history["digest"])
+        own = _words(history["h_digest"])
         at = slot_of.slots(own)
-        table[at], winner[at], size[at] = own, _ids(history["winner"]), history["n"].to_numpy()
+        table[at], winner[at], size[at] = own, _ids(history["h_winner"]), history["h_n"].to_numpy()
     if len(arrivals):
-        keys = _words(arrivals["digest"])
+        keys = _words(arrivals["a_digest"])
         at = slot_of.slots(keys)
         member = at >= 0
         member[member] = (table[at[member]] == keys[member]).all(axis=1)  # all 32 bytes
-        ids, counts = _ids(arrivals["winner"]), arrivals["n"].to_numpy()
+        ids, counts = _ids(arrivals["a_winner"]), arrivals["a_n"].to_numpy()
         winner[at[member]] = _larger(winner[at[member]], ids[member])
         size[at[member]] += counts[member]
         table = np.concatenate((table, keys[~member]))
@@ -106,15 +106,17 @@ def _resolve(history: pd.DataFrame, arrivals: pd.DataFrame) -> pd.DataFrame:
 def digest_classes(digests: DataFrame, history: Column, rows: int) -> DataFrame:
     """(digest, keep_id, group_size) for every distinct digest of (doc_id, digest)."""
     buckets = max(1, -(-rows // BUCKET_ROWS))
-    bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets))
+    # the sides have no column in common: Spark drops columns of a cogroup whose sides share attributes
+    def counted(part: DataFrame, prefix: str) -> DataFrame:
+        own = part.select(F.col("doc_id").alias(f"{prefix}id"), F.col("digest").alias(f"{prefix}digest"))
+        return own.groupBy(f"{prefix}digest").agg(F.max(f"{prefix}id").alias(f"{prefix}winner"), F.count(F.lit(1)).alias(f"{prefix}n"))
 
-    def counted(part: DataFrame) -> DataFrame:
-        grouped = part.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count(F.lit(1)).alias("n"))
-        return grouped.withColumn("bucket", bucket).groupBy("bucket")
+    def bucket(prefix: str) -> Column:
+        return F.pmod(F.xxhash64(f"{prefix}digest"), F.lit(buckets)).alias(f"{prefix}bucket")
 
-    old, new = digests.filter(history), digests.filter(~history)
-    return counted(old).cogroup(counted(new)).applyInPandas(
-        lambda a, b: _resolve(a, b), "digest binary, keep_id bigint, group_size bigint")
+    old, new = counted(digests.filter(history), "h_"), counted(digests.filter(~history), "a_")
+    old, new = old.select("*", bucket("h_")).groupBy("h_bucket"), new.select("*", bucket("a_")).groupBy("a_bucket")
+    return old.cogroup(new).applyInPandas(_resolve, "digest binary, keep_id bigint, group_size bigint")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", history: Column | None = None) -> DataFrame:
