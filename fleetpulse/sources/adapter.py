@@ -138,3 +138,18 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql(*views: str, body: str) -> str:
     """The oracle's SQL: the views it needs, then its body."""
     return f"WITH {', '.join([TEL_SQL, CTX_SQL, *views])}\n{body}"
+
+
+#: All signals of an event side by side, null where the type doesn't have them.
+WIDE_SQL = """wide AS (
+  SELECT *, CASE WHEN type = 'ui' THEN 60 END AS frames, CASE WHEN type = 'ui' THEN k % 7 END AS jank, CASE WHEN type = 'call' AND k % 4 = 0 THEN dur END AS stall_ms,
+         CASE WHEN type = 'memory' THEN 100000 + dur * 100 END AS pss_kb, CASE WHEN type = 'memory' THEN CASE WHEN k % 13 = 0 THEN 0 ELSE 200000 + dur * 50 END END AS ram_kb,
+         CASE WHEN type = 'memory' THEN (ord * 7) % 100000 END AS rx, CASE WHEN type = 'memory' THEN (ord * 3) % 50000 END AS tx FROM ctx)"""
+
+
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ui, mem, k = F.col("type") == "ui", F.col("type") == "memory", F.col("k")
+    return events(spark, sf_dir).select(
+        "*", F.when(ui, 60).alias("frames"), F.when(ui, k % 7).alias("jank"), F.when((F.col("type") == "call") & (k % 4 == 0), F.col("dur")).alias("stall_ms"),
+        F.when(mem, 100000 + F.col("dur") * 100).alias("pss_kb"), F.when(mem, F.when(k % 13 == 0, F.lit(0)).otherwise(200000 + F.col("dur") * 50)).alias("ram_kb"),
+        F.when(mem, (F.col("ord") * 7) % 100000).alias("rx"), F.when(mem, (F.col("ord") * 3) % 50000).alias("tx"))
