@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fleetpulse import register
-from fleetpulse.plans import compare_queries, inspect_queries, timeline_queries  # noqa: F401  registers its queries
+from fleetpulse.plans import compare_queries, evidence_queries, inspect_queries, timeline_queries  # noqa: F401  registers its queries
 
 QUERIES = register.QUERIES
 ORACLES = register.ORACLES
