@@ -171,14 +171,20 @@ def _contents(windows: Windows, content: Callable) -> Callable:
 def _window_rows(windows: Windows, dtype: type) -> Callable:
     """Contents to one row for each window: its fingerprints and its number in the snippet."""
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with np.errstate(over="ignore"):
-            for b in batches:
-                for r in b.itertuples(index=False):
-                    t = mix64(np.frombuffer(r.content, dtype).astype(np.uint64) + np.uint64(1))
-                    h = gram_hashes(t, windows.length)
-                    at = np.arange(r.count)
-                    yield pd.DataFrame({"anchor": r.anchor, "snippet": r.snippet, "doc_id": pd.array([r.doc_id] * r.count, dtype="Int64"), "rid": r.rid, "place": r.place,
-                                        "h1": h.view(np.int64), "h2": range_hash(t, at, at + windows.length).view(np.int64), "window": at.astype(np.int32)})
+        for b in batches:
+            contents = [np.frombuffer(c, dtype) for c in b["content"]]
+            if not contents:
+                continue
+            size, count = np.array([len(c) for c in contents]), b["count"].to_numpy()
+            of = np.repeat(np.arange(len(b)), count)
+            number = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            at = (np.cumsum(size) - size)[of] + number
+            with np.errstate(over="ignore"):
+                t = mix64(np.concatenate(contents).astype(np.uint64) + np.uint64(1))
+                h1, h2 = gram_hashes(t, windows.length)[at], range_hash(t, at, at + windows.length)
+            yield pd.DataFrame({c: b[c].to_numpy()[of] for c in ("anchor", "snippet", "rid", "place")} | {
+                "doc_id": pd.array(b["doc_id"].astype("Int64"))[of], "h1": h1.view(np.int64), "h2": h2.view(np.int64), "window": number.astype(np.int32)}
+            )[["anchor", "snippet", "doc_id", "rid", "place", "h1", "h2", "window"]]
 
     return rows
 

@@ -13,7 +13,6 @@ text are found; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import hashed_words, split_words, stage
-from fleetpulse.llm.repeats import Repeats, Windows, covered
+from fleetpulse.llm.common import SPACE_RE, hashed_words, split_words, stage
+from fleetpulse.llm.repeats import Repeats, Windows, covered, gram_hashes
 
 WORDS, GRAM = 20, 6
 
@@ -86,9 +85,25 @@ class SuffixAutomaton:
         return out
 
 
+def _with_shared_windows(rows: pd.DataFrame) -> pd.DataFrame:
+    """Classes with a window whose fingerprint occurs twice in the shard; the others have nothing to match."""
+    contents = [np.frombuffer(c, np.uint64) for c in rows["content"]]
+    size = np.array([len(c) for c in contents])
+    flat = np.concatenate(contents)
+    starts = np.cumsum(size) - size
+    count = rows["count"].to_numpy()
+    at = np.repeat(starts, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    with np.errstate(over="ignore"):
+        _, which, times = np.unique(gram_hashes(flat, WORDS)[at], return_inverse=True, return_counts=True)
+    shared = np.zeros(len(rows), bool)
+    shared[np.repeat(np.arange(len(rows)), count)[times[which] > 1]] = True
+    return rows[shared]
+
+
 def _decide(rows: pd.DataFrame) -> pd.DataFrame:
     """One shard: windows of each class that an earlier class has as well."""
     out = []
+    rows = _with_shared_windows(rows)
     rows = rows.assign(order=rows["doc_id"].isna().map({True: 0, False: 1}), doc_id=rows["doc_id"].astype("Int64").fillna(0))
     for anchor, group in rows.groupby("anchor", sort=False):  # equal windows have equal anchors
         seen = SuffixAutomaton()
@@ -128,20 +143,6 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield made
 
 
-def _aside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without repeated anchors are finished: only the number of words and the digest of the words stay."""
-    for batch in batches:
-        rid, doc_id, text, places = (batch.column(i) for i in range(4))
-        whole = np.asarray(places.is_null())
-        words, offsets = split_words(text)
-        spelled = words.dictionary.to_pylist()
-        codes = np.asarray(words.indices).tolist()
-        digest = [hashlib.sha256(" ".join([spelled[c] for c in codes[offsets[i]:offsets[i + 1]]]).encode()).hexdigest() if w else None for i, w in enumerate(whole)]
-        yield pa.RecordBatch.from_arrays([
-            rid, doc_id, pa.array([None if w else t for t, w in zip(text.to_pylist(), whole)], pa.string()), places.cast(pa.list_(pa.int32())),
-            pa.array(np.diff(offsets).astype(np.int64)), pa.array(digest, pa.string())], ["rid", "doc_id", "text", "places", "n_words", "digest"])
-
-
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(texts that lose words, all other texts).
 
@@ -149,8 +150,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends); the second doc_id, n_words and digest (SHA-256 of the words joined by a space).
     """
     found = Repeats(docs, WINDOWS, True, id_col, text_col)
-    texts = stage(found.with_anchors().select("rid", "doc_id", "text", "places").mapInArrow(
-        _aside, "rid bigint, doc_id bigint, text string, places array<int>, n_words bigint, digest string"), "texts")
+    plain = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE_RE, " "))
+    texts = found.with_anchors().select("rid", "doc_id", "text", "places", F.when(F.col("places").isNull(), plain).alias("plain"))
+    n_words = F.when(F.col("plain") == "", 0).otherwise(F.length("plain") - F.length(F.replace("plain", F.lit(" "))) + 1).cast("bigint")
+    texts = stage(texts.select("rid", "doc_id", F.when(F.col("places").isNotNull(), F.col("text")).alias("text"), "places", n_words.alias("n_words"), F.sha2("plain", 256).alias("digest")), "texts")
     affected = texts.filter("places is not null")
     cuts = found.cuts(affected, _symbols, np.uint64, _decide)
     cut = found.with_cuts(affected, cuts).mapInPandas(_finish, RESULT)

@@ -14,7 +14,6 @@ kept; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +21,12 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import mix64, stage
 from fleetpulse.llm.repeats import Repeats, Windows, covered, range_hash
 
-BYTES, GRAM = 200, 40
+BYTES, GRAM = 200, 48
 #: Up to this many distinct names the shorter string is sorted by the same method, beyond it by doubling ranks.
 MAX_NAMES = 2048
 
@@ -204,19 +204,6 @@ def _symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 WINDOWS = Windows(_symbols, BYTES, GRAM)
 
 
-def _aside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without repeated anchors are finished: only the number of bytes and the digest stay."""
-    for batch in batches:
-        rid, doc_id, text, places = (batch.column(i) for i in range(4))
-        whole = places.is_null()
-        data, offsets = raw_bytes(text)
-        raw = data.tobytes()
-        digest = [hashlib.sha256(raw[offsets[i]:offsets[i + 1]]).hexdigest() if w else None for i, w in enumerate(whole.to_pylist())]
-        yield pa.RecordBatch.from_arrays([
-            rid, doc_id, pc.if_else(whole, pa.scalar(None, text.type), text).cast(pa.string()), places.cast(pa.list_(pa.int32())),
-            pa.array(np.diff(offsets)), pa.array(digest, pa.string())], ["rid", "doc_id", "text", "places", "n_bytes", "digest"])
-
-
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, firsts array<int>, ends array<int>"
 
 
@@ -241,8 +228,9 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     doc_id, n_bytes and digest (SHA-256 of the bytes).
     """
     found = Repeats(docs, WINDOWS, False, id_col, text_col)
-    texts = stage(found.with_anchors().select("rid", "doc_id", "text", "places").mapInArrow(
-        _aside, "rid bigint, doc_id bigint, text string, places array<int>, n_bytes bigint, digest string"), "texts")
+    raw, some = F.coalesce("text", F.lit("")), F.col("places").isNotNull()
+    texts = stage(found.with_anchors().select(
+        "rid", "doc_id", F.when(some, F.col("text")).alias("text"), "places", F.octet_length(raw).cast("bigint").alias("n_bytes"), F.when(~some, F.sha2(raw, 256)).alias("digest")), "texts")
     affected = texts.filter("places is not null")
     cuts = found.cuts(affected, raw_bytes, np.uint8, _decide)
     cut = found.with_cuts(affected, cuts).mapInPandas(_finish, RESULT)
