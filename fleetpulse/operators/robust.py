@@ -86,8 +86,10 @@ def bootstrap_p95(s: DataFrame) -> DataFrame:
     """
     v = _weighted(s).filter(F.col("n") >= LEAST)
     m = F.least("n", F.lit(BASE))
-    lo = F.ceil((F.col("cum") - F.col("w")) * (m - 1) / (F.col("n") - 1))
-    hi = F.floor((F.col("cum") - 1) * (m - 1) / (F.col("n") - 1))
+    # the i-th base value stands at position round(i * (n - 1) / (m - 1)), a value's positions are cum - w .. cum - 1
+    step = (m - 1) / (F.col("n") - 1)
+    lo = F.greatest(F.ceil((F.col("cum") - F.col("w") - 0.5) * step), F.lit(0))
+    hi = F.least(F.ceil((F.col("cum") - 0.5) * step) - 1, m - 1)
     base = v.select("run_set", *KEY, m.cast("int").alias("m"), "value", lo.alias("lo"), hi.alias("hi")).filter("hi >= lo")
     base = base.select("run_set", *KEY, "m", "value", F.explode(F.sequence(F.col("lo").cast("int"), F.col("hi").cast("int"))).alias("ix"))
     groups = base.select("run_set", *KEY, "m").distinct()
