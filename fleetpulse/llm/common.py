@@ -30,14 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
+    """Write ``df`` once as a table bucketed by ``key``; later joins on the key don't move its rows again."""
+    spark = df.sparkSession
+    name, n = f"{label}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.format("parquet").option("compression", "zstd").bucketBy(n, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def text_of(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import mix64, stage
+from fleetpulse.llm.common import bucketed, mix64, stage
 
 MAX_KINDS = 2000
 SHARD_BYTES = 1 << 20
@@ -192,50 +192,52 @@ def _window_rows(windows: Windows, dtype: type) -> Callable:
 class Repeats:
     """The steps above for one table; ``earlier`` says whether only windows with an earlier equal one count.
 
-    A text's key is its id with ``rid``, a hash of id and text that doesn't depend on how the table is dealt.
+    A text's key is its id with ``rid``, a hash of id and text that doesn't depend on how the table is dealt.  Texts move
+    once, into a table bucketed by ``rid``; what is found about them moves to them afterwards.
     """
 
     def __init__(self, docs: DataFrame, windows: Windows, earlier: bool, id_col: str, text_col: str) -> None:
         self.windows, self.earlier = windows, earlier
         rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        self.docs = rows.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
+        self.docs = bucketed(rows.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text"), "texts", "rid")
 
     def with_anchors(self) -> DataFrame:
-        """All texts with the places of their repeated anchors (null where there are none)."""
-        found = stage(self.docs.select("rid", "text").mapInArrow(_anchor_rows(self.windows), "anchor bigint, rid bigint, place int"), "anchors")
+        """Texts that have repeated anchors, with their places."""
+        found = stage(self.docs.select("rid", "text").mapInArrow(_anchor_rows(self.windows), "anchor bigint, rid bigint, place int"), "anchors", "zstd")
         twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
         places = found.join(twice, "anchor").groupBy("rid").agg(F.collect_set("place").alias("places"))
-        return self.docs.join(places, "rid", "left")
+        return self.docs.join(places, "rid").select("rid", "doc_id", "text", "places")
 
-    @staticmethod
-    def with_cuts(affected: DataFrame, cuts: DataFrame) -> DataFrame:
-        same = (F.col("a.rid") == F.col("c.rid")) & F.col("a.doc_id").eqNullSafe(F.col("c.doc_id"))
-        return affected.alias("a").join(cuts.alias("c"), same, "left").select("a.doc_id", "a.text", "c.firsts", "c.counts", "c.windows")
+    def cuts(self, content: Callable, dtype: type, decide: Callable) -> DataFrame:
+        """(rid, cuts): by text, runs of windows to remove: doc_id, first, count, windows (null: the whole run).
 
-    def cuts(self, affected: DataFrame, content: Callable, dtype: type, decide: Callable) -> DataFrame:
-        """(rid, doc_id, firsts, counts, windows): by text, runs of windows to remove; windows null means the whole run.
-
-        ``affected`` has rid, doc_id, text, places.  ``decide`` gets one shard's classes in order of their first
-        occurrence, (anchor, snippet, count, content), and returns the numbers of their repeated windows.
+        ``decide`` gets one shard's classes (anchor, snippet, doc_id, rid, place, count, content) and returns the
+        numbers of their repeated windows.
         """
-        occurrences = stage(affected.select("rid", "doc_id", "text", "places").mapInArrow(
-            _snippet_rows(self.windows), "anchor bigint, snippet bigint, doc_id bigint, rid bigint, place int, first int, count int"), "occurrences")
+        occurrences = stage(self.with_anchors().mapInArrow(
+            _snippet_rows(self.windows), "anchor bigint, snippet bigint, doc_id bigint, rid bigint, place int, first int, count int"), "occurrences", "zstd")
         first = F.min(F.struct("doc_id", "rid", "place", "first", "count")).alias("f")
         classes = occurrences.groupBy("anchor", "snippet").agg(F.count(F.lit(1)).alias("n"), first)
-        classes = stage(classes.select("anchor", "snippet", "n", "f.*"), "classes")
-        kinds = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("count").alias("size")).filter("kinds > 1")
-        contested = classes.join(kinds, "anchor")
-        asked = contested.groupBy("rid").agg(F.collect_list(F.struct("anchor", "snippet", "doc_id", "place", "first", "count")).alias("asked"))
-        contents = stage(affected.select("rid", "doc_id", "text").dropDuplicates(["rid", "doc_id"]).join(asked, "rid").mapInPandas(
-            _contents(self.windows, content), "anchor bigint, snippet bigint, doc_id bigint, rid bigint, place int, lead int, count int, content binary"), "contents")
-        size = contents.agg(F.sum(F.length("content"))).first()[0] or 0
+        classes = stage(classes.select("anchor", "snippet", "n", "f.*"), "classes", "zstd")
+        kinds = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("count") + self.windows.length - 1).alias("size")).filter("kinds > 1")
+        kinds = stage(kinds, "kinds")
+        size = (kinds.agg(F.sum("size")).first()[0] or 0) * np.dtype(dtype).itemsize
         shards = max(1, -(-size // SHARD_BYTES))
-        hot = kinds.filter(F.col("kinds") > MAX_KINDS).select("anchor")
-        usual = contents.join(hot, "anchor", "left_anti").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-        decided = usual.groupBy("shard").applyInPandas(decide, "anchor bigint, snippet bigint, windows array<int>")
 
-        each = contents.join(hot, "anchor", "left_semi").mapInPandas(
-            _window_rows(self.windows, dtype), "anchor bigint, snippet bigint, doc_id bigint, rid bigint, place int, h1 bigint, h2 bigint, window int")
+        def contents(of: DataFrame) -> DataFrame:
+            asked = classes.join(of.select("anchor"), "anchor").groupBy("rid").agg(F.collect_list(F.struct("anchor", "snippet", "doc_id", "place", "first", "count")).alias("asked"))
+            return self.docs.join(asked, "rid").select("rid", "doc_id", "text", "asked").mapInPandas(
+                _contents(self.windows, content), "anchor bigint, snippet bigint, doc_id bigint, rid bigint, place int, lead int, count int, content binary")
+
+        def once(rows: pd.DataFrame) -> pd.DataFrame:
+            return decide(rows.drop_duplicates(["anchor", "snippet"]))  # repeated rows of the table gave a content twice
+
+        usual = contents(kinds.filter(F.col("kinds") <= MAX_KINDS)).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+        decided = usual.groupBy("shard").applyInPandas(once, "anchor bigint, snippet bigint, windows array<int>")
+
+        hot = contents(kinds.filter(F.col("kinds") > MAX_KINDS)).dropDuplicates(["anchor", "snippet"])
+        each = hot.mapInPandas(_window_rows(self.windows, dtype), "anchor bigint, snippet bigint, doc_id bigint, rid bigint, place int, h1 bigint, h2 bigint, window int")
+        each = stage(each, "windows", "zstd")
         groups = each.groupBy("anchor", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "rid", "place")).alias("f"))
         repeated = each.join(groups.filter("n > 1"), ["anchor", "h1", "h2"])
         if self.earlier:
@@ -248,9 +250,19 @@ class Repeats:
         is_first = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("rid") == F.col("f_rid")) & (F.col("place") == F.col("f_place"))
         whole = (F.col("n") > 1) & (~is_first if self.earlier else F.lit(True))
         out = occurrences.join(fate, ["anchor", "snippet"])
-        out = out.filter(whole | F.col("windows").isNotNull()).select("rid", "doc_id", F.struct("first", "count", F.when(~whole, F.col("windows")).alias("windows")).alias("c"))
-        return out.groupBy("rid", "doc_id").agg(F.collect_list("c").alias("c")).select(
-            "rid", "doc_id", F.col("c.first").alias("firsts"), F.col("c.count").alias("counts"), F.col("c.windows").alias("windows"))
+        out = out.filter(whole | F.col("windows").isNotNull()).select("rid", F.struct("doc_id", "first", "count", F.when(~whole, F.col("windows")).alias("windows")).alias("c"))
+        return stage(out.groupBy("rid").agg(F.collect_list("c").alias("cuts")), "cuts", "zstd")
+
+    def finished(self, cuts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(doc_id, text, cuts) of texts with cuts, (doc_id, text) of all others."""
+        return self.docs.join(cuts, "rid").select("doc_id", "text", "cuts"), self.docs.join(cuts.select("rid"), "rid", "left_anti").select("doc_id", "text")
+
+
+def runs_of(doc_id: object, cuts: list) -> tuple[list, list, list]:
+    """A text's own runs: first windows, numbers of windows, chosen windows."""
+    key = None if pd.isna(doc_id) else int(doc_id)
+    own = [c for c in cuts if c["doc_id"] == key]
+    return [c["first"] for c in own], [c["count"] for c in own], [c["windows"] for c in own]
 
 
 def covered(size: int, length: int, firsts: np.ndarray, counts: np.ndarray, windows: list) -> np.ndarray:

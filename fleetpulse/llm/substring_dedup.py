@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import SPACE_RE, hashed_words, split_words, stage
-from fleetpulse.llm.repeats import Repeats, Windows, covered, gram_hashes
+from fleetpulse.llm.common import SPACE_RE, hashed_words, split_words
+from fleetpulse.llm.repeats import Repeats, Windows, covered, gram_hashes, runs_of
 
 WORDS, GRAM = 20, 6
 
@@ -133,11 +133,11 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         spelled = words.dictionary.to_pylist()
         codes = np.asarray(words.indices)
         out = []
-        for i, (d, f, n, w) in enumerate(zip(b["doc_id"], b["firsts"], b["counts"], b["windows"])):
+        for i, (d, c) in enumerate(zip(b["doc_id"], b["cuts"])):
             own = codes[offsets[i]:offsets[i + 1]]
-            gone = covered(len(own), WORDS, f, n, w) if f is not None else np.zeros(len(own), bool)
+            gone = covered(len(own), WORDS, *runs_of(d, c))
             edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
-            out.append((d, len(own), int(gone.sum()), " ".join([spelled[c] for c in own[~gone]]), edge[::2].tolist(), edge[1::2].tolist()))
+            out.append((d, len(own), int(gone.sum()), " ".join([spelled[k] for k in own[~gone]]), edge[::2].tolist(), edge[1::2].tolist()))
         made = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept", "firsts", "ends"])
         made["doc_id"] = pd.array(list(b["doc_id"]), dtype="Int64")
         yield made
@@ -150,11 +150,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends); the second doc_id, n_words and digest (SHA-256 of the words joined by a space).
     """
     found = Repeats(docs, WINDOWS, True, id_col, text_col)
-    plain = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE_RE, " "))
-    texts = found.with_anchors().select("rid", "doc_id", "text", "places", F.when(F.col("places").isNull(), plain).alias("plain"))
+    cut, whole = found.finished(found.cuts(_symbols, np.uint64, _decide))
+    whole = whole.select("doc_id", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE_RE, " ")).alias("plain"))
     n_words = F.when(F.col("plain") == "", 0).otherwise(F.length("plain") - F.length(F.replace("plain", F.lit(" "))) + 1).cast("bigint")
-    texts = stage(texts.select("rid", "doc_id", F.when(F.col("places").isNotNull(), F.col("text")).alias("text"), "places", n_words.alias("n_words"), F.sha2("plain", 256).alias("digest")), "texts")
-    affected = texts.filter("places is not null")
-    cuts = found.cuts(affected, _symbols, np.uint64, _decide)
-    cut = found.with_cuts(affected, cuts).mapInPandas(_finish, RESULT)
-    return cut, texts.filter("places is null").select("doc_id", "n_words", "digest")
+    return cut.mapInPandas(_finish, RESULT), whole.select("doc_id", n_words.alias("n_words"), F.sha2("plain", 256).alias("digest"))

@@ -23,10 +23,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import mix64, stage
-from fleetpulse.llm.repeats import Repeats, Windows, covered, range_hash
+from fleetpulse.llm.common import mix64
+from fleetpulse.llm.repeats import Repeats, Windows, covered, range_hash, runs_of
 
-BYTES, GRAM = 200, 48
+BYTES, GRAM = 200, 32
 #: Up to this many distinct names the shorter string is sorted by the same method, beyond it by doubling ranks.
 MAX_NAMES = 2048
 
@@ -211,9 +211,9 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         data, offsets = raw_bytes(pa.array(b["text"], pa.large_string(), from_pandas=True))
         out = []
-        for i, (d, f, n, w) in enumerate(zip(b["doc_id"], b["firsts"], b["counts"], b["windows"])):
+        for i, (d, c) in enumerate(zip(b["doc_id"], b["cuts"])):
             own = data[offsets[i]:offsets[i + 1]]
-            gone = covered(len(own), BYTES, f, n, w) if f is not None else np.zeros(len(own), bool)
+            gone = covered(len(own), BYTES, *runs_of(d, c))
             edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
             out.append((d, len(own), int(gone.sum()), len(edge) // 2, own[~gone].tobytes(), edge[::2].tolist(), edge[1::2].tolist()))
         made = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "firsts", "ends"])
@@ -228,10 +228,6 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     doc_id, n_bytes and digest (SHA-256 of the bytes).
     """
     found = Repeats(docs, WINDOWS, False, id_col, text_col)
-    raw, some = F.coalesce("text", F.lit("")), F.col("places").isNotNull()
-    texts = stage(found.with_anchors().select(
-        "rid", "doc_id", F.when(some, F.col("text")).alias("text"), "places", F.octet_length(raw).cast("bigint").alias("n_bytes"), F.when(~some, F.sha2(raw, 256)).alias("digest")), "texts")
-    affected = texts.filter("places is not null")
-    cuts = found.cuts(affected, raw_bytes, np.uint8, _decide)
-    cut = found.with_cuts(affected, cuts).mapInPandas(_finish, RESULT)
-    return cut, texts.filter("places is null").select("doc_id", "n_bytes", "digest")
+    cut, whole = found.finished(found.cuts(raw_bytes, np.uint8, _decide))
+    raw = F.coalesce("text", F.lit(""))
+    return cut.mapInPandas(_finish, RESULT), whole.select("doc_id", F.octet_length(raw).cast("bigint").alias("n_bytes"), F.sha2(raw, 256).alias("digest"))
