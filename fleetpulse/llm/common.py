@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows: bounds what a task holds beside Spark's own batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def string_hash(words: pa.Array, seed: int = 0) -> np.ndarray:
     """64-bit xxhash of every (distinct) string."""
     import xxhash

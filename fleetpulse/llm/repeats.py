@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import bucketed, mix64, stage
+from fleetpulse.llm.common import bucketed, mix64, small_batches, stage
 
 MAX_KINDS = 2000
 SHARD_BYTES = 1 << 20
@@ -117,7 +117,7 @@ def range_hash(t: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def _anchor_rows(windows: Windows) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             rid = np.asarray(batch.column(0))
             for text, place, _, _, anchor, _ in windows.runs(*windows.symbols(batch.column(1))):
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(rid[text]), pa.array(place.astype(np.int32))], ["anchor", "rid", "place"])
@@ -128,9 +128,9 @@ def _anchor_rows(windows: Windows) -> Callable:
 def _snippet_rows(windows: Windows) -> Callable:
     """Of texts with their repeated anchors (rid, doc_id, text, places): one row for each of those occurrences."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             rid, keys, texts, places = (batch.column(i) for i in range(4))
-            wanted_at = np.asarray(places.offsets).astype(np.int64)
+            wanted_at = np.asarray(places.offsets).astype(np.int64)[:len(places) + 1]
             wanted_at -= wanted_at[0]
             wanted = np.asarray(places.flatten()).astype(np.int64)
             owner = np.repeat(np.arange(len(rid)), np.diff(wanted_at))
