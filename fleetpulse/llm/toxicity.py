@@ -300,7 +300,8 @@ def scorer(docs: DataFrame, model: ToxicModel):
         weights[at] = values
         own = ToxicModel(weights, offset, slope, shift)
         for texts in batches:
-            yield pd.Series(own.curve(_batch_worst(pa.array(texts, pa.large_string(), from_pandas=True), own)))
+            parts = [_batch_worst(pa.array(texts.iloc[k:k + 4000], pa.large_string(), from_pandas=True), own) for k in range(0, len(texts), 4000)]
+            yield pd.Series(own.curve(np.concatenate(parts)) if parts else np.zeros(0))
 
     return score
 
