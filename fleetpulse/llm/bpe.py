@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding by a segment tree over byte positions.
 
 A piece (one match of the splitting pattern) is a row of live byte spans.  Leaf i of the segment tree holds the rank of
-the pair that starts at byte i; an inner node holds the least rank below it, and the descent to the left child on ties
-finds the leftmost least pair.  A merge joins two live neighbours and updates three leaves, so a piece of n bytes costs
-O(n log n) even where it has no break.  Pieces repeat, so each task keeps what it has merged in a bounded cache.
+the pair that starts at byte i, with i in its low bits; an inner node holds the least value below it, so the root names
+the leftmost pair of least rank.  A merge joins two live neighbours and updates three leaves, so a piece of n bytes
+costs O(n log n) even where it has no break.  Pieces repeat, so each Python worker keeps what it has merged in a bounded
+cache.
 
 Edge cases: a null or empty text has no tokens and decodes to no bytes; rows are independent, so repeated rows, ties
 and other columns don't matter; columns that exist under the result's names are replaced.
@@ -19,9 +20,34 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NONE = 1 << 60
-CACHE_PIECES = 200_000
-CACHE_PIECE_CHARS = 64
+NONE = 1 << 62
+PLACE = (1 << 32) - 1
+CACHE_PIECES = 150_000
+CACHE_PIECE_CHARS = 40
+
+
+class MergedPieces:
+    """Packed ids by piece in two generations: when the young one is full it becomes the old one."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, piece: str) -> bytes:
+        got = self.old.get(piece)
+        if got is None:
+            got = np.array(merge_piece(piece.encode(), self.ranks), "<u4").tobytes()
+        if len(piece) <= CACHE_PIECE_CHARS:
+            if len(self.young) >= CACHE_PIECES:
+                self.old, self.young = self.young.copy(), self.young
+                self.young.clear()
+            self.young[piece] = got
+        return got
+
+
+#: By path of the rank table; they live as long as the Python worker.
+_pieces_of: dict[str, MergedPieces] = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,41 +64,40 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     width = 1
     while width < n:
         width *= 2
+    rank = ranks.get
     tree = [NONE] * (2 * width)
-    end = list(range(1, n + 1))  # live span i covers piece[i:end[i]]
-    before = list(range(-1, n - 1))
     for i in range(n - 1):
-        tree[width + i] = ranks.get(piece[i:i + 2], NONE)
+        r = rank(piece[i:i + 2])
+        if r is not None:
+            tree[width + i] = r << 32 | i
     for i in range(width - 1, 0, -1):
         a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a <= b else b
-
-    def put(i: int, rank: int) -> None:
-        i += width
-        tree[i] = rank
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a <= b else b
-            i >>= 1
-
-    while tree[1] != NONE:
-        i, least = 1, tree[1]
-        while i < width:
-            i *= 2
-            if tree[i] != least:
-                i += 1
-        i -= width
+        tree[i] = a if a < b else b
+    end = list(range(1, n + 1))  # live span i covers piece[i:end[i]]
+    before = list(range(-1, n))
+
+    while (least := tree[1]) != NONE:
+        i = least & PLACE
         j = end[i]
-        end[i] = end[j]
-        put(j, NONE)
-        k = end[i]
-        if k < n:
-            before[k] = i
-        put(i, ranks.get(piece[i:end[k]], NONE) if k < n else NONE)
+        k = end[i] = end[j]
+        before[k] = i
         h = before[i]
-        if h >= 0:
-            put(h, ranks.get(piece[h:k], NONE))
+        right = rank(piece[i:end[k]]) if k < n else None
+        left = rank(piece[h:k]) if h >= 0 else None
+        for at, r in ((j, None), (i, right), (h, left)):
+            if at < 0:
+                continue
+            value = NONE if r is None else r << 32 | at
+            at += width
+            tree[at] = value
+            while at > 1:
+                other = tree[at ^ 1]
+                if other < value:
+                    value = other
+                at >>= 1
+                if tree[at] == value:
+                    break
+                tree[at] = value
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i:end[i]]])
@@ -93,17 +118,10 @@ def encoder(spark: SparkSession, ranks_path: str, pattern: str):
         for b, r in ranks.items():
             bytes_of[r] = b
         find = regex.compile(pattern).findall
-        cache: dict[str, bytes] = {}
-
-        def packed(piece: str) -> bytes:
-            got = np.array(merge_piece(piece.encode(), ranks), "<u4").tobytes()
-            if len(piece) <= CACHE_PIECE_CHARS:
-                if len(cache) >= CACHE_PIECES:
-                    cache.clear()
-                cache[piece] = got
-            return got
-
-        get = cache.get
+        if ranks_path not in _pieces_of:
+            _pieces_of[ranks_path] = MergedPieces(ranks)
+        packed = _pieces_of[ranks_path]
+        get = packed.young.get
         for texts in batches:
             counts, ids, back = [], [], []
             for text in texts:
