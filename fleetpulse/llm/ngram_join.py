@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import hashed_words, mix64, stage
+from fleetpulse.llm.common import hashed_words, mix64, small_batches, stage
 from fleetpulse.llm.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
 TOKENS, RUNS, DEPTH = 64, 10, 3
 SMALL, BLOCK = 200, 1000
+#: Rows of buckets that are compared together, on average.
+TASK_ROWS = 20_000
 #: Links between embedded sets are kept from this similarity on: three standard deviations under the threshold.
 SLACK = 0.65
 
@@ -77,7 +79,7 @@ def _embedded(sets: list[np.ndarray]) -> np.ndarray:
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> doc_id, the set's 128-bit name, size and embedding."""
     with np.errstate(over="ignore"):
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = shingle_sets(batch.column(1))
             name = np.array([(s.sum(dtype=np.uint64), mix64(s).sum(dtype=np.uint64)) for s in sets], np.uint64).reshape(-1, 2)
             sig = _embedded(sets)
@@ -142,18 +144,31 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 
 
-def _compare_tokens(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """One bucket, or a pair of blocks of a large one: links between embedded sets, thinned to a spanning forest."""
-    rows = rows.sort_values("doc_id")
+def _compare_tokens(rows: pd.DataFrame) -> pd.DataFrame:
+    """Many buckets (or pairs of blocks of large ones): links between embedded sets, thinned to a spanning forest.
+
+    Rows are sorted by bucket; in step d every row is compared with the one d places on, if that is in its bucket.
+    """
+    rows = rows.sort_values(["node", "i", "j", "doc_id"])
     tok = _tokens(rows["tokens"]).astype(np.uint16)
     ids, block = rows["doc_id"].to_numpy(), rows["block"].to_numpy()
-    left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
-    a, b = [], []
-    for x in left:
-        others = right[right > x] if key[1] == key[2] else right
-        hit = others[(tok[others] == tok[x]).mean(axis=1) >= SLACK]
-        a.append(np.full(len(hit), ids[x]))
-        b.append(ids[hit])
+    one_block = (rows["i"] == rows["j"]).to_numpy()
+    bucket = rows.groupby(["node", "i", "j"], sort=False).ngroup().to_numpy()
+    a, b, d = [], [], 1
+    active = np.arange(len(rows))
+    while True:
+        active = active[active + d < len(rows)]
+        active = active[bucket[active] == bucket[active + d]]
+        if not len(active):
+            break
+        for x in np.array_split(active, -(-len(active) // 100_000)):
+            y = x + d
+            asked = one_block[x] | (block[x] != block[y])
+            x, y = x[asked], y[asked]
+            hit = (tok[x] == tok[y]).mean(axis=1) >= SLACK
+            a.append(ids[x[hit]])
+            b.append(ids[y[hit]])
+        d += 1
     links = _spanning(np.concatenate(a), np.concatenate(b)) if a else []
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
@@ -180,8 +195,9 @@ def candidate_links(classes: DataFrame) -> DataFrame:
         sizes = stage(sizes, f"sizes{depth}")
         small = sizes.filter(F.col("size") <= SMALL) if depth < DEPTH else sizes
         members = level.join(small.select("node"), "node", "left_semi").join(classes, "doc_id")
-        links = (in_blocks(members, "node", small, BLOCK).groupBy("node", "i", "j")
-                 .applyInPandas(_compare_tokens, "a bigint, b bigint").distinct())
+        tasks = max(1, -(-(small.agg(F.sum("size")).first()[0] or 0) // TASK_ROWS))
+        links = (in_blocks(members, "node", small, BLOCK).withColumn("task", F.pmod(F.xxhash64("node", "i", "j"), F.lit(tasks)))
+                 .groupBy("task").applyInPandas(_compare_tokens, "a bigint, b bigint").distinct())
         found = links if found is None else found.unionByName(links)
         if depth < DEPTH:
             large = sizes.filter(F.col("size") > SMALL)
@@ -193,7 +209,7 @@ def candidate_links(classes: DataFrame) -> DataFrame:
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, root, text) -> doc_id, root, the whole set."""
     with np.errstate(over="ignore"):
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = shingle_sets(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())],
                                              ["doc_id", "root", "grams"])
