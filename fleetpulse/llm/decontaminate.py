@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import mix64, string_hash
+from fleetpulse.llm.common import mix64, small_batches, string_hash
 
 LEAST, COVERAGE = 4, 0.5
 SHARD_WORDS = 2_000_000
@@ -105,7 +105,7 @@ def _matcher(items: list[tuple[int, np.ndarray]], threshold: float):
     lengths = sorted({min(LEAST, len(c)) for _, c in items})
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             codes, offsets = word_codes(batch.column(1))
             found: dict[tuple[int, int], list[tuple[int, int]]] = {}
             for k in lengths:

@@ -300,7 +300,7 @@ def scorer(docs: DataFrame, model: ToxicModel):
         weights[at] = values
         own = ToxicModel(weights, offset, slope, shift)
         for texts in batches:
-            parts = [_batch_worst(pa.array(texts.iloc[k:k + 4000], pa.large_string(), from_pandas=True), own) for k in range(0, len(texts), 4000)]
+            parts = [_batch_worst(pa.array(texts.iloc[k:k + 1000], pa.large_string(), from_pandas=True), own) for k in range(0, len(texts), 1000)]
             yield pd.Series(own.curve(np.concatenate(parts)) if parts else np.zeros(0))
 
     return score
