@@ -69,9 +69,33 @@ def h01(spark, d):
     return iterate.reachable(e, roots).select("g", "node", "depth")
 
 
+WHOLE = """g AS (SELECT run_set AS g, user_id AS src, (user_id + 7 * k) % (SELECT max(user_id) + 1 FROM tel) AS dst, count(*) AS n FROM tel WHERE type = 'call' GROUP BY ALL)"""
+
+
+def whole_graph(spark, d) -> DataFrame:
+    """All call rows between unfolded user ids: a user calls the one 7 * k ids on, around the largest id."""
+    ids = src.events(spark, d).agg((F.max("user_id") + 1).alias("ids"))
+    e = src.of_type(spark, d, "call").crossJoin(F.broadcast(ids))
+    return e.groupBy(F.col("run_set").alias("g"), F.col("user_id").alias("src"), ((F.col("user_id") + 7 * F.col("k")) % F.col("ids")).alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("u07_strong_components_whole", sql(WHOLE, """reach AS (SELECT g, src AS s, dst AS t FROM g UNION SELECT r.g, r.s, e.dst FROM reach r JOIN g e ON e.g = r.g AND e.src = r.t)""", body="""
+SELECT n.g, node, least(node, coalesce(min(b.s), node)) AS component FROM (SELECT DISTINCT g, unnest([src, dst]) AS node FROM g) n
+LEFT JOIN reach a ON a.g = n.g AND a.s = node LEFT JOIN reach b ON b.g = n.g AND b.s = a.t AND b.t = node GROUP BY n.g, node""").replace("WITH ", "WITH RECURSIVE ", 1))
+def u07_whole(spark, d):
+    return iterate.strong_components(whole_graph(spark, d))
+
+
+@query("h01_reachability_whole", sql(WHOLE, """walk AS (SELECT g, src AS node, 0 AS depth FROM g WHERE src < 3 UNION SELECT w.g, e.dst, depth + 1 FROM walk w JOIN g e ON e.g = w.g AND e.src = w.node WHERE depth < (SELECT max(user_id) FROM tel))""", body="""
+SELECT g, node, min(depth) AS depth FROM walk GROUP BY ALL""").replace("WITH ", "WITH RECURSIVE ", 1))
+def h01_whole(spark, d):
+    e = whole_graph(spark, d).withColumn("label", F.lit("call"))
+    return iterate.reachable(e, e.filter("src < 3").select("g", F.col("src").alias("node"))).select("g", "node", "depth")
+
+
 @query("g05_shortest_paths")
 def g05(spark, d):
     """Cheapest paths from three nodes, weight 1 / (1 + calls); the tests hold it against brute force."""
-    e = graph(spark, d).select("g", "src", "dst", (1.0 / (1 + F.col("n"))).alias("weight"))
+    e = whole_graph(spark, d).select("g", "src", "dst", (1.0 / (1 + F.col("n"))).alias("weight"))
     out = iterate.shortest_paths(e, e.filter("src < 3").select("g", F.col("src").alias("node")).distinct())
     return out.select("g", "source", "node", F.round("cost", 6).alias("cost"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
