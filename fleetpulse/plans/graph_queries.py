@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetpulse.operators import iterate, periodic
@@ -39,9 +39,43 @@ def n02(spark, d):
     return periodic.bursts(series(spark, d))
 
 
+WHOLE_SIGNALS = ["jank_pct", "http", "http_failed", "stalls"]
+
+
+def whole_series(spark, d) -> DataFrame:
+    """The timeline's own buckets: its signals and the HTTP calls of the three most frequent routes of a run set.
+
+    The tables have no DNS or connection events; the reference leaves out signals that are 0 everywhere as well.
+    """
+    rel = tl.relative(src.wide(spark, d))
+    b = tl.timeline(rel).withColumn("jank_pct", tl.jank_pct()).withColumnRenamed("bucket", "ix")
+    out = b.select("run_set", "ix", *[F.col(s).cast("double").alias(s) for s in WHOLE_SIGNALS]).unpivot(["run_set", "ix"], WHOLE_SIGNALS, "signal", "value")
+    calls = rel.filter("type = 'http'").join(F.broadcast(b.select("run_set", "size").distinct()), "run_set").groupBy("run_set", "route", F.expr("rel_ms div size").alias("ix")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    w = Window.partitionBy("run_set").orderBy(F.desc("n"), "route")
+    top = calls.groupBy("run_set", "route").agg(F.sum("n").alias("n")).withColumn("rn", F.row_number().over(w)).filter("rn <= 3").select("run_set", "route")
+    routes = b.select("run_set", "ix").join(F.broadcast(top), "run_set").join(calls, ["run_set", "route", "ix"], "left")
+    out = out.unionByName(routes.select("run_set", "ix", F.concat(F.lit("route:"), "route").alias("signal"), F.coalesce("n", F.lit(0.0)).alias("value")))
+    live = out.groupBy("run_set", "signal").agg(F.max(F.abs("value")).alias("m")).filter("m > 0").select("run_set", "signal")
+    return out.join(F.broadcast(live), ["run_set", "signal"])
+
+
+WHOLE_SERIES = """calls_by_route AS (SELECT run_set, route, bucket, count(*) AS n FROM bucketed WHERE type = 'http' GROUP BY ALL),
+  top_routes AS (SELECT run_set, route FROM (SELECT run_set, route, row_number() OVER (PARTITION BY run_set ORDER BY sum(n) DESC, route) AS rn FROM calls_by_route GROUP BY run_set, route) WHERE rn <= 3),
+  every AS (SELECT run_set, bucket AS ix, unnest(['jank_pct', 'http', 'http_failed', 'stalls']) AS signal, unnest([CASE WHEN frames > 0 THEN jank * 100.0::DOUBLE / frames ELSE 0 END, http::DOUBLE, http_failed::DOUBLE, stalls::DOUBLE]) AS value FROM tl
+    UNION ALL SELECT run_set, tl.bucket, 'route:' || route, coalesce(c.n, 0)::DOUBLE FROM tl JOIN top_routes t USING (run_set) LEFT JOIN calls_by_route c USING (run_set, route, bucket)),
+  series AS (SELECT * FROM every WHERE (run_set, signal) IN (SELECT (run_set, signal) FROM every GROUP BY ALL HAVING max(abs(value)) > 0))""".replace("SELECT (run_set, signal) FROM every GROUP BY ALL", "SELECT (run_set, signal) FROM every GROUP BY run_set, signal")
+
+
+@query("n02_bursts_whole", sql(*TL, WHOLE_SERIES, body="""
+SELECT s.run_set, s.signal, ix, value FROM series s JOIN (SELECT run_set, signal, any_value(m) AS m, median(abs(value - m)) AS mad FROM (SELECT *, median(value) OVER (PARTITION BY run_set, signal) AS m FROM series) GROUP BY run_set, signal) t USING (run_set, signal)
+WHERE value > greatest(1, m + 3 * mad, 2 * m)"""))
+def n02_whole(spark, d):
+    return periodic.bursts(whole_series(spark, d))
+
+
 @query("d05_spectral_peaks")
 def d05(spark, d):
-    return periodic.peaks(periodic.spectrum(series(spark, d)))
+    return periodic.peaks(periodic.spectrum(whole_series(spark, d)))
 
 
 GRAPH = "g AS (SELECT run_set AS g, user_id % 60 AS src, (k * 7 + user_id) % 61 % 60 AS dst, count(*) AS n FROM tel WHERE type = 'call' AND k % 9 = 0 AND user_id % 3 > 0 GROUP BY ALL)"

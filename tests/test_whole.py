@@ -24,3 +24,9 @@ def test_shortest_paths_use_all_calls(spark):
     got = {(r["g"], r["source"], r["node"]): r["cost"] for r in catalog.QUERIES["g05_shortest_paths"](spark, DIR).collect()}
     assert set(got) == set(cost)
     assert all(abs(got[x] - cost[x]) < 1e-5 for x in cost)
+
+
+def test_peaks_cover_signals_and_buckets(spark):
+    got = catalog.QUERIES["d05_spectral_peaks"](spark, DIR).collect()
+    signals = {r["signal"] for r in got}
+    assert {"jank_pct", "http", "http_failed"} <= signals and sum(s.startswith("route:") for s in signals) >= 3
