@@ -156,14 +156,17 @@ def chain_conflicts(segments: DataFrame) -> DataFrame:
     return c.select("session_id", F.explode(F.filter(issues, lambda x: x.isNotNull())).alias("issue"))
 
 
-def chain_gaps(segments: DataFrame) -> DataFrame:
-    """Q02: chains that start late, have gaps, run backwards, or go on after an unsealed segment."""
-    w = Window.partitionBy("session_id").orderBy("segment_index")
+def chain_gaps(segments: DataFrame, *also: str) -> DataFrame:
+    """Q02: chains that start late, have gaps, run backwards, or go on after an unsealed segment.
+
+    A chain is a session; columns in ``also`` belong to its key.
+    """
+    w = Window.partitionBy(*also, "session_id").orderBy("segment_index")
     p_ix, p_t, p_seal = F.lag("segment_index").over(w), F.lag("start_ms").over(w), F.lag("sealed").over(w)
     issues = F.array(F.when(p_ix.isNull() & (F.col("segment_index") != 0), F.lit("late_start")), F.when(F.col("segment_index") > p_ix + 1, F.lit("gap")),
                      F.when(F.col("start_ms") < p_t, F.lit("backwards")), F.when(~p_seal, F.lit("after_unsealed")))
-    rows = segments.select("session_id", "segment_index", issues.alias("i"))
-    return rows.select("session_id", "segment_index", F.explode(F.filter("i", lambda x: x.isNotNull())).alias("issue"))
+    rows = segments.select(*also, "session_id", "segment_index", issues.alias("i"))
+    return rows.select(*also, "session_id", "segment_index", F.explode(F.filter("i", lambda x: x.isNotNull())).alias("issue"))
 
 
 def latest_snapshots(snapshots: DataFrame) -> DataFrame:

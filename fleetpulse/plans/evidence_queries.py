@@ -142,6 +142,13 @@ def q02(spark, d):
     return op.chain_gaps(segments(spark, d).filter("run_set = 'baseline'"))
 
 
+@query("q02_chain_gaps_whole", sql(SEGMENTS, body="""
+SELECT run_set, session_id, segment_index, unnest(list_filter([CASE WHEN p IS NULL AND segment_index <> 0 THEN 'late_start' END, CASE WHEN segment_index > p + 1 THEN 'gap' END, CASE WHEN start_ms < t THEN 'backwards' END, CASE WHEN NOT s THEN 'after_unsealed' END], lambda x: x IS NOT NULL)) AS issue FROM (
+  SELECT *, lag(segment_index) OVER w AS p, lag(start_ms) OVER w AS t, lag(sealed) OVER w AS s FROM segments WINDOW w AS (PARTITION BY run_set, session_id ORDER BY segment_index))"""))
+def q02_whole(spark, d):
+    return op.chain_gaps(segments(spark, d), "run_set")
+
+
 @query("q04_quality_totals", sql(SEGMENTS, body="""
 SELECT run_set, unnest(['accepted', 'written']) AS counter, unnest([a, w]) AS value FROM (SELECT run_set, CAST(sum(a) AS BIGINT) AS a, CAST(sum(w) AS BIGINT) AS w FROM (
   SELECT run_set, session_id, arg_max(accepted, segment_index) AS a, arg_max(written, segment_index) AS w FROM segments GROUP BY ALL) GROUP BY run_set)"""))

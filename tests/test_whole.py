@@ -30,3 +30,8 @@ def test_peaks_cover_signals_and_buckets(spark):
     got = catalog.QUERIES["d05_spectral_peaks"](spark, DIR).collect()
     signals = {r["signal"] for r in got}
     assert {"jank_pct", "http", "http_failed"} <= signals and sum(s.startswith("route:") for s in signals) >= 3
+
+
+def test_chain_gaps_of_all_run_sets(spark):
+    found = catalog.QUERIES["q02_chain_gaps_whole"](spark, DIR)
+    assert {r["run_set"] for r in found.select("run_set").distinct().collect()} == {"baseline", "candidate"}
