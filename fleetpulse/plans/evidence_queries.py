@@ -215,6 +215,15 @@ def w09(spark, d):
     return b.filter(F.col("duration_ms") >= 3_600_000)
 
 
+@query("w09_stall_episodes_whole", sql(body="""
+SELECT source, user_id, beat AS start_ms, nxt - beat AS duration_ms FROM (SELECT source, user_id, time_ms AS beat, lead(time_ms) OVER (PARTITION BY user_id ORDER BY time_ms, ord) AS nxt FROM ctx) WHERE nxt - beat >= 700"""))
+def w09_whole(spark, d):
+    """The reference's 700 ms; a user's events are one process's heartbeats."""
+    w = Window.partitionBy("user_id").orderBy("time_ms", "ord")
+    b = src.events(spark, d).select("source", "user_id", F.col("time_ms").alias("start_ms"), (F.lead("time_ms").over(w) - F.col("time_ms")).alias("duration_ms"))
+    return b.filter(F.col("duration_ms") >= 700)
+
+
 @query("w13_context_changes", sql(body="""
 SELECT source, ord, screen, flow, step FROM (SELECT *, lag(screen || '|' || flow || '|' || step) OVER (PARTITION BY source ORDER BY ord) AS p FROM ctx) WHERE p IS DISTINCT FROM screen || '|' || flow || '|' || step"""))
 def w13(spark, d):
