@@ -1,4 +1,4 @@
-"""Queries of the V08-V15, J17, J22, U08, N and X families."""
+"""Queries V09, V10, V15, J17, J22, U08, L02, W05, W15 and W19."""
 
 from __future__ import annotations
 
