@@ -85,10 +85,12 @@ def string_hash(words: pa.Array, seed: int = 0) -> np.ndarray:
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """Words of every text, dictionary-encoded and flattened, with the offsets of each text's words."""
+    """Words of every text, dictionary-encoded and flattened, with the offsets of each text's words.
+
+    ``lower`` lowers A-Z in the dictionary, which may then hold a word twice.  (Arrow's lower-casing misreads the cast of
+    a slice, so whole texts are never lowered here.)
+    """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.ascii_lower(texts)
     parts = pc.split_pattern_regex(texts, SPACE_RE)
     offsets = np.asarray(parts.offsets).astype(np.int64)
     flat = parts.flatten()
@@ -96,6 +98,8 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.DictionaryArra
     filled = np.asarray(pc.not_equal(flat, ""))
     before = np.concatenate(([0], np.cumsum(filled)))
     words = flat.filter(pa.array(filled)).dictionary_encode()
+    if lower:
+        words = pa.DictionaryArray.from_arrays(words.indices, pc.ascii_lower(words.dictionary))
     return words, before[offsets]
 
 
