@@ -72,6 +72,21 @@ def bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
     return spark.table(name)
 
 
+#: Keys that hold more than one in so many rows are joined by broadcast; there can't be more such keys.
+HOT_KEYS = 2000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Inner join with ``table``, which has each key once and in ``n`` how many of the ``total`` rows have it.
+
+    Rows of hot keys stay where they are: a key is hot with over ``total / HOT_KEYS`` rows, so at most HOT_KEYS rows of
+    the table are broadcast.  All other rows are shuffled by key.
+    """
+    hot = F.broadcast(table.filter(F.col(n) > total / HOT_KEYS))
+    cold = table.filter(F.col(n) <= total / HOT_KEYS)
+    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(cold, keys))
+
+
 def text_of(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

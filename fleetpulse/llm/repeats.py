@@ -6,11 +6,14 @@ an occurrence of an anchor stands for a run of windows, its snippet.
 
 1. Only anchors that occur twice in the corpus can lie in repeated windows; all others are dropped by a count.
 2. Texts with repeated anchors are kept aside; the others are finished.
-3. Equal snippets (same anchor, same content) are one class, counted on the map side.
-4. Where an anchor has several classes, the contents of the classes go to a shard of anchors, which decides window by
-   window (the operator's own method).  Anchors with more than ``MAX_KINDS`` classes are decided by grouping the
-   fingerprints of their windows instead, so no task gathers a hot anchor.
-5. Decisions return to all occurrences and then to their texts.
+3. Equal snippets (same anchor, same content: two 64-bit hashes) are one class, counted on the map side.
+4. Where an anchor has several classes, their contents go to a shard of anchors of ``SHARD_BYTES`` on average, which
+   decides window by window (the operator's own method).
+5. An anchor whose contents alone exceed ``SHARD_BYTES`` can't be gathered in a task.  It is split by its windows: all
+   equal windows are one group, counted on the map side, whatever snippets they come from.
+6. Decisions return to all occurrences and then to their texts.
+
+Anchors, snippets and windows that hold over one in ``HOT_KEYS`` rows are joined by broadcast, all others by shuffle.
 """
 
 from __future__ import annotations
@@ -24,9 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import bucketed, mix64, small_batches, stage
+from fleetpulse.llm.common import bucketed, discard, join_hot, mix64, small_batches, stage
 
-MAX_KINDS = 2000
 SHARD_BYTES = 1 << 20
 SEGMENT, CHUNK = 1 << 20, 1 << 20
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -203,9 +205,9 @@ class Repeats:
 
     def with_anchors(self) -> DataFrame:
         """Texts that have repeated anchors, with their places."""
-        found = stage(self.docs.select("rid", "text").mapInArrow(_anchor_rows(self.windows), "anchor bigint, rid bigint, place int"), "anchors", "zstd")
-        twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-        places = found.join(twice, "anchor").groupBy("rid").agg(F.collect_set("place").alias("places"))
+        self.found = stage(self.docs.select("rid", "text").mapInArrow(_anchor_rows(self.windows), "anchor bigint, rid bigint, place int"), "anchors", "zstd")
+        twice = stage(self.found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "twice", "zstd")
+        places = join_hot(self.found, twice, ["anchor"], "n", self.found.count()).groupBy("rid").agg(F.collect_set("place").alias("places"))
         return self.docs.join(places, "rid").select("rid", "doc_id", "text", "places")
 
     def cuts(self, content: Callable, dtype: type, decide: Callable) -> DataFrame:
@@ -216,42 +218,49 @@ class Repeats:
         """
         occurrences = stage(self.with_anchors().mapInArrow(
             _snippet_rows(self.windows), "anchor bigint, snippet bigint, doc_id bigint, rid bigint, place int, first int, count int"), "occurrences", "zstd")
+        discard(self.found)
         first = F.min(F.struct("doc_id", "rid", "place", "first", "count")).alias("f")
         classes = occurrences.groupBy("anchor", "snippet").agg(F.count(F.lit(1)).alias("n"), first)
         classes = stage(classes.select("anchor", "snippet", "n", "f.*"), "classes", "zstd")
-        kinds = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("count") + self.windows.length - 1).alias("size")).filter("kinds > 1")
+        kinds = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), (F.sum(F.col("count") + self.windows.length - 1) * np.dtype(dtype).itemsize).alias("size")).filter("kinds > 1")
         kinds = stage(kinds, "kinds")
-        size = (kinds.agg(F.sum("size")).first()[0] or 0) * np.dtype(dtype).itemsize
-        shards = max(1, -(-size // SHARD_BYTES))
+        fits = F.col("size") <= SHARD_BYTES
+        shards = max(1, -(-(kinds.filter(fits).agg(F.sum("size")).first()[0] or 0) // SHARD_BYTES))
+        n_classes, n_occurrences = classes.count(), occurrences.count()
 
         def contents(of: DataFrame) -> DataFrame:
-            asked = classes.join(of.select("anchor"), "anchor").groupBy("rid").agg(F.collect_list(F.struct("anchor", "snippet", "doc_id", "place", "first", "count")).alias("asked"))
+            wanted = join_hot(classes, of.select("anchor", "kinds"), ["anchor"], "kinds", n_classes)
+            asked = wanted.groupBy("rid").agg(F.collect_list(F.struct("anchor", "snippet", "doc_id", "place", "first", "count")).alias("asked"))
             return self.docs.join(asked, "rid").select("rid", "doc_id", "text", "asked").mapInPandas(
                 _contents(self.windows, content), "anchor bigint, snippet bigint, doc_id bigint, rid bigint, place int, lead int, count int, content binary")
 
         def once(rows: pd.DataFrame) -> pd.DataFrame:
             return decide(rows.drop_duplicates(["anchor", "snippet"]))  # repeated rows of the table gave a content twice
 
-        usual = contents(kinds.filter(F.col("kinds") <= MAX_KINDS)).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-        decided = usual.groupBy("shard").applyInPandas(once, "anchor bigint, snippet bigint, windows array<int>")
+        usual = contents(kinds.filter(fits)).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+        verdicts = stage(usual.groupBy("shard").applyInPandas(once, "anchor bigint, snippet bigint, windows array<int>"), "decided", "zstd")
+        if not kinds.filter(~fits).isEmpty():
+            verdicts = verdicts.unionByName(self._by_window(contents(kinds.filter(~fits)).dropDuplicates(["anchor", "snippet"]), dtype))
 
-        hot = contents(kinds.filter(F.col("kinds") > MAX_KINDS)).dropDuplicates(["anchor", "snippet"])
-        each = hot.mapInPandas(_window_rows(self.windows, dtype), "anchor bigint, snippet bigint, doc_id bigint, rid bigint, place int, h1 bigint, h2 bigint, window int")
-        each = stage(each, "windows", "zstd")
-        groups = each.groupBy("anchor", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "rid", "place")).alias("f"))
-        repeated = each.join(groups.filter("n > 1"), ["anchor", "h1", "h2"])
-        if self.earlier:
-            repeated = repeated.filter((F.col("rid") != F.col("f.rid")) | (F.col("place") != F.col("f.place")))
-        by_window = repeated.groupBy("anchor", "snippet").agg(F.collect_list("window").alias("windows"))
-
-        verdicts = decided.unionByName(by_window).filter(F.size("windows") > 0)
-        fate = classes.select("anchor", "snippet", "n", F.col("doc_id").alias("f_id"), F.col("rid").alias("f_rid"), F.col("place").alias("f_place")).join(verdicts, ["anchor", "snippet"], "left")
-        fate = fate.filter((F.col("n") > 1) | F.col("windows").isNotNull())
+        fate = classes.select("anchor", "snippet", "n", F.col("doc_id").alias("f_id"), F.col("rid").alias("f_rid"), F.col("place").alias("f_place"))
+        fate = fate.join(verdicts.filter(F.size("windows") > 0), ["anchor", "snippet"], "left").filter((F.col("n") > 1) | F.col("windows").isNotNull())
+        fate = stage(fate, "fate", "zstd")
         is_first = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("rid") == F.col("f_rid")) & (F.col("place") == F.col("f_place"))
         whole = (F.col("n") > 1) & (~is_first if self.earlier else F.lit(True))
-        out = occurrences.join(fate, ["anchor", "snippet"])
+        out = join_hot(occurrences, fate, ["anchor", "snippet"], "n", n_occurrences)
         out = out.filter(whole | F.col("windows").isNotNull()).select("rid", F.struct("doc_id", "first", "count", F.when(~whole, F.col("windows")).alias("windows")).alias("c"))
-        return stage(out.groupBy("rid").agg(F.collect_list("c").alias("cuts")), "cuts", "zstd")
+        out = stage(out.groupBy("rid").agg(F.collect_list("c").alias("cuts")), "cuts", "zstd")
+        discard(occurrences, classes, kinds, fate)
+        return out
+
+    def _by_window(self, rows: DataFrame, dtype: type) -> DataFrame:
+        """Repeated windows of the classes of anchors too large for a task: a group is all equal windows of an anchor."""
+        each = stage(rows.mapInPandas(_window_rows(self.windows, dtype), "anchor bigint, snippet bigint, doc_id bigint, rid bigint, place int, h1 bigint, h2 bigint, window int"), "windows", "zstd")
+        groups = each.groupBy("anchor", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "rid", "place")).alias("f"))
+        repeated = join_hot(each, stage(groups.filter("n > 1"), "groups", "zstd"), ["anchor", "h1", "h2"], "n", each.count())
+        if self.earlier:
+            repeated = repeated.filter((F.col("rid") != F.col("f.rid")) | (F.col("place") != F.col("f.place")))
+        return repeated.groupBy("anchor", "snippet").agg(F.collect_list("window").alias("windows"))
 
     def finished(self, cuts: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(doc_id, text, cuts) of texts with cuts, (doc_id, text) of all others."""

@@ -1,10 +1,13 @@
 """Substring dedup over windows of 20 words by suffix automata.
 
 Repeated passages are found by anchors (see ``repeats``): every window with an equal one elsewhere lies in a snippet
-whose anchor occurs twice.  The classes of snippets of a shard of anchors are its reference: in the order of their first
-occurrence each one is streamed through the shard's suffix automaton, whose matching statistics give, word by word, the
-longest match with anything earlier; windows that end in a match of 20 words or more are repeated.  Then the snippet is
-added to the automaton.  Maximal spans of such windows are removed from the texts.
+whose anchor occurs twice.  The distinct snippets of a shard of anchors are its reference: in the order of their first
+occurrence each one is streamed through the shard's one suffix automaton, whose matching statistics give, word by word,
+the longest match with anything earlier; windows that end in a match of 20 words or more are repeated.  Insertion finds
+those statistics and adds the snippet at once.  Maximal spans of such windows are removed from the texts.
+
+The reference is the corpus itself, so all shards together grow with it and can't be broadcast to every task; a shard's
+automaton stays in one task, and the snippets of documents that can match it are sent there.
 
 Edge cases: null and empty texts have no words; texts of fewer than 20 words lose nothing; equal texts all go but the
 one with the least id (a null id is least; rows that repeat id and text count as one text); overlapping repeats inside one
@@ -34,16 +37,18 @@ class SuffixAutomaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
 
-    def add(self, sequence: list[int]) -> None:
+    def add(self, sequence: list[int]) -> list[int]:
+        """Append a sequence.  For each of its symbols, the length of the longest match that ends there with anything
+        added before (or with an earlier place of the sequence itself): its matching statistics, which insertion finds."""
         nxt, link, length = self.next, self.link, self.length
-        last = 0
+        last, out = 0, []
         for c in sequence:
             q = nxt[last].get(c)
-            if q is not None and length[q] == length[last] + 1:
-                last = q
-                continue
             if q is not None:
-                last = self._split(last, c, q)
+                if length[q] != length[last] + 1:
+                    q = self._split(last, c, q)
+                last = q
+                out.append(length[q])
                 continue
             new = len(nxt)
             nxt.append({})
@@ -56,7 +61,9 @@ class SuffixAutomaton:
             if p >= 0:
                 q = nxt[p][c]
                 link[new] = q if length[q] == length[p] + 1 else self._split(p, c, q)
+            out.append(length[link[new]])
             last = new
+        return out
 
     def _split(self, p: int, c: int, q: int) -> int:
         copy = len(self.next)
@@ -85,8 +92,9 @@ class SuffixAutomaton:
         return out
 
 
-def _with_shared_windows(rows: pd.DataFrame) -> pd.DataFrame:
-    """Classes with a window whose fingerprint occurs twice in the shard; the others have nothing to match."""
+def _candidates(rows: pd.DataFrame) -> pd.DataFrame:
+    """Classes with a window whose fingerprint occurs twice in the shard; the others have nothing to match.  Equal
+    fingerprints decide nothing: the automaton does."""
     contents = [np.frombuffer(c, np.uint64) for c in rows["content"]]
     size = np.array([len(c) for c in contents])
     flat = np.concatenate(contents)
@@ -94,26 +102,30 @@ def _with_shared_windows(rows: pd.DataFrame) -> pd.DataFrame:
     count = rows["count"].to_numpy()
     at = np.repeat(starts, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     with np.errstate(over="ignore"):
-        _, which, times = np.unique(gram_hashes(flat, WORDS)[at], return_inverse=True, return_counts=True)
+        prints = gram_hashes(flat, WORDS)[at]
+    order = np.argsort(prints)
+    same = prints[order][1:] == prints[order][:-1]
+    twice = np.zeros(len(prints), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
     shared = np.zeros(len(rows), bool)
-    shared[np.repeat(np.arange(len(rows)), count)[times[which] > 1]] = True
+    shared[np.repeat(np.arange(len(rows)), count)[twice]] = True
     return rows[shared]
 
 
 def _decide(rows: pd.DataFrame) -> pd.DataFrame:
-    """One shard: windows of each class that an earlier class has as well."""
-    out = []
-    rows = _with_shared_windows(rows)
-    rows = rows.assign(order=rows["doc_id"].isna().map({True: 0, False: 1}), doc_id=rows["doc_id"].astype("Int64").fillna(0))
-    for anchor, group in rows.groupby("anchor", sort=False):  # equal windows have equal anchors
-        seen = SuffixAutomaton()
-        for r in group.sort_values(["order", "doc_id", "rid", "place"]).itertuples(index=False):
-            words = np.frombuffer(r.content, np.uint64).tolist()
-            ends = seen.matching_statistics(words)
-            windows = [i for i in range(r.count) if ends[i + WORDS - 1] >= WORDS]
-            if windows:
-                out.append((anchor, r.snippet, windows))
-            seen.add(words)
+    """One shard: in the order of first occurrence, each class is streamed through the automaton of all earlier ones."""
+    rows = _candidates(rows)
+    none = rows["doc_id"].isna()
+    rows = rows.assign(order=(~none).astype(int), doc_id=rows["doc_id"].astype("Int64").fillna(0)).sort_values(["order", "doc_id", "rid", "place"])
+    contents = [np.frombuffer(c, np.uint64) for c in rows["content"]]
+    codes = np.unique(np.concatenate([np.zeros(0, np.uint64), *contents]), return_inverse=True)[1].tolist()
+    reference, out, at = SuffixAutomaton(), [], 0
+    for anchor, snippet, count, c in zip(rows["anchor"], rows["snippet"], rows["count"], contents):
+        matched = reference.add(codes[at:at + len(c)])
+        at += len(c)
+        windows = [i for i in range(count) if matched[i + WORDS - 1] >= WORDS]
+        if windows:
+            out.append((anchor, snippet, windows))
     return pd.DataFrame(out, columns=["anchor", "snippet", "windows"])
 
 

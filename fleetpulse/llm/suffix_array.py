@@ -4,8 +4,8 @@ Repeated passages are found by anchors (see ``repeats``).  The contents of a sha
 string, whose suffix array is built by induced sorting: positions are classified as smaller or larger than the next,
 leftmost-smaller substrings are sorted by a first induction, named, and sorted recursively where names repeat; a second
 induction places all other suffixes.  Induction runs bucket by bucket over arrays, so it costs a few array operations
-for each round of a bucket.  Permuted common prefixes with the neighbour in suffix order, compared in text order eight
-bytes at a time up to the window's length, tell which windows occur twice.
+for each round of a bucket.  Permuted common prefixes with the neighbour in suffix order, most of which follow from the
+position before, tell which windows occur twice.
 
 Edge cases: null and empty texts have no bytes; texts under 200 bytes lose nothing; all copies of a repeated passage go,
 the first one too; overlapping repeats inside one text are found; repeated rows are repeats of each other; null ids are
@@ -24,72 +24,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import mix64
-from fleetpulse.llm.repeats import Repeats, Windows, covered, range_hash, runs_of
+from fleetpulse.llm.repeats import Repeats, Windows, covered, runs_of
 
 BYTES, GRAM = 200, 32
-#: Up to this many distinct names the shorter string is sorted by the same method, beyond it by doubling ranks.
-MAX_NAMES = 2048
-
-
-def _split(order_by: np.ndarray, at: np.ndarray, into: list[list[np.ndarray]]) -> None:
-    """Append ``at`` to the lists of its symbols, in order."""
-    if not len(at):
-        return
-    by = np.argsort(order_by, kind="stable")
-    keys, at = order_by[by], at[by]
-    cut = np.flatnonzero(np.diff(keys)) + 1
-    for k, part in zip(keys[np.concatenate(([0], cut))].tolist(), np.split(at, cut)):
-        into[k].append(part)
+#: Symbols of larger alphabets are written as two digits, so that induction walks few buckets.
+MAX_SIGMA = 1024
 
 
 def _induce(t: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, sigma: int) -> np.ndarray:
     """All suffixes in order, given the leftmost-smaller ones (in any order: then their substrings are in order)."""
-    none = np.zeros(0, np.int32)
-    start: list[list[np.ndarray]] = [[] for _ in range(sigma)]
-    _split(t[seeds], seeds, start)
-    larger: list[list[np.ndarray]] = [[] for _ in range(sigma)]
+    size = np.bincount(t, minlength=sigma)
+    end = np.cumsum(size)
+    head, tail = end - size, end.copy()
+    out = np.empty(len(t), np.int32)
 
-    def before(entries: np.ndarray, kind: bool) -> np.ndarray:
+    def put(entries: np.ndarray, kind: bool, at: np.ndarray, step: int) -> None:
+        """The suffixes one symbol longer than ``entries``, of one kind, into their buckets from ``at`` on."""
         p = entries[entries > 0] - 1
-        return p[smaller[p] == kind]
-
-    for c in range(sigma):
-        done = 0
-        while done < len(larger[c]):
-            part = larger[c][done]
-            done += 1
-            p = before(part, False)
-            _split(t[p], p, larger)
-        p = before(np.concatenate([none, *start[c]]), False)
-        _split(t[p], p, larger)
-    less: list[list[np.ndarray]] = [[] for _ in range(sigma)]  # each from its right end
-    less[0] = [np.array([len(t) - 1], np.int32)]
-    for c in range(sigma - 1, -1, -1):
-        done = 0
-        while done < len(less[c]):
-            part = less[c][done]
-            done += 1
-            p = before(part, True)
-            _split(t[p], p, less)
-        p = before(np.concatenate([none, *larger[c]])[::-1], True)
-        _split(t[p], p, less)
-    return np.concatenate([x for c in range(sigma) for x in (*larger[c], np.concatenate([none, *less[c]])[::-1])])
-
-
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """Suffix order of a string of numbers, by doubling the length whose order is known."""
-    n, rank, k = len(names), names.astype(np.int64), 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[:-k or None] = rank[k:] + 1 if k < n else 0
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1 or k >= n:
-            return order
-        k *= 2
+        p = p[smaller[p] == kind]
+        if not len(p):
+            return
+        s = t[p]
+        by = np.argsort(s, kind="stable")
+        s, count = s[by], np.bincount(s, minlength=sigma)
+        rank = np.arange(len(s)) - (np.cumsum(count) - count)[s]
+        out[at[s] + (rank if step > 0 else -1 - rank)] = p[by]
+        at += step * count
+
+    by = np.argsort(t[seeds], kind="stable")
+    seeds, ends = seeds[by], np.cumsum(np.bincount(t[seeds], minlength=sigma))
+    for c in np.flatnonzero(size).tolist():
+        done = int(end[c] - size[c])
+        while done < head[c]:
+            part, done = out[done:head[c]], int(head[c])
+            put(part, False, head, 1)
+        put(seeds[ends[c - 1] if c else 0:ends[c]], False, head, 1)
+    out[0], tail[0] = len(t) - 1, 0
+    for c in np.flatnonzero(size)[::-1].tolist():
+        done = int(end[c])
+        while done > tail[c]:
+            part, done = out[tail[c]:done][::-1], int(tail[c])
+            put(part, True, tail, -1)
+        put(out[end[c] - size[c]:head[c]][::-1], True, tail, -1)
+    return out
+
+
+def _classify(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which suffixes are smaller than the next one, and the leftmost ones of their runs."""
+    n = len(t)
+    step = np.sign(t[:-1].astype(np.int32) - t[1:])
+    differs = np.append(np.where(step != 0, np.arange(n - 1), n - 1), n - 1)
+    differs = np.minimum.accumulate(differs[::-1])[::-1]
+    smaller = np.append(step < 0, True)[differs]
+    return smaller, (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
+
+
+def _same_substrings(t: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the substrings of ``length`` at a and at b are equal, symbol by symbol."""
+    starts = np.cumsum(length) - length
+    step = np.arange(length.sum()) - np.repeat(starts, length)
+    return np.logical_and.reduceat(t[np.repeat(a, length) + step] == t[np.repeat(b, length) + step], starts) if len(a) else np.zeros(0, bool)
 
 
 def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
@@ -97,77 +91,71 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     n = len(t)
     if n < 3:
         return np.arange(n, dtype=np.int32)[::-1]
-    step = np.sign(t[:-1].astype(np.int64) - t[1:])
-    differs = np.append(np.where(step != 0, np.arange(n - 1), n - 1), n - 1)
-    differs = np.minimum.accumulate(differs[::-1])[::-1]
-    smaller = np.append(step < 0, True)[differs]
-    leftmost = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
-    if not len(leftmost):
-        return np.argsort(t, kind="stable").astype(np.int32)
+    if sigma > MAX_SIGMA:  # two digits for each symbol keep the buckets few, if the next level's string is shorter then
+        base = int(np.ceil(np.sqrt(sigma)))
+        digits = np.zeros(2 * n + 1, np.int32)
+        digits[:-1:2], digits[1::2] = t // base + 1, t % base + 1
+        if len(_classify(digits)[1]) < 0.9 * n:
+            order = suffix_array(digits, base + 1)
+            return (order[(order % 2 == 0) & (order < 2 * n)] // 2).astype(np.int32)
+    t = t.astype(np.uint16 if sigma < 1 << 16 else np.int32)
+    smaller, leftmost = _classify(t)
     is_leftmost = np.zeros(n, bool)
     is_leftmost[leftmost] = True
     order = _induce(t, smaller, leftmost, sigma)
     order = order[is_leftmost[order]]
     # a leftmost-smaller substring runs to the next one; equal ones get equal names
-    number = np.zeros(n, np.int64)
-    number[leftmost] = np.arange(len(leftmost))
-    end = np.append(leftmost[1:], n - 1) + 1
-    with np.errstate(over="ignore"):
-        h = range_hash(t.astype(np.uint64), leftmost, end)
-    at = number[order]
-    same = (h[at][1:] == h[at][:-1]) & ((end - leftmost)[at][1:] == (end - leftmost)[at][:-1])
-    names = np.empty(len(leftmost), np.int64)
-    names[at] = np.concatenate(([0], np.cumsum(~same)))
-    if names.max() + 1 == len(leftmost):
+    length = np.zeros(n, np.int64)
+    length[leftmost] = np.append(leftmost[1:], n - 1) + 1 - leftmost
+    same = length[order[1:]] == length[order[:-1]]
+    same[same] = _same_substrings(t, order[:-1][same], order[1:][same], length[order[1:]][same])
+    if not same.any():
         return _induce(t, smaller, order, sigma)
-    if names.max() < MAX_NAMES:
-        inner = suffix_array(names, int(names.max()) + 1)
-    else:
-        inner = _by_doubling(names)
-    return _induce(t, smaller, leftmost[inner], sigma)
+    name = np.zeros(n, np.int32)
+    name[order] = np.concatenate(([0], np.cumsum(~same)))
+    names = name[leftmost]
+    return _induce(t, smaller, leftmost[suffix_array(names, int(names.max()) + 1)], sigma)
 
 
 def permuted_prefixes(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """For each position, the common prefix with the suffix before it in order, up to ``most`` symbols (below 2 ** 8)."""
+    """For each position, the common prefix with the suffix before it in order, up to ``most`` symbols.
+
+    Where the symbols before both suffixes are equal too, the prefix is one shorter than that of the position before;
+    only the others are compared, four symbols at a time.
+    """
     n = len(t)
     phi = np.full(n, -1, np.int64)
     phi[order[1:]] = order[:-1]
-    padded = np.concatenate((t.astype(np.uint64), np.zeros(most + 16, np.uint64)))
-    eight = padded
-    for k in (1, 2, 4):
-        eight = (eight[:-k] << np.uint64(8 * k)) | eight[k:]
+    own = np.arange(n)
+    follows = (phi > 0) & (own > 0)
+    follows[follows] = t[own[follows] - 1] == t[phi[follows] - 1]
+    padded = np.concatenate((t.astype(np.uint64), np.zeros(8, np.uint64)))
+    four = padded[:-3] << np.uint64(48) | padded[1:-2] << np.uint64(32) | padded[2:-1] << np.uint64(16) | padded[3:]
     out = np.zeros(n, np.int64)
-    open_ = np.flatnonzero(phi >= 0)
-    while len(open_):
-        a, b = open_ + out[open_], phi[open_] + out[open_]
-        equal = (eight[a] == eight[b]) & (np.maximum(a, b) < n)
-        part = np.flatnonzero(~equal)
-        a, b = a[part], b[part]
-        run = np.zeros(len(part), np.int64)
-        on = np.ones(len(part), bool)
-        for k in range(8):
-            on &= (padded[a + k] == padded[b + k]) & (np.maximum(a, b) + k < n)
-            run += on
-        out[open_[part]] += run
-        open_ = open_[equal]
-        out[open_] += 8
-        open_ = open_[out[open_] < most]
-    return np.minimum(out, most)
+    left = np.flatnonzero(~follows & (phi >= 0))  # the last symbol is unique, so no two suffixes are equal
+    while len(left):
+        a, b = left + out[left], phi[left] + out[left]
+        equal = four[a] == four[b]
+        for k in range(3):
+            part = ~equal & (padded[a + k] == padded[b + k])
+            if k:
+                part &= on
+            on = part
+            out[left[on]] += 1
+        left = left[equal]
+        out[left] += 4
+    start = np.maximum.accumulate(np.where(follows, 0, own))
+    return np.minimum(out[start] - (own - start), most)
 
 
 def _decide(rows: pd.DataFrame) -> pd.DataFrame:
     """One shard: windows of each class that occur in another class as well."""
     contents = [np.frombuffer(c, np.uint8) for c in rows["content"]]
-    with np.errstate(over="ignore"):
-        # bytes by order of first use among 2 .. 255; where all 256 occur, the shard's bytes are taken in two halves
-        t = np.concatenate([np.append(c.astype(np.int16) + 2, 1) for c in contents] + [np.zeros(1, np.int16)])
+    t = np.concatenate([np.append(c.astype(np.int16) + 2, 1) for c in contents] + [np.zeros(1, np.int16)])
     order = suffix_array(t, 258)
-    used = np.unique(t)
-    dense = np.zeros(258, np.int64)
-    dense[used] = np.arange(len(used))
-    common = _common(t, dense, order, len(used))
-    both = common.copy()
-    both[order[:-1]] |= common[order[1:]]
+    # windows never hold the marks 0 and 1, so a position whose window meets a mark can't be equal to another's
+    both = permuted_prefixes(t, order, BYTES) >= BYTES
+    both[order[:-1]] |= both[order[1:]].copy()
     out, at = [], 0
     for anchor, snippet, count, c in zip(rows["anchor"], rows["snippet"], rows["count"], contents):
         windows = np.flatnonzero(both[at:at + count])
@@ -177,15 +165,6 @@ def _decide(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["anchor", "snippet", "windows"])
 
 
-def _common(t: np.ndarray, dense: np.ndarray, order: np.ndarray, kinds: int) -> np.ndarray:
-    """Whether the window at each position equals the one before it in suffix order; windows never hold the marks 0
-    and 1, so positions whose window meets a mark can't be equal to another's."""
-    if kinds <= 256:
-        return permuted_prefixes(dense[t], order, BYTES) >= BYTES
-    high, low = dense[t] >> 8, dense[t] & 255
-    return (permuted_prefixes(low, order, BYTES) >= BYTES) & (permuted_prefixes(high, order, BYTES) >= BYTES)
-
-
 _MIXED = mix64(np.arange(1, 257, dtype=np.uint64))
 
 

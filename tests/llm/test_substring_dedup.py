@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from fleetpulse.llm import repeats
+from fleetpulse.llm import common, repeats
 from fleetpulse.llm.substring_dedup import SuffixAutomaton, substring_dedup
 
 
@@ -43,12 +43,17 @@ def test_matching_statistics():
             a.add(t)
         subs = {tuple(t[i:j]) for t in texts[:2] for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
         q = texts[2]
+        expect = [max([0] + [n for n in range(1, i + 2) if tuple(q[i + 1 - n:i + 1]) in subs | {tuple(q[x:y]) for y in range(1, i + 1) for x in range(y)}]) for i in range(len(q))]
         assert a.matching_statistics(q) == [max([0] + [n for n in range(1, i + 2) if tuple(q[i + 1 - n:i + 1]) in subs]) for i in range(len(q))]
+        assert a.add(q) == expect
 
 
-@pytest.mark.parametrize("most", [2000, 1])
-def test_matches_brute_force(hard_docs, hard_rows, monkeypatch, most):
-    monkeypatch.setattr(repeats, "MAX_KINDS", most)
+@pytest.mark.parametrize("hot", [2000, 1, 0.1])
+@pytest.mark.parametrize("most", [1 << 20, 500, 1])
+def test_matches_brute_force(hard_docs, hard_rows, monkeypatch, most, hot):
+    """Whatever a task may gather and whichever keys are broadcast, the result is the same."""
+    monkeypatch.setattr(repeats, "SHARD_BYTES", most)
+    monkeypatch.setattr(common, "HOT_KEYS", hot)
     assert result(hard_docs) == brute_force(hard_rows)
 
 

@@ -29,13 +29,13 @@ def result(docs):
     return sorted(got + [(r["doc_id"], r["n_bytes"], 0, 0, r["digest"]) for r in whole.collect()], key=str)
 
 
-@pytest.mark.parametrize("names", [m.MAX_NAMES, 0])
-def test_suffix_arrays_and_prefixes(monkeypatch, names):
-    monkeypatch.setattr(m, "MAX_NAMES", names)
+@pytest.mark.parametrize("sigma_limit", [m.MAX_SIGMA, 12])
+def test_suffix_arrays_and_prefixes(monkeypatch, sigma_limit):
+    monkeypatch.setattr(m, "MAX_SIGMA", sigma_limit)
     rnd = random.Random(2)
     for sigma in (2, 3, 20):
         for n in (0, 1, 2, 5, 40, 200):
-            for _ in range(15):
+            for _ in range(8):
                 t = np.array([1 + rnd.randrange(sigma) for _ in range(n)] + [0], np.int16)
                 order = m.suffix_array(t, sigma + 1)
                 s = t.tolist()
@@ -48,9 +48,9 @@ def test_suffix_arrays_and_prefixes(monkeypatch, names):
                     assert lcp[b] == k
 
 
-@pytest.mark.parametrize("most", [2000, 1])
+@pytest.mark.parametrize("most", [1 << 20, 3000, 1])
 def test_matches_brute_force(hard_docs, hard_rows, monkeypatch, most):
-    monkeypatch.setattr(repeats, "MAX_KINDS", most)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", most)
     assert result(hard_docs) == brute_force(hard_rows)
 
 
