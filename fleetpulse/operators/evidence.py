@@ -27,25 +27,47 @@ def retained_kb(max_pss_kb: Column) -> Column:
     return F.when(max_pss_kb > 0, F.least(full, F.greatest(F.floor(max_pss_kb / 3).cast("bigint"), base))).otherwise(full)
 
 
-#: Weights of runtime evidence.
-EVIDENCE_WEIGHT = {"confirmed": 1.0, "mixed": 0.75, "time_only": 0.6}
+#: Weights of the kinds of evidence.
+EVIDENCE_WEIGHT = {"confirmed_path": 1.0, "after_explicit_gc": 0.75, "unconfirmed_heap": 0.6, "time_only": 0.45}
+#: Parts of the names of classes whose retention is a high risk.
+RISKY = ["activity", "fragment", "context", "viewmodel", "service", "dialog", "viewholder", "adapter", "binding", "view"]
+SUSPECT = ["run_set", "class", "holder", "screen", "flow", "step"]
 
 
-def leak_scores(found: DataFrame, max_pss: DataFrame) -> DataFrame:
-    """Size, score and severity of each suspect; evidence by time alone never makes a high severity."""
-    s = found.join(F.broadcast(max_pss), "run_set", "left").withColumn("kind", text.object_kind(F.col("class")))
-    s = s.withColumn("retained_kb", retained_kb(F.coalesce("max_pss_kb", F.lit(0))))
-    evidence = F.when(F.col("confirmed") == 0, "time_only").when(F.col("confirmed") == F.col("count"), "confirmed").otherwise("mixed")
+def leak_scores(found: DataFrame, memory: DataFrame, heap: DataFrame | None = None) -> DataFrame:
+    """Size, score, evidence and severity of each suspect; weak evidence never makes a high severity.
+
+    memory has run_set, max_pss_kb and low_memory (samples).  heap, where there is a dump, has a suspect's best evidence:
+    its key, heap_kb, heap_holder and heap_path (whether a path from a root was found).
+    """
+    s = found.join(F.broadcast(memory), "run_set", "left").withColumn("kind", text.object_kind(F.col("class")))
+    if heap is None:
+        s = s.withColumns({"heap_kb": F.lit(None).cast("bigint"), "heap_holder": F.lit(None).cast("string"), "heap_path": F.lit(None).cast("boolean")})
+    else:
+        s = s.join(heap.select(*SUSPECT, "heap_kb", "heap_holder", "heap_path"), SUSPECT, "left")
+    pss, owner = F.coalesce("max_pss_kb", F.lit(0)), text.known(F.col("heap_holder"), F.col("holder"))
+    estimate, path = retained_kb(pss), F.coalesce("heap_path", F.lit(False))
+    evidence = (F.when(path, "confirmed_path").when(F.col("confirmed") < F.col("count"), "time_only").when(F.col("confirmed") > 0, "after_explicit_gc")
+                .when(F.col("heap_kb").isNotNull(), "unconfirmed_heap").otherwise("time_only"))
+    s = s.withColumns({"estimate": estimate, "evidence": evidence})
     weight = F.lit(1.0)
     for name, w in EVIDENCE_WEIGHT.items():
         weight = F.when(F.col("evidence") == name, F.lit(w)).otherwise(weight)
-    risky = F.col("kind").isin("activity", "fragment", "context", "viewmodel", "service", "dialog", "viewholder", "adapter", "view")
-    raw = F.col("count") * 2.0 + F.col("max_age_ms") / 10000.0 + F.when(risky, 4.0).otherwise(0.0) + F.when(text.is_app(F.col("class")), 2.0).otherwise(0.0)
-    s = s.withColumn("evidence", evidence).withColumn("score", F.round(raw * weight, 1))
-    high = (F.col("score") >= 16) | (F.col("max_age_ms") >= 60000) | (F.col("count") >= 10) | (F.col("retained_kb") >= 16384)
-    medium = (F.col("score") >= 7) | (F.col("max_age_ms") >= 15000) | (F.col("count") >= 2) | (F.col("retained_kb") >= 4096)
-    severity = F.when(high & (F.col("evidence") != "time_only"), "high").when(high | medium, "medium").otherwise("ok")
-    return s.withColumn("severity", severity).drop("max_pss_kb")
+    yes = lambda c, n: F.when(c, F.lit(float(n))).otherwise(0.0)
+    low, age = F.lower("class"), F.col("max_age_ms")
+    risky = F.lit(False)
+    for part in RISKY:
+        risky = risky | low.contains(part)
+    raw = (F.col("count") * 2.0 + age / 10000.0 + F.when(age >= 60000, 8.0).when(age >= 30000, 4.0).otherwise(0.0) + yes(text.is_app(F.col("class")) | text.is_app(owner), 4) + yes(text.is_system(F.col("class")), 3)
+           + yes(risky, 5) + yes(F.coalesce("low_memory", F.lit(0)) > 0, 2) + yes(pss >= 512 * 1024, 2) + F.when(F.col("estimate") >= 16384, 5.0).when(F.col("estimate") >= 4096, 2.0).otherwise(0.0))
+    s = s.withColumn("retained_kb", F.when(F.col("heap_kb") > 0, F.col("heap_kb")).otherwise(F.col("estimate")))
+    bonus = F.when(path, 6.0 + F.when(F.col("retained_kb") >= 16384, 4.0).when(F.col("retained_kb") >= 4096, 2.0).otherwise(0.0)).otherwise(0.0)
+    s = s.withColumn("raw_score", raw * weight + bonus)
+    high = (F.col("raw_score") >= 16) | (age >= 60000) | (F.col("count") >= 10) | (F.col("retained_kb") >= 16384)
+    medium = (F.col("raw_score") >= 7) | (age >= 15000) | (F.col("count") >= 2) | (F.col("retained_kb") >= 4096)
+    weak = F.col("evidence").isin("time_only", "unconfirmed_heap")
+    severity = F.when(high & ~weak, "high").when(high | medium, "medium").otherwise("ok")
+    return s.withColumns({"score": F.round("raw_score", 1), "severity": severity}).drop("max_pss_kb", "low_memory", "estimate", "raw_score", "heap_kb", "heap_holder", "heap_path")
 
 
 def leak_fingerprint() -> Column:
@@ -54,22 +76,35 @@ def leak_fingerprint() -> Column:
 
 
 def leak_compare(scored: DataFrame) -> DataFrame:
-    """New, resolved, worse, better or same by fingerprint."""
+    """New, resolved, worse, better or same by fingerprint, with the severity of the change."""
     rows = scored.withColumn("fingerprint", leak_fingerprint())
     side = lambda s, v, a: F.max(F.when(F.col("run_set") == s, F.col(v))).alias(a)
     values = ["score", "count", "max_age_ms", "retained_kb"]
-    j = rows.groupBy("fingerprint").agg(*[side("baseline", v, f"b_{v}") for v in values], *[side("candidate", v, f"c_{v}") for v in values])
+    j = rows.groupBy("fingerprint").agg(F.min("class").alias("class"), *[side("baseline", v, f"b_{v}") for v in [*values, "evidence"]],
+                                        *[side("candidate", v, f"c_{v}") for v in [*values, "evidence", "severity"]])
     d = {v: F.col(f"c_{v}") - F.col(f"b_{v}") for v in values}
-    worse = (d["score"] >= 3) | (d["count"] >= 5) | (d["max_age_ms"] >= 30000) | (d["retained_kb"] >= 8192)
-    status = (F.when(F.col("b_score").isNull(), "new").when(F.col("c_score").isNull(), "resolved").when(worse, "worse").when(d["score"] <= -3, "better").otherwise("same"))
-    return j.withColumn("status", status).fillna(0, [f"{p}_{v}" for p in "bc" for v in values])
+    no_b, no_c = F.col("b_score").isNull(), F.col("c_score").isNull()
+    much = (d["score"] >= 8) | (d["count"] >= 5) | (d["max_age_ms"] >= 30000) | (d["retained_kb"] >= 8192)
+    more = (d["score"] >= 3) | (d["count"] > 0) | (d["max_age_ms"] > 0) | (d["retained_kb"] > 0)
+    less = (d["score"] <= -3) | (d["count"] < 0) | (d["max_age_ms"] < 0) | (d["retained_kb"] < 0)
+    status = F.when(no_b, "new").when(no_c, "resolved").when(much | more, "worse").when(less, "better").otherwise("same")
+    at_least = F.when(F.col("c_severity") == "high", "high").otherwise("medium")
+    effect = F.when(no_b, at_least).when(no_c, "ok").when(much, "high").when(more, at_least).when(less, "ok").otherwise(F.col("c_severity"))
+    weak = F.coalesce(F.col("c_evidence").isin("time_only", "unconfirmed_heap"), F.lit(False))
+    out = j.withColumns({"status": status, "severity": F.when((effect == "high") & weak, "medium").otherwise(effect), "has_baseline": ~no_b, "has_candidate": ~no_c})
+    return out.fillna(0, [f"{p}_{v}" for p in "bc" for v in values]).drop("c_severity")
 
 
 def leak_statistics(scored: DataFrame) -> DataFrame:
     """L09."""
+    n = lambda c: F.count_if(c)
+    user = text.is_app(F.col("class")) | text.is_app(F.col("holder"))
     return scored.groupBy("run_set").agg(
-        F.count(F.lit(1)).alias("suspects"), F.count_if(F.col("severity") == "high").alias("high"), F.count_if(F.col("severity") == "medium").alias("medium"),
-        F.count_if(F.col("evidence") == "confirmed").alias("confirmed"), F.count_distinct("class").alias("classes"), F.count_distinct("holder").alias("holders"),
+        F.count(F.lit(1)).alias("suspects"), n(F.col("severity") == "high").alias("high"), n(F.col("severity") == "medium").alias("medium"),
+        n(F.col("evidence") == "confirmed_path").alias("heap_confirmed"), n(F.col("evidence") != "confirmed_path").alias("runtime_only"),
+        n(F.col("evidence") == "after_explicit_gc").alias("after_explicit_gc"), n(F.col("evidence") == "time_only").alias("time_only"),
+        n(text.is_unknown(F.col("holder"))).alias("unknown_holder"), n(user).alias("user_owned"), n(text.is_system(F.col("class"))).alias("system_retained"),
+        F.count_distinct(F.lower("class")).alias("classes"), F.count_distinct(F.lower("holder")).alias("holders"),
         F.sum("count").alias("objects"), F.sum("retained_kb").alias("retained_kb"), F.max("max_age_ms").alias("max_age_ms"))
 
 

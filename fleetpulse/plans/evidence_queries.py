@@ -15,20 +15,31 @@ from fleetpulse.sources.adapter import CALL_SQL, DEVICE_SQL, RETAINED_SQL, SPAM_
 SUSPECTS = """suspects AS (SELECT run_set, class, CASE WHEN holder = 'unknown' THEN owner ELSE holder END AS holder, screen, flow, step, CAST(sum(n) AS BIGINT) AS count, max(age_ms) AS max_age_ms,
   CAST(sum(CASE WHEN evidence = 'confirmed' THEN n ELSE 0 END) AS BIGINT) AS confirmed FROM retained GROUP BY ALL)"""
 KIND = """CASE WHEN lower(class) LIKE '%activity%' THEN 'activity' WHEN lower(class) LIKE '%fragment%' THEN 'fragment' WHEN lower(class) LIKE '%view%' THEN 'view' WHEN starts_with(lower(class), 'android.') THEN 'system' ELSE 'user' END"""
-SCORED = f"""sized AS (SELECT *, CASE WHEN pss > 0 THEN least(full_kb, greatest(pss // 3, base)) ELSE full_kb END AS retained_kb FROM (
+MEMORY_SQL = "memory AS (SELECT run_set, max(pss_kb) AS max_pss_kb, count(*) FILTER (low_memory) AS low_memory FROM device GROUP BY run_set)"
+#: hs stands for the heap evidence of each suspect; without a dump there is none.
+SCORED = f"""hs AS (SELECT run_set, class, holder, screen, flow, step, NULL::BIGINT AS heap_kb, NULL::VARCHAR AS heap_holder, false AS heap_path FROM suspects),
+  sized AS (SELECT *, CASE WHEN max_pss_kb > 0 THEN least(full_kb, greatest(max_pss_kb // 3, base)) ELSE full_kb END AS estimate FROM (
     SELECT *, base * greatest(count, 1) * CASE WHEN max_age_ms >= 60000 THEN 3 WHEN max_age_ms >= 30000 THEN 2 ELSE 1 END AS full_kb FROM (
       SELECT *, CASE kind WHEN 'activity' THEN 2048 WHEN 'fragment' THEN 1024 WHEN 'view' THEN 768 WHEN 'system' THEN 128 ELSE 256 END::BIGINT AS base,
-        CASE WHEN confirmed = 0 THEN 'time_only' WHEN confirmed = count THEN 'confirmed' ELSE 'mixed' END AS evidence FROM (
-          SELECT s.*, {KIND} AS kind, p.pss FROM suspects s LEFT JOIN (SELECT run_set, max(pss_kb) AS pss FROM device GROUP BY run_set) p USING (run_set))))),
-  scored AS (SELECT run_set, class, holder, screen, flow, step, count, max_age_ms, confirmed, kind, retained_kb, evidence, score, CASE WHEN high AND evidence <> 'time_only' THEN 'high' WHEN high OR medium THEN 'medium' ELSE 'ok' END AS severity FROM (
-    SELECT *, score >= 16 OR max_age_ms >= 60000 OR count >= 10 OR retained_kb >= 16384 AS high, score >= 7 OR max_age_ms >= 15000 OR count >= 2 OR retained_kb >= 4096 AS medium FROM (
-      SELECT *, round((count * 2.0::DOUBLE + max_age_ms / 10000.0::DOUBLE + CASE WHEN kind IN ('activity', 'fragment', 'view') THEN 4 ELSE 0 END + CASE WHEN starts_with(class, 'android.') THEN 0 ELSE 2 END)
-        * CASE evidence WHEN 'confirmed' THEN 1.0::DOUBLE WHEN 'mixed' THEN 0.75::DOUBLE ELSE 0.6::DOUBLE END, 1) AS score FROM sized)))"""
-LEAKS = [RETAINED_SQL, DEVICE_SQL, SUSPECTS, SCORED]
+        CASE WHEN heap_path THEN 'confirmed_path' WHEN confirmed < count THEN 'time_only' WHEN confirmed > 0 THEN 'after_explicit_gc' WHEN heap_kb IS NOT NULL THEN 'unconfirmed_heap' ELSE 'time_only' END AS evidence,
+        starts_with(class, 'android.') AS system, NOT starts_with(class, 'android.') OR contains(coalesce(heap_holder, holder), '.') AS user_owned, regexp_matches(lower(class), 'activity|fragment|view') AS risky FROM (
+          SELECT s.*, {KIND} AS kind, m.max_pss_kb, m.low_memory, h.heap_kb, h.heap_holder, h.heap_path FROM suspects s LEFT JOIN memory m USING (run_set) JOIN hs h USING (run_set, class, holder, screen, flow, step))))),
+  raw_scores AS (SELECT *, (count * 2.0::DOUBLE + max_age_ms / 10000.0::DOUBLE + CASE WHEN max_age_ms >= 60000 THEN 8 WHEN max_age_ms >= 30000 THEN 4 ELSE 0 END + CASE WHEN user_owned THEN 4 ELSE 0 END + CASE WHEN system THEN 3 ELSE 0 END
+      + CASE WHEN risky THEN 5 ELSE 0 END + CASE WHEN low_memory > 0 THEN 2 ELSE 0 END + CASE WHEN max_pss_kb >= 524288 THEN 2 ELSE 0 END + CASE WHEN estimate >= 16384 THEN 5 WHEN estimate >= 4096 THEN 2 ELSE 0 END)
+      * CASE evidence WHEN 'confirmed_path' THEN 1.0::DOUBLE WHEN 'after_explicit_gc' THEN 0.75::DOUBLE WHEN 'unconfirmed_heap' THEN 0.6::DOUBLE ELSE 0.45::DOUBLE END
+      + CASE WHEN heap_path THEN 6 + CASE WHEN retained_kb >= 16384 THEN 4 WHEN retained_kb >= 4096 THEN 2 ELSE 0 END ELSE 0 END AS raw_score FROM (SELECT *, CASE WHEN heap_kb > 0 THEN heap_kb ELSE estimate END AS retained_kb FROM sized)),
+  scored AS (SELECT run_set, class, holder, screen, flow, step, count, max_age_ms, confirmed, kind, retained_kb, evidence, round(raw_score, 1) AS score,
+    CASE WHEN high AND evidence NOT IN ('time_only', 'unconfirmed_heap') THEN 'high' WHEN high OR medium THEN 'medium' ELSE 'ok' END AS severity FROM (
+    SELECT *, raw_score >= 16 OR max_age_ms >= 60000 OR count >= 10 OR retained_kb >= 16384 AS high, raw_score >= 7 OR max_age_ms >= 15000 OR count >= 2 OR retained_kb >= 4096 AS medium FROM raw_scores))"""
+LEAKS = [RETAINED_SQL, DEVICE_SQL, SUSPECTS, MEMORY_SQL, SCORED]
+
+
+def memory(spark, d) -> DataFrame:
+    return src.device(spark, d).groupBy("run_set").agg(F.max("pss_kb").alias("max_pss_kb"), F.count_if("low_memory").alias("low_memory"))
 
 
 def leaks(spark, d) -> DataFrame:
-    return op.leak_scores(op.suspects(src.retained(spark, d)), src.device(spark, d).groupBy("run_set").agg(F.max("pss_kb").alias("max_pss_kb")))
+    return op.leak_scores(op.suspects(src.retained(spark, d)), memory(spark, d))
 
 
 @query("l01_suspects", sql(RETAINED_SQL, SUSPECTS, body="SELECT * FROM suspects"))
@@ -42,20 +53,13 @@ def l03(spark, d):
 
 
 @query("l09_leak_statistics", sql(*LEAKS, body="""
-SELECT run_set, count(*) AS suspects, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (evidence = 'confirmed') AS confirmed, count(DISTINCT class) AS classes,
-  count(DISTINCT holder) AS holders, CAST(sum(count) AS BIGINT) AS objects, CAST(sum(retained_kb) AS BIGINT) AS retained_kb, max(max_age_ms) AS max_age_ms FROM scored GROUP BY run_set"""))
+SELECT run_set, count(*) AS suspects, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (evidence = 'confirmed_path') AS heap_confirmed, count(*) FILTER (evidence <> 'confirmed_path') AS runtime_only,
+  count(*) FILTER (evidence = 'after_explicit_gc') AS after_explicit_gc, count(*) FILTER (evidence = 'time_only') AS time_only, count(*) FILTER (holder = 'unknown') AS unknown_holder, count(*) FILTER (NOT starts_with(class, 'android.') OR contains(holder, '.')) AS user_owned,
+  count(*) FILTER (starts_with(class, 'android.')) AS system_retained, count(DISTINCT class) AS classes, count(DISTINCT holder) AS holders, CAST(sum(count) AS BIGINT) AS objects, CAST(sum(retained_kb) AS BIGINT) AS retained_kb, max(max_age_ms) AS max_age_ms FROM scored GROUP BY run_set"""))
 def l09(spark, d):
     return op.leak_statistics(leaks(spark, d))
 
 
-@query("l10_leak_compare", sql(*LEAKS, body="""
-SELECT fingerprint, """ + ", ".join(f"coalesce({p}_{v}, 0) AS {p}_{v}" for p in "bc" for v in ("score", "count", "max_age_ms", "retained_kb")) + """, CASE WHEN b_score IS NULL THEN 'new' WHEN c_score IS NULL THEN 'resolved' WHEN c_score - b_score >= 3 OR c_count - b_count >= 5 OR c_max_age_ms - b_max_age_ms >= 30000 OR c_retained_kb - b_retained_kb >= 8192 THEN 'worse'
-    WHEN c_score - b_score <= -3 THEN 'better' ELSE 'same' END AS status FROM (
-  SELECT lower(concat_ws('|', class, holder, screen, flow, step)) AS fingerprint, """ + ", ".join(f"max({v}) FILTER (run_set = '{s}') AS {p}_{v}" for p, s in (("b", "baseline"), ("c", "candidate")) for v in ("score", "count", "max_age_ms", "retained_kb")) + " FROM scored GROUP BY 1)"))
-def l10(spark, d):
-    return op.leak_compare(leaks(spark, d))
-
-
 SAT = "CASE WHEN {v} > 0 THEN least(8.0::DOUBLE, 3.0::DOUBLE * ln(1 + {v}) / ln(1 + {p}.0::DOUBLE)) ELSE 0 END"
 SIGNALS = f"""sig AS (
   SELECT run_set, 'com.app.Owner' || regexp_extract(owner, 'Owner([0-9]+)', 1) AS class, 'run' AS method, CASE kind WHEN 'http_problem' THEN 'network' WHEN 'ui_jank' THEN 'ui' WHEN 'main_thread_stall' THEN 'main_thread' WHEN 'retained_object' THEN 'memory' ELSE 'logging' END AS category,

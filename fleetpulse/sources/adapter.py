@@ -153,3 +153,28 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         "*", F.when(ui, 60).alias("frames"), F.when(ui, k % 7).alias("jank"), F.when((F.col("type") == "call") & (k % 4 == 0), F.col("dur")).alias("stall_ms"),
         F.when(mem, 100000 + F.col("dur") * 100).alias("pss_kb"), F.when(mem, F.when(k % 13 == 0, F.lit(0)).otherwise(200000 + F.col("dur") * 50)).alias("ram_kb"),
         F.when(mem, (F.col("ord") * 7) % 100000).alias("rx"), F.when(mem, (F.col("ord") * 3) % 50000).alias("tx"))
+
+
+#: Heap evidence stands behind every fifth click: parties, root and path of each distinct leak.
+HEAP_SQL = """heap_raw AS (
+  SELECT run_set, class, holder, field, root, max(kb) AS kb, CAST(sum(objects) AS BIGINT) AS objects, count(*) - 1 AS alternatives FROM (
+    SELECT run_set, CASE k % 4 WHEN 0 THEN 'com.app.FeedActivity' WHEN 1 THEN 'com.app.PhotoBitmap' WHEN 2 THEN 'com.app.OrdersFragment' ELSE 'com.app.Cached$Item' END AS class,
+           CASE WHEN user_id % 5 = 4 THEN '' ELSE 'com.app.Holder' || (user_id % 5) END AS holder, CASE k % 3 WHEN 0 THEN 'com.app.Screen.mContext' WHEN 1 THEN 'clickListener' ELSE '' END AS field,
+           CASE k % 7 WHEN 0 THEN 'sticky class' WHEN 1 THEN 'JNI global' WHEN 2 THEN 'Java frame' WHEN 3 THEN 'monitor used' WHEN 4 THEN 'reference cleanup' WHEN 5 THEN 'VM internal' ELSE '' END AS root,
+           dur * 9 AS kb, k % 4 AS objects FROM ctx WHERE type = 'call' AND k % 5 = 0) GROUP BY ALL),
+  heap AS (SELECT *, CASE WHEN root = '' THEN [] ELSE [{'class': 'GC root: ' || root, 'field': '', 'kind': 'gc_root'}, {'class': 'androidx.lifecycle.ViewModelStore', 'field': 'map', 'kind': 'field'},
+    {'class': CASE WHEN holder = '' THEN 'java.util.HashMap' ELSE holder END, 'field': 'callback', 'kind': 'static'}, {'class': class, 'field': field, 'kind': 'field'}] END AS path FROM heap_raw)"""
+
+
+def heap_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, u = F.col("k"), F.col("user_id")
+    pick = lambda n, *xs: F.element_at(F.array(*map(F.lit, xs)), (k % n + 1).cast("int"))
+    raw = of_type(spark, sf_dir, "call").filter(k % 5 == 0).select(
+        "run_set", pick(4, "com.app.FeedActivity", "com.app.PhotoBitmap", "com.app.OrdersFragment", "com.app.Cached$Item").alias("class"),
+        F.when(u % 5 == 4, "").otherwise(F.concat(F.lit("com.app.Holder"), (u % 5).cast("string"))).alias("holder"), pick(3, "com.app.Screen.mContext", "clickListener", "").alias("field"),
+        pick(7, "sticky class", "JNI global", "Java frame", "monitor used", "reference cleanup", "VM internal", "").alias("root"), (F.col("dur") * 9).alias("kb"), (k % 4).alias("objects"))
+    raw = raw.groupBy("run_set", "class", "holder", "field", "root").agg(F.max("kb").alias("kb"), F.sum("objects").alias("objects"), (F.count(F.lit(1)) - 1).alias("alternatives"))
+    step = lambda c, f, kind: F.struct(c.alias("class"), f.alias("field"), F.lit(kind).alias("kind"))
+    path = F.array(step(F.concat(F.lit("GC root: "), "root"), F.lit(""), "gc_root"), step(F.lit("androidx.lifecycle.ViewModelStore"), F.lit("map"), "field"),
+                   step(F.when(F.col("holder") == "", "java.util.HashMap").otherwise(F.col("holder")), F.lit("callback"), "static"), step(F.col("class"), F.col("field"), "field"))
+    return raw.withColumn("path", F.when(F.col("root") == "", F.array().cast("array<struct<class:string,field:string,kind:string>>")).otherwise(path))
