@@ -191,6 +191,23 @@ def _window_rows(windows: Windows, dtype: type) -> Callable:
     return rows
 
 
+def candidates(rows: pd.DataFrame, dtype: type, length: int) -> pd.DataFrame:
+    """Classes with a window whose fingerprint occurs twice in the shard; the others have nothing to match.  Equal
+    fingerprints decide nothing: the operator's own method does."""
+    contents = [np.frombuffer(c, dtype) for c in rows["content"]]
+    size, count = np.array([len(c) for c in contents], np.int64), rows["count"].to_numpy()
+    at = np.repeat(np.cumsum(size) - size, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    with np.errstate(over="ignore"):
+        prints = gram_hashes(mix64(np.concatenate([np.zeros(0, dtype), *contents]).astype(np.uint64) + np.uint64(1)), length)[at]
+    order = np.argsort(prints)
+    same = prints[order][1:] == prints[order][:-1]
+    twice = np.zeros(len(prints), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    shared = np.zeros(len(rows), bool)
+    shared[np.repeat(np.arange(len(rows)), count)[twice]] = True
+    return rows[shared]
+
+
 class Repeats:
     """The steps above for one table; ``earlier`` says whether only windows with an earlier equal one count.
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import SPACE_RE, hashed_words, split_words
-from fleetpulse.llm.repeats import Repeats, Windows, covered, gram_hashes, runs_of
+from fleetpulse.llm.repeats import Repeats, Windows, candidates, covered, runs_of
 
 WORDS, GRAM = 20, 6
 
@@ -92,29 +92,9 @@ class SuffixAutomaton:
         return out
 
 
-def _candidates(rows: pd.DataFrame) -> pd.DataFrame:
-    """Classes with a window whose fingerprint occurs twice in the shard; the others have nothing to match.  Equal
-    fingerprints decide nothing: the automaton does."""
-    contents = [np.frombuffer(c, np.uint64) for c in rows["content"]]
-    size = np.array([len(c) for c in contents])
-    flat = np.concatenate(contents)
-    starts = np.cumsum(size) - size
-    count = rows["count"].to_numpy()
-    at = np.repeat(starts, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    with np.errstate(over="ignore"):
-        prints = gram_hashes(flat, WORDS)[at]
-    order = np.argsort(prints)
-    same = prints[order][1:] == prints[order][:-1]
-    twice = np.zeros(len(prints), bool)
-    twice[order[1:][same]] = twice[order[:-1][same]] = True
-    shared = np.zeros(len(rows), bool)
-    shared[np.repeat(np.arange(len(rows)), count)[twice]] = True
-    return rows[shared]
-
-
 def _decide(rows: pd.DataFrame) -> pd.DataFrame:
     """One shard: in the order of first occurrence, each class is streamed through the automaton of all earlier ones."""
-    rows = _candidates(rows)
+    rows = candidates(rows, np.uint64, WORDS)
     none = rows["doc_id"].isna()
     rows = rows.assign(order=(~none).astype(int), doc_id=rows["doc_id"].astype("Int64").fillna(0)).sort_values(["order", "doc_id", "rid", "place"])
     contents = [np.frombuffer(c, np.uint64) for c in rows["content"]]

@@ -1,6 +1,7 @@
 """Suffix-array dedup over windows of 200 bytes, by induced sorting.
 
-Repeated passages are found by anchors (see ``repeats``).  The contents of a shard of anchors are joined into one
+Repeated passages are found by anchors (see ``repeats``).  The contents of a shard of anchors that may share a window
+(equal fingerprints only choose candidates) are joined into one
 string, whose suffix array is built by induced sorting: positions are classified as smaller or larger than the next,
 leftmost-smaller substrings are sorted by a first induction, named, and sorted recursively where names repeat; a second
 induction places all other suffixes.  Induction runs bucket by bucket over arrays, so it costs a few array operations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import mix64
-from fleetpulse.llm.repeats import Repeats, Windows, covered, runs_of
+from fleetpulse.llm.repeats import Repeats, Windows, candidates, covered, runs_of
 
 BYTES, GRAM = 200, 32
 #: Symbols of larger alphabets are written as two digits, so that induction walks few buckets.
@@ -150,6 +151,9 @@ def permuted_prefixes(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray
 
 def _decide(rows: pd.DataFrame) -> pd.DataFrame:
     """One shard: windows of each class that occur in another class as well."""
+    rows = candidates(rows, np.uint8, BYTES)
+    if not len(rows):
+        return pd.DataFrame({"anchor": [], "snippet": [], "windows": []}, dtype=object)
     contents = [np.frombuffer(c, np.uint8) for c in rows["content"]]
     t = np.concatenate([np.append(c.astype(np.int16) + 2, 1) for c in contents] + [np.zeros(1, np.int16)])
     order = suffix_array(t, 258)
