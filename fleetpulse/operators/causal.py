@@ -67,7 +67,7 @@ def _best_edges(e: DataFrame) -> DataFrame:
 
 def _relaxed(e: DataFrame, sources: DataFrame) -> DataFrame:
     """Cheapest path from each source to every node (run_set, source, node, cost, path); the lesser path on ties."""
-    step = _best_edges(e)
+    step = cut(_best_edges(e), "steps")
     best = cut(sources.select("run_set", F.col("node").alias("source"), "node", F.lit(0.0).alias("cost"), F.array("node").alias("path"), F.lit(True).alias("better")), "paths")
     while not best.filter("better").isEmpty():
         front = best.filter("better")

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetpulse.functions.staging import cut
 from fleetpulse.operators.periodic import LAGS, LEAST, POINTS, SIGNIFICANT
 
 #: Least bursts, loops kept, reach of equal periods, least confidence, limits of severity and of a change.
@@ -166,10 +167,10 @@ def gaps(found: DataFrame) -> DataFrame:
 def loops(rows: DataFrame, size: DataFrame) -> DataFrame:
     """N02-N07, N10 of contributions; ``size`` has run_set and its bucket's ms.  One row per signal that is a loop."""
     key = ["run_set", "signal"]
-    p, about = points(rows), described(rows)
-    found = gaps(bursts(p))
+    p, about = cut(points(rows), "points"), cut(described(rows), "signals")
+    found = cut(gaps(bursts(p)), "bursts")
     sums = found.groupBy(*key).agg(F.count(F.lit(1)).alias("bursts"), F.median("gap").alias("gap"), F.sum("value").alias("burst_sum"), F.min("bucket").alias("first"), F.max("bucket").alias("last"))
-    j = sums.filter(F.col("bursts") >= BURSTS).join(periodic(p), key).join(about, key).join(F.broadcast(size), "run_set")
+    j = sums.filter(F.col("bursts") >= BURSTS).join(cut(periodic(p), "periodic"), key).join(about, key).join(F.broadcast(size), "run_set")
     ms = lambda c: F.round(F.col(c)).cast("bigint") * F.col("size")
     j = j.withColumns({"burst_ms": ms("gap"), "lag_ms": F.coalesce(ms("first_lag"), F.lit(0)), "peak_ms": F.coalesce(F.round(F.col("peak") * F.col("size")).cast("bigint"), F.lit(0))})
     lag, peak, own = F.col("lag_ms"), F.col("peak_ms"), F.col("burst_ms")

@@ -68,6 +68,17 @@ def peaks(power: DataFrame, most: int = 3) -> DataFrame:
     return j.select("run_set", "signal", "k", (F.col("n") / F.col("k")).alias("period"), "ratio", "entropy", conf.alias("confidence"))
 
 
+def report(series: DataFrame, lags: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each signal its points, lags, entropy, best peak, status and rank; under LEAST points nothing is told."""
+    key = ["run_set", "signal"]
+    n = series.groupBy(*key).agg(F.count(F.lit(1)).alias("points"))
+    best = found.groupBy(*key).agg(F.max_by(F.struct("period", "confidence"), F.struct("confidence", "ratio")).alias("b"), F.max("entropy").alias("entropy"))
+    j = n.join(lags, key, "left").join(best, key, "left").select(*key, "points", "top_lag", "first_significant", "half_life", "b.period", "b.confidence", "entropy")
+    enough, strong = F.col("points") >= LEAST, (F.coalesce("confidence", F.lit(0.0)) >= 0.6) | F.col("first_significant").isNotNull()
+    rank = F.when(strong, 2).when(F.col("period").isNotNull(), 1).otherwise(0)
+    return j.withColumns({"status": F.when(enough & strong, "ok").otherwise("medium"), "rank": F.when(enough, rank).otherwise(0)})
+
+
 def bursts(series: DataFrame) -> DataFrame:
     """Points over max(1, median + 3 MAD, 2 median) of their series."""
     key = ["run_set", "signal"]

@@ -77,6 +77,45 @@ def with_floor(buckets: DataFrame) -> DataFrame:
     return buckets.join(F.broadcast(floor), "run_set")
 
 
+def with_loops(buckets: DataFrame, loops: DataFrame | None) -> DataFrame:
+    """The largest confidence (0.35 at least) of the loops (run_set, first_ms, last_ms, confidence) around a bucket's
+    start, else 0.  A run set keeps eight loops at most, so they ride along as one small array."""
+    if loops is None:
+        return buckets.withColumn("loop_confidence", F.lit(0.0))
+    few = loops.filter("confidence >= 0.35").groupBy("run_set").agg(F.collect_list(F.struct("first_ms", "last_ms", "confidence")).alias("loops"))
+    at = F.col("bucket") * F.col("size")
+    around = F.filter("loops", lambda x: (x["first_ms"] <= at) & (at <= x["last_ms"]))
+    best = F.array_max(F.transform(around, lambda x: x["confidence"]))
+    return buckets.join(F.broadcast(few), "run_set", "left").withColumn("loop_confidence", F.coalesce(best, F.lit(0.0))).drop("loops")
+
+
+def symptoms(b: DataFrame) -> DataFrame:
+    """The weighted symptoms of each bucket in order of dominance, as an array (rank, state, weight).
+
+    Takes a timeline with pss_floor and loop_confidence; dns_ms and connect_ms (averages) where they are known.
+    """
+    clamp = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.05), c))
+    of = lambda rank, state, when, weight: F.when(when, F.struct(F.lit(rank).alias("rank"), F.lit(state).alias("state"), weight.alias("weight")))
+    at_most = lambda *pairs: F.greatest(*[F.when(w, clamp(v)).otherwise(0.0) for w, v in pairs])
+    grown = (F.col("pss_floor") > 0) & (F.col("pss_kb") >= F.col("pss_floor") + GROWTH_KB)
+    short = (F.col("ram_kb") > 0) & (F.col("ram_kb") < LOW_RAM_KB)
+    memory = at_most((grown, (F.col("pss_kb") - F.col("pss_floor")) / (128.0 * 1024)), (short, (LOW_RAM_KB - F.col("ram_kb")) / float(LOW_RAM_KB)))
+    slow = [(F.col("http_failed") > 0, 0.75 + F.col("http_failed") * 0.1), ((F.col("http") > 0) & (F.col("http_p95_ms") >= 500), (F.col("http_p95_ms") - 300) / 1000.0)]
+    if "dns_ms" in b.columns:
+        slow += [(F.col("dns_ms") >= 100, (F.col("dns_ms") - 50) / 500.0), (F.col("connect_ms") >= 150, (F.col("connect_ms") - 100) / 700.0)]
+    every = F.array(of(0, "network_loop", F.col("loop_confidence") >= 0.35, clamp(F.col("loop_confidence"))), of(1, "stalled", F.col("stalls") > 0, clamp(0.65 + F.col("stalls") * 0.1 + F.col("stall_max_ms") / 3000.0)),
+                    of(2, "memory_pressure", grown | short, memory), of(3, "janky", jank_pct() >= 5, clamp(jank_pct() / 20)), of(4, "network_slow", at_most(*slow) > 0, at_most(*slow)))
+    return b.withColumn("symptoms", F.array_compact(every))
+
+
+def weighted_states(buckets: DataFrame, loops: DataFrame | None = None) -> DataFrame:
+    """K01-K03 with loops and weights: the dominant symptom's state, its weight, and recovering after a bad bucket."""
+    b = symptoms(with_loops(with_floor(buckets), loops)).withColumn("first", F.get("symptoms", F.lit(0)))
+    b = b.withColumns({"raw": F.coalesce("first.state", F.lit("healthy")), "weight": F.coalesce("first.weight", F.lit(0.0))})
+    after_bad = F.coalesce(F.lag(F.col("raw") != "healthy").over(Window.partitionBy("run_set").orderBy("bucket")), F.lit(False))
+    return b.withColumns({"state": F.when((F.col("raw") == "healthy") & after_bad, "recovering").otherwise(F.col("raw")), "bad": F.col("raw") != "healthy"}).drop("first")
+
+
 def states(buckets: DataFrame) -> DataFrame:
     """The dominant symptom of each bucket, and recovering right after a bad bucket."""
     b = with_floor(buckets)
@@ -130,6 +169,60 @@ def divergence(t: DataFrame) -> DataFrame:
     return p.agg(F.round(F.sum(half("p") + half("q")) / 2, 6).alias("divergence"), F.count(F.lit(1)).alias("pairs"))
 
 
+def context_sticky(s: DataFrame, most: int = 5) -> DataFrame:
+    """How often a bad state goes on in the same context (owner, route, screen, network; empty where unknown)."""
+    w = Window.partitionBy("run_set").orderBy("bucket")
+    context = F.concat_ws("|", *[F.when(F.col(c) != "", F.concat(F.lit(f"{c}:"), c)) for c in ("owner", "route", "screen", "network")])
+    rows = s.withColumn("context", context)
+    rows = rows.withColumns({"n_state": F.lead("state").over(w), "n_context": F.lead("context").over(w)}).filter("n_state is not null and bad and context <> ''")
+    same = (F.col("state") == F.col("n_state")) & (F.col("context") == F.col("n_context"))
+    n = rows.groupBy("run_set", "state", "context").agg(F.count_if(same).alias("count"), F.count(F.lit(1)).alias("total")).filter("count > 0")
+    n = n.withColumn("probability", F.round(F.col("count") / F.col("total"), 6))
+    rank = F.row_number().over(Window.partitionBy("run_set").orderBy(F.desc("probability"), F.desc("count"), "state", "context"))
+    return n.withColumn("rank", rank).filter(F.col("rank") <= most).select("run_set", "state", "context", "count", "probability", "rank")
+
+
+def model_summary(s: DataFrame) -> DataFrame:
+    """One row per run set: windows, transitions, recovery, exposure, and how far the model can be trusted."""
+    t = transitions(s)
+    own = s.groupBy("run_set").agg(F.count(F.lit(1)).alias("windows"), F.round(F.avg(F.when(F.col("bad"), 1.0).otherwise(0.0)), 6).alias("exposure"))
+    sticky = F.max(F.when((F.col("from_state") == F.col("to_state")) & ~F.col("from_state").isin("healthy", "recovering"), F.col("probability")))
+    moves = t.groupBy("run_set").agg(F.sum("count").alias("transitions"), F.coalesce(sticky, F.lit(0.0)).alias("stickiest"))
+    j = own.join(moves, "run_set", "left").join(transition_summary(t), "run_set", "left").join(episodes(s).drop("longest"), "run_set", "left")
+    j = j.fillna({"transitions": 0, "stickiest": 0.0, "healthy_to_bad": 0, "recovery_probability": 1.0, "episodes": 0, "recovery_windows": 0.0, "recovery_ms": 0.0})
+    n, bad = F.col("windows"), F.col("episodes")
+    j = j.withColumn("confidence", F.when((n < 4) | (F.col("transitions") < 3), "low").when((bad == 0) & (n >= 10), "high").when((bad == 0) | (n < 10) | (bad < 2), "medium").otherwise("high"))
+    moved = F.col("healthy_to_bad") > 0
+    status = (F.when(n < 2, "medium").when(moved & (F.col("recovery_probability") < 0.35), "high").when(F.col("stickiest") >= 0.70, "high").when(F.col("confidence") == "low", "medium")
+              .when(moved | (F.col("recovery_windows") >= 3), "medium").otherwise("ok"))
+    return j.withColumn("status", status)
+
+
+#: Metric of the model, how its severity is told, whether more is worse.
+MODEL_METRICS = [("healthy_to_bad", "count", True), ("recovery_probability", "share", False), ("recovery_windows", "count", True), ("recovery_ms", "duration", True), ("exposure", "share", True)]
+
+
+def _change_severity(kind: str, change: Column, before: Column) -> Column:
+    pct = F.when(before > 0, change * 100 / before).otherwise(0.0)
+    if kind == "count":
+        return F.when(change >= 3, "high").when(change >= 1, "medium").otherwise("ok")
+    much, some = (25, 10) if kind == "share" else (5000, 1000)
+    return F.when(change <= 0, "ok").when((change >= much) | (pct >= 50), "high").when((change >= some) | (pct >= 20), "medium").otherwise("ok")
+
+
+def model_compare(s: DataFrame) -> DataFrame:
+    """The model's metrics and the stickiness of each state (the three stickiest of a side), with severities; shares in percent."""
+    m, t = model_summary(s), transitions(s)
+    rows = m.select("run_set", F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.lit(k).alias("kind"), F.lit(w).alias("more_is_worse"), (F.col(n) * (100.0 if k == "share" else 1.0)).cast("double").alias("v")) for n, k, w in MODEL_METRICS])))
+    stay = t.filter("from_state = to_state").withColumn("rank", F.row_number().over(Window.partitionBy("run_set").orderBy(F.desc("probability"), F.desc("count"), "from_state"))).filter("rank <= 3")
+    rows = rows.unionByName(stay.select("run_set", F.concat(F.lit("sticky:"), "from_state").alias("metric"), F.lit("share").alias("kind"), F.lit(True).alias("more_is_worse"), (F.col("probability") * 100).alias("v")))
+    j = rows.groupBy("metric", "kind", "more_is_worse").agg(*[F.coalesce(F.max(F.when(F.col("run_set") == side, F.col("v"))), F.lit(0.0)).alias(a) for side, a in (("baseline", "b"), ("candidate", "c"))])
+    delta = F.round(F.col("c") - F.col("b"), 6)
+    worse = F.when(F.col("more_is_worse"), delta).otherwise(-delta)
+    severity = F.when(F.col("kind") == "count", _change_severity("count", worse, F.col("b"))).when(F.col("kind") == "share", _change_severity("share", worse, F.col("b"))).otherwise(_change_severity("duration", worse, F.col("b")))
+    return j.select("metric", F.round("b", 6).alias("baseline"), F.round("c", 6).alias("candidate"), delta.alias("delta"), severity.alias("severity"))
+
+
 #: Medium and high limits of the load scores.
 LIMITS = {"jank_pressure_area": (60, 180), "latency_pain_area": (500, 2000), "network_failure_burn": (5, 20), "memory_pressure_area": (128, 1024), "recovery_debt": (8, 30)}
 
@@ -153,6 +246,43 @@ def integrals(s: DataFrame) -> DataFrame:
     return long.select("run_set", "score", F.round("value", 4).alias("value"), severity.alias("severity"))
 
 
+#: The share of a score's limits at which its growth counts, and its growth in percent (medium, high).
+GROWTH_SHARE, GROWTH_PCT = 0.35, (15, 50)
+
+
+def integral_compare(scores: DataFrame) -> DataFrame:
+    """Growth of each load score, with severity by growth and percent."""
+    j = scores.groupBy("score").agg(*[F.coalesce(F.max(F.when(F.col("run_set") == side, F.col("value"))), F.lit(0.0)).alias(side) for side in ("baseline", "candidate")])
+    delta = F.round(F.col("candidate") - F.col("baseline"), 4)
+    pct = F.when(F.col("baseline") != 0, delta * 100 / F.col("baseline")).otherwise(0.0)
+    severity = F.lit("ok")
+    for name, (medium, high) in LIMITS.items():
+        own = F.when((delta >= high * GROWTH_SHARE) | (pct >= GROWTH_PCT[1]), "high").when((delta >= medium * GROWTH_SHARE) | (pct >= GROWTH_PCT[0]), "medium").otherwise("ok")
+        severity = F.when((F.col("score") == name) & (delta > 0), own).otherwise(severity)
+    return j.select("score", "baseline", "candidate", delta.alias("delta"), F.round(pct, 4).alias("delta_pct"), severity.alias("severity"))
+
+
+def phase_buckets(rows: DataFrame) -> DataFrame:
+    """Calls with a DNS or connection phase and their averages, and the average time to the first byte; phases of 0
+    don't count.  rows: run_set, bucket, dns_ms, connect_ms, ttfb_ms."""
+    some = lambda c: F.when(F.col(c) > 0, F.col(c))
+    mean = lambda c: F.coalesce(int_div(F.sum(some(c)), F.count(some(c))), F.lit(0)).cast("bigint")
+    return rows.groupBy("run_set", "bucket").agg(F.count(some("dns_ms")).alias("dns"), mean("dns_ms").alias("dns_ms"), F.count(some("connect_ms")).alias("connect"), mean("connect_ms").alias("connect_ms"), mean("ttfb_ms").alias("ttfb_ms"))
+
+
+def sufficiency(buckets: DataFrame) -> DataFrame:
+    """Whether a run set has the three buckets that any further analysis needs."""
+    n = buckets.groupBy("run_set").agg(F.count(F.lit(1)).alias("buckets"), F.max("size").alias("size"))
+    return n.withColumn("status", F.when(F.col("buckets") < 3, "medium").otherwise("ok"))
+
+
+def described_changes(points: DataFrame, nearby: DataFrame) -> DataFrame:
+    """Direction, percent and severity of change points, with the route, owner, screen and network of their bucket."""
+    pct = F.when(F.col("before") != 0, F.col("delta") * 100 / F.col("before")).otherwise(0.0)
+    severity = F.when(F.col("delta") <= 0, "ok").when(F.col("score") >= 6, "high").otherwise("medium")
+    return points.join(nearby, ["run_set", "bucket"], "left").withColumns({"direction": F.when(F.col("delta") >= 0, "up").otherwise("down"), "delta_pct": F.round(pct, 4), "severity": severity})
+
+
 #: Signal, least change that counts, noise floor.
 SIGNALS = [("http_p95_ms", 100.0, 50.0), ("jank_pct", 5.0, 2.0), ("pss_kb", 10240.0, 4096.0), ("http_failed", 2.0, 1.0)]
 HALF, KEPT = 3, 5

@@ -178,3 +178,25 @@ def heap_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.array(step(F.concat(F.lit("GC root: "), "root"), F.lit(""), "gc_root"), step(F.lit("androidx.lifecycle.ViewModelStore"), F.lit("map"), "field"),
                    step(F.when(F.col("holder") == "", "java.util.HashMap").otherwise(F.col("holder")), F.lit("callback"), "static"), step(F.col("class"), F.col("field"), "field"))
     return raw.withColumn("path", F.when(F.col("root") == "", F.array().cast("array<struct<class:string,field:string,kind:string>>")).otherwise(path))
+
+
+#: Phases of HTTP calls, as expressions of the row.
+PHASES = "CASE WHEN k % 6 = 0 THEN 10 + dur % 240 ELSE 0 END AS dns_ms, CASE WHEN k % 5 = 0 THEN 20 + dur % 300 ELSE 0 END AS connect_ms, dur // 2 AS ttfb_ms, failed AND k % 3 = 0 AS server_error"
+
+
+def phases(rows: DataFrame) -> DataFrame:
+    k, dur = F.col("k"), F.col("dur")
+    return rows.select("*", F.when(k % 6 == 0, 10 + dur % 240).otherwise(0).alias("dns_ms"), F.when(k % 5 == 0, 20 + dur % 300).otherwise(0).alias("connect_ms"),
+                       F.floor(dur / 2).cast("bigint").alias("ttfb_ms"), (F.col("failed") & (k % 3 == 0)).alias("server_error"))
+
+
+#: Names of network metrics, as an expression of the row.
+NET_NAMES = ["network.route.get_r1.dns.lookup.count", "network.route.post_x.connect.attempt.count", "network.retry_or_reconnect.count", "websocket.chat.reconnect.count",
+             "websocket.get_feed.failure.count", "network.route.get_a.started.count", "network.failed.count.5xx", "app.other", "network.dns_attempts.max"]
+NET_NAME_SQL = "[" + ", ".join(f"'{n}'" for n in NET_NAMES) + f"][k % {len(NET_NAMES)} + 1]"
+
+
+def net_metrics(rows: DataFrame) -> DataFrame:
+    """Clicks as samples of network metrics; every other one is a gauge."""
+    k = F.col("k")
+    return rows.filter("type = 'call'").select("*", F.element_at(F.array(*map(F.lit, NET_NAMES)), (k % len(NET_NAMES) + 1).cast("int")).alias("name"), (k % 2 == 0).alias("gauge"), (k % 4).alias("value"))
