@@ -1,6 +1,6 @@
 """PII by weak supervision, in DataFrame functions only.
 
-Four base patterns (email, ip, card, phone) give spans that always stay.  For the rest, runs of 8 to 64 letters and
+Four base patterns (email, ip, card, phone) give spans that always stay.  For the rest, runs of 8 or more letters and
 digits with at least one digit are candidates for the kind ``secret``.  Labelers vote on each candidate:
 
 * regex: shapes of keys and digests; a gazetteer of key names just before it; context: an assignment or quote before
@@ -35,12 +35,14 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{8,64}+(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{8,}+",
 }
 #: A text without this can't match.
 NEEDS = {"email": "@", "phone": "+"}
 GAZETTEER = r"(?i)(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)[\"']?\s*[=:]?\s*[\"']?$"
 ROUNDS = 50
+#: Characters before a span that the labelers see.
+CONTEXT = 48
 
 
 def _cut(text: Column, kind: str) -> Column:
@@ -55,7 +57,7 @@ def _pieces(cut: Column, kind: str) -> Column:
     made = F.transform(cut, lambda x, i: F.struct(
         F.lit(KINDS.index(kind)).alias("kind"), i.alias("i"), (F.length(x) - F.when(i > 0, 1).otherwise(0)).alias("chars"),
         F.when(i > 0, F.substring_index(x, CLOSE, 1)).alias("match"),
-        F.when(F.lit(kind == "secret"), F.right(F.substring_index(x, CLOSE, -1), F.lit(28))).alias("tail")))
+        F.when(F.lit(kind == "secret"), F.right(F.substring_index(x, CLOSE, -1), F.lit(CONTEXT))).alias("tail")))
     return F.when(F.size(cut) > 1, made).otherwise(none)
 
 
