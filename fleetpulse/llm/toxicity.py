@@ -37,6 +37,8 @@ MAX_TRAIN = 1000
 SPAN, DECAY = 5, 0.7
 LANDMARKS = 160
 WINDOW, STEP = 24, 12
+#: Slopes that the logistic curve is chosen from.
+SLOPES = np.geomspace(0.5, 64.0, 200)
 SENTENCE_RE = re.compile(r"[.!?]+[\x20\x09-\x0D]+|\n+")
 TOKEN_RE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -115,25 +117,20 @@ def _features(tokens: list[str]) -> list[dict[int, float]]:
     return out
 
 
-def _raw_scores(tokens: list[str], weights: np.ndarray, least: float = 0.0) -> np.ndarray:
-    """Sum of weights over each token's unit feature vector; sums that can't exceed ``least`` come out as ``least``."""
-    out = np.full(len(tokens), least)
+def _raw_scores(tokens: list[str], weights: np.ndarray) -> np.ndarray:
+    """Sum of weights over each token's unit feature vector."""
+    out = np.zeros(len(tokens))
     order = np.argsort([len(t) for t in tokens], kind="stable")
-    for lo in range(0, len(tokens), 8192):
-        block = order[lo:lo + 8192]
+    for lo in range(0, len(tokens), 2048):
+        block = order[lo:lo + 2048]
         rows = _matrix([tokens[i] for i in block])
-        total, squares = np.zeros(len(block)), np.zeros(len(block))
+        total = np.zeros(len(block))
         codes, vals = [], []
         for c, w in _subsequences(rows):
             total += w * weights[c].sum(axis=1)
-            squares += w * w * (c > 0).sum(axis=1)
             codes.append(c)
             vals.append(np.full(c.shape[1], w))
-        # without repeats the norm is the root of squares, with repeats it is larger
-        hit = np.flatnonzero(total > least * np.sqrt(squares))
-        if not len(hit):
-            continue
-        flat = np.concatenate([c[hit] for c in codes], axis=1)
+        flat = np.concatenate(codes, axis=1)
         by = np.argsort(flat, axis=1, kind="stable")
         flat = np.take_along_axis(flat, by, axis=1)
         v = np.where(flat > 0, np.concatenate(vals)[by], 0.0)
@@ -141,7 +138,7 @@ def _raw_scores(tokens: list[str], weights: np.ndarray, least: float = 0.0) -> n
         new[:, 1:] = flat[:, 1:] != flat[:, :-1]
         sums = np.add.reduceat(v.ravel(), np.flatnonzero(new.ravel()))
         norm = np.sqrt(np.add.reduceat(sums * sums, np.concatenate(([0], np.cumsum(new.sum(axis=1))[:-1]))))
-        out[block[hit]] = np.maximum(least, total[hit] / np.maximum(norm, 1e-9))
+        out[block] = total / np.maximum(norm, 1e-9)
     return out
 
 
@@ -166,14 +163,9 @@ class ToxicModel:
     def __init__(self, weights: np.ndarray, offset: float, slope: float, shift: float) -> None:
         self.weights, self.offset, self.slope, self.shift = weights, offset, slope, shift
 
-    @property
-    def floor(self) -> float:
-        """Tokens are told apart from here on; what lies lower scores as this."""
-        return min(-0.5, -self.shift / self.slope - 0.6)
-
     def worst(self, tokens: list[str]) -> np.ndarray:
         """The machine's decision for each token."""
-        return _raw_scores(tokens, self.weights, max(0.0, self.floor - self.offset)) + self.offset
+        return _raw_scores(tokens, self.weights) + self.offset
 
     def curve(self, worst: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -30, 30)))
@@ -262,15 +254,17 @@ def fit(toxic: list[str], clean: list[str]) -> ToxicModel:
 
     x = np.concatenate((worst(bad), worst(good)))
     y = np.array([1.0] * len(bad) + [0.0] * len(good))
-    # the cut with the fewest errors, then a steep curve around it
+    # the cut with the fewest errors, then the slope around it that fits best (targets kept off 0 and 1, as Platt does)
     order = np.argsort(x, kind="stable")
     xs, ys = x[order], y[order]
     wrong = np.concatenate(([0], np.cumsum(ys))) + (1 - ys).sum() - np.concatenate(([0], np.cumsum(1 - ys)))
     best = np.flatnonzero(wrong == wrong.min())
     k = int(best[len(best) // 2])
     cut = (xs[max(0, k - 1)] + xs[min(len(xs) - 1, k)]) / 2
-    model.slope = 8.0
-    model.shift = -8.0 * cut
+    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    loss = [np.sum(np.logaddexp(0, z) - target * z) for s in SLOPES for z in [np.clip(s * (x - cut), -30, 30)]]
+    model.slope = float(SLOPES[int(np.argmin(loss))])
+    model.shift = -model.slope * cut
     return model
 
 
