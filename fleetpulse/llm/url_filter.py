@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import stage
+from fleetpulse.llm.common import join_hot, stage
 
 #: Words of at least this share of all words are in the unigram model, hence at most 2 ** 17 of them.
 MIN_WORD = 2.0 ** -17
@@ -101,7 +101,7 @@ def tokenizer(words: DataFrame):
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id") -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, and log_odds of block over allow by the classifier."""
     host, path = host_and_path(F.col("url"))
-    tokens = tokenizer(word_counts(pages, "html"))
+    tokens = tokenizer(stage(word_counts(pages, "html"), "word_counts"))
     parts = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     judged = stage(parts.select("row", "page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"),
@@ -110,16 +110,16 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
     block, allow = F.col("by_rule") == "block", F.col("by_rule") == "allow"
     docs = judged.agg(F.count_if(block), F.count_if(allow)).first()
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    by_token = judged.select("by_rule", F.explode("tokens").alias("token")).groupBy("token").agg(count(block).alias("n_block"), count(allow).alias("n_allow"))
+    by_token = judged.select("by_rule", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), count(block).alias("n_block"), count(allow).alias("n_allow"))
     by_token = stage(by_token, "tokens")
-    sums = by_token.agg(F.coalesce(F.sum("n_block"), F.lit(0)), F.coalesce(F.sum("n_allow"), F.lit(0)), F.count(F.lit(1))).first()
+    sums = by_token.agg(F.coalesce(F.sum("n_block"), F.lit(0)), F.coalesce(F.sum("n_allow"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if docs[0] and docs[1]:
         prior = math.log(docs[0] / docs[1])
         weight = (F.log((F.col("n_block") + 1) / F.lit(float(sums[0] + sums[2]))) - F.log((F.col("n_allow") + 1) / F.lit(float(sums[1] + sums[2]))))
     else:
         prior, weight = -1.0, F.lit(0.0)
-    weights = by_token.select("token", weight.alias("w"))
-    odds = (judged.select("row", F.explode("tokens").alias("token")).join(weights, "token").groupBy("row")
+    weights = by_token.select("token", "n", weight.alias("w"))
+    odds = (join_hot(judged.select("row", F.explode("tokens").alias("token")), weights, ["token"], "n", sums[3]).groupBy("row")
             .agg(F.sum(F.round("w", 9)).alias("odds")))
     log_odds = F.round(F.coalesce("odds", F.lit(0.0)) + F.lit(prior), 6)
     return judged.join(odds, "row", "left").select(
