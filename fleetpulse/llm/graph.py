@@ -13,11 +13,11 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """(node, root) for every node of the edges (a, b); the root is the component's least node.
 
     Each round links every node to the least neighbour known, first for larger neighbours, then for smaller ones; it
-    ends when a round changes nothing.  Self edges and repeated edges are ignored.
+    ends when a round changes nothing; after ``rounds`` without that it fails.  Self edges and repeated edges are ignored.
     """
     now = stage(edges.filter(F.col("a") != F.col("b"))
                 .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
@@ -36,6 +36,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = after
         if was == state:
             break
+    else:
+        raise RuntimeError(f"components didn't settle in {rounds} rounds")
     roots = now.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
     return roots.unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
                              .join(roots.select("node"), "node", "left_anti"))
