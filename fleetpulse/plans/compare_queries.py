@@ -61,16 +61,16 @@ def j15(spark, d):
     return op.flow_compare(flows(spark, d))
 
 
-SUMMARY = f"""summary AS (SELECT * FROM
-  (SELECT run_set, quantile_disc(dur, 0.95) AS http_p95_ms, count(*) FILTER (failed) AS http_failed, count(*) AS n_http FROM ctx WHERE {HTTP} GROUP BY run_set)
-  JOIN (SELECT run_set, sum(jank) * 100.0::DOUBLE / sum(frames) AS ui_jank_pct, sum(frames) * 1000.0::DOUBLE / sum(window_ms) AS ui_avg_fps, sum(frames) AS n_ui FROM ui GROUP BY run_set) USING (run_set)
-  JOIN (SELECT run_set, max(dur) AS stall_max_ms, count(*) AS n_stall FROM stalls GROUP BY run_set) USING (run_set)
-  JOIN (SELECT run_set, max(pss_kb) AS max_pss_kb, min(nullif(ram_kb, 0)) AS min_ram_kb, count(*) AS n_device FROM device GROUP BY run_set) USING (run_set)
-  JOIN (SELECT run_set, sum(CASE WHEN l_rx >= f_rx THEN l_rx - f_rx ELSE l_rx END) AS rx_bytes, sum(CASE WHEN l_tx >= f_tx THEN l_tx - f_tx ELSE l_tx END) AS tx_bytes FROM (
+SUMMARY = f"""summary AS (SELECT * FROM (SELECT run_set, count(*) AS events FROM tel GROUP BY run_set)
+  LEFT JOIN (SELECT run_set, quantile_disc(dur, 0.95) AS http_p95_ms, count(*) FILTER (failed) AS http_failed, count(*) AS n_http FROM ctx WHERE {HTTP} GROUP BY run_set) USING (run_set)
+  LEFT JOIN (SELECT run_set, sum(jank) * 100.0::DOUBLE / sum(frames) AS ui_jank_pct, sum(frames) * 1000.0::DOUBLE / sum(window_ms) AS ui_avg_fps, sum(frames) AS n_ui FROM ui GROUP BY run_set) USING (run_set)
+  LEFT JOIN (SELECT run_set, max(dur) AS stall_max_ms, count(*) AS n_stall FROM stalls GROUP BY run_set) USING (run_set)
+  LEFT JOIN (SELECT run_set, max(pss_kb) AS max_pss_kb, min(nullif(ram_kb, 0)) AS min_ram_kb, count(*) AS n_device FROM device GROUP BY run_set) USING (run_set)
+  LEFT JOIN (SELECT run_set, sum(CASE WHEN l_rx >= f_rx THEN l_rx - f_rx ELSE l_rx END) AS rx_bytes, sum(CASE WHEN l_tx >= f_tx THEN l_tx - f_tx ELSE l_tx END) AS tx_bytes FROM (
     SELECT run_set, source, arg_min(rx, ord) AS f_rx, arg_max(rx, ord) AS l_rx, arg_min(tx, ord) AS f_tx, arg_max(tx, ord) AS l_tx FROM device GROUP BY ALL) GROUP BY run_set) USING (run_set)
-  JOIN (SELECT run_set, sum(n) AS retained FROM retained GROUP BY run_set) USING (run_set)
-  JOIN (SELECT run_set, sum(n) AS log_spam, count(*) AS n_spam FROM spam GROUP BY run_set) USING (run_set)
-  JOIN (SELECT run_set, sum(n) AS problems, count(*) AS n_problems FROM problems GROUP BY run_set) USING (run_set))"""
+  LEFT JOIN (SELECT run_set, sum(n) AS retained FROM retained GROUP BY run_set) USING (run_set)
+  LEFT JOIN (SELECT run_set, sum(n) AS log_spam, count(*) AS n_spam FROM spam GROUP BY run_set) USING (run_set)
+  LEFT JOIN (SELECT run_set, sum(n) AS problems, count(*) AS n_problems FROM problems GROUP BY run_set) USING (run_set))"""
 #: Metric, sample size, and the case for an effect.
 METRIC_ROWS = [("http_p95_ms", "n_http", 1, 0), ("http_failed", "n_http", 1, 0), ("ui_jank_pct", "n_ui", 1, 1), ("ui_avg_fps", "n_ui", -1, 1), ("stall_max_ms", "n_stall", 1, 0), ("max_pss_kb", "n_device", 1, 0),
                ("min_ram_kb", "n_device", -1, 0), ("rx_bytes", "n_device", 1, 0), ("tx_bytes", "n_device", 1, 0), ("retained", "retained", 1, 0), ("log_spam", "n_spam", 1, 0), ("problems", "n_problems", 1, 0)]
@@ -93,19 +93,21 @@ DELTA_VIEWS = [*ALL_PROBLEMS, DEVICE_SQL, SUMMARY, LONG, DELTAS, CONF, ADJUSTED]
 
 
 def summary(spark, d):
-    http = ins.http_totals(src.of_type(spark, d, "http")).withColumns({"n_http_p95_ms": F.col("http_count"), "n_http_failed": F.col("http_count")})
-    ui = src.ui_windows(spark, d).groupBy("run_set").agg((F.sum("jank") * 100.0 / F.sum("frames")).alias("ui_jank_pct"), (F.sum("frames") * 1000.0 / F.sum("window_ms")).alias("ui_avg_fps"),
-                                                         F.sum("frames").alias("n_ui_jank_pct"), F.sum("frames").alias("n_ui_avg_fps"))
-    stall = ins.stall_totals(src.stalls(spark, d)).withColumn("n_stall_max_ms", F.col("stall_count"))
-    dev = src.device(spark, d).groupBy("run_set").agg(F.max("pss_kb").alias("max_pss_kb"), F.min(F.when(F.col("ram_kb") != 0, F.col("ram_kb"))).alias("min_ram_kb"),
-                                                     *[F.count(F.lit(1)).alias(f"n_{m}") for m in ("max_pss_kb", "min_ram_kb", "rx_bytes", "tx_bytes")])
-    kept = src.retained(spark, d).groupBy("run_set").agg(F.sum("n").alias("retained"), F.sum("n").alias("n_retained"))
-    spam = src.log_spam(spark, d).groupBy("run_set").agg(F.sum("n").alias("log_spam"), F.count(F.lit(1)).alias("n_log_spam"))
+    """One row per run set: all signals of one scan by conditional aggregates, with traffic and problems beside them; what
+    a run set lacks is null, never a reason to drop it."""
+    w, k, on = src.wide(spark, d), F.col("k"), lambda t: F.col("type") == t
+    call, n = on("call"), lambda c: F.count_if(c)
+    of = lambda c, v: F.when(c, v)
+    kept, spam, stall = of(call & (k % 3 == 0), 1 + k % 3), of(on("ui") & (k % 2 == 0), 20 + F.col("dur") % 60), F.col("stall_ms")
+    frames = F.sum("frames")
+    one = w.groupBy("run_set").agg(
+        F.count(F.lit(1)).alias("events"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY case when type = 'http' then dur end)").alias("http_p95_ms"), n(on("http") & F.col("failed")).alias("http_failed"),
+        *[n(on("http")).alias(f"n_{m}") for m in ("http_p95_ms", "http_failed")], (F.sum("jank") * 100.0 / frames).alias("ui_jank_pct"), (frames * 1000.0 / (n(on("ui")) * 1000)).alias("ui_avg_fps"),
+        *[frames.alias(f"n_{m}") for m in ("ui_jank_pct", "ui_avg_fps")], F.max(stall).alias("stall_max_ms"), F.count(stall).alias("n_stall_max_ms"),
+        F.max("pss_kb").alias("max_pss_kb"), F.min(of(F.col("ram_kb") != 0, F.col("ram_kb"))).alias("min_ram_kb"), n(on("memory") & (k % 17 == 0)).alias("low_memory"),
+        *[n(on("memory")).alias(f"n_{m}") for m in ("max_pss_kb", "min_ram_kb", "rx_bytes", "tx_bytes")], F.sum(kept).alias("retained"), F.sum(kept).alias("n_retained"), F.sum(spam).alias("log_spam"), F.count(spam).alias("n_log_spam"))
     bad = problems(spark, d).groupBy("run_set").agg(F.sum("n").alias("problems"), F.count(F.lit(1)).alias("n_problems"))
-    out = http
-    for part in (ui, stall, dev, ins.traffic(src.device(spark, d)), kept, spam, bad):
-        out = out.join(part, "run_set")
-    return out
+    return one.join(ins.traffic(src.device(spark, d)), "run_set", "left").join(bad, "run_set", "left")
 
 
 def adjusted(spark, d):

@@ -84,7 +84,7 @@ def h07(spark, d):
     return op.best_per_class(evidence(spark, d)).select("run_set", "class", "holder", "field", "root", "kb", F.col("actionability").cast("bigint").alias("actionability"))
 
 
-BEST = f"""best AS (SELECT * FROM (SELECT s.run_set, s.class, s.holder, s.screen, s.flow, s.step, h.holder AS heap_holder, h.field, h.root, h.kb, h.path, row_number() OVER (PARTITION BY s.run_set, s.class, s.holder, s.screen, s.flow, s.step
+BEST = f"""best AS (SELECT * FROM (SELECT s.run_set, s.class, s.holder, s.screen, s.flow, s.step, h.holder AS heap_holder, h.field, h.root, h.kb, h.path, h.alternatives, row_number() OVER (PARTITION BY s.run_set, s.class, s.holder, s.screen, s.flow, s.step
     ORDER BY CASE WHEN h.holder <> '' AND contains(lower(h.holder), lower(s.holder)) THEN 1000 ELSE 0 END + CASE WHEN h.field <> '' AND contains(lower(h.field), lower(s.holder)) THEN 800 ELSE 0 END + actionability * 100 + floor(least(kb, 524288) / 1024)
       + CASE WHEN len(path) BETWEEN 1 AND 47 THEN 48 - len(path) ELSE 0 END DESC, {ORDER}, h.holder, h.field, h.root) AS rn FROM suspects s JOIN ruled h ON h.run_set = s.run_set AND h.class = s.class) WHERE rn = 1)"""
 
