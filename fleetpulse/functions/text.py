@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,10 +46,15 @@ def known(*candidates: Column) -> Column:
     return F.coalesce(*[F.when(~is_unknown(c), c) for c in candidates], F.lit("unknown"))
 
 
+def named(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value computed once: nested expressions that repeat it would grow with each level."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def normal_class(c: Column) -> Column:
     """Dotted class name of L...; and slashed forms; null for placeholders and names with spaces."""
-    dotted = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(c), "/", "."), "^L", ""), ";$", ""), r"^\.+|\.+$", "")
-    return F.when((dotted != "") & (dotted != "unknown") & ~dotted.contains(" "), dotted)
+    dotted = F.regexp_replace(F.translate(F.trim(c), "/", "."), "^L?[.]*|[.]*;?$", "")
+    return named(dotted, lambda x: F.when((x != "") & (x != "unknown") & ~x.contains(" "), x))
 
 
 def _parent(c: Column) -> Column:
@@ -59,18 +66,17 @@ def class_of_owner(c: Column) -> Column:
     ends in a class name, else the whole if that does."""
     bare = F.regexp_replace(F.trim(c), r"^owner\.", "")
     hashed = F.when(bare.contains("#"), _parent(F.regexp_extract(bare, "^(.+)#[^#]*$", 1)))
-    name = normal_class(bare)
     is_class = lambda x: F.substring_index(x, ".", -1).rlike(r"^[A-Z]|\$")
-    parent = _parent(name)
-    found = F.coalesce(normal_class(hashed), F.when(is_class(parent), parent), F.when(is_class(name), name))
+    told = lambda name: F.coalesce(named(_parent(name), lambda p: F.when(is_class(p), p)), F.when(is_class(name), name))
+    found = F.coalesce(normal_class(hashed), named(normal_class(bare), told))
     return F.when(~F.trim(c).isin("", "unknown"), found)
 
 
 def method_of_owner(c: Column) -> Column:
     """What follows the class in an owner, without a hash."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(c), r"^owner\.", ""), "#[^#]*$", "")
-    own = class_of_owner(c)
-    return F.when(own.isNotNull() & F.startswith(bare, F.concat(own, F.lit("."))), F.substr(bare, F.length(own) + 2)).otherwise(F.lit(""))
+    after = lambda own: F.when(own.isNotNull() & F.startswith(bare, F.concat(own, F.lit("."))), F.substr(bare, F.length(own) + 2)).otherwise(F.lit(""))
+    return named(class_of_owner(c), after)
 
 
 def short_name(c: Column) -> Column:

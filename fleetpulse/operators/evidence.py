@@ -152,7 +152,8 @@ def registry(rows: DataFrame) -> DataFrame:
 
 def class_edges(calls: DataFrame) -> DataFrame:
     """Merged edges between classes; self edges are dropped and a count of 0 is 1."""
-    rows = calls.select("run_set", text.class_of_owner(F.col("caller")).alias("from_class"), text.class_of_owner(F.col("callee")).alias("to_class"), F.greatest("n", F.lit(1)).alias("n"))
+    rows = calls.groupBy("run_set", "caller", "callee").agg(F.sum(F.greatest("n", F.lit(1))).alias("n"))  # names are taken apart once a pair
+    rows = rows.select("run_set", text.class_of_owner(F.col("caller")).alias("from_class"), text.class_of_owner(F.col("callee")).alias("to_class"), "n")
     return rows.filter("from_class <> to_class").groupBy("run_set", "from_class", "to_class").agg(F.sum("n").cast("bigint").alias("count"))
 
 

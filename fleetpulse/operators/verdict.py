@@ -160,6 +160,7 @@ def hot_paths(edges: DataFrame, nodes: DataFrame, hops: int = HOPS, most: int |
     of the calls over the root of the depth, raised by the scores of both ends and by RUNTIME.  Of paths of one depth
     the heavier sum is kept, then the larger path.
     """
+    edges, nodes = cut(edges, "edges"), cut(nodes, "nodes")
     callers = edges.select("run_set", F.col("from_class").alias("class")).distinct()
     w = Window.partitionBy("run_set").orderBy(F.desc("score"), "class")
     top = nodes.filter("score > 0").join(callers, ["run_set", "class"], "left_semi").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= SOURCES)
