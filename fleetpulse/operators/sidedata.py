@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from fleetpulse.functions import text
 
@@ -133,7 +134,7 @@ def injection_report(classes: DataFrame, edges: DataFrame, observed: DataFrame)
     return c.join(e, "framework", "full").fillna(0)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stable_id(names: pd.Series) -> pd.Series:
     """FNV-1a of 64 bits over the UTF-8 bytes, in canonical text."""
     out = np.full(len(names), 0xCBF29CE484222325, np.uint64)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the collectors: metric and log windows, retention delay, frame window in ms, slow HTTP, wrapped work.
@@ -152,3 +152,158 @@ def call_graph(spans: DataFrame) -> DataFrame:
         return e.assign(process_id=pdf["process_id"].iloc[0], thread_id=pdf["thread_id"].iloc[0])[[c.split()[0] for c in EDGE_SCHEMA.split(", ")]]
 
     return by_process(step, spans, ["process_id", "thread_id"], EDGE_SCHEMA)
+
+
+# ---- pairings and deltas by order of arrival ---------------------------------------------------------------------------
+
+
+def stall_episodes(beats: DataFrame, least_ms: int = 700) -> DataFrame:
+    """W09 over a batch (process_id, ms, ord): gaps between heartbeats of ``least_ms`` at least."""
+    w = Window.partitionBy("process_id").orderBy("ms", "ord")
+    gap = F.lead("ms").over(w) - F.col("ms")
+    return beats.select("process_id", F.col("ms").alias("start_ms"), gap.alias("duration_ms")).filter(F.col("duration_ms") >= least_ms)
+
+
+def http_calls(phases: DataFrame) -> DataFrame:
+    """One row for each call of its phase events (call_id, phase, part, key, ms, ord, bytes, failed).
+
+    part is start or end.  DNS and connect attempts pair first in, first out by their key; the call starts with its first
+    event, ends with its first terminal one (phase ``call``, part ``end``), and failed if that or a phase did.
+    """
+    attempt = F.row_number().over(Window.partitionBy("call_id", "phase", "key", "part").orderBy("ms", "ord"))
+    pairs = phases.filter(F.col("phase").isin("dns", "connect")).withColumn("attempt", attempt)
+    at = lambda part: F.max(F.when(F.col("part") == part, F.col("ms")))
+    pairs = pairs.groupBy("call_id", "phase", "key", "attempt").agg((at("end") - at("start")).alias("took")).filter("took is not null")
+    spent = lambda p: F.coalesce(F.sum(F.when(F.col("phase") == p, F.greatest("took", F.lit(0)))), F.lit(0))
+    paired = pairs.groupBy("call_id").agg(spent("dns").alias("dns_ms"), spent("connect").alias("connect_ms"))
+    is_end = (F.col("phase") == "call") & (F.col("part") == "end")
+    tries = F.count_if((F.col("phase") == "connect") & (F.col("part") == "start"))
+    whole = phases.groupBy("call_id").agg(F.min("ms").alias("start_ms"), F.min(F.when(is_end, F.col("ms"))).alias("end_ms"), F.min(F.when(F.col("phase") == "first_byte", F.col("ms"))).alias("first_byte"),
+                                          F.sum("bytes").alias("bytes"), tries.alias("attempts"), F.bool_or("failed").alias("failed"))
+    out = whole.filter("end_ms is not null").join(paired, "call_id", "left").fillna(0, ["dns_ms", "connect_ms"])
+    ttfb = F.coalesce(F.greatest(F.col("first_byte") - F.col("start_ms"), F.lit(0)), F.lit(0))
+    return out.select("call_id", "start_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), "dns_ms", "connect_ms", ttfb.alias("ttfb_ms"), "bytes", "attempts", (F.col("attempts") <= 1).alias("single_attempt"), "failed")
+
+
+def dispatches(lines: DataFrame, least_ms: int = 16) -> DataFrame:
+    """W10 of (process_id, ms, ord, line): start and end lines in pairs of ``least_ms`` at least, with what was dispatched."""
+    w = Window.partitionBy("process_id").orderBy("ms", "ord")
+    start = F.startswith("line", F.lit(">>>>> Dispatching"))
+    rows = lines.filter(start | F.startswith("line", F.lit("<<<<< Finished"))).select("*", F.lag("ms").over(w).alias("p_ms"), F.lag("line").over(w).alias("p_line"))
+    target = F.trim(F.regexp_extract("p_line", " to ([^{}:]*)", 1))
+    took = F.greatest(F.col("ms") - F.col("p_ms"), F.lit(0))
+    pairs = rows.filter(F.startswith("line", F.lit("<<<<<")) & F.startswith("p_line", F.lit(">>>>>")) & (took >= least_ms))
+    return pairs.select("process_id", F.col("p_ms").alias("start_ms"), took.alias("duration_ms"), F.when(target == "", "unknown").otherwise(target).alias("target"))
+
+
+def sockets(rows: DataFrame) -> DataFrame:
+    """W16 of (socket, ms, ord, event, code): opens, reconnects (opened again, or after a failure), failures, distinct close
+    codes and the lifetime of each socket's key."""
+    w = Window.partitionBy("socket").orderBy("ms", "ord")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    is_open, ends = F.col("event") == "open", F.col("event").isin("closed", "failure")
+    opened = F.last(F.when(is_open, F.col("ms")), ignorenulls=True).over(before)
+    r = rows.select("*", F.coalesce(F.max(is_open).over(before), F.lit(False)).alias("again"), opened.alias("opened"))
+    return r.groupBy("socket").agg(F.count_if(is_open).alias("opens"), F.count_if(is_open & F.col("again")).alias("reconnects"), F.count_if(F.col("event") == "failure").alias("failures"),
+                                   F.count_distinct(F.when(F.col("event").isin("closing", "closed"), F.col("code"))).alias("close_codes"), F.coalesce(F.sum(F.when(ends, F.greatest(F.col("ms") - F.col("opened"), F.lit(0)))), F.lit(0)).alias("lifetime_ms"))
+
+
+def counter_rates(rows: DataFrame, counters: list[str], rate: str) -> DataFrame:
+    """W17 of (process_id, ms, ord, cumulative counters): growth since the sample before (0 after a reset), and the growth
+    of ``rate`` for each second."""
+    w = Window.partitionBy("process_id").orderBy("ms", "ord")
+    grown = {c: F.greatest(F.col(c) - F.lag(c).over(w), F.lit(0)) for c in counters}
+    elapsed = F.greatest(F.col("ms") - F.lag("ms").over(w), F.lit(1))
+    out = rows.select("process_id", "ms", "ord", *[g.alias(f"d_{c}") for c, g in grown.items()], elapsed.alias("elapsed"), F.lag("ms").over(w).alias("before")).filter("before is not null")
+    return out.withColumn("per_second", F.floor(F.col(f"d_{rate}") * 1000 / F.col("elapsed")).cast("bigint")).drop("elapsed", "before")
+
+
+def cpu_shares(rows: DataFrame, cores: int = 8) -> DataFrame:
+    """W18 of (process_id, ms, ord, own, total, idle) cumulative ticks: hundredths of a percent of the device, of a core,
+    and how busy the device was; samples with invalid growth are dropped, but the next one counts from them."""
+    w = Window.partitionBy("process_id").orderBy("ms", "ord")
+    d = {c: F.col(c) - F.lag(c).over(w) for c in ("own", "total", "idle")}
+    r = rows.select("process_id", "ms", "ord", *[x.alias(f"d_{c}") for c, x in d.items()]).filter("d_own >= 0 and d_total > 0 and d_idle >= 0")
+    part = lambda x: F.floor(x * 10000 / F.col("d_total")).cast("bigint")
+    return r.select("process_id", "ms", "ord", part(F.col("d_own")).alias("of_device"), part(F.col("d_own") * cores).alias("of_core"), F.least(part(F.greatest(F.col("d_total") - F.col("d_idle"), F.lit(0))), F.lit(10000)).alias("busy"))
+
+
+def screen_durations(rows: DataFrame) -> DataFrame:
+    """W15 of (process_id, activity, ms, ord, event): time from created to resumed, resumed to paused, started to stopped and
+    created to destroyed, each end counted from the last such start before it."""
+    pairs = [("created", "resumed"), ("resumed", "paused"), ("started", "stopped"), ("created", "destroyed")]
+    before = Window.partitionBy("process_id", "activity").orderBy("ms", "ord").rowsBetween(Window.unboundedPreceding, -1)
+    last = {s: F.last(F.when(F.col("event") == s, F.col("ms")), ignorenulls=True).over(before).alias(f"l_{s}") for s in ("created", "resumed", "started")}
+    r = rows.select("*", *last.values())
+    spans = F.array_compact(F.array(*[F.when((F.col("event") == e) & F.col(f"l_{s}").isNotNull(), F.struct(F.lit(f"{s}_{e}").alias("span"), (F.col("ms") - F.col(f"l_{s}")).alias("took"))) for s, e in pairs]))
+    return r.select("activity", F.inline(spans)).groupBy("activity", "span").agg(F.count(F.lit(1)).alias("n"), F.sum("took").alias("total_ms"), F.max("took").alias("max_ms"))
+
+
+def latest_snapshots(segments: DataFrame) -> DataFrame:
+    """W20 of (source, sequence, bytes, sealed, ...): what is known last of each file; a later read supersedes an open one."""
+    w = Window.partitionBy("source").orderBy(F.desc("sequence"), F.desc("bytes"))
+    return segments.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def kept_samples(rows: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """W12 over a batch (process_id, ms and the columns of ``limits``): samples that differ from the last kept one."""
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        last, keep = None, []
+        for i, r in enumerate(pdf.to_dict("records")):
+            if significant(last, r, limits):
+                last = r
+                keep.append(i)
+        return pdf.iloc[keep]
+
+    return by_process(step, rows, ["process_id"], rows.schema.simpleString()[7:-1].replace(":", " "))
+
+
+def flow_scopes(rows: DataFrame) -> DataFrame:
+    """W14 over a batch (process_id, thread_id, ms, op, name): the flow and step after each start, step or end; an end
+    restores what its start replaced, an end without a start changes nothing."""
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        stack, now, out = [], ("", ""), []
+        for r in pdf.itertuples(index=False):
+            if r.op == "start":
+                stack.append(now)
+                now = (r.name, "")
+            elif r.op == "step":
+                now = (now[0], r.name)
+            elif stack:
+                now = stack.pop()
+            out.append((r.process_id, r.thread_id, r.ms, r.op, *now))
+        return pd.DataFrame(out, columns=["process_id", "thread_id", "ms", "op", "flow", "step"])
+
+    return by_process(step, rows, ["process_id", "thread_id"], "process_id bigint, thread_id bigint, ms bigint, op string, flow string, step string")
+
+
+# ---- W21: inspection of a stream -----------------------------------------------------------------------------------------
+
+
+def route_partials(events: DataFrame) -> DataFrame:
+    """What merges of a batch of calls: how often each route had each duration, and failed with it."""
+    return events.groupBy("run_set", "route", "dur").agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("failures"))
+
+
+def merged_partials(*parts: DataFrame) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("run_set", "route", "dur").agg(F.sum("n").alias("n"), F.sum("failures").alias("failures"))
+
+
+def route_totals(partials: DataFrame) -> DataFrame:
+    """Counts, failures, exact nearest-rank p95 and maximum of each route, from merged partials."""
+    w = Window.partitionBy("run_set", "route")
+    upto = F.sum("n").over(w.orderBy("dur"))
+    r = partials.select("*", upto.alias("upto"), F.sum("n").over(w).alias("all"))
+    p95 = F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * 0.95), F.col("dur")))
+    return r.groupBy("run_set", "route").agg(F.sum("n").alias("count"), F.sum("failures").alias("failures"), p95.alias("p95_ms"), F.max("dur").alias("max_ms"))
+
+
+def inspect_stream(events: DataFrame, path: str):
+    """W21 as a job: each micro-batch adds its partials to the table at ``path``; a batch that is run again replaces its own."""
+    def add(batch: DataFrame, number: int) -> None:
+        route_partials(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return events.writeStream.foreachBatch(add)
