@@ -60,7 +60,7 @@ PHASE_EVENTS = """ph AS (SELECT ord AS call_id, unnest(['call', 'dns', 'dns', 'd
   phs AS (SELECT * FROM ph WHERE NOT (phase = 'dns' AND k % 6 > 0) AND NOT (phase = 'connect' AND k % 4 = 3) AND NOT (phase = 'call' AND part = 'end' AND k % 13 = 0))"""
 
 
-@query("w07_http_calls", sql(PHASE_EVENts(), """prs AS (SELECT call_id, phase, max(ms) FILTER (part = 'end') - max(ms) FILTER (part = 'start') AS took FROM (SELECT *, row_number() OVER (PARTITION BY call_id, phase, key, part ORDER BY ms, o) AS a FROM phs WHERE phase IN ('dns', 'connect')) GROUP BY call_id, phase, key, a)""", body="""
+@query("w07_http_calls", sql(PHASE_EVENTS, """prs AS (SELECT call_id, phase, max(ms) FILTER (part = 'end') - max(ms) FILTER (part = 'start') AS took FROM (SELECT *, row_number() OVER (PARTITION BY call_id, phase, key, part ORDER BY ms, o) AS a FROM phs WHERE phase IN ('dns', 'connect')) GROUP BY call_id, phase, key, a)""", body="""
 SELECT call_id, s AS start_ms, e - s AS duration_ms, CAST(coalesce(d, 0) AS BIGINT) AS dns_ms, CAST(coalesce(c, 0) AS BIGINT) AS connect_ms, coalesce(greatest(f - s, 0), 0) AS ttfb_ms, bytes, attempts, attempts <= 1 AS single_attempt, failed FROM (
   SELECT call_id, min(ms) AS s, min(ms) FILTER (phase = 'call' AND part = 'end') AS e, min(ms) FILTER (phase = 'first_byte') AS f, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) FILTER (phase = 'connect' AND part = 'start') AS attempts, bool_or(failed) AS failed FROM phs GROUP BY call_id)
   LEFT JOIN (SELECT call_id, sum(greatest(took, 0)) FILTER (phase = 'dns') AS d, sum(greatest(took, 0)) FILTER (phase = 'connect') AS c FROM prs WHERE took IS NOT NULL GROUP BY call_id) USING (call_id) WHERE e IS NOT NULL"""))
