@@ -6,7 +6,7 @@ read back, and only a count or a flag comes to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.staging import cut
@@ -31,23 +31,70 @@ def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 1000) -> DataFra
     return seen
 
 
+def reachable_targets(reached: DataFrame, nodes: DataFrame, most: int = 2000) -> DataFrame:
+    """Reached nodes of each class (nodes has g, node, class), the first ``most`` by node."""
+    w = Window.partitionBy("g", "class").orderBy("node")
+    return nodes.join(reached.select("g", "node"), ["g", "node"]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("g", "class", "node", "rank")
+
+
+def bounded(edges: DataFrame, roots: DataFrame, blocked: DataFrame, rounds: int) -> DataFrame:
+    """(g, node, depth) reached in ``rounds`` steps without the blocked nodes."""
+    b = blocked.select("g", "node").distinct()
+    open_ = edges.join(b.withColumnRenamed("node", "src"), ["g", "src"], "left_anti").join(b.withColumnRenamed("node", "dst"), ["g", "dst"], "left_anti")
+    return reachable(open_, roots.join(b, ["g", "node"], "left_anti"), rounds).select("g", "node", "depth")
+
+
+def _reached_past(edges: DataFrame, seeds: DataFrame, avoid: bool, rounds: int) -> DataFrame:
+    """(g, target, node) that each target's seeds reach; with ``avoid`` never by the target.  Edges aren't copied for
+    targets: a frontier row carries its target."""
+    front = cut(seeds.select("g", "target", "node").distinct(), "front")
+    seen = front
+    for k in range(rounds):
+        step = front.withColumnRenamed("node", "src").join(edges.select("g", "src", "dst"), ["g", "src"]).select("g", "target", F.col("dst").alias("node")).distinct()
+        step = step.filter("node <> target") if avoid else step
+        front = cut(step.join(seen, ["g", "target", "node"], "left_anti"), "front")
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)
+        if k % 8 == 7:
+            seen = cut(seen, "seen")  # few files to read in the next rounds
+    raise RuntimeError(f"the search didn't end in {rounds} rounds")
+
+
 def retained(edges: DataFrame, roots: DataFrame, targets: DataFrame, sizes: DataFrame, rounds: int = 1000) -> DataFrame:
     """What a target (g, node) alone keeps alive: reached from it, but not from the roots without it.
 
-    Both searches run for all targets at once, keyed by (g, target); sizes has (g, node, size).
+    Both searches run for all targets at once; sizes has (g, node, size).
     """
-    def keyed(rows: DataFrame) -> DataFrame:
-        return rows.select(F.concat_ws("/", F.col("g").cast("string"), F.col("target").cast("string")).alias("g"), *[c for c in rows.columns if c not in ("g", "target")])
-
     t = targets.select("g", F.col("node").alias("target")).distinct()
-    all_edges = edges.join(t, "g")
-    without = keyed(all_edges.filter((F.col("src") != F.col("target")) & (F.col("dst") != F.col("target"))))
-    own = reachable(keyed(all_edges), keyed(t.select("g", "target", F.col("target").alias("node"))), rounds)
-    other = reachable(without, keyed(roots.join(t, "g").filter(F.col("node") != F.col("target")).select("g", "target", "node")), rounds)
-    kept = own.select("g", "node").join(other.select("g", "node"), ["g", "node"], "left_anti")
-    kept = kept.select(F.substring_index("g", "/", 1).alias("graph"), F.substring_index("g", "/", -1).cast("bigint").alias("target"), "node")
-    s = sizes.select(F.col("g").cast("string").alias("graph"), "node", "size")
-    return kept.join(s, ["graph", "node"]).groupBy("graph", "target").agg(F.count(F.lit(1)).alias("objects"), F.sum("size").alias("bytes"))
+    own = _reached_past(edges, t.select("g", "target", F.col("target").alias("node")), False, rounds)
+    other = _reached_past(edges, roots.join(t, "g").filter(F.col("node") != F.col("target")), True, rounds)
+    kept = own.join(other, ["g", "target", "node"], "left_anti")
+    return kept.join(sizes.select("g", "node", "size"), ["g", "node"]).groupBy(F.col("g").cast("string").alias("graph"), "target").agg(F.count(F.lit(1)).alias("objects"), F.sum("size").alias("bytes"))
+
+
+def alternative_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame, most: int = 3, states: int = 6000, steps: int = 48) -> DataFrame:
+    """Up to ``most`` paths from roots to each target, the shortest first, then the least; found backwards.
+
+    A round keeps ``states`` open paths of a target at most, the least ones; without more the choice is exact.
+    """
+    at_root = roots.select("g", F.col("node").alias("at")).distinct().withColumn("root", F.lit(True))
+    front = cut(targets.select("g", F.col("node").alias("target"), F.col("node").alias("at"), F.array("node").alias("path")), "back")
+    done = None
+    for _ in range(steps):
+        marked = front.join(at_root, ["g", "at"], "left")
+        ended = cut(marked.filter("root").select("g", "target", "path"), "ended")
+        done = ended if done is None else done.unionByName(ended)
+        full = done.groupBy("g", "target").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= most).select("g", "target")
+        open_ = marked.filter("root is null").drop("root").join(full, ["g", "target"], "left_anti")
+        step = open_.join(edges.select("g", "src", F.col("dst").alias("at")).distinct(), ["g", "at"]).filter(~F.array_contains("path", F.col("src")))
+        step = step.select("g", "target", F.col("src").alias("at"), F.concat(F.array("src"), "path").alias("path"))
+        w = Window.partitionBy("g", "target").orderBy("path")
+        front = cut(step.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= states).drop("r"), "back")
+        if front.isEmpty():
+            break
+    rank = F.row_number().over(Window.partitionBy("g", "target").orderBy(F.size("path"), "path"))
+    return done.withColumn("rank", rank).filter(F.col("rank") <= most)
 
 
 def reference_paths(reached: DataFrame, targets: DataFrame, most: int = 48) -> DataFrame:

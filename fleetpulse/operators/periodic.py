@@ -80,12 +80,15 @@ def report(series: DataFrame, lags: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def bursts(series: DataFrame) -> DataFrame:
-    """Points over max(1, median + 3 MAD, 2 median) of their series."""
+    """Points at or over max(1, median + 3 MAD, 2 median) of their series, and over the median of its positive points
+    (if over 1) where the median is 0."""
     key = ["run_set", "signal"]
-    med = series.groupBy(*key).agg(F.median("value").alias("med"))
+    med = series.groupBy(*key).agg(F.median("value").alias("med"), F.median(F.when(F.col("value") > 0, F.col("value"))).alias("positive"))
     x = series.join(F.broadcast(med), key)
     mad = x.groupBy(*key).agg(F.median(F.abs(F.col("value") - F.col("med"))).alias("mad"))
-    return x.join(F.broadcast(mad), key).filter(F.col("value") > F.greatest(F.lit(1.0), F.col("med") + 3 * F.col("mad"), 2 * F.col("med"))).select(*key, "ix", "value")
+    own = F.when((F.col("med") == 0) & (F.col("positive") > 1), F.col("positive")).otherwise(0.0)
+    limit = F.greatest(F.lit(1.0), F.col("med") + 3 * F.col("mad"), 2 * F.col("med"), own)
+    return x.join(F.broadcast(mad), key).filter((F.col("value") > 0) & (F.col("value") >= limit)).select(*key, "ix", "value")
 
 
 def regularity(found: DataFrame) -> DataFrame:

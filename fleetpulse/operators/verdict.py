@@ -13,8 +13,9 @@ WEIGHTS = {"data_quality": 20, "retained_signal": 20, "heap_actionability": 20,
 CONFIDENCE_SCORE = {"high": 9.0, "medium": 7.0, "low": 4.0}
 
 
-def _rated(name: str, score: Column, exercised: Column = F.lit(True), idle: float = 5.0) -> Column:
+def _rated(name: str, score: Column, exercised: Column | None = None, idle: float = 5.0) -> Column:
     """One row of the scorecard: clamped, rounded to a tenth; its status comes from the score before rounding."""
+    exercised = F.lit(True) if exercised is None else exercised
     status = F.when(~exercised, "not_exercised").when(score >= 8, "strong").when(score >= 6, "needs_work").otherwise("weak")
     value = F.when(exercised, F.round(F.least(F.lit(10.0), F.greatest(F.lit(0.0), score)), 1)).otherwise(F.lit(idle))
     return F.struct(F.lit(name).alias("area"), F.lit(WEIGHTS[name]).alias("weight"), value.alias("score"), status.alias("status"))

@@ -139,16 +139,13 @@ def q01(spark, d):
     return op.chain_conflicts(segments(spark, d))
 
 
-@query("q02_chain_gaps", sql(SEGMENTS, "one AS (SELECT * FROM segments WHERE run_set = 'baseline')", body="""
-SELECT session_id, segment_index, unnest(list_filter([CASE WHEN p IS NULL AND segment_index <> 0 THEN 'late_start' END, CASE WHEN segment_index > p + 1 THEN 'gap' END, CASE WHEN start_ms < t THEN 'backwards' END, CASE WHEN NOT s THEN 'after_unsealed' END], lambda x: x IS NOT NULL)) AS issue FROM (
-  SELECT *, lag(segment_index) OVER w AS p, lag(start_ms) OVER w AS t, lag(sealed) OVER w AS s FROM one WINDOW w AS (PARTITION BY session_id ORDER BY segment_index))"""))
-def q02(spark, d):
-    return op.chain_gaps(segments(spark, d).filter("run_set = 'baseline'"))
+CHAIN_GAPS = sql(SEGMENTS, body="""
+SELECT run_set, session_id, segment_index, unnest(list_filter([CASE WHEN p IS NULL AND segment_index <> 0 THEN 'late_start' END, CASE WHEN segment_index > p + 1 THEN 'gap' END, CASE WHEN start_ms < t THEN 'backwards' END, CASE WHEN NOT s THEN 'after_unsealed' END], lambda x: x IS NOT NULL)) AS issue FROM (
+  SELECT *, lag(segment_index) OVER w AS p, lag(start_ms) OVER w AS t, lag(sealed) OVER w AS s FROM segments WINDOW w AS (PARTITION BY run_set, session_id ORDER BY segment_index))""")
 
 
-@query("q02_chain_gaps_whole", sql(SEGMENTS, body="""
-SELECT run_set, session_id, segment_index, unnest(list_filter([CASE WHEN p IS NULL AND segment_index <> 0 THEN 'late_start' END, CASE WHEN segment_index > p + 1 THEN 'gap' END, CASE WHEN start_ms < t THEN 'backwards' END, CASE WHEN NOT s THEN 'after_unsealed' END], lambda x: x IS NOT NULL)) AS issue FROM (
-  SELECT *, lag(segment_index) OVER w AS p, lag(start_ms) OVER w AS t, lag(sealed) OVER w AS s FROM segments WINDOW w AS (PARTITION BY run_set, session_id ORDER BY segment_index))"""))
+@query("q02_chain_gaps_whole", CHAIN_GAPS)
+@query("q02_chain_gaps", CHAIN_GAPS)
 def q02_whole(spark, d):
     return op.chain_gaps(segments(spark, d), "run_set")
 
@@ -211,16 +208,12 @@ def j05(spark, d):
     return resolve.deobfuscate(values, "value", spark.createDataFrame(MAPPING, "obfuscated string, original string"))
 
 
-@query("w09_stall_episodes", sql(body="""
-SELECT source, beat AS start_ms, nxt - beat AS duration_ms FROM (SELECT source, time_ms AS beat, lead(time_ms) OVER (PARTITION BY source ORDER BY time_ms, ord) AS nxt FROM ctx) WHERE nxt - beat >= 3600000"""))
-def w09(spark, d):
-    w = Window.partitionBy("source").orderBy("time_ms", "ord")
-    b = src.events(spark, d).select("source", F.col("time_ms").alias("start_ms"), (F.lead("time_ms").over(w) - F.col("time_ms")).alias("duration_ms"))
-    return b.filter(F.col("duration_ms") >= 3_600_000)
+STALLS = sql(body="""
+SELECT source, user_id, beat AS start_ms, nxt - beat AS duration_ms FROM (SELECT source, user_id, time_ms AS beat, lead(time_ms) OVER (PARTITION BY user_id ORDER BY time_ms, ord) AS nxt FROM ctx) WHERE nxt - beat >= 700""")
 
 
-@query("w09_stall_episodes_whole", sql(body="""
-SELECT source, user_id, beat AS start_ms, nxt - beat AS duration_ms FROM (SELECT source, user_id, time_ms AS beat, lead(time_ms) OVER (PARTITION BY user_id ORDER BY time_ms, ord) AS nxt FROM ctx) WHERE nxt - beat >= 700"""))
+@query("w09_stall_episodes_whole", STALLS)
+@query("w09_stall_episodes", STALLS)
 def w09_whole(spark, d):
     """The reference's 700 ms; a user's events are one process's heartbeats."""
     w = Window.partitionBy("user_id").orderBy("time_ms", "ord")

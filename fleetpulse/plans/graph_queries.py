@@ -12,33 +12,6 @@ from fleetpulse.register import query
 from fleetpulse.sources import adapter as src
 from fleetpulse.sources.adapter import sql
 
-SIGNALS = ["http", "jank", "stalls"]
-
-
-def series(spark, d) -> DataFrame:
-    """Sums of the timeline's signals over 30 buckets each: a few thousand points a series."""
-    b = tl.timeline(tl.relative(src.wide(spark, d))).withColumn("ix", F.expr("bucket div 30"))
-    sums = b.groupBy("run_set", "ix").agg(*[F.sum(s).cast("double").alias(s) for s in SIGNALS])
-    return sums.unpivot(["run_set", "ix"], SIGNALS, "signal", "value")
-
-
-SERIES = "series AS (UNPIVOT (SELECT run_set, bucket // 30 AS ix, " + ", ".join(f"sum({s})::DOUBLE AS {s}" for s in SIGNALS) + " FROM tl GROUP BY ALL) ON " + ", ".join(SIGNALS) + " INTO NAME signal VALUE value)"
-
-
-@query("d01_autocorrelation", sql(*TL, SERIES, "x AS (SELECT *, value - avg(value) OVER (PARTITION BY run_set, signal) AS x FROM series)", body="""
-SELECT a.run_set, a.signal, CAST(lag AS INTEGER) AS lag, round(sum(a.x * b.x) / any_value(ss), 6) AS r FROM x a JOIN (SELECT unnest(range(1, 61)) AS lag) ON true JOIN x b ON a.run_set = b.run_set AND a.signal = b.signal AND b.ix = a.ix - lag
-JOIN (SELECT run_set, signal, sum(x * x) AS ss FROM x GROUP BY ALL) s ON s.run_set = a.run_set AND s.signal = a.signal GROUP BY ALL"""))
-def d01(spark, d):
-    return periodic.autocorrelation(series(spark, d)).withColumn("r", F.round("r", 6))
-
-
-@query("n02_bursts", sql(*TL, SERIES, body="""
-SELECT s.run_set, s.signal, ix, value FROM series s JOIN (SELECT run_set, signal, any_value(m) AS m, median(abs(value - m)) AS mad FROM (SELECT *, median(value) OVER (PARTITION BY run_set, signal) AS m FROM series) GROUP BY ALL) t USING (run_set, signal)
-WHERE value > greatest(1, m + 3 * mad, 2 * m)"""))
-def n02(spark, d):
-    return periodic.bursts(series(spark, d))
-
-
 WHOLE_SIGNALS = ["jank_pct", "http", "http_failed", "stalls"]
 
 
@@ -66,41 +39,28 @@ WHOLE_SERIES = """calls_by_route AS (SELECT run_set, route, bucket, count(*) AS
   series AS (SELECT * FROM every WHERE (run_set, signal) IN (SELECT (run_set, signal) FROM every GROUP BY ALL HAVING max(abs(value)) > 0))""".replace("SELECT (run_set, signal) FROM every GROUP BY ALL", "SELECT (run_set, signal) FROM every GROUP BY run_set, signal")
 
 
-@query("n02_bursts_whole", sql(*TL, WHOLE_SERIES, body="""
-SELECT s.run_set, s.signal, ix, value FROM series s JOIN (SELECT run_set, signal, any_value(m) AS m, median(abs(value - m)) AS mad FROM (SELECT *, median(value) OVER (PARTITION BY run_set, signal) AS m FROM series) GROUP BY run_set, signal) t USING (run_set, signal)
-WHERE value > greatest(1, m + 3 * mad, 2 * m)"""))
-def n02_whole(spark, d):
-    return periodic.bursts(whole_series(spark, d))
-
-
-@query("d05_spectral_peaks")
-def d05(spark, d):
-    return periodic.peaks(periodic.spectrum(whole_series(spark, d)))
+BURSTS = """
+SELECT s.run_set, s.signal, ix, value FROM series s JOIN (SELECT run_set, signal, any_value(m) AS m, median(abs(value - m)) AS mad, median(value) FILTER (value > 0) AS pm FROM (SELECT *, median(value) OVER (PARTITION BY run_set, signal) AS m FROM series) GROUP BY run_set, signal) t USING (run_set, signal)
+WHERE value > 0 AND value >= greatest(1, m + 3 * mad, 2 * m, CASE WHEN m = 0 AND pm > 1 THEN pm ELSE 0 END)"""
 
 
-GRAPH = "g AS (SELECT run_set AS g, user_id % 60 AS src, (k * 7 + user_id) % 61 % 60 AS dst, count(*) AS n FROM tel WHERE type = 'call' AND k % 9 = 0 AND user_id % 3 > 0 GROUP BY ALL)"
-
-
-def graph(spark, d) -> DataFrame:
-    e = src.of_type(spark, d, "call").filter("k % 9 = 0 and user_id % 3 > 0")
-    return e.groupBy(F.col("run_set").alias("g"), (F.col("user_id") % 60).alias("src"), ((F.col("k") * 7 + F.col("user_id")) % 61 % 60).alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+@query("n02_bursts_whole", sql(*TL, WHOLE_SERIES, body=BURSTS))
+@query("n02_bursts", sql(*TL, WHOLE_SERIES, body=BURSTS))
+def n02(spark, d):
+    return periodic.bursts(whole_series(spark, d))
 
 
-@query("u07_strong_components", sql(GRAPH, body="""
-, r AS (SELECT 1)""".replace(", r AS (SELECT 1)", "") + """
-SELECT g, node, least(node, coalesce(min(other), node)) AS component FROM (
-  SELECT n.g, n.node, c.other FROM (SELECT DISTINCT g, unnest([src, dst]) AS node FROM g) n LEFT JOIN (
-    SELECT a.g, a.s AS node, a.t AS other FROM reach a JOIN reach b ON a.g = b.g AND a.s = b.t AND a.t = b.s) c ON c.g = n.g AND c.node = n.node) GROUP BY g, node""").replace("WITH ", "WITH RECURSIVE ", 1).replace("g AS (SELECT run_set AS g", "g AS (SELECT run_set AS g", 1).replace("GROUP BY ALL)\n", "GROUP BY ALL), reach AS (SELECT g, src AS s, dst AS t FROM g UNION SELECT r.g, r.s, e.dst FROM reach r JOIN g e ON e.g = r.g AND e.src = r.t)\n", 1))
-def u07(spark, d):
-    return iterate.strong_components(graph(spark, d))
+@query("d01_autocorrelation", sql(*TL, WHOLE_SERIES, "x AS (SELECT *, value - avg(value) OVER (PARTITION BY run_set, signal) AS x FROM series)",
+                                  "lagged AS (SELECT run_set, signal, x, " + ", ".join(f"lag(x, {k}) OVER w AS l{k}" for k in range(1, 61)) + " FROM x WINDOW w AS (PARTITION BY run_set, signal ORDER BY ix))",
+                                  "sums AS (SELECT run_set, signal, count(*) AS n, sum(x * x) AS ss, [" + ", ".join(f"sum(x * l{k})" for k in range(1, 61)) + "] AS s FROM lagged GROUP BY run_set, signal)", body="""
+SELECT run_set, signal, CAST(lag AS INTEGER) AS lag, round(coalesce(s[lag], 0) / ss, 6) AS r FROM (SELECT *, unnest(range(1, 61)) AS lag FROM sums) WHERE lag <= n // 2"""))
+def d01(spark, d):
+    return periodic.autocorrelation(whole_series(spark, d)).withColumn("r", F.round("r", 6))
 
 
-@query("h01_reachability", sql(GRAPH, body="BODY").replace("WITH ", "WITH RECURSIVE ", 1).replace("\nBODY", """, walk AS (SELECT g, src AS node, 0 AS depth FROM g WHERE src < 3 UNION SELECT w.g, e.dst, depth + 1 FROM walk w JOIN g e ON e.g = w.g AND e.src = w.node WHERE depth < 60)
-SELECT g, node, min(depth) AS depth FROM walk GROUP BY ALL"""))
-def h01(spark, d):
-    e = graph(spark, d).withColumn("label", F.lit("call"))
-    roots = e.filter("src < 3").select("g", F.col("src").alias("node"))
-    return iterate.reachable(e, roots).select("g", "node", "depth")
+@query("d05_spectral_peaks")
+def d05(spark, d):
+    return periodic.peaks(periodic.spectrum(whole_series(spark, d)))
 
 
 WHOLE = """g AS (SELECT run_set AS g, user_id AS src, (user_id + 7 * k) % (SELECT max(user_id) + 1 FROM tel) AS dst, count(*) AS n FROM tel WHERE type = 'call' GROUP BY ALL)"""
@@ -113,20 +73,74 @@ def whole_graph(spark, d) -> DataFrame:
     return e.groupBy(F.col("run_set").alias("g"), F.col("user_id").alias("src"), ((F.col("user_id") + 7 * F.col("k")) % F.col("ids")).alias("dst")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("u07_strong_components_whole", sql(WHOLE, """reach AS (SELECT g, src AS s, dst AS t FROM g UNION SELECT r.g, r.s, e.dst FROM reach r JOIN g e ON e.g = r.g AND e.src = r.t)""", body="""
+COMPONENTS = sql(WHOLE, """reach AS (SELECT g, src AS s, dst AS t FROM g UNION SELECT r.g, r.s, e.dst FROM reach r JOIN g e ON e.g = r.g AND e.src = r.t)""", body="""
 SELECT n.g, node, least(node, coalesce(min(b.s), node)) AS component FROM (SELECT DISTINCT g, unnest([src, dst]) AS node FROM g) n
-LEFT JOIN reach a ON a.g = n.g AND a.s = node LEFT JOIN reach b ON b.g = n.g AND b.s = a.t AND b.t = node GROUP BY n.g, node""").replace("WITH ", "WITH RECURSIVE ", 1))
-def u07_whole(spark, d):
+LEFT JOIN reach a ON a.g = n.g AND a.s = node LEFT JOIN reach b ON b.g = n.g AND b.s = a.t AND b.t = node GROUP BY n.g, node""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("u07_strong_components_whole", COMPONENTS)
+@query("u07_strong_components", COMPONENTS)
+def u07(spark, d):
     return iterate.strong_components(whole_graph(spark, d))
 
 
-@query("h01_reachability_whole", sql(WHOLE, """walk AS (SELECT g, src AS node, 0 AS depth FROM g WHERE src < 3 UNION SELECT w.g, e.dst, depth + 1 FROM walk w JOIN g e ON e.g = w.g AND e.src = w.node WHERE depth < (SELECT max(user_id) FROM tel))""", body="""
-SELECT g, node, min(depth) AS depth FROM walk GROUP BY ALL""").replace("WITH ", "WITH RECURSIVE ", 1))
-def h01_whole(spark, d):
+REACHED = sql(WHOLE, """walk AS (SELECT g, src AS node, 0 AS depth FROM g WHERE src < 3 UNION SELECT w.g, e.dst, depth + 1 FROM walk w JOIN g e ON e.g = w.g AND e.src = w.node WHERE depth < (SELECT max(user_id) FROM tel))""", body="""
+SELECT g, node, min(depth) AS depth FROM walk GROUP BY ALL""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("h01_reachability_whole", REACHED)
+@query("h01_reachability", REACHED)
+def h01(spark, d):
     e = whole_graph(spark, d).withColumn("label", F.lit("call"))
     return iterate.reachable(e, e.filter("src < 3").select("g", F.col("src").alias("node"))).select("g", "node", "depth")
 
 
+def heap_tree(spark, d):
+    """Calls as heap edges from smaller to larger ids, so that graphs have ends; three roots, sizes by id."""
+    e = whole_graph(spark, d).filter("src < dst").withColumn("label", F.lit("call"))
+    ids = e.select("g", F.col("src").alias("node")).unionByName(e.select("g", F.col("dst").alias("node"))).distinct()
+    return e, ids.filter("node < 3"), ids
+
+
+@query("h02_reachable_targets", sql(WHOLE, """walk AS (SELECT g, src AS node FROM g WHERE src < 3 AND src < dst UNION SELECT w.g, e.dst FROM walk w JOIN g e ON e.g = w.g AND e.src = w.node AND e.src < e.dst)""", body="""
+SELECT g, class, node, CAST(rn AS INTEGER) AS rank FROM (SELECT g, 'class' || (node % 4) AS class, node, row_number() OVER (PARTITION BY g, node % 4 ORDER BY node) AS rn FROM walk) WHERE rn <= 2000""").replace("WITH ", "WITH RECURSIVE ", 1))
+def h02(spark, d):
+    e, roots, ids = heap_tree(spark, d)
+    return iterate.reachable_targets(iterate.reachable(e, roots), ids.withColumn("class", F.concat(F.lit("class"), (F.col("node") % 4).cast("string"))))
+
+
+@query("h04_blocked_reachability", sql(WHOLE, """walk AS (SELECT g, src AS node, 0 AS depth FROM g WHERE src < 3 AND src < dst AND src <> 1 UNION SELECT w.g, e.dst, depth + 1 FROM walk w JOIN g e ON e.g = w.g AND e.src = w.node AND e.src < e.dst AND e.dst % 5 <> 4 AND e.dst <> 1 WHERE depth < 3)""", body="""
+SELECT g, node, min(depth) AS depth FROM walk WHERE node % 5 <> 4 GROUP BY ALL""").replace("WITH ", "WITH RECURSIVE ", 1))
+def h04(spark, d):
+    """Three steps from the roots, past node 1 and every fifth node, which are blocked."""
+    e, roots, ids = heap_tree(spark, d)
+    return iterate.bounded(e, roots, ids.filter("node = 1 or node % 5 = 4"), 3).select("g", "node", "depth")
+
+
+@query("h03_retained", sql(WHOLE, "t AS (SELECT DISTINCT src AS tg FROM g WHERE src BETWEEN 3 AND 8)", """own AS (SELECT g, src AS tg, src AS node FROM g WHERE src IN (SELECT tg FROM t) AND src < dst UNION SELECT o.g, o.tg, e.dst FROM own o JOIN g e ON e.g = o.g AND e.src = o.node AND e.src < e.dst)""",
+                           """other AS (SELECT g, tg, src AS node FROM g, t WHERE src < 3 AND src < dst UNION SELECT o.g, o.tg, e.dst FROM other o JOIN g e ON e.g = o.g AND e.src = o.node AND e.src < e.dst AND e.dst <> o.tg)""", body="""
+SELECT g AS graph, tg AS target, count(*) AS objects, CAST(sum(node + 1) AS BIGINT) AS bytes FROM own WHERE NOT EXISTS (SELECT 1 FROM other x WHERE x.g = own.g AND x.tg = own.tg AND x.node = own.node) GROUP BY ALL""").replace("WITH ", "WITH RECURSIVE ", 1))
+def h03(spark, d):
+    e, roots, ids = heap_tree(spark, d)
+    targets = e.filter("src between 3 and 8").select("g", F.col("src").alias("node")).distinct()
+    return iterate.retained(e, roots, targets, ids.withColumn("size", F.col("node") + 1))
+
+
+@query("h05_reference_paths")
+def h05(spark, d):
+    """Paths by parent pointers; which parent comes first has no SQL, tests hold paths against their edges."""
+    e, roots, ids = heap_tree(spark, d)
+    reached = iterate.reachable(e, roots)
+    return iterate.reference_paths(reached, ids.filter("node % 3 = 0")).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
+
+
+@query("h06_alternative_paths")
+def h06(spark, d):
+    """Up to three paths from roots to each target by reverse steps; tests hold them against brute force."""
+    e, roots, ids = heap_tree(spark, d)
+    return iterate.alternative_paths(e, roots, ids.filter("node % 7 = 3")).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
+
+
 @query("g05_shortest_paths")
 def g05(spark, d):
     """Cheapest paths from three nodes, weight 1 / (1 + calls); the tests hold it against brute force."""

@@ -39,7 +39,7 @@ def test_matches_sql(spark, db, name):
 
 #: No SQL: resampling, spectra, shortest paths over any number of hops, and what depends on the order of arrival.
 NO_SQL = {"r04_bootstrap_p95", "d05_spectral_peaks", "d06_periodic_report", "g05_shortest_paths", "n08_loops", "n09_loop_compare", "c03_changes_nearby", "g02_loop_edges", "g05_explanation_paths", "g06_all_paths",
-          "g08_graph_compare", "s21_owner_map", "w01_frame_windows", "w05_call_graph", "w12_kept_samples", "w14_flow_scopes"}
+          "g08_graph_compare", "h05_reference_paths", "h06_alternative_paths", "s21_owner_map", "w01_frame_windows", "w05_call_graph", "w12_kept_samples", "w14_flow_scopes"}
 
 
 def test_every_query_has_sql_or_a_reason():
