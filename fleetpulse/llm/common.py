@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``); where it is unset, a temporary one, but only on one machine."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if not own:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="fleetpulse-")
         spark.conf.set("spark.fleetpulse.scratch", own) if not spark.conf.get("spark.fleetpulse.scratch", None) else None
         own = spark.conf.get("spark.fleetpulse.scratch")

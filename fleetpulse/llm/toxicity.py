@@ -37,6 +37,9 @@ MAX_TRAIN = 1000
 SPAN, DECAY = 5, 0.7
 LANDMARKS = 160
 WINDOW, STEP = 24, 12
+#: Decisions up to here are clean by most of the machine's margin: the fit doesn't tell them apart, and the cut between
+#: the classes never lies below.  Scores do tell them apart.
+CLEAN = -0.6
 #: Slopes that the logistic curve is chosen from.
 SLOPES = np.geomspace(0.5, 64.0, 200)
 SENTENCE_RE = re.compile(r"[.!?]+[\x20\x09-\x0D]+|\n+")
@@ -241,7 +244,7 @@ def fit(toxic: list[str], clean: list[str]) -> ToxicModel:
         table[list(keys)] = land.T @ (root @ w)
         model = ToxicModel(table, offset, 1.0, 0.0)
         everyday = list(seen)
-        s = model.worst(everyday)
+        s = np.maximum(model.worst(everyday), max(CLEAN, offset))
         hard = np.argsort(-s, kind="stable")[:400]
         known = {*ordinary, *rest}
         rest += [everyday[i] for i in hard if s[i] > -0.9 and everyday[i] not in known]
@@ -256,7 +259,7 @@ def fit(toxic: list[str], clean: list[str]) -> ToxicModel:
     y = np.array([1.0] * len(bad) + [0.0] * len(good))
     # the cut with the fewest errors, then the slope around it that fits best (targets kept off 0 and 1, as Platt does)
     order = np.argsort(x, kind="stable")
-    xs, ys = x[order], y[order]
+    xs, ys = np.maximum(x[order], max(CLEAN, offset)), y[order]
     wrong = np.concatenate(([0], np.cumsum(ys))) + (1 - ys).sum() - np.concatenate(([0], np.cumsum(1 - ys)))
     best = np.flatnonzero(wrong == wrong.min())
     k = int(best[len(best) // 2])
