@@ -124,8 +124,8 @@ def _raw_scores(tokens: list[str], weights: np.ndarray) -> np.ndarray:
     """Sum of weights over each token's unit feature vector."""
     out = np.zeros(len(tokens))
     order = np.argsort([len(t) for t in tokens], kind="stable")
-    for lo in range(0, len(tokens), 2048):
-        block = order[lo:lo + 2048]
+    for lo in range(0, len(tokens), 1024):
+        block = order[lo:lo + 1024]
         rows = _matrix([tokens[i] for i in block])
         total = np.zeros(len(block))
         codes, vals = [], []
@@ -297,7 +297,7 @@ def scorer(docs: DataFrame, model: ToxicModel):
         weights[at] = values
         own = ToxicModel(weights, offset, slope, shift)
         for texts in batches:
-            parts = [_batch_worst(pa.array(texts.iloc[k:k + 1000], pa.large_string(), from_pandas=True), own) for k in range(0, len(texts), 1000)]
+            parts = [_batch_worst(pa.array(texts.iloc[k:k + 500], pa.large_string(), from_pandas=True), own) for k in range(0, len(texts), 500)]
             yield pd.Series(own.curve(np.concatenate(parts)) if parts else np.zeros(0))
 
     return score
