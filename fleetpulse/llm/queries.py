@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.llm.bpe import bpe_encode
 from fleetpulse.llm.common import checksum_mod, table
+from fleetpulse.llm.conversation_repair import damaged, repair_conversations
 from fleetpulse.llm.decontaminate import contaminated
 from fleetpulse.llm.exact_dedup import exact_dedup
 from fleetpulse.llm.ngram_join import ngram_join
@@ -19,6 +20,7 @@ from fleetpulse.llm.suffix_array import suffix_array_dedup
 from fleetpulse.llm.suffix_tree_lm import suffix_tree_scores
 from fleetpulse.llm.toxicity import toxic_scores, train
 from fleetpulse.llm.url_filter import filter_urls
+from fleetpulse.llm.vector_codes import encode, label_errors
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -86,10 +88,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[kind(k) for k in KINDS[:4]], F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"), kind(KINDS[4]))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, book = encode(table(spark, sf_dir, "embeddings"))
+    return label_errors(codes).select("vec_id", "code", "error", "label_error", F.lit(book.sha256() if book else "").alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_suffix_tree_lm, op2_ngram_jaccard_join, op3_byte_bpe, op4_exact_dedup, op5_url_filter,
-        op6_substring_dedup, op7_benchmark_decontamination, op8_toxicity, op9_suffix_array_dedup, op10_pii)
+        op6_substring_dedup, op7_benchmark_decontamination, op8_toxicity, op9_suffix_array_dedup, op10_pii, op12_conversation_repair, op13_vector_codes)
 }
 
 ORACLES: dict[str, str] = {
