@@ -15,6 +15,7 @@ from fleetpulse.llm.decontaminate import contaminated
 from fleetpulse.llm.exact_dedup import exact_dedup
 from fleetpulse.llm.ngram_join import ngram_join
 from fleetpulse.llm.pii import KINDS, find_pii, span_text
+from fleetpulse.llm.quality_outliers import quality_verdicts
 from fleetpulse.llm.substring_dedup import substring_dedup
 from fleetpulse.llm.suffix_array import suffix_array_dedup
 from fleetpulse.llm.suffix_tree_lm import suffix_tree_scores
@@ -88,6 +89,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[kind(k) for k in KINDS[:4]], F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"), kind(KINDS[4]))
 
 
+def op11_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
 
@@ -100,7 +106,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_suffix_tree_lm, op2_ngram_jaccard_join, op3_byte_bpe, op4_exact_dedup, op5_url_filter,
-        op6_substring_dedup, op7_benchmark_decontamination, op8_toxicity, op9_suffix_array_dedup, op10_pii, op12_conversation_repair, op13_vector_codes)
+        op6_substring_dedup, op7_benchmark_decontamination, op8_toxicity, op9_suffix_array_dedup, op10_pii, op11_quality_outliers, op12_conversation_repair, op13_vector_codes)
 }
 
 ORACLES: dict[str, str] = {
