@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetpulse.llm import oracles
 from fleetpulse.llm.bpe import bpe_encode
 from fleetpulse.llm.common import checksum_mod, table
 from fleetpulse.llm.conversation_repair import damaged, repair_conversations
@@ -110,8 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op4_exact_dedup": """
-        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-               doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
-        FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op4_exact_dedup": oracles.EXACT_DEDUP,
+    "op12_conversation_repair": oracles.CONVERSATION_REPAIR,
+    "op13_vector_codes": oracles.VECTOR_CODES,
 }
