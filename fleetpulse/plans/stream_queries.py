@@ -138,26 +138,57 @@ def w19(spark, d):
     return h.groupBy("source", "owner").agg(F.count(F.lit(1)).alias("calls"), F.count_if(op.wrapped_problem()).alias("problems"), F.count_if(op.slow_request()).alias("slow"))
 
 
+#: Processes of the event table are silent for hours; only after a day they are over.
+DAY_MS = 86_400_000
+
+
 @query("w01_frame_windows")
 def w01(spark, d):
     """Windows close by arrival, which has no SQL; tests hold batch against stream."""
-    return op.frame_windows(src.ui_windows(spark, d).select(process(), F.col("time_ms").alias("ms"), "screen", F.col("p95_ms").alias("duration_ms"), (F.col("jank") > 0).alias("is_jank")))
+    ui = src.ui_windows(spark, d).select(process(), F.col("time_ms").alias("ms"), "ord", "screen", F.col("p95_ms").cast("bigint").alias("duration_ms"), (F.col("jank") > 0).alias("is_jank"))
+    return op.frame_windows(ui, DAY_MS)
 
 
 @query("w05_call_graph")
 def w05(spark, d):
     """Stacks of enter and exit have no SQL; tests hold them against worked cases."""
-    return op.call_graph(src.of_type(spark, d, "call").select(process(), (F.col("k") % 3).cast("bigint").alias("thread_id"), F.col("time_ms").alias("ms"), F.when(F.col("k") % 2 == 0, "enter").otherwise("exit").alias("op"), (F.col("k") % 7).cast("bigint").alias("method_id")))
+    k = F.col("k")
+    spans = src.of_type(spark, d, "call").select(process(), (k % 3).cast("bigint").alias("thread_id"), F.col("time_ms").alias("ms"), "ord", F.when(k % 2 == 0, "enter").otherwise("exit").alias("op"), (k % 7).cast("bigint").alias("method_id"))
+    return op.call_graph(spans, DAY_MS)
 
 
 @query("w12_kept_samples")
 def w12(spark, d):
     """What is kept depends on what was kept before, which has no SQL; tests hold the rule against worked cases."""
-    return op.kept_samples(src.device(spark, d).select(process(), F.col("time_ms").alias("ms"), "pss_kb"), {"pss_kb": 4096})
+    device = src.device(spark, d).select(process(), F.col("time_ms").alias("ms"), "ord", "pss_kb", "battery", "network", "low_memory")
+    return op.kept_samples(device, {"pss_kb": 4096, "battery": 2}, ["network"], ["low_memory"], DAY_MS)
+
+
+@query("w13_context_changes", sql(body="""
+SELECT user_id AS process_id, time_ms AS ms, ord, context FROM (
+  SELECT *, lag(context) OVER (PARTITION BY user_id ORDER BY time_ms, ord) AS was, lag(time_ms) OVER (PARTITION BY user_id ORDER BY time_ms, ord) AS p_ms FROM (SELECT *, screen || '/' || owner || '/' || flow || '/' || step AS context FROM ctx))
+WHERE p_ms IS NULL OR time_ms - p_ms > 86400000 OR was <> context"""))
+def w13(spark, d):
+    rows = src.events(spark, d).select(process(), F.col("time_ms").alias("ms"), "ord", F.concat_ws("/", "screen", "owner", "flow", "step").alias("context"))
+    return op.replay(rows, ["process_id"], op.steps.Changes(), DAY_MS)
+
+
+@query("w04_capped_log_windows", sql(SPAM_SQL, body="""
+SELECT process_id, window_ms, key, CAST(sum(n) AS BIGINT) AS sum, count(*) AS count, max(n) AS max, 0::BIGINT AS lost, 0::BIGINT AS invalid FROM r WHERE nth <= 3 GROUP BY ALL
+UNION ALL SELECT process_id, window_ms, NULL, 0::BIGINT, 0::BIGINT, NULL, count(*), 0::BIGINT FROM r WHERE nth > 3 GROUP BY process_id, window_ms""").replace("\nSELECT process_id, window_ms, key", """,
+f AS (SELECT user_id AS process_id, time_ms // 86400000 * 86400000 AS window_ms, log_source || '/' || level AS key, min({'a': time_ms, 'b': ord}) AS first FROM spam GROUP BY ALL),
+g AS (SELECT *, row_number() OVER (PARTITION BY process_id, window_ms ORDER BY first) AS nth FROM f),
+r AS (SELECT g.process_id, g.window_ms, g.key, g.nth, s.n FROM spam s JOIN g ON s.user_id = g.process_id AND s.time_ms // 86400000 * 86400000 = g.window_ms AND s.log_source || '/' || s.level = g.key)
+SELECT process_id, window_ms, key""", 1))
+def w04_capped(spark, d):
+    """Windows of a day and three keys, so that the table has windows with losses."""
+    spam = src.log_spam(spark, d).select(process(), F.col("time_ms").alias("ms"), "ord", F.concat_ws("/", "log_source", "level").alias("key"), F.col("n").cast("bigint").alias("value"))
+    return op.capped_windows(spam, 3, DAY_MS, DAY_MS)
 
 
 @query("w14_flow_scopes")
 def w14(spark, d):
     """Scopes are stacks, which have no SQL; tests hold them against worked cases."""
     k = F.col("k")
-    return op.flow_scopes(src.events(spark, d).select(process(), (k % 2).cast("bigint").alias("thread_id"), F.col("time_ms").alias("ms"), F.when(k % 3 == 0, "start").when(k % 3 == 1, "step").otherwise("end").alias("op"), F.concat(F.lit("n"), (k % 5).cast("string")).alias("name")))
+    rows = src.events(spark, d).select(process(), (k % 2).cast("bigint").alias("thread_id"), F.col("time_ms").alias("ms"), "ord", F.when(k % 3 == 0, "start").when(k % 3 == 1, "step").otherwise("end").alias("op"), F.concat(F.lit("n"), (k % 5).cast("string")).alias("name"))
+    return op.flow_scopes(rows, DAY_MS)

@@ -1,4 +1,4 @@
-"""Streaming pre-aggregators: the W family as Structured Streaming jobs.
+"""Pre-aggregators of raw signals: the W family as Structured Streaming jobs and as batches.
 
 Each function takes and returns a DataFrame, streaming or not; event time is ``ts``.  Late rows beyond the watermark are
 dropped by Spark and show in the query's progress as numRowsDroppedByWatermark.
@@ -6,14 +6,14 @@ dropped by Spark and show in the query's progress as numRowsDroppedByWatermark.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed values of the collectors: metric and log windows, retention delay, frame window in ms, slow HTTP, wrapped work.
-WINDOW, DELAY_S, FRAME_WINDOW_MS, HTTP_SLOW_MS, WRAPPED_MS = "5 seconds", 5, 1000, 1000, 250
+from fleetpulse.streaming import steps
+from fleetpulse.streaming.stateful import IDLE_MS, replay
+
+#: Fixed values of the collectors: metric and log windows, retention delay, slow HTTP, wrapped work.
+WINDOW, DELAY_S, HTTP_SLOW_MS, WRAPPED_MS = "5 seconds", 5, 1000, 250
 
 
 def metric_windows(samples: DataFrame, late: str = "10 seconds") -> DataFrame:
@@ -34,17 +34,42 @@ def method_counters(spans: DataFrame, late: str = "10 seconds") -> DataFrame:
     return spans.filter("op = 'enter'").withWatermark("ts", late).groupBy(F.window("ts", WINDOW).alias("w"), "process_id", "method_id").agg(F.count(F.lit(1)).alias("calls"))
 
 
+def first_watches(watched: DataFrame, late: str = "10 seconds") -> DataFrame:
+    """An object that is watched again while it is watched counts once."""
+    if watched.isStreaming:
+        return watched.withWatermark("ts", late).dropDuplicatesWithinWatermark(["object_id"])
+    return watched.groupBy("object_id").agg(F.min_by(F.struct(*watched.columns), "ts").alias("w")).select("w.*").withWatermark("ts", late)
+
+
 def retained_objects(watched: DataFrame, cleared: DataFrame, late: str = "10 seconds") -> DataFrame:
     """Objects that were not cleared within the delay after they were watched: a left outer stream join.
 
     watched has object_id, ts and its class and owner; cleared has object_id and ts.
     """
-    w = watched.withWatermark("ts", late).alias("w")
+    w = first_watches(watched, late).alias("w")
     c = cleared.select(F.col("object_id").alias("c_id"), F.col("ts").alias("c_ts")).withWatermark("c_ts", late).alias("c")
     on = (F.col("w.object_id") == F.col("c_id")) & F.col("c_ts").between(F.col("w.ts"), F.col("w.ts") + F.expr(f"interval {DELAY_S} seconds"))
     return w.join(c, on, "leftOuter").filter("c_id is null").drop("c_id", "c_ts")
 
 
+#: Evidence of retention, weakest first.
+EVIDENCE = ["time_only", "gc_requested", "confirmed"]
+
+
+def retained_groups(objects: DataFrame, keys: int = steps.WINDOW_KEYS) -> DataFrame:
+    """Retained objects (ts, process_id, class, owner, evidence) of a window by class and owner: count and weakest evidence.
+
+    A window reports the first ``keys`` groups by name; the objects of all others are its losses, in a row without a class.
+    """
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, EVIDENCE)), F.col("evidence")), F.lit(0))
+    w = objects.groupBy(F.window("ts", WINDOW).alias("w"), "process_id", "class", "owner").agg(F.count(F.lit(1)).alias("count"), F.min_by("evidence", rank).alias("evidence"))
+    group = F.struct("class", "owner", "count", "evidence")
+    whole = w.groupBy("w", "process_id").agg(F.sort_array(F.collect_list(group)).alias("groups"))  # an object is one row, so a window of 5 s bounds the list
+    lost = F.aggregate(F.slice("groups", keys + 1, 1 << 30), F.lit(0).cast("bigint"), lambda n, g: n + g["count"])
+    rest = F.when(F.size("groups") > keys, F.array(F.struct(F.lit(None).cast("string").alias("class"), F.lit(None).cast("string").alias("owner"), lost.alias("count"), F.lit(None).cast("string").alias("evidence")))).otherwise(F.array().cast("array<struct<class:string,owner:string,count:bigint,evidence:string>>"))
+    return whole.select("w", "process_id", F.inline(F.concat(F.slice("groups", 1, keys), rest)))
+
+
 def ui_problem() -> Column:
     """Windows that count as janky."""
     return (F.col("jank") > 0) | (F.col("p95_ms") >= 32)
@@ -60,98 +85,26 @@ def wrapped_problem() -> Column:
     return F.col("failed") | (F.col("duration_ms") >= WRAPPED_MS)
 
 
-# ---- stateful by arrival: the same step functions serve batches and streams ---------------------------------------
-
-
-def frame_step(state: dict | None, screen: str, ms: int, duration: int, jank: bool) -> tuple[dict, tuple | None]:
-    """Add one frame; a window closes at the first frame FRAME_WINDOW_MS after its start or on another screen."""
-    out = None
-    if state and (state["screen"] != screen or ms - state["start"] >= FRAME_WINDOW_MS):
-        d = sorted(state["d"])
-        at = lambda p: d[(len(d) - 1) * p // 100]
-        out = (state["screen"], state["start"], max(1, ms - state["start"]), len(d), state["jank"], at(50), at(95), at(99), d[-1])
-        state = None
-    if state is None:
-        state = {"screen": screen, "start": ms, "jank": 0, "d": []}
-    state["d"].append(duration)
-    state["jank"] += bool(jank)
-    return state, out
-
-
-FRAME_SCHEMA = "process_id bigint, screen string, start_ms bigint, window_ms bigint, frames bigint, jank bigint, p50_ms bigint, p95_ms bigint, p99_ms bigint, max_ms bigint"
+# ---- in order of arrival: batches of the steps; ``stateful.follow`` runs the same steps over streams --------------------
 
 
-def significant(last: dict | None, row: dict, limits: dict[str, float], every_ms: int = 60_000) -> bool:
-    """A sample is kept if it differs enough from the last kept one, or a minute has passed."""
-    return last is None or row["ms"] - last["ms"] >= every_ms or any(abs(row[c] - last[c]) >= d for c, d in limits.items())
+def frame_windows(frames: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+    """W01 over a batch (process_id, ms, ord, screen, duration_ms, is_jank)."""
+    return replay(frames, ["process_id"], steps.Frames(), idle_ms)
 
 
-def call_edges(state: list, op: str, method: int, ms: int) -> tuple[list, tuple | None, int]:
-    """A stack of (method, start); leaving pops to the matching frame, others above it count as mismatches."""
-    if op == "enter":
-        return [*state, (method, ms)], None, 0
-    for k in range(len(state) - 1, -1, -1):
-        if state[k][0] == method:
-            parent = state[k - 1][0] if k else None
-            return state[:k], (parent, method, ms - state[k][1]), len(state) - 1 - k
-    return state, None, 1
+def call_graph(spans: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+    """W05 over a batch (process_id, thread_id, ms, ord, op, method_id): edges with count, total and largest duration; exits
+    that matched no top frame are counted in a row without a caller."""
+    key = ["process_id", "thread_id"]
+    seen = replay(spans, key, steps.Calls(), idle_ms)
+    return seen.groupBy(*key, "caller", F.when(~F.col("mismatch"), F.col("callee")).alias("callee")).agg(
+        F.count(F.lit(1)).alias("count"), F.coalesce(F.sum("took_ms"), F.lit(0)).alias("total_ms"), F.coalesce(F.max("took_ms"), F.lit(0)).alias("max_ms"))
 
 
-def by_process(step: Callable[[pd.DataFrame], pd.DataFrame], rows: DataFrame, keys: list[str], schema: str) -> DataFrame:
-    """A step function over each process's rows in arrival order, as a batch."""
-    return rows.groupBy(*keys).applyInPandas(lambda pdf: step(pdf.sort_values("ms", kind="stable")), schema)
-
-
-def frame_windows(frames: DataFrame) -> DataFrame:
-    """W01 over a batch (process_id, ms, screen, duration_ms, is_jank); the open window at the end is closed."""
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = None, []
-        for r in pdf.itertuples(index=False):
-            state, done = frame_step(state, r.screen, int(r.ms), int(r.duration_ms), r.is_jank)
-            if done:
-                out.append((r.process_id, *done))
-        if state:
-            _, done = frame_step(state, "\0", int(pdf["ms"].iloc[-1]), 0, False)
-            out.append((pdf["process_id"].iloc[0], *done))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in FRAME_SCHEMA.split(", ")])
-
-    return by_process(step, frames, ["process_id"], FRAME_SCHEMA)
-
-
-def frame_windows_stream(frames: DataFrame) -> DataFrame:
-    """W01 over a stream: the open window of each process is the state."""
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        import json
-
-        now = json.loads(state.get[0]) if state.exists else None
-        out = []
-        for pdf in batches:
-            for r in pdf.sort_values("ms", kind="stable").itertuples(index=False):
-                now, done = frame_step(now, r.screen, int(r.ms), int(r.duration_ms), r.is_jank)
-                if done:
-                    out.append((key[0], *done))
-        state.update((json.dumps(now),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in FRAME_SCHEMA.split(", ")])
-
-    return frames.groupBy("process_id").applyInPandasWithState(step, FRAME_SCHEMA, "open string", "append", "NoTimeout")
-
-
-EDGE_SCHEMA = "process_id bigint, thread_id bigint, caller bigint, callee bigint, count bigint, total_ms bigint, max_ms bigint"
-
-
-def call_graph(spans: DataFrame) -> DataFrame:
-    """W05 over a batch (process_id, thread_id, ms, op, method_id): edges with count, total and largest duration."""
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        stack, edges = [], []
-        for r in pdf.itertuples(index=False):
-            stack, edge, _ = call_edges(stack, r.op, int(r.method_id), int(r.ms))
-            if edge and edge[0] is not None:
-                edges.append(edge)
-        e = pd.DataFrame(edges, columns=["caller", "callee", "ms"]).groupby(["caller", "callee"])["ms"].agg(["count", "sum", "max"]).reset_index()
-        e.columns = ["caller", "callee", "count", "total_ms", "max_ms"]
-        return e.assign(process_id=pdf["process_id"].iloc[0], thread_id=pdf["thread_id"].iloc[0])[[c.split()[0] for c in EDGE_SCHEMA.split(", ")]]
-
-    return by_process(step, spans, ["process_id", "thread_id"], EDGE_SCHEMA)
+def capped_windows(rows: DataFrame, keys: int = steps.WINDOW_KEYS, window_ms: int = steps.WINDOW_MS, idle_ms: int = IDLE_MS) -> DataFrame:
+    """W03, W04 over a batch (process_id, ms, ord, key, value) with the cap on keys of a window and the row of its losses."""
+    return replay(rows, ["process_id"], steps.CappedWindows(keys, window_ms), idle_ms)
 
 
 # ---- pairings and deltas by order of arrival ---------------------------------------------------------------------------
@@ -168,8 +121,11 @@ def http_calls(phases: DataFrame) -> DataFrame:
     """One row for each call of its phase events (call_id, phase, part, key, ms, ord, bytes, failed).
 
     part is start or end.  DNS and connect attempts pair first in, first out by their key; the call starts with its first
-    event, ends with its first terminal one (phase ``call``, part ``end``), and failed if that or a phase did.
+    event, ends with its first terminal one (phase ``call``, part ``end``), and failed if that or a phase did.  What comes
+    after that end is ignored.  ``steps.HttpCalls`` is the same over a stream, with calls that never end.
     """
+    over = F.min(F.when((F.col("phase") == "call") & (F.col("part") == "end"), F.struct("ms", "ord"))).over(Window.partitionBy("call_id"))
+    phases = phases.withColumn("over", over).filter(F.col("over").isNull() | (F.struct("ms", "ord") <= F.col("over"))).drop("over")
     attempt = F.row_number().over(Window.partitionBy("call_id", "phase", "key", "part").orderBy("ms", "ord"))
     pairs = phases.filter(F.col("phase").isin("dns", "connect")).withColumn("attempt", attempt)
     at = lambda part: F.max(F.when(F.col("part") == part, F.col("ms")))
@@ -245,36 +201,14 @@ def latest_snapshots(segments: DataFrame) -> DataFrame:
     return segments.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def kept_samples(rows: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """W12 over a batch (process_id, ms and the columns of ``limits``): samples that differ from the last kept one."""
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, keep = None, []
-        for i, r in enumerate(pdf.to_dict("records")):
-            if significant(last, r, limits):
-                last = r
-                keep.append(i)
-        return pdf.iloc[keep]
-
-    return by_process(step, rows, ["process_id"], rows.schema.simpleString()[7:-1].replace(":", " "))
-
-
-def flow_scopes(rows: DataFrame) -> DataFrame:
-    """W14 over a batch (process_id, thread_id, ms, op, name): the flow and step after each start, step or end; an end
-    restores what its start replaced, an end without a start changes nothing."""
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        stack, now, out = [], ("", ""), []
-        for r in pdf.itertuples(index=False):
-            if r.op == "start":
-                stack.append(now)
-                now = (r.name, "")
-            elif r.op == "step":
-                now = (now[0], r.name)
-            elif stack:
-                now = stack.pop()
-            out.append((r.process_id, r.thread_id, r.ms, r.op, *now))
-        return pd.DataFrame(out, columns=["process_id", "thread_id", "ms", "op", "flow", "step"])
-
-    return by_process(step, rows, ["process_id", "thread_id"], "process_id bigint, thread_id bigint, ms bigint, op string, flow string, step string")
+def kept_samples(rows: DataFrame, limits: dict[str, int], marks: list[str] = [], flags: list[str] = [], idle_ms: int = IDLE_MS) -> DataFrame:  # noqa: B006
+    """W12 over a batch (process_id, ms, ord and the named columns): samples that differ from the last kept one."""
+    return replay(rows, ["process_id"], steps.Samples(limits, marks, flags), idle_ms)
+
+
+def flow_scopes(rows: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+    """W14 over a batch (process_id, thread_id, ms, ord, op, name): the flow and step after each start, step or end."""
+    return replay(rows, ["process_id", "thread_id"], steps.Scopes(), idle_ms)
 
 
 # ---- W21: inspection of a stream -----------------------------------------------------------------------------------------

@@ -38,32 +38,22 @@ def test_retained_objects(spark, tmp_path):
     assert sorted(r["class"] for r in w.retained_objects(watched, cleared).collect()) == ["B", "C"]
 
 
-def test_frame_windows_batch_and_stream_agree(spark, tmp_path):
-    rows = [(1, i * 100, "A" if i < 25 else "B", 10 + i % 40, i % 9 == 0) for i in range(40)]
-    schema = "process_id bigint, ms bigint, screen string, duration_ms bigint, is_jank boolean"
-    batch = [tuple(r) for r in w.frame_windows(spark.createDataFrame(rows, schema)).collect()]
-    assert [(r[1], r[2], r[4]) for r in sorted(batch, key=lambda r: r[2])] == [("A", 0, 10), ("A", 1000, 10), ("A", 2000, 5), ("B", 2500, 10), ("B", 3500, 5)]
-    src = str(tmp_path / "frames")
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(src)
-    q = (w.frame_windows_stream(spark.readStream.schema(schema).parquet(src)).writeStream.format("memory").queryName("frames").outputMode("append")
-         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
-    q.awaitTermination(120)
-    assert sorted(map(tuple, spark.table("frames").collect())) == sorted(batch)[:len(batch) - 1]  # the last window is still open
-
-
-def test_call_edges(spark):
-    rows = [(1, 1, 0, "enter", 10), (1, 1, 5, "enter", 20), (1, 1, 8, "enter", 30), (1, 1, 9, "exit", 20), (1, 1, 12, "exit", 10), (1, 1, 13, "exit", 99)]
-    got = w.call_graph(spark.createDataFrame(rows, "process_id bigint, thread_id bigint, ms bigint, op string, method_id bigint")).collect()
-    assert [(r["caller"], r["callee"], r["count"], r["total_ms"]) for r in got] == [(10, 20, 1, 4)]
-    assert w.call_edges([(1, 0), (2, 1)], "exit", 1, 5)[2] == 1
-
-
-def test_significant_samples():
-    limits = {"pss_kb": 4096}
-    assert w.significant(None, {"ms": 0, "pss_kb": 1}, limits)
-    assert not w.significant({"ms": 0, "pss_kb": 1}, {"ms": 10, "pss_kb": 4000}, limits)
-    assert w.significant({"ms": 0, "pss_kb": 1}, {"ms": 10, "pss_kb": 4097}, limits)
-    assert w.significant({"ms": 0, "pss_kb": 1}, {"ms": 60_000, "pss_kb": 1}, limits)
+def test_watches_count_once_and_groups_are_capped(spark, tmp_path):
+    schema = "object_id bigint, ts timestamp, class string, owner string, process_id bigint, evidence string"
+    rows = [(1, at(0), "A", "x", 1, "confirmed"), (1, at(1), "A", "x", 1, "confirmed"), (2, at(2), "A", "x", 1, "time_only"), (3, at(3), "B", "x", 1, "confirmed"), (4, at(4), "C", "x", 1, "confirmed"), (5, at(4), "C", "x", 1, "gc_requested")]
+    job = lambda df: w.retained_groups(w.retained_objects(df, spark.createDataFrame([(4, at(5))], "object_id bigint, ts timestamp") if not df.isStreaming else df.filter("false").select("object_id", "ts")), 2)
+    got = [tuple(r)[2:] for r in job(spark.createDataFrame(rows, schema)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [("A", "x", 2, "time_only"), ("B", "x", 1, "confirmed"), (None, None, 1, None)]))
+    one = spark.createDataFrame(rows, schema)
+    assert sorted(r["object_id"] for r in w.first_watches(one).collect()) == [1, 2, 3, 4, 5]
+    seen = run(spark, tmp_path, rows, schema, w.first_watches, "watches")
+    assert sorted(r["object_id"] for r in seen if r["object_id"] < 10 ** 9) == [1, 2, 3, 4, 5]
+
+
+def test_call_graph_counts_edges_and_mismatches(spark):
+    rows = [(1, 1, 0, 0, "enter", 10), (1, 1, 5, 1, "enter", 20), (1, 1, 8, 2, "exit", 20), (1, 1, 9, 3, "enter", 20), (1, 1, 12, 4, "exit", 20), (1, 1, 13, 5, "exit", 99)]
+    got = w.call_graph(spark.createDataFrame(rows, "process_id bigint, thread_id bigint, ms bigint, ord bigint, op string, method_id bigint")).collect()
+    assert sorted(map(str, [(r["caller"], r["callee"], r["count"], r["total_ms"], r["max_ms"]) for r in got])) == ["(10, 20, 2, 6, 3)", "(None, None, 1, 0, 0)"]
 
 
 def test_projections(spark):
