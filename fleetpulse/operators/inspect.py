@@ -157,11 +157,13 @@ def retained_by_class(retained: DataFrame) -> DataFrame:
     return retained.groupBy("run_set", "class").agg(F.sum("n").cast("bigint").alias("count"), F.max("age_ms").alias("max_age_ms"))
 
 
+def age_bucket(a: Column) -> Column:
+    return F.when(a < 10000, "<10s").when(a < 30000, "10-30s").when(a < 60000, "30-60s").otherwise(">=60s")
+
+
 def retained_by_age(retained: DataFrame) -> DataFrame:
     """A17, by age."""
-    a = F.col("age_ms")
-    bucket = F.when(a < 10000, "<10s").when(a < 30000, "10-30s").when(a < 60000, "30-60s").otherwise(">=60s")
-    return retained.groupBy("run_set", bucket.alias("age")).agg(F.sum("n").cast("bigint").alias("count"))
+    return retained.groupBy("run_set", age_bucket(F.col("age_ms")).alias("age")).agg(F.sum("n").cast("bigint").alias("count"))
 
 
 def mix(rows: DataFrame, col: str) -> DataFrame:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetpulse.register import query
+from fleetpulse.functions import text
+from fleetpulse.plans.evidence_queries import segments
+from fleetpulse.plans.inspect_queries import problems
+from fleetpulse.register import ORACLES, query
 from fleetpulse.sources import adapter as src
 from fleetpulse.sources.adapter import METRIC_SQL, SPAM_SQL, sql
+from fleetpulse.streaming import incremental
 from fleetpulse.streaming import windows as op
 
 
@@ -124,14 +128,6 @@ def w20(spark, d):
     return op.latest_snapshots(src.events(spark, d).select(F.concat_ws("/", "owner", "source").alias("source"), F.col("k").alias("sequence"), F.col("ord").alias("bytes"), (F.col("k") % 2 == 0).alias("sealed")).distinct())
 
 
-@query("w21_incremental_routes", sql(body="SELECT run_set, route, count(*) AS count, count(*) FILTER (failed) AS failures, quantile_disc(dur, 0.95) AS p95_ms, max(dur) AS max_ms FROM ctx WHERE type = 'http' GROUP BY ALL"))
-def w21(spark, d):
-    """Two batches, told apart by event number, merge to what one pass gives."""
-    h = src.of_type(spark, d, "http")
-    odd = F.col("ord") % 2 == 1
-    return op.route_totals(op.merged_partials(op.route_partials(h.filter(odd)), op.route_partials(h.filter(~odd))))
-
-
 @query("w19_wrapped_problems_job", sql(body="SELECT source, owner, count(*) AS calls, count(*) FILTER (failed OR dur >= 250) AS problems, count(*) FILTER (dur >= 1000) AS slow FROM ctx WHERE type = 'http' GROUP BY ALL"))
 def w19(spark, d):
     h = src.of_type(spark, d, "http").withColumn("duration_ms", F.col("dur"))
@@ -192,3 +188,27 @@ def w14(spark, d):
     k = F.col("k")
     rows = src.events(spark, d).select(process(), (k % 2).cast("bigint").alias("thread_id"), F.col("time_ms").alias("ms"), "ord", F.when(k % 3 == 0, "start").when(k % 3 == 1, "step").otherwise("end").alias("op"), F.concat(F.lit("n"), (k % 5).cast("string")).alias("name"))
     return op.flow_scopes(rows, DAY_MS)
+
+
+def views(raw):
+    """The views that incremental inspection reads, over rows of the event table (all, or a batch)."""
+    spark = raw.sparkSession
+    spam = src.log_spam(spark, raw)
+    return {"events": src.events(spark, raw), "http": src.of_type(spark, raw, "http"), "ui": src.ui_windows(spark, raw), "stalls": src.stalls(spark, raw), "retained": src.retained(spark, raw), "spam": spam,
+            "spam_named": spam.withColumn("level", text.level_name(F.col("level"))), "calls": src.calls(spark, raw), "device": src.device(spark, raw), "metrics": src.metrics(spark, raw), "problems": problems(spark, raw), "segments": segments(spark, raw)}
+
+
+def _incremental(name):
+    @query(f"w21_{name}", ORACLES[name])
+    def w21(spark, d):
+        """Three batches, told apart by event number, merge to what one pass gives."""
+        raw = spark.read.parquet(f"{d}/events.parquet")
+        family = incremental.FAMILIES[name]
+        parts = [incremental.merged(family.partial(name, views(raw.filter(F.col("event_id") % 3 == i)))) for i in range(3)]
+        return incremental.result(incremental.merged(parts[0].unionByName(parts[1]).unionByName(parts[2])), name)
+
+    return w21
+
+
+for _name in incremental.FAMILIES:
+    _incremental(_name)

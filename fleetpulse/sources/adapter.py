@@ -23,9 +23,12 @@ CTX_SQL = """ctx AS (
 SQL = f"WITH {TEL_SQL}, {CTX_SQL}"
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """run_set, source, ord, time_ms, type, failed, k, dur, user_id, route, screen, owner, flow, step."""
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+def events(spark: SparkSession, sf_dir: str | DataFrame) -> DataFrame:
+    """run_set, source, ord, time_ms, type, failed, k, dur, user_id, route, screen, owner, flow, step.
+
+    ``sf_dir`` is the tables' folder or, here as in all views, rows of the event table themselves (a batch of a stream).
+    """
+    raw = sf_dir if isinstance(sf_dir, DataFrame) else spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.when(F.col("event_type").isin("purchase", "error"), "http").when(F.col("event_type") == "view", "ui").when(F.col("event_type") == "click", "call").otherwise("memory")
     tel = raw.select(

@@ -209,35 +209,3 @@ def kept_samples(rows: DataFrame, limits: dict[str, int], marks: list[str] = [],
 def flow_scopes(rows: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
     """W14 over a batch (process_id, thread_id, ms, ord, op, name): the flow and step after each start, step or end."""
     return replay(rows, ["process_id", "thread_id"], steps.Scopes(), idle_ms)
-
-
-# ---- W21: inspection of a stream -----------------------------------------------------------------------------------------
-
-
-def route_partials(events: DataFrame) -> DataFrame:
-    """What merges of a batch of calls: how often each route had each duration, and failed with it."""
-    return events.groupBy("run_set", "route", "dur").agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("failures"))
-
-
-def merged_partials(*parts: DataFrame) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("run_set", "route", "dur").agg(F.sum("n").alias("n"), F.sum("failures").alias("failures"))
-
-
-def route_totals(partials: DataFrame) -> DataFrame:
-    """Counts, failures, exact nearest-rank p95 and maximum of each route, from merged partials."""
-    w = Window.partitionBy("run_set", "route")
-    upto = F.sum("n").over(w.orderBy("dur"))
-    r = partials.select("*", upto.alias("upto"), F.sum("n").over(w).alias("all"))
-    p95 = F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * 0.95), F.col("dur")))
-    return r.groupBy("run_set", "route").agg(F.sum("n").alias("count"), F.sum("failures").alias("failures"), p95.alias("p95_ms"), F.max("dur").alias("max_ms"))
-
-
-def inspect_stream(events: DataFrame, path: str):
-    """W21 as a job: each micro-batch adds its partials to the table at ``path``; a batch that is run again replaces its own."""
-    def add(batch: DataFrame, number: int) -> None:
-        route_partials(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return events.writeStream.foreachBatch(add)
