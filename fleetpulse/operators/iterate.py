@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from fleetpulse.functions.staging import cut
 
 
-def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 1000, bounded: bool = False) -> DataFrame:
     """(g, node, root, parent, label, depth) of all nodes that roots (g, node) reach over edges (g, src, dst, label).
 
-    The parent is the least (root, node, label) of the first round that reaches the node.
+    The parent is the least (root, node, label) of the first round that reaches the node.  A search that hasn't ended after
+    ``rounds`` fails, unless it is to be ``bounded`` by them.
     """
     start = roots.select("g", "node").distinct()
     front = cut(start.select("g", "node", F.col("node").alias("root"), F.lit(None).cast("bigint").alias("parent"), F.lit(None).cast("string").alias("label"), F.lit(0).alias("depth")), "front")
@@ -26,8 +27,10 @@ def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 1000) -> DataFra
         fresh = best.join(seen.select("g", "node"), ["g", "node"], "left_anti")
         front = cut(fresh.select("g", "node", "b.root", F.col("b.src").alias("parent"), "b.label", F.lit(depth).alias("depth")), "front")
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(front)
+    if not bounded:
+        raise RuntimeError(f"the search didn't end in {rounds} rounds")
     return seen
 
 
@@ -41,38 +44,78 @@ def bounded(edges: DataFrame, roots: DataFrame, blocked: DataFrame, rounds: int)
     """(g, node, depth) reached in ``rounds`` steps without the blocked nodes."""
     b = blocked.select("g", "node").distinct()
     open_ = edges.join(b.withColumnRenamed("node", "src"), ["g", "src"], "left_anti").join(b.withColumnRenamed("node", "dst"), ["g", "dst"], "left_anti")
-    return reachable(open_, roots.join(b, ["g", "node"], "left_anti"), rounds).select("g", "node", "depth")
+    return reachable(open_, roots.join(b, ["g", "node"], "left_anti"), rounds, True).select("g", "node", "depth")
+
+
+def dominators(edges: DataFrame, roots: DataFrame, depth: int = 256, rounds: int = 1000) -> DataFrame:
+    """(g, node, chain, exact): the nodes on every way from the roots to a node, outermost first, itself last.
+
+    A node's chain is what its reached predecessors' chains have in common, and itself; for arrays that is what the least
+    and the greatest of them have in common, two aggregates with map-side partials.  A round looks again only at nodes
+    with a predecessor whose chain changed, so work follows the edges.  The budget bounds chains to ``depth`` nodes:
+    deeper nodes keep their outermost dominators and are not exact, nor are nodes whose chains still change after
+    ``rounds``.
+    """
+    e = edges.select("g", "src", "dst").filter("src <> dst").distinct()
+    fixed = roots.select("g", "node").distinct().withColumn("root", F.lit(True))
+    e = cut(e.join(fixed.select("g", F.col("node").alias("dst")), ["g", "dst"], "left_anti"), "edges")  # nothing dominates a root
+    chains = cut(fixed.select("g", "node", F.array("node").alias("chain")), "chains")
+    front = chains.select("g", "node")
+    for _ in range(rounds):
+        touched = e.join(front.select("g", F.col("node").alias("src")), ["g", "src"], "left_semi").select("g", "dst").distinct()
+        into = e.join(touched, ["g", "dst"], "left_semi").join(chains.select("g", F.col("node").alias("src"), "chain"), ["g", "src"])
+        ends = into.groupBy("g", F.col("dst").alias("node")).agg(F.min("chain").alias("a"), F.max("chain").alias("b"))
+        same = F.transform(F.arrays_zip("a", "b"), lambda x: F.coalesce(x["a"] == x["b"], F.lit(False)))
+        common = F.when(F.array_position(same, False) > 0, F.slice("a", 1, F.array_position(same, False).cast("int") - 1)).otherwise(F.slice("a", 1, F.size("a")))
+        found = ends.select("g", "node", F.slice(F.concat(common, F.array("node")), 1, depth).alias("chain"))
+        new = cut(found.join(chains.withColumnRenamed("chain", "was"), ["g", "node"], "left").filter(~F.col("chain").eqNullSafe(F.col("was"))).select("g", "node", "chain"), "changed")
+        front = new.select("g", "node")
+        if front.isEmpty():
+            break
+        chains = cut(chains.join(front, ["g", "node"], "left_anti").unionByName(new), "chains")
+    out = chains.join(front.withColumn("open", F.lit(True)), ["g", "node"], "left")
+    return out.select("g", "node", "chain", (F.col("open").isNull() & (F.element_at("chain", -1) == F.col("node"))).alias("exact"))
 
 
-def _reached_past(edges: DataFrame, seeds: DataFrame, avoid: bool, rounds: int) -> DataFrame:
-    """(g, target, node) that each target's seeds reach; with ``avoid`` never by the target.  Edges aren't copied for
-    targets: a frontier row carries its target."""
-    front = cut(seeds.select("g", "target", "node").distinct(), "front")
+def retained(edges: DataFrame, roots: DataFrame, targets: DataFrame, nodes: DataFrame, depth: int = 256, rounds: int = 1000, most: int = 8) -> DataFrame:
+    """What a target (g, node) alone keeps alive: the nodes it dominates, itself included; nodes has (g, node, size, class).
+
+    One dominator tree answers for all targets: a node counts for the targets in its chain.  A target beyond the budget,
+    or with a node below it that is, falls back to itself alone and is not exact.  Targets that no root reaches keep what
+    they reach and no root does.  ``classes`` has the ``most`` most frequent classes, the least name first among equals.
+    """
+    t = targets.select("g", F.col("node").alias("target")).distinct()
+    tree = cut(dominators(edges, roots, depth, rounds), "dominators")
+    under = tree.select("g", "node", "exact", F.explode("chain").alias("target")).join(t, ["g", "target"])
+    dead = t.join(tree.select("g", F.col("node").alias("target")), ["g", "target"], "left_anti")
+    open_ = edges.join(tree.select("g", F.col("node").alias("dst")), ["g", "dst"], "left_anti")
+    under = under.unionByName(_reached(open_, dead, rounds).withColumn("exact", F.lit(True)))
+    below = t.join(under, ["g", "target"], "left").select("g", "target", F.coalesce("node", "target").alias("node"), F.coalesce("exact", F.lit(False)).alias("exact"))
+    whole = below.groupBy("g", "target").agg(F.bool_and("exact").alias("whole"))
+    kept = below.join(whole, ["g", "target"]).filter(F.col("whole")).select("g", "target", "node", "whole").unionByName(whole.filter(~F.col("whole")).select("g", "target", F.col("target").alias("node"), "whole"))
+    by_class = kept.join(nodes.select("g", "node", "size", "class"), ["g", "node"]).groupBy("g", "target", "whole", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    w = Window.partitionBy("g", "target").orderBy(F.desc("n"), "class")
+    top = by_class.withColumn("rank", F.row_number().over(w))
+    named = F.transform(F.sort_array(F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", "class", "n")))), lambda x: F.concat(x["class"], F.lit(" x "), x["n"].cast("string")))
+    out = top.groupBy("g", "target", "whole").agg(F.sum("n").alias("objects"), F.sum("bytes").alias("bytes"), named.alias("classes"))
+    return out.select(F.col("g").cast("string").alias("graph"), "target", "objects", "bytes", "classes", F.col("whole").alias("exact"))
+
+
+def _reached(edges: DataFrame, targets: DataFrame, rounds: int) -> DataFrame:
+    """(g, target, node) that each of the targets reaches, itself included."""
+    front = cut(targets.select("g", "target", F.col("target").alias("node")), "front")
     seen = front
     for k in range(rounds):
-        step = front.withColumnRenamed("node", "src").join(edges.select("g", "src", "dst"), ["g", "src"]).select("g", "target", F.col("dst").alias("node")).distinct()
-        step = step.filter("node <> target") if avoid else step
-        front = cut(step.join(seen, ["g", "target", "node"], "left_anti"), "front")
         if front.isEmpty():
             return seen
+        step = front.withColumnRenamed("node", "src").join(edges.select("g", "src", "dst"), ["g", "src"]).select("g", "target", F.col("dst").alias("node")).distinct()
+        front = cut(step.join(seen, ["g", "target", "node"], "left_anti"), "front")
         seen = seen.unionByName(front)
         if k % 8 == 7:
             seen = cut(seen, "seen")  # few files to read in the next rounds
     raise RuntimeError(f"the search didn't end in {rounds} rounds")
 
 
-def retained(edges: DataFrame, roots: DataFrame, targets: DataFrame, sizes: DataFrame, rounds: int = 1000) -> DataFrame:
-    """What a target (g, node) alone keeps alive: reached from it, but not from the roots without it.
-
-    Both searches run for all targets at once; sizes has (g, node, size).
-    """
-    t = targets.select("g", F.col("node").alias("target")).distinct()
-    own = _reached_past(edges, t.select("g", "target", F.col("target").alias("node")), False, rounds)
-    other = _reached_past(edges, roots.join(t, "g").filter(F.col("node") != F.col("target")), True, rounds)
-    kept = own.join(other, ["g", "target", "node"], "left_anti")
-    return kept.join(sizes.select("g", "node", "size"), ["g", "node"]).groupBy(F.col("g").cast("string").alias("graph"), "target").agg(F.count(F.lit(1)).alias("objects"), F.sum("size").alias("bytes"))
-
-
 def alternative_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame, most: int = 3, states: int = 6000, steps: int = 48) -> DataFrame:
     """Up to ``most`` paths from roots to each target, the shortest first, then the least; found backwards.
 
@@ -123,8 +166,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 60) -> Da
         new = cut(new.select("g", "source", "node", "b.cost", "b.path", (F.col("o").isNull() | ~F.col("b").eqNullSafe(F.col("o"))).alias("better")), "costs")
         best, front = new.drop("better"), new.filter("better").drop("better")
         if front.isEmpty():
-            break
-    return best
+            return best
+    raise RuntimeError(f"costs still improve after {rounds} rounds")
 
 
 def _spread(edges: DataFrame, labels: DataFrame, rounds: int) -> DataFrame:
@@ -135,8 +178,8 @@ def _spread(edges: DataFrame, labels: DataFrame, rounds: int) -> DataFrame:
         after = cut(after.groupBy("g", "node").agg(F.min("label").alias("label"), F.max("was").alias("was")), "labels")
         labels = after.select("g", "node", "label")
         if after.filter("label <> was").isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"labels still spread after {rounds} rounds")
 
 
 def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
@@ -158,6 +201,6 @@ def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
         done = found if done is None else done.unionByName(found)
         nodes = cut(nodes.join(found.select("g", "node"), ["g", "node"], "left_anti"), "nodes")
         if nodes.isEmpty():
-            break
+            return done
         left = cut(left.join(nodes.select("g", F.col("node").alias("src")), ["g", "src"], "left_semi").join(nodes.select("g", F.col("node").alias("dst")), ["g", "dst"], "left_semi"), "edges")
-    return done
+    raise RuntimeError(f"components are left after {rounds} rounds")

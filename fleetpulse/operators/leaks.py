@@ -178,6 +178,14 @@ def best_evidence(suspects: DataFrame, leaks: DataFrame, most_path: int = 48) ->
     return j.withColumn("match", score.cast("bigint")).withColumn("rank", F.row_number().over(w)).filter("rank = 1").drop("rank")
 
 
+def evidence_confidence(exact: Column, matchers: Column, degraded: Column) -> Column:
+    """High for a path with an exact retained size, medium plus for a bounded one; a dump that was read in part takes
+    a level away (medium plus and medium become low plus) and says so.  Reasons follow the level."""
+    level = F.when(degraded, F.when(exact, "medium").otherwise("low_plus")).otherwise(F.when(exact, "high").otherwise("medium_plus"))
+    rules = F.when(F.size(matchers) > 0, F.concat(F.lit("matchers="), F.array_join(matchers, ",")))
+    return F.concat_ws(";", level, F.when(~exact, "bounded_size"), rules, F.when(degraded, "partial_dump"))
+
+
 def target_classes(leaks: DataFrame, nodes: DataFrame) -> DataFrame:
     """Heap nodes (g, node, class) of classes with a leak."""
     return nodes.join(leaks.select("class").distinct(), "class", "left_semi")

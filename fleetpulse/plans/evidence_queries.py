@@ -144,9 +144,8 @@ SELECT run_set, session_id, segment_index, unnest(list_filter([CASE WHEN p IS NU
   SELECT *, lag(segment_index) OVER w AS p, lag(start_ms) OVER w AS t, lag(sealed) OVER w AS s FROM segments WINDOW w AS (PARTITION BY run_set, session_id ORDER BY segment_index))""")
 
 
-@query("q02_chain_gaps_whole", CHAIN_GAPS)
 @query("q02_chain_gaps", CHAIN_GAPS)
-def q02_whole(spark, d):
+def q02(spark, d):
     return op.chain_gaps(segments(spark, d), "run_set")
 
 
@@ -212,9 +211,8 @@ STALLS = sql(body="""
 SELECT source, user_id, beat AS start_ms, nxt - beat AS duration_ms FROM (SELECT source, user_id, time_ms AS beat, lead(time_ms) OVER (PARTITION BY user_id ORDER BY time_ms, ord) AS nxt FROM ctx) WHERE nxt - beat >= 700""")
 
 
-@query("w09_stall_episodes_whole", STALLS)
 @query("w09_stall_episodes", STALLS)
-def w09_whole(spark, d):
+def w09(spark, d):
     """The reference's 700 ms; a user's events are one process's heartbeats."""
     w = Window.partitionBy("user_id").orderBy("time_ms", "ord")
     b = src.events(spark, d).select("source", "user_id", F.col("time_ms").alias("start_ms"), (F.lead("time_ms").over(w) - F.col("time_ms")).alias("duration_ms"))

@@ -44,7 +44,6 @@ SELECT s.run_set, s.signal, ix, value FROM series s JOIN (SELECT run_set, signal
 WHERE value > 0 AND value >= greatest(1, m + 3 * mad, 2 * m, CASE WHEN m = 0 AND pm > 1 THEN pm ELSE 0 END)"""
 
 
-@query("n02_bursts_whole", sql(*TL, WHOLE_SERIES, body=BURSTS))
 @query("n02_bursts", sql(*TL, WHOLE_SERIES, body=BURSTS))
 def n02(spark, d):
     return periodic.bursts(whole_series(spark, d))
@@ -78,7 +77,6 @@ SELECT n.g, node, least(node, coalesce(min(b.s), node)) AS component FROM (SELEC
 LEFT JOIN reach a ON a.g = n.g AND a.s = node LEFT JOIN reach b ON b.g = n.g AND b.s = a.t AND b.t = node GROUP BY n.g, node""").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("u07_strong_components_whole", COMPONENTS)
 @query("u07_strong_components", COMPONENTS)
 def u07(spark, d):
     return iterate.strong_components(whole_graph(spark, d))
@@ -88,7 +86,6 @@ REACHED = sql(WHOLE, """walk AS (SELECT g, src AS node, 0 AS depth FROM g WHERE
 SELECT g, node, min(depth) AS depth FROM walk GROUP BY ALL""").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("h01_reachability_whole", REACHED)
 @query("h01_reachability", REACHED)
 def h01(spark, d):
     e = whole_graph(spark, d).withColumn("label", F.lit("call"))
@@ -117,13 +114,37 @@ def h04(spark, d):
     return iterate.bounded(e, roots, ids.filter("node = 1 or node % 5 = 4"), 3).select("g", "node", "depth")
 
 
-@query("h03_retained", sql(WHOLE, "t AS (SELECT DISTINCT src AS tg FROM g WHERE src BETWEEN 3 AND 8)", """own AS (SELECT g, src AS tg, src AS node FROM g WHERE src IN (SELECT tg FROM t) AND src < dst UNION SELECT o.g, o.tg, e.dst FROM own o JOIN g e ON e.g = o.g AND e.src = o.node AND e.src < e.dst)""",
-                           """other AS (SELECT g, tg, src AS node FROM g, t WHERE src < 3 AND src < dst UNION SELECT o.g, o.tg, e.dst FROM other o JOIN g e ON e.g = o.g AND e.src = o.node AND e.src < e.dst AND e.dst <> o.tg)""", body="""
-SELECT g AS graph, tg AS target, count(*) AS objects, CAST(sum(node + 1) AS BIGINT) AS bytes FROM own WHERE NOT EXISTS (SELECT 1 FROM other x WHERE x.g = own.g AND x.tg = own.tg AND x.node = own.node) GROUP BY ALL""").replace("WITH ", "WITH RECURSIVE ", 1))
-def h03(spark, d):
+RETAINED = [WHOLE, "t AS (SELECT DISTINCT g AS tgg, src AS tg FROM g WHERE src BETWEEN 3 AND 8 AND src < dst)", """own AS (SELECT g, src AS tg, src AS node FROM g WHERE src IN (SELECT tg FROM t) AND src < dst UNION SELECT o.g, o.tg, e.dst FROM own o JOIN g e ON e.g = o.g AND e.src = o.node AND e.src < e.dst)""",
+            """other AS (SELECT g, tg, src AS node FROM g, t WHERE src < 3 AND src < dst UNION SELECT o.g, o.tg, e.dst FROM other o JOIN g e ON e.g = o.g AND e.src = o.node AND e.src < e.dst AND e.dst <> o.tg)""",
+            "kept AS (SELECT * FROM own WHERE NOT EXISTS (SELECT 1 FROM other x WHERE x.g = own.g AND x.tg = own.tg AND x.node = own.node))"]
+
+
+def retained_of(spark, d, depth: int = 256):
     e, roots, ids = heap_tree(spark, d)
     targets = e.filter("src between 3 and 8").select("g", F.col("src").alias("node")).distinct()
-    return iterate.retained(e, roots, targets, ids.withColumn("size", F.col("node") + 1))
+    return iterate.retained(e, roots, targets, ids.withColumns({"size": F.col("node") + 1, "class": F.concat(F.lit("class"), (F.col("node") % 11).cast("string"))}), depth)
+
+
+@query("h03_retained", sql(*RETAINED, body="SELECT g AS graph, tg AS target, count(*) AS objects, CAST(sum(node + 1) AS BIGINT) AS bytes FROM kept GROUP BY ALL").replace("WITH ", "WITH RECURSIVE ", 1))
+def h03(spark, d):
+    return retained_of(spark, d).select("graph", "target", "objects", "bytes")
+
+
+@query("h03_retained_classes", sql(*RETAINED, "c AS (SELECT g, tg, 'class' || (node % 11) AS class, count(*) AS n FROM kept GROUP BY ALL)", body="""
+SELECT g AS graph, tg AS target, string_agg(class || ' x ' || n, '|' ORDER BY n DESC, class) AS classes, true AS exact FROM (SELECT *, row_number() OVER (PARTITION BY g, tg ORDER BY n DESC, class) AS r FROM c) WHERE r <= 8 GROUP BY ALL""").replace("WITH ", "WITH RECURSIVE ", 1))
+def h03_classes(spark, d):
+    return retained_of(spark, d).select("graph", "target", F.array_join("classes", "|").alias("classes"), "exact")
+
+
+@query("h03_dominators", sql(WHOLE, """e AS (SELECT g, src, dst FROM g WHERE src < dst AND dst >= 3)""", """reached AS (SELECT DISTINCT g, src AS node FROM g WHERE src < 3 AND src < dst UNION SELECT r.g, e.dst FROM reached r JOIN e ON e.g = r.g AND e.src = r.node)""",
+                           """past AS (SELECT v.g, v.node AS without, r.node FROM reached v JOIN reached r ON r.g = v.g AND r.node < 3 AND r.node <> v.node UNION SELECT p.g, p.without, e.dst FROM past p JOIN e ON e.g = p.g AND e.src = p.node AND e.dst <> p.without)""", body="""
+SELECT r.g, r.node, (SELECT count(*) FROM reached v WHERE v.g = r.g AND NOT EXISTS (SELECT 1 FROM past p WHERE p.g = r.g AND p.without = v.node AND p.node = r.node)) AS dominators,
+       (SELECT max(v.node) FROM reached v WHERE v.g = r.g AND v.node < r.node AND NOT EXISTS (SELECT 1 FROM past p WHERE p.g = r.g AND p.without = v.node AND p.node = r.node)) AS parent FROM reached r""").replace("WITH ", "WITH RECURSIVE ", 1))
+def h03_dominators(spark, d):
+    """Edges go from smaller to larger ids here, so the greatest dominator is the nearest."""
+    e, roots, _ = heap_tree(spark, d)
+    tree = iterate.dominators(e, roots.join(e.select("g", F.col("src").alias("node")), ["g", "node"], "left_semi"))
+    return tree.select("g", "node", F.size("chain").cast("bigint").alias("dominators"), F.when(F.size("chain") > 1, F.element_at("chain", -2)).alias("parent"))
 
 
 @query("h05_reference_paths")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.functions import text
 from fleetpulse.operators import inspect as op
+from fleetpulse.operators import sketch
 from fleetpulse.register import query
 from fleetpulse.sources import adapter as src
 from fleetpulse.sources.adapter import CALL_SQL, DEVICE_SQL, METRIC_SQL, RETAINED_SQL, SPAM_SQL, STALL_SQL, UI_SQL, sql
@@ -227,6 +228,19 @@ def a22(spark, d):
         *[nearest_rank("dur", p).alias(n) for n, p in (("p50", .5), ("p90", .9), ("p95", .95), ("p99", .99))], F.count(F.lit(1)).alias("n"))
 
 
+#: A cap that some routes of the small tables exceed and others don't.
+ROUTE_CAP = 40
+SAMPLES = f"""d AS (SELECT run_set, screen, dur, md5(source || ':' || ord) AS digest FROM ctx WHERE {HTTP}),
+  s AS (SELECT *, row_number() OVER (PARTITION BY run_set, screen ORDER BY digest, dur) AS r, count(*) OVER (PARTITION BY run_set, screen) AS seen, max(dur) OVER (PARTITION BY run_set, screen) AS top FROM d)"""
+
+
+@query("a22_sampled_percentiles", sql(SAMPLES, body=f"""
+SELECT run_set, screen, quantile_disc(dur, 0.5) AS p50, quantile_disc(dur, 0.95) AS p95, any_value(top) AS max, count(*) AS sampled, any_value(seen) AS seen, any_value(seen) > count(*) AS approximate FROM s WHERE r <= {ROUTE_CAP} GROUP BY run_set, screen"""))
+def a22_sampled(spark, d):
+    by = ["run_set", "screen"]
+    return sketch.sampled_percentiles(sketch.sample(src.of_type(spark, d, "http"), by, "dur", ["source", "ord"], ROUTE_CAP), by, {"p50": .5, "p95": .95})
+
+
 @query("a24_per_log_routes", sql(body=f"""
 SELECT source AS run_set, route, count(*) AS count, count(*) FILTER (failed) AS failures, quantile_disc(dur, 0.5) AS p50_ms, quantile_disc(dur, 0.95) AS p95_ms, max(dur) AS max_ms,
   CAST(sum(dur) // count(*) AS BIGINT) AS avg_ms, arg_min(owner, ord) AS owner_sample FROM ctx WHERE {HTTP} GROUP BY source, route"""))

@@ -130,6 +130,16 @@ UNKNOWN = "{c} = 'unknown'"
 CONTEXT = "(CASE WHEN screen <> 'unknown' THEN 1 ELSE 0 END + 1 + 1)"
 
 
+@query("h08_evidence_confidence", sql(*HEAP, body="""
+SELECT run_set, class, holder, field, root, concat_ws(';', CASE WHEN partial THEN CASE WHEN exact THEN 'medium' ELSE 'low_plus' END WHEN exact THEN 'high' ELSE 'medium_plus' END,
+  CASE WHEN NOT exact THEN 'bounded_size' END, CASE WHEN len(m) > 0 THEN 'matchers=' || array_to_string(m, ',') END, CASE WHEN partial THEN 'partial_dump' END) AS confidence FROM (
+  SELECT *, objects % 3 > 0 AS exact, run_set = 'candidate' AND root LIKE '%JNI%' AS partial, matchers AS m FROM evidence)"""))
+def h08(spark, d):
+    """Every third size counts as bounded, dumps with native roots as read in part: all four levels occur."""
+    partial = (F.col("run_set") == "candidate") & F.contains("root", F.lit("JNI"))
+    return evidence(spark, d).select("run_set", "class", "holder", "field", "root", op.evidence_confidence(F.col("objects") % 3 > 0, F.col("matchers"), partial).alias("confidence"))
+
+
 @query("l06_confidences", sql(RETAINED_SQL, DEVICE_SQL, SUSPECTS, MEMORY_SQL, body=f"""
 SELECT run_set, class, holder, screen, flow, step, 'context' AS holder_quality, CASE WHEN coalesce(max_pss_kb, 0) = 0 THEN 'low_no_pss' WHEN count >= 3 OR max_age_ms >= 30000 THEN 'medium' ELSE 'rough' END AS size_confidence,
   CASE WHEN count >= 2 THEN 'medium_plus' ELSE 'medium_context' END AS attribution, 'medium_context' AS path_confidence FROM suspects LEFT JOIN memory USING (run_set)"""))

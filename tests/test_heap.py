@@ -27,18 +27,63 @@ def reach(edges, starts, without=None):
     return seen
 
 
-def test_retained_sets(spark, graph):
-    edges, df = graph
+def kept_alive(edges, roots, nodes, t):
+    kept = reach(edges, [t]) - reach(edges, [r for r in roots if r != t], t)
+    classes = {}
+    for n in kept:
+        classes[f"c{n % 3}"] = classes.get(f"c{n % 3}", 0) + 1
+    return len(kept), sum(10 + n for n in kept), [f"{c} x {n}" for c, n in sorted(classes.items(), key=lambda x: (-x[1], x[0]))[:2]], True
+
+
+def tables(spark, edges, roots, targets):
+    nodes = sorted({n for e in edges for n in e})
+    ids = lambda ns: spark.createDataFrame([("h", n) for n in ns], "g string, node bigint")
+    return (spark.createDataFrame([("h", a, b, "f") for a, b in edges], "g string, src bigint, dst bigint, label string"), ids(roots), ids(targets),
+            spark.createDataFrame([("h", n, 10 + n, f"c{n % 3}") for n in nodes], "g string, node bigint, size bigint, class string"))
+
+
+@pytest.mark.parametrize("seed", [4, 5, 6])
+def test_retained_sets(spark, seed):
+    """All nodes as targets: a root, nodes that no root reaches, and loops among them."""
+    rnd = random.Random(seed)
+    edges = sorted({(a, b) for _ in range(26) for a, b in [(rnd.randrange(16), rnd.randrange(16))] if a != b} | {(14, 15), (15, 14)})
     nodes = {n for e in edges for n in e}
-    roots = spark.createDataFrame([("h", 0), ("h", 1)], "g string, node bigint")
-    targets = spark.createDataFrame([("h", n) for n in (3, 5, 7)], "g string, node bigint")
-    sizes = spark.createDataFrame([("h", n, 10 + n) for n in nodes], "g string, node bigint, size bigint")
-    got = {r["target"]: (r["objects"], r["bytes"]) for r in iterate.retained(df, roots, targets, sizes).collect()}
-    want = {}
-    for t in (3, 5, 7):
-        kept = reach(edges, [t]) - reach(edges, [0, 1], t)
-        want[t] = (len(kept), sum(10 + n for n in kept))
-    assert got == want
+    df, roots, targets, sizes = tables(spark, edges, [0, 1], nodes)
+    got = {r["target"]: (r["objects"], r["bytes"], r["classes"], r["exact"]) for r in iterate.retained(df, roots, targets, sizes, most=2).collect()}
+    assert got == {t: kept_alive(edges, [0, 1], nodes, t) for t in nodes}
+
+
+def test_dominators(spark):
+    edges = [(0, 2), (0, 3), (2, 4), (3, 4), (4, 5), (5, 6), (6, 4), (5, 7), (1, 8), (8, 9), (9, 1)]
+    df, roots, _, _ = tables(spark, edges, [0, 1], [])
+    got = {r["node"]: (r["chain"], r["exact"]) for r in iterate.dominators(df, roots).collect()}
+    assert got == {n: (c, True) for n, c in {0: [0], 1: [1], 2: [0, 2], 3: [0, 3], 4: [0, 4], 5: [0, 4, 5], 6: [0, 4, 5, 6], 7: [0, 4, 5, 7], 8: [1, 8], 9: [1, 8, 9]}.items()}
+
+
+def test_budget_of_retained_sets(spark):
+    """A list of ten nodes with chains of six at most: what hangs below falls back to the object alone."""
+    edges = [(n, n + 1) for n in range(9)] + [(0, 20), (20, 21)]
+    df, roots, targets, sizes = tables(spark, edges, [0], [2, 8, 20])
+    got = {r["target"]: (r["objects"], r["bytes"], r["exact"]) for r in iterate.retained(df, roots, targets, sizes, depth=6).collect()}
+    assert got == {2: (1, 12, False), 8: (1, 18, False), 20: (2, 61, True)}
+    settled = iterate.dominators(df, roots, rounds=2)
+    assert settled.filter("not exact").count() > 0
+
+
+def test_searches_fail_instead_of_ending_early(spark):
+    edges = [(n, n + 1) for n in range(6)]
+    df, roots, _, _ = tables(spark, edges, [0], [])
+    with pytest.raises(RuntimeError):
+        iterate.reachable(df, roots, 2)
+    with pytest.raises(RuntimeError):
+        iterate.shortest_paths(df.withColumn("weight", F.lit(1.0)), roots, 2)
+    assert iterate.bounded(df, roots, roots.limit(0), 2).count() == 3
+
+
+def test_evidence_confidence(spark):
+    rows = [(True, [], False), (False, ["a", "b"], False), (True, ["a"], True), (False, [], True)]
+    df = spark.createDataFrame(rows, "exact boolean, m array<string>, partial boolean")
+    assert [r[0] for r in df.select(leaks.evidence_confidence(F.col("exact"), F.col("m"), F.col("partial"))).collect()] == ["high", "medium_plus;bounded_size;matchers=a,b", "medium;matchers=a;partial_dump", "low_plus;bounded_size;partial_dump"]
 
 
 def test_paths_from_roots(spark, graph):

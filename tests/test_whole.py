@@ -33,10 +33,10 @@ def test_peaks_cover_signals_and_buckets(spark):
 
 
 def test_chain_gaps_of_all_run_sets(spark):
-    found = catalog.QUERIES["q02_chain_gaps_whole"](spark, DIR)
+    found = catalog.QUERIES["q02_chain_gaps"](spark, DIR)
     assert {r["run_set"] for r in found.select("run_set").distinct().collect()} == {"baseline", "candidate"}
 
 
 def test_stalls_below_an_hour_are_found(spark):
-    found = catalog.QUERIES["w09_stall_episodes_whole"](spark, "/root/testdata/sf0.1")
+    found = catalog.QUERIES["w09_stall_episodes"](spark, "/root/testdata/sf0.1")
     assert found.filter("duration_ms < 3600000").count() > 0
