@@ -1,4 +1,4 @@
-"""Leak suspects, code problems, influence scores and data quality: the L, B, U and Q families."""
+"""Leak suspects, the class graph and data quality: the L, U05 and Q families; code problems are in ``problems``."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetpulse.functions import text
-from fleetpulse.functions.numbers import saturating_score
 
 # ---- L: leaks -----------------------------------------------------------------------------------------------
 
@@ -108,46 +107,7 @@ def leak_statistics(scored: DataFrame) -> DataFrame:
         F.sum("count").alias("objects"), F.sum("retained_kb").alias("retained_kb"), F.max("max_age_ms").alias("max_age_ms"))
 
 
-# ---- B and U: code problems and influence -----------------------------------------------------------------------
-
-#: Problem kind, category.
-CATEGORIES = {"http_problem": "network", "ui_jank": "ui", "main_thread_stall": "main_thread", "retained_object": "memory", "log_spam": "logging"}
-#: The share of a call's score that its caller gets.
-CALLER_SHARE = 0.45
-
-
-def signals(problems: DataFrame, spam: DataFrame, calls: DataFrame) -> DataFrame:
-    """Scored signals by class, method, category and name."""
-    category = F.lit("other")
-    for kind, c in CATEGORIES.items():
-        category = F.when(F.col("kind") == kind, F.lit(c)).otherwise(category)
-
-    def part(df: DataFrame, owner: str, category: Column, name: Column, n: Column, top: Column, score: Column) -> DataFrame:
-        o = F.col(owner)
-        return df.select("run_set", text.class_of_owner(o).alias("class"), text.method_of_owner(o).alias("method"), category.alias("category"), name.alias("name"),
-                         n.cast("bigint").alias("count"), top.cast("bigint").alias("max"), score.alias("score"), "screen")
-
-    p = problems.groupBy("run_set", "owner", "screen", "kind").agg(F.sum("n").alias("n"), F.max("max_ms").alias("m"))
-    s = spam.groupBy("run_set", "owner", "screen", "log_source").agg(F.sum("n").alias("n"))
-    c = calls.groupBy("run_set", "caller", "callee", "screen").agg(F.sum("n").alias("n"), F.sum("total_ms").alias("t"), F.max("dur").alias("m"))
-    call_score = saturating_score(F.col("n"), 1000) + saturating_score(F.col("t"), 5000)
-    rows = (part(p, "owner", category, F.col("kind"), F.col("n"), F.col("m"), saturating_score(F.col("n"), 20) + saturating_score(F.col("m"), 1000))
-            .unionByName(part(s, "owner", F.lit("logging"), F.col("log_source"), F.col("n"), F.lit(0), saturating_score(F.col("n"), 100)))
-            .unionByName(part(c, "callee", F.lit("runtime"), F.lit("callee"), F.col("n"), F.col("m"), call_score))
-            .unionByName(part(c, "caller", F.lit("runtime"), F.lit("caller"), F.col("n"), F.col("m"), call_score * CALLER_SHARE)))
-    return rows.filter(F.col("class").isNotNull())
-
-
-def merged_signals(rows: DataFrame) -> DataFrame:
-    """B03."""
-    return rows.groupBy("run_set", "class", "method", "category", "name").agg(F.sum("count").alias("count"), F.max("max").alias("max"), F.round(F.sum("score"), 4).alias("score"))
-
-
-def registry(rows: DataFrame) -> DataFrame:
-    """One row per class and method: score, severity, categories and up to six screens."""
-    sums = rows.groupBy("run_set", "class", "method").agg(F.round(F.sum("score"), 1).alias("score"), F.sum("count").alias("count"), F.array_join(F.array_sort(F.collect_set("category")), "|").alias("categories"),
-                                                         F.array_join(F.slice(F.array_sort(F.collect_set("screen")), 1, 6), "|").alias("screens"))
-    return sums.withColumn("severity", F.when(F.col("score") >= 18, "high").when(F.col("score") >= 7, "medium").otherwise("low"))
+# ---- U: the class graph --------------------------------------------------------------------------------------
 
 
 def class_edges(calls: DataFrame) -> DataFrame:
@@ -157,30 +117,6 @@ def class_edges(calls: DataFrame) -> DataFrame:
     return rows.filter("from_class <> to_class").groupBy("run_set", "from_class", "to_class").agg(F.sum("n").cast("bigint").alias("count"))
 
 
-def influence(rows: DataFrame) -> DataFrame:
-    """Score of each class, a bonus per screen it was seen on, and its severity."""
-    n = rows.groupBy("run_set", "class").agg(F.sum("score").alias("raw"), F.count_distinct("screen").alias("contexts"))
-    score = F.round(F.col("raw") + 0.35 * F.col("contexts"), 1)
-    return n.select("run_set", "class", "contexts", score.alias("score"), F.when(score >= 12, "high").when(score >= 6, "medium").otherwise("low").alias("severity"))
-
-
-def influence_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """U04, static part: count times the larger of the target's score and .35 of the source's."""
-    s = nodes.select("run_set", "class", "score")
-    j = edges.join(s.select("run_set", F.col("class").alias("from_class"), F.col("score").alias("f")), ["run_set", "from_class"], "left")
-    j = j.join(s.select("run_set", F.col("class").alias("to_class"), F.col("score").alias("t")), ["run_set", "to_class"], "left")
-    w = F.col("count") * F.greatest(F.coalesce("t", F.lit(0.0)), 0.35 * F.coalesce("f", F.lit(0.0)))
-    return j.select("run_set", "from_class", "to_class", "count", F.round(w, 4).alias("weight"))
-
-
-def hotspots(calls: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Methods by the logarithm of their calls, raised by their class's score."""
-    both = calls.select("run_set", F.col("caller").alias("owner"), "n").unionByName(calls.select("run_set", F.col("callee").alias("owner"), "n"))
-    m = both.groupBy("run_set", "owner").agg(F.sum("n").alias("n")).select("run_set", text.class_of_owner(F.col("owner")).alias("class"), text.method_of_owner(F.col("owner")).alias("method"), "n")
-    m = m.join(nodes.select("run_set", "class", "score"), ["run_set", "class"], "left")
-    return m.select("run_set", "class", "method", F.col("n").cast("bigint").alias("calls"), F.round(F.log1p("n") * (1 + F.coalesce("score", F.lit(0.0))), 4).alias("heat"))
-
-
 # ---- Q: quality of the collected data ---------------------------------------------------------------------------
 
 

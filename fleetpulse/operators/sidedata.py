@@ -251,7 +251,12 @@ def drill_down(rows: DataFrame, most: int = 12) -> DataFrame:
 
 
 #: Impact and advice of a category, as codes.
-IMPACT = {"network": ("delays", "check_requests"), "ui": ("janky", "move_work_off_frames"), "main_thread": ("blocks_main_thread", "move_off_main_thread"), "memory": ("memory_pressure", "release_holders"), "logging": ("noise", "limit_logs"), "runtime": ("heavy_chain", "shorten_chain")}
+IMPACT = {
+    "network": ("delays", "check_requests"), "ui": ("janky", "move_work_off_frames"), "main_thread": ("blocks_main_thread", "move_off_main_thread"), "memory": ("memory_pressure", "release_holders"),
+    "logging": ("noise", "limit_logs"), "runtime": ("heavy_chain", "shorten_chain"), "anr_risk": ("not_responding", "split_long_work"), "oom_risk": ("out_of_memory", "bound_caches"),
+    "gc_pressure": ("gc_pauses", "allocate_less"), "network_duplicates": ("repeated_requests", "merge_requests"), "lifecycle_leak": ("outlives_screen", "clear_on_lifecycle"),
+    "log_spam": ("logs_in_hot_path", "aggregate_logs"), "main_thread_io": ("io_on_main_thread", "move_io"),
+}
 
 
 def impacts(registry: DataFrame) -> DataFrame:

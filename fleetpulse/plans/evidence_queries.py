@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetpulse.operators import evidence as op
-from fleetpulse.operators import resolve
+from fleetpulse.operators import inspect, resolve
+from fleetpulse.operators import problems as prob
 from fleetpulse.plans.inspect_queries import ALL_PROBLEMS, problems
 from fleetpulse.register import query
 from fleetpulse.sources import adapter as src
@@ -61,44 +62,128 @@ def l09(spark, d):
 
 
 SAT = "CASE WHEN {v} > 0 THEN least(8.0::DOUBLE, 3.0::DOUBLE * ln(1 + {v}) / ln(1 + {p}.0::DOUBLE)) ELSE 0 END"
-SIGNALS = f"""sig AS (
-  SELECT run_set, 'com.app.Owner' || regexp_extract(owner, 'Owner([0-9]+)', 1) AS class, 'run' AS method, CASE kind WHEN 'http_problem' THEN 'network' WHEN 'ui_jank' THEN 'ui' WHEN 'main_thread_stall' THEN 'main_thread' WHEN 'retained_object' THEN 'memory' ELSE 'logging' END AS category,
-    kind AS name, n AS count, m AS max, {SAT.format(v='n', p=20)} + {SAT.format(v='m', p=1000)} AS score, screen FROM (SELECT run_set, owner, screen, kind, CAST(sum(n) AS BIGINT) AS n, max(max_ms) AS m FROM problems GROUP BY ALL)
-  UNION ALL SELECT run_set, regexp_extract(owner, '^(.*)[.]', 1), 'run', 'logging', log_source, n, 0, {SAT.format(v='n', p=100)}, screen FROM (SELECT run_set, owner, screen, log_source, CAST(sum(n) AS BIGINT) AS n FROM spam GROUP BY ALL)
-  UNION ALL SELECT run_set, regexp_extract(o, '^(.*)[.]', 1), regexp_extract(o, '([^.]*)$', 1), 'runtime', role, n, m, ({SAT.format(v='n', p=1000)} + {SAT.format(v='t', p=5000)}) * w, screen FROM (
-    SELECT run_set, unnest([callee, caller]) AS o, unnest(['callee', 'caller']) AS role, unnest([1.0::DOUBLE, 0.45::DOUBLE]) AS w, n, t, m, screen FROM (SELECT run_set, caller, callee, screen, CAST(sum(n) AS BIGINT) AS n, CAST(sum(total_ms) AS BIGINT) AS t, max(dur) AS m FROM calls GROUP BY ALL)))"""
-SIG = [*ALL_PROBLEMS, CALL_SQL, SIGNALS]
+STEP = "CASE WHEN {v} >= {h} THEN 3 WHEN {v} >= {m} THEN 2 ELSE 1 END"
+
+
+def _step(v: str, m: int, h: int) -> str:
+    return STEP.format(v=v, m=m, h=h)
+
+
+CALL_COST = f"{SAT.format(v='count', p=160)} + {SAT.format(v='total_ms', p=2200)} + {SAT.format(v='max_ms', p=500)}"
+WINDOW_COST = f"{SAT.format(v='count', p=8)} + {SAT.format(v='max_ms', p=500)}"
+STRIP = "regexp_extract({o}, '^(.*)[.]', 1)"
+HOLDER_CLASS = "CASE WHEN ends_with(holder, '.run') THEN regexp_extract(holder, '^(.*)[.]', 1) ELSE holder END"
+#: The four inputs by context, then every signal.
+SIGNALS = f"""pw AS (SELECT run_set, screen, flow, step, owner, kind, CAST(sum(n) AS BIGINT) AS count, CAST(sum(window_ms) AS BIGINT) AS window_ms, max(max_ms) AS max_ms FROM problems GROUP BY ALL),
+  sp AS (SELECT run_set, screen, flow, step, owner, log_source, level, CAST(sum(n) AS BIGINT) AS count FROM spam GROUP BY ALL),
+  cl AS (SELECT run_set, screen, flow, step, owner, caller, callee, CAST(sum(n) AS BIGINT) AS count, CAST(sum(total_ms) AS BIGINT) AS total_ms, max(dur) AS max_ms FROM calls GROUP BY ALL),
+  sig AS (
+  SELECT run_set, {STRIP.format(o='owner')} AS class, 'run' AS method, CASE kind WHEN 'http_problem' THEN 'network' WHEN 'ui_jank' THEN 'ui' ELSE 'main_thread' END AS category, kind AS name,
+    CASE kind WHEN 'main_thread_stall' THEN {_step('max_ms', 2000, 8000)} WHEN 'ui_jank' THEN {_step('count', 20, 100)} ELSE {_step('max_ms', 700, 1500)} END AS severity, {WINDOW_COST} AS score, count, window_ms AS total_ms, max_ms, screen, flow, step,
+    CASE kind WHEN 'http_problem' THEN ['network_duplicates'] WHEN 'main_thread_stall' THEN ['anr_risk'] ELSE [] END AS extra, 0::BIGINT AS retained, 0::BIGINT AS memory_kb FROM pw WHERE kind NOT IN ('retained_object', 'log_spam')
+  UNION ALL SELECT run_set, {HOLDER_CLASS}, CASE WHEN ends_with(holder, '.run') THEN 'run' ELSE '' END, 'memory', CASE WHEN evidence = 'confirmed_path' THEN 'confirmed_retention_path' ELSE 'retention_signal' END,
+    CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END, score, count, 0, max_age_ms, screen, flow, step, CASE WHEN retained_kb >= 4096 THEN ['lifecycle_leak', 'oom_risk'] ELSE ['lifecycle_leak'] END, count, retained_kb FROM scored
+  UNION ALL SELECT run_set, {STRIP.format(o='owner')}, 'run', 'logging', 'log_spam', {_step('count', 100, 1000)}, {SAT.format(v='count', p=160)}, count, 0, 0, screen, flow, step, ['log_spam'], 0, 0 FROM sp
+  UNION ALL SELECT run_set, {STRIP.format(o='o')}, regexp_extract(o, '([^.]*)$', 1), 'runtime', role, {_step('max_ms', 500, 2000)}, ({CALL_COST}) * w, count, total_ms, max_ms, screen, flow, step,
+    CASE WHEN max_ms >= 700 AND regexp_matches(lower(o), 'main|ui|click|render|bind') THEN ['anr_risk'] ELSE [] END, 0, 0
+    FROM (SELECT *, unnest([caller, callee]) AS o, unnest(['call_initiator', 'called_work']) AS role, unnest([0.45::DOUBLE, 1.0::DOUBLE]) AS w FROM cl))"""
+SIG = [*ALL_PROBLEMS, CALL_SQL, DEVICE_SQL, SUSPECTS, MEMORY_SQL, SCORED, SIGNALS]
+
+
+def inputs(spark, d) -> dict[str, DataFrame]:
+    """What code problems and influence are scored by."""
+    return {"windows": inspect.problem_stats(problems(spark, d)), "leaks": leaks(spark, d), "spam": inspect.spam_stats(src.log_spam(spark, d)), "calls": inspect.call_stats(src.calls(spark, d))}
 
 
 def signals(spark, d):
-    return op.signals(problems(spark, d), src.log_spam(spark, d), src.calls(spark, d))
+    return prob.signals(**inputs(spark, d))
+
+
+NAME = "CASE {s} WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'ok' END"
 
 
-@query("b03_signals", sql(*SIG, body="SELECT run_set, class, method, category, name, CAST(sum(count) AS BIGINT) AS count, max(max) AS max, round(sum(score), 4) AS score FROM sig GROUP BY ALL"))
+@query("b03_signals", sql(*SIG, body=f"""SELECT run_set, class, method, category, name, CAST(sum(count) AS BIGINT) AS count, CAST(sum(total_ms) AS BIGINT) AS total_ms, max(max_ms) AS max_ms, round(sum(score), 4) AS score,
+  {NAME.format(s='max(severity)')} AS severity FROM sig GROUP BY ALL"""))
 def b03(spark, d):
-    return op.merged_signals(signals(spark, d))
+    return prob.merged_signals(signals(spark, d))
 
 
-@query("b04_registry", sql(*SIG, body="""
-SELECT *, CASE WHEN score >= 18 THEN 'high' WHEN score >= 7 THEN 'medium' ELSE 'low' END AS severity FROM (
-  SELECT run_set, class, method, round(sum(score), 1) AS score, CAST(sum(count) AS BIGINT) AS count, array_to_string(list_sort(list(DISTINCT category)), '|') AS categories, array_to_string(list_sort(list(DISTINCT screen))[1:6], '|') AS screens FROM sig GROUP BY ALL)"""))
+SETS = "array_to_string(list_sort(list(DISTINCT {c}) FILTER ({c} NOT IN ('unknown', '')))[1:{n}], '|')"
+REGISTRY = f"""reg AS (SELECT *, CAST(row_number() OVER (PARTITION BY run_set ORDER BY score DESC, class, method) AS INTEGER) AS rank, {NAME.format(s='CASE WHEN score >= 18 THEN 3 WHEN score >= 7 THEN greatest(worst, 2) ELSE worst END')} AS severity FROM (
+  SELECT run_set, class, method, round(sum(score), 1) AS score, CAST(sum(count) AS BIGINT) AS count, max(severity) AS worst, array_to_string(list_sort(list_distinct(flatten(list([category] || extra)))), '|') AS categories,
+    array_to_string(list_sort(list(DISTINCT name)), '|') AS problems, {SETS.format(c='screen', n=6)} AS screens, {SETS.format(c='flow', n=6)} AS flows, {SETS.format(c='step', n=6)} AS steps,
+    CAST(sum(CASE WHEN category IN ('network', 'ui', 'main_thread') THEN count ELSE 0 END) AS BIGINT) AS problem_count, CAST(sum(CASE WHEN category = 'logging' THEN count ELSE 0 END) AS BIGINT) AS log_spam, CAST(sum(retained) AS BIGINT) AS retained,
+    CAST(sum(memory_kb) AS BIGINT) AS memory_kb, CAST(sum(CASE WHEN category = 'runtime' THEN count ELSE 0 END) AS BIGINT) AS calls, CAST(sum(CASE WHEN category = 'runtime' THEN total_ms ELSE 0 END) AS BIGINT) AS call_ms, max(max_ms) AS max_ms
+  FROM sig GROUP BY run_set, class, method))"""
+
+
+@query("b04_registry", sql(*SIG, REGISTRY, body="SELECT * EXCLUDE (worst) REPLACE (coalesce(screens, '') AS screens, coalesce(flows, '') AS flows, coalesce(steps, '') AS steps) FROM reg WHERE rank <= 200"))
 def b04(spark, d):
-    return op.registry(signals(spark, d))
+    return prob.registry(signals(spark, d))
 
 
-@query("b07_category_statistics", sql(*SIG, body="SELECT run_set, category, count(DISTINCT class || '.' || method) AS places, CAST(sum(count) AS BIGINT) AS count FROM sig GROUP BY ALL"))
+@query("b07_category_statistics", sql(*SIG, body="""
+SELECT run_set, category, count(DISTINCT class || '.' || method) AS places, CAST(sum(n) AS BIGINT) AS count FROM (SELECT run_set, class, method, unnest(list_distinct([category] || extra)) AS category, count AS n FROM sig) GROUP BY ALL"""))
 def b07(spark, d):
-    return signals(spark, d).groupBy("run_set", "category").agg(F.count_distinct(F.concat_ws(".", "class", "method")).alias("places"), F.sum("count").alias("count"))
+    each = signals(spark, d).select("run_set", "class", "method", "count", F.explode(F.array_union(F.array("category"), "extra")).alias("category"))
+    return each.groupBy("run_set", "category").agg(F.count_distinct(F.concat_ws(".", "class", "method")).alias("places"), F.sum("count").alias("count"))
 
 
-INFLUENCE = """infl AS (SELECT run_set, class, contexts, round(raw + 0.35::DOUBLE * contexts, 1) AS score, CASE WHEN round(raw + 0.35::DOUBLE * contexts, 1) >= 12 THEN 'high' WHEN round(raw + 0.35::DOUBLE * contexts, 1) >= 6 THEN 'medium' ELSE 'low' END AS severity
-  FROM (SELECT run_set, class, sum(score) AS raw, count(DISTINCT screen) AS contexts FROM sig GROUP BY ALL))"""
-EDGES = "edges AS (SELECT run_set, regexp_extract(caller, '^(.*)[.]', 1) AS from_class, regexp_extract(callee, '^(.*)[.]', 1) AS to_class, CAST(sum(greatest(n, 1)) AS BIGINT) AS count FROM calls GROUP BY ALL)"
+@query("b07_severity_statistics", sql(*SIG, REGISTRY, body="SELECT run_set, severity, count(*) AS places, max(score) AS max_score FROM reg WHERE rank <= 200 GROUP BY ALL"))
+def b07_severity(spark, d):
+    return prob.registry(signals(spark, d)).groupBy("run_set", "severity").agg(F.count(F.lit(1)).alias("places"), F.max("score").alias("max_score"))
 
 
-@query("u01_influence", sql(*SIG, INFLUENCE, body="SELECT * FROM infl"))
+INFLUENCE = f"""ir AS (
+  SELECT run_set, {STRIP.format(o='owner')} AS class, flow, screen, {SAT.format(v='count', p=160)} AS score, 'log_spam' AS reason, 0::BIGINT AS problems, count AS log_spam, 0::BIGINT AS main_ms, 0::BIGINT AS runtime_ms, 0::BIGINT AS retained, 0::BIGINT AS memory_kb FROM sp
+  UNION ALL SELECT run_set, {STRIP.format(o='owner')}, flow, screen, {WINDOW_COST}, kind, count, 0, CASE WHEN kind = 'main_thread_stall' THEN window_ms ELSE 0 END, 0, 0, 0 FROM pw WHERE kind NOT IN ('retained_object', 'log_spam')
+  UNION ALL SELECT run_set, {HOLDER_CLASS}, flow, screen, score * 0.45::DOUBLE, evidence, 0, 0, 0, 0, count, retained_kb FROM scored
+  UNION ALL SELECT run_set, {STRIP.format(o='caller')}, flow, screen, ({SAT.format(v='count', p=220)}) * 0.45::DOUBLE, 'calls', 0, 0, 0, total_ms // 4, 0, 0 FROM cl
+  UNION ALL SELECT run_set, {STRIP.format(o='callee')}, flow, screen, {CALL_COST}, 'calls', 0, 0, 0, total_ms, 0, 0 FROM cl),
+  infl AS (SELECT *, round(raw, 1) AS score, CASE WHEN round(raw, 1) >= 12 THEN 'high' WHEN round(raw, 1) >= 6 THEN 'medium' ELSE 'ok' END AS severity, 'runtime' AS status FROM (
+    SELECT run_set, class, contexts, s + 0.35::DOUBLE * contexts AS raw, problems, log_spam, main_ms, runtime_ms, retained, memory_kb, coalesce(flows, '') AS flows, coalesce(screens, '') AS screens, reasons FROM (
+      SELECT run_set, class, sum(score) AS s, count(DISTINCT flow) FILTER (flow <> 'unknown') + count(DISTINCT screen) FILTER (screen <> 'unknown') AS contexts, CAST(sum(problems) AS BIGINT) AS problems, CAST(sum(log_spam) AS BIGINT) AS log_spam, CAST(sum(main_ms) AS BIGINT) AS main_ms,
+        CAST(sum(runtime_ms) AS BIGINT) AS runtime_ms, CAST(sum(retained) AS BIGINT) AS retained, CAST(sum(memory_kb) AS BIGINT) AS memory_kb, {SETS.format(c='flow', n=4)} AS flows, {SETS.format(c='screen', n=4)} AS screens, array_to_string(list_sort(list(DISTINCT reason))[1:5], '|') AS reasons FROM ir GROUP BY run_set, class)))"""
+EDGES = "edges AS (SELECT run_set, regexp_extract(caller, '^(.*)[.]', 1) AS from_class, regexp_extract(callee, '^(.*)[.]', 1) AS to_class, CAST(sum(greatest(n, 1)) AS BIGINT) AS count FROM calls GROUP BY ALL)"
+#: A class graph of the build: what is called, and stores and disks below it that no run has seen.
+STATIC = """static AS (SELECT run_set, from_class, to_class, CAST(sum(n) AS BIGINT) AS count FROM (SELECT run_set, from_class, to_class, count AS n FROM edges
+  UNION ALL SELECT run_set, regexp_extract(callee, '^(.*)[.]', 1), 'com.app.Store' || (k % 4), 1 FROM calls UNION ALL SELECT run_set, 'com.app.Store' || (k % 4), 'com.app.Disk' || (k % 2), 1 FROM calls) GROUP BY ALL)"""
+ALL_NODES = """alln AS (SELECT run_set, class, contexts, raw, problems, log_spam, main_ms, runtime_ms, retained, memory_kb, flows, screens, reasons, score, severity, status FROM infl
+  UNION ALL SELECT run_set, class, 0, 0.0::DOUBLE, 0, 0, 0, 0, 0, 0, '', '', '', 0.0::DOUBLE, 'ok', 'static_only' FROM (SELECT DISTINCT run_set, unnest([from_class, to_class]) AS class FROM static) s WHERE NOT EXISTS (SELECT 1 FROM infl i WHERE i.run_set = s.run_set AND i.class = s.class))"""
+TOP = "ranked AS (SELECT *, row_number() OVER (PARTITION BY run_set ORDER BY score DESC, class) AS rank FROM alln WHERE status = 'runtime' OR score > 0)"
+#: So many selected classes that some edges are not at one.
+SELECTED = 12
+TOP_EDGES = f"""ends AS (SELECT *, class IN (SELECT class FROM ranked r WHERE r.run_set = alln.run_set AND r.rank <= {SELECTED}) AS chosen FROM alln),
+  weighed AS (SELECT e.run_set, e.from_class, e.to_class, e.count, e.count * greatest(t.raw, f.raw * 0.35::DOUBLE) AS influence, f.status = 'runtime' OR t.status = 'runtime' AS confirmed, CASE WHEN t.status = 'runtime' THEN 2 WHEN f.status = 'runtime' THEN 1 ELSE 0 END AS reason
+    FROM static e JOIN ends f ON f.run_set = e.run_set AND f.class = e.from_class JOIN ends t ON t.run_set = e.run_set AND t.class = e.to_class WHERE f.chosen OR t.chosen OR t.status = 'runtime'
+    UNION ALL SELECT c.run_set, f.class, t.class, c.count, c.count + c.total_ms / 25.0::DOUBLE + c.max_ms / 5.0::DOUBLE, true, 3 FROM cl c JOIN ends f ON f.run_set = c.run_set AND f.class = {STRIP.format(o='caller')} JOIN ends t ON t.run_set = c.run_set AND t.class = {STRIP.format(o='callee')} WHERE f.chosen OR t.chosen),
+  top_edges AS (SELECT *, CAST(row_number() OVER (PARTITION BY run_set ORDER BY influence DESC, count DESC, from_class, to_class) AS INTEGER) AS rank FROM (
+    SELECT run_set, from_class, to_class, CAST(sum(count) AS BIGINT) AS count, round(sum(influence), 4) AS influence, bool_or(confirmed) AS confirmed, ['static', 'near_symptoms', 'calls_symptoms', 'called_in_run'][max(reason) + 1] AS reason FROM weighed GROUP BY ALL) QUALIFY rank <= 120)"""
+GRAPH = [EDGES, STATIC, INFLUENCE, ALL_NODES, TOP, TOP_EDGES]
+
+
+def class_graph(spark, d) -> DataFrame:
+    """The calls' class edges and two levels below them."""
+    c, k = src.calls(spark, d), F.col("k")
+    name = lambda p, n: F.concat(F.lit(p), (k % n).cast("string"), F.lit(".run"))
+    more = c.select("run_set", F.col("callee").alias("caller"), name("com.app.Store", 4).alias("callee"), F.lit(1).alias("n")).unionByName(c.select("run_set", name("com.app.Store", 4).alias("caller"), name("com.app.Disk", 2).alias("callee"), F.lit(1).alias("n")))
+    return op.class_edges(c.select("run_set", "caller", "callee", "n").unionByName(more))
+
+
+def influence(spark, d, static=None):
+    return prob.influence(**inputs(spark, d), static=static)
+
+
+def graph(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(nodes, top edges) of the influence graph."""
+    static = class_graph(spark, d)
+    nodes = influence(spark, d, static)
+    return nodes, prob.influence_edges(static, inspect.call_stats(src.calls(spark, d)), nodes, prob.top_nodes(nodes, SELECTED))
+
+
+@query("u01_influence", sql(*SIG, EDGES, STATIC, INFLUENCE, ALL_NODES, body="SELECT * REPLACE (round(raw, 4) AS raw) FROM alln"))
 def u01(spark, d):
-    return op.influence(signals(spark, d))
+    return influence(spark, d, class_graph(spark, d)).withColumn("raw", F.round("raw", 4))
 
 
 @query("u05_class_edges", sql(CALL_SQL, EDGES, body="SELECT * FROM edges"))
@@ -106,17 +191,27 @@ def u05(spark, d):
     return op.class_edges(src.calls(spark, d))
 
 
-@query("u04_influence_edges", sql(*SIG, INFLUENCE, EDGES, body="""
-SELECT e.run_set, from_class, to_class, count, round(count * greatest(coalesce(t.score, 0), 0.35::DOUBLE * coalesce(f.score, 0)), 4) AS weight FROM edges e LEFT JOIN infl f ON f.run_set = e.run_set AND f.class = e.from_class LEFT JOIN infl t ON t.run_set = e.run_set AND t.class = e.to_class"""))
+@query("u04_influence_edges", sql(*SIG, *GRAPH, body="SELECT * FROM top_edges"))
 def u04(spark, d):
-    return op.influence_edges(op.class_edges(src.calls(spark, d)), op.influence(signals(spark, d)))
+    return graph(spark, d)[1]
 
 
-@query("u09_hotspots", sql(*SIG, INFLUENCE, body="""
-SELECT m.run_set, m.class, m.method, calls, round(ln(1 + calls) * (1 + coalesce(i.score, 0)), 4) AS heat FROM (
-  SELECT run_set, regexp_extract(o, '^(.*)[.]', 1) AS class, regexp_extract(o, '([^.]*)$', 1) AS method, CAST(sum(n) AS BIGINT) AS calls FROM (SELECT run_set, unnest([caller, callee]) AS o, n FROM calls) GROUP BY ALL) m LEFT JOIN infl i USING (run_set, class)"""))
+@query("u10_shown_nodes", sql(*SIG, *GRAPH, body="""
+SELECT run_set, class, CAST(row_number() OVER (PARTITION BY run_set ORDER BY seat) AS INTEGER) AS place, score, status FROM (SELECT run_set, class, min(seat) AS seat FROM (SELECT run_set, class, rank AS seat FROM ranked WHERE rank <= 60
+  UNION ALL SELECT run_set, unnest([from_class, to_class]), rank * 2 + unnest([1000, 1001]) FROM top_edges) GROUP BY ALL) JOIN alln USING (run_set, class) QUALIFY place <= 80"""))
+def u10_nodes(spark, d):
+    return prob.shown_nodes(*graph(spark, d)).select("run_set", "class", "place", "score", "status")
+
+
+@query("u09_hotspots", sql(*SIG, INFLUENCE, """mg AS (SELECT run_set, regexp_extract(caller, '^(.*)[.]', 1) AS from_class, regexp_extract(caller, '([^.]*)$', 1) AS from_method, regexp_extract(callee, '^(.*)[.]', 1) AS to_class, regexp_extract(callee, '([^.]*)$', 1) AS to_method, CAST(sum(greatest(n, 1)) AS BIGINT) AS count FROM calls GROUP BY ALL)""", body="""
+SELECT run_set, class, method, role, CAST(sum(count) AS BIGINT) AS calls, round(sum(w), 1) AS heat FROM (
+  SELECT m.run_set, unnest([from_class, to_class]) AS class, unnest([from_method, to_method]) AS method, unnest(['caller', 'callee']) AS role, count, unnest([ln(1 + count) * (1 + coalesce(f.raw, 0)), ln(1 + count) * (1 + coalesce(t.raw, 0))]) AS w
+  FROM mg m LEFT JOIN infl f ON f.run_set = m.run_set AND f.class = m.from_class LEFT JOIN infl t ON t.run_set = m.run_set AND t.class = m.to_class) GROUP BY run_set, class, method, role
+QUALIFY row_number() OVER (PARTITION BY run_set ORDER BY heat DESC, class, method, role) <= 12"""))
 def u09(spark, d):
-    return op.hotspots(src.calls(spark, d), op.influence(signals(spark, d)))
+    from fleetpulse.operators.sidedata import method_graph
+
+    return prob.method_hotspots(method_graph(src.calls(spark, d)), influence(spark, d))
 
 
 SEGMENTS = """segments AS (SELECT 's' || user_id AS session_id, run_set, k AS segment_index, 'com.app' || CASE WHEN user_id % 17 = 0 THEN k % 2 ELSE 0 END AS process_name, 'ns' || CASE WHEN user_id % 23 = 0 THEN k % 3 ELSE 0 END AS namespace,

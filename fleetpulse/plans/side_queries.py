@@ -8,7 +8,8 @@ from fleetpulse.functions import text
 from fleetpulse.operators import evidence as ev
 from fleetpulse.operators import inspect as ins
 from fleetpulse.operators import sidedata as op
-from fleetpulse.plans.evidence_queries import EDGES, INFLUENCE, SIG, signals
+from fleetpulse.operators import problems as prob
+from fleetpulse.plans.evidence_queries import EDGES, INFLUENCE, REGISTRY, SIG, influence, signals
 from fleetpulse.plans.inspect_queries import ROUTES
 from fleetpulse.register import query
 from fleetpulse.sources import adapter as src
@@ -250,10 +251,10 @@ def b05(spark, d):
     return op.drill_down(h)
 
 
-@query("b06_impacts", sql(*SIG, "rules AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in op.IMPACT.items()) + ") t(category, impact, advice))", body="""
-SELECT run_set, class, method, string_agg(impact, '|' ORDER BY category, impact) AS impact, string_agg(advice, '|' ORDER BY category, advice) AS advice FROM (SELECT DISTINCT run_set, class, method, category FROM sig) JOIN rules USING (category) GROUP BY ALL"""))
+@query("b06_impacts", sql(*SIG, REGISTRY, "rules AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in op.IMPACT.items()) + ") t(category, impact, advice))", body="""
+SELECT run_set, class, method, string_agg(impact, '|' ORDER BY category, impact) AS impact, string_agg(advice, '|' ORDER BY category, advice) AS advice FROM (SELECT DISTINCT run_set, class, method, unnest([category] || extra) AS category FROM sig JOIN reg USING (run_set, class, method) WHERE rank <= 200) JOIN rules USING (category) GROUP BY ALL"""))
 def b06(spark, d):
-    return op.impacts(ev.registry(signals(spark, d)))
+    return op.impacts(prob.registry(signals(spark, d)))
 
 
 @query("u06_method_graph", sql(CALL_SQL, body="""
@@ -262,14 +263,14 @@ def u06(spark, d):
     return op.method_graph(src.calls(spark, d))
 
 
-@query("u03_relevant_edges", sql(*SIG, INFLUENCE, EDGES, "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_set ORDER BY score DESC, class) AS r FROM infl) WHERE r <= 5), targets AS (SELECT DISTINCT run_set, class FROM sig WHERE category = 'memory')", body="""
+@query("u03_relevant_edges", sql(*SIG, EDGES, INFLUENCE, "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_set ORDER BY score DESC, class) AS r FROM infl) WHERE r <= 5), targets AS (SELECT DISTINCT run_set, class FROM sig WHERE category = 'memory')", body="""
 SELECT run_set, from_class, to_class, count, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY run_set ORDER BY count DESC, from_class, to_class) AS rn FROM edges e WHERE EXISTS (SELECT 1 FROM top t WHERE t.run_set = e.run_set AND t.class IN (e.from_class, e.to_class)) OR EXISTS (SELECT 1 FROM targets t WHERE t.run_set = e.run_set AND t.class = e.to_class)) WHERE rn <= 2500"""))
 def u03(spark, d):
     s = signals(spark, d)
-    top = op.influence_findings(ev.influence(s), 5).select("run_set", "class")
+    top = op.influence_findings(influence(spark, d), 5).select("run_set", "class")
     return op.relevant_edges(ev.class_edges(src.calls(spark, d)), top, s.filter("category = 'memory'").select("run_set", "class").distinct())
 
 
 @query("u10_influence_findings", sql(*SIG, INFLUENCE, body="SELECT run_set, class, score, severity, CAST(r AS INTEGER) AS rank, same AS same_severity FROM (SELECT *, row_number() OVER (PARTITION BY run_set ORDER BY score DESC, class) AS r, count(*) OVER (PARTITION BY run_set, severity) AS same FROM infl) WHERE r <= 60"))
 def u10(spark, d):
-    return op.influence_findings(ev.influence(signals(spark, d)))
+    return op.influence_findings(influence(spark, d))

@@ -11,7 +11,7 @@ from fleetpulse.operators import inspect as ins
 from fleetpulse.operators import timeline as tl
 from fleetpulse.operators import verdict as op
 from fleetpulse.plans.compare_queries import CONF, DELTA_VIEWS, adjusted, summary, v02
-from fleetpulse.plans.evidence_queries import INFLUENCE, LEAKS, SEGMENTS, SIG, leaks, q05, signals
+from fleetpulse.plans.evidence_queries import INFLUENCE, LEAKS, SEGMENTS, SIG, class_graph, influence, leaks, q05, signals
 from fleetpulse.plans.inspect_queries import FLOW_VIEWS, HTTP, SCORE, flows
 from fleetpulse.plans.leak_queries import DELTAS as LEAK_DELTAS
 from fleetpulse.plans.leak_queries import HEAP_LEAKS, best, heap_scored
@@ -173,14 +173,11 @@ SELECT run_set, source, target, depth, path, weight, runtime FROM (SELECT *, row
   SELECT p.run_set, source, hop AS target, depth, array_to_string(path, '>') AS path, round(CASE WHEN s = 0 THEN 1 ELSE s END / sqrt(depth) * (1 + 0.25::DOUBLE * f.score + 0.75::DOUBLE * t.score) * CASE WHEN t.runtime THEN 1.35::DOUBLE ELSE 1 END, 4) AS weight, t.runtime AS runtime
   FROM (""" + " UNION ALL ".join(f"SELECT *, {i} AS depth FROM p{i}" for i in range(1, 5)) + """) p JOIN scored_nodes f ON f.run_set = p.run_set AND f.class = p.source JOIN scored_nodes t ON t.run_set = p.run_set AND t.class = p.hop WHERE t.runtime OR t.score > 0)) WHERE rn <= 8"""))
 def u08(spark, d):
-    c, k = src.calls(spark, d), F.col("k")
-    name = lambda p, n: F.concat(F.lit(p), (k % n).cast("string"), F.lit(".run"))
-    more = c.select("run_set", F.col("callee").alias("caller"), name("com.app.Store", 4).alias("callee"), F.lit(1).alias("n")).unionByName(c.select("run_set", name("com.app.Store", 4).alias("caller"), name("com.app.Disk", 2).alias("callee"), F.lit(1).alias("n")))
-    edges = ev.class_edges(c.select("run_set", "caller", "callee", "n").unionByName(more))
-    sig = signals(spark, d)
-    hot = sig.filter("category <> 'runtime'").select("class").distinct().withColumn("runtime", F.lit(True))
-    nodes = ev.influence(sig).select("run_set", "class", "score").join(F.broadcast(hot), "class", "left").select("run_set", "class", "score", F.coalesce("runtime", F.lit(False)).alias("runtime"))
-    nodes = nodes.unionByName(c.select("run_set", F.regexp_replace(name("com.app.Disk", 2), "[.]run$", "").alias("class"), F.lit(0.0).alias("score"), F.lit(True).alias("runtime")).distinct())
+    edges, k = class_graph(spark, d), F.col("k")
+    hot = signals(spark, d).filter("category <> 'runtime'").select("class").distinct().withColumn("runtime", F.lit(True))
+    nodes = influence(spark, d).select("run_set", "class", "score").join(hot, "class", "left").select("run_set", "class", "score", F.coalesce("runtime", F.lit(False)).alias("runtime"))
+    disks = src.calls(spark, d).select("run_set", F.concat(F.lit("com.app.Disk"), (k % 2).cast("string")).alias("class"), F.lit(0.0).alias("score"), F.lit(True).alias("runtime")).distinct()
+    nodes = nodes.unionByName(disks)
     return op.hot_paths(edges, nodes)
 
 
