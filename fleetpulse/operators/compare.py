@@ -99,11 +99,21 @@ def metric_deltas(summary: DataFrame) -> DataFrame:
 
 
 def sample_confidence(totals: DataFrame) -> Column:
-    """Of the smaller side's logs and events."""
+    """V03, before the cap: of the smaller side's logs and events."""
     logs, n = F.min("logs"), F.min("events")
     return F.when((logs >= 5) & (n >= 500), "high").when((logs >= 2) & (n >= 80), "medium").otherwise("low")
 
 
+def comparison_confidence(totals: DataFrame, quality: DataFrame) -> DataFrame:
+    """One row ``confidence``, the sample's, capped by the collection quality (run_set, level) of each side; a side
+    without a quality is not capped."""
+    rank = lambda c: F.when(c == "high", 3).when(c == "medium", 2).otherwise(1)
+    sample = totals.agg(sample_confidence(totals).alias("sample"))
+    cap = quality.agg(F.coalesce(F.min(rank(F.coalesce(F.nullif(F.col("level"), F.lit("")), F.lit("high")))), F.lit(3)).alias("cap"))
+    least = F.least(rank(F.col("sample")), F.col("cap"))
+    return sample.crossJoin(F.broadcast(cap)).select(F.when(least == 3, "high").when(least == 2, "medium").otherwise("low").alias("confidence"))
+
+
 def adjusted(deltas: DataFrame, confidence: DataFrame) -> DataFrame:
     """A high effect counts as medium on low confidence or a tiny sample.  ``confidence`` is one row."""
     weak = (F.col("confidence") == "low") | (F.col("sample_size") < 3)
@@ -124,6 +134,20 @@ def gate(deltas: DataFrame, thresholds: DataFrame) -> DataFrame:
     return joined.select("metric", "severity", "regression_abs", "regression_pct", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
 
 
+def comparison_gate(deltas: DataFrame, cohort_warnings: DataFrame, min_confidence: str | None, clean_cohorts: bool) -> DataFrame:
+    """V06, over the whole comparison: (rule, value) rows for a confidence below the least one and for each cohort that differs.
+
+    deltas has ``confidence`` (the same in all rows); cohort_warnings has ``dimension``.  Without deltas nothing is judged
+    by confidence.
+    """
+    rank = lambda c: F.when(c == "high", 3).when(c == "medium", 2).otherwise(1)
+    rules = cohort_warnings.select(F.lit("cohort_mismatch").alias("rule"), F.col("dimension").alias("value")).filter(F.lit(clean_cohorts))
+    if not min_confidence:
+        return rules
+    low = deltas.select("confidence").distinct().filter(rank(F.col("confidence")) < rank(F.lit(min_confidence)))
+    return rules.unionByName(low.select(F.lit("confidence").alias("rule"), F.col("confidence").alias("value")))
+
+
 def mix_deltas(mixes: DataFrame) -> DataFrame:
     """V02 of (run_set, dimension, value, count): the ordered summaries of both sides, medium where they differ."""
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("o"), "value")))

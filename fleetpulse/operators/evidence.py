@@ -37,13 +37,14 @@ def leak_scores(found: DataFrame, memory: DataFrame, heap: DataFrame | None = No
     """Size, score, evidence and severity of each suspect; weak evidence never makes a high severity.
 
     memory has run_set, max_pss_kb and low_memory (samples).  heap, where there is a dump, has a suspect's best evidence:
-    its key, heap_kb, heap_holder and heap_path (whether a path from a root was found).
+    its key, heap_kb, heap_holder, heap_path (whether a path from a root was found) and chain, the fingerprint of its
+    reference chain, which stays with the suspect.
     """
     s = found.join(F.broadcast(memory), "run_set", "left").withColumn("kind", text.object_kind(F.col("class")))
     if heap is None:
-        s = s.withColumns({"heap_kb": F.lit(None).cast("bigint"), "heap_holder": F.lit(None).cast("string"), "heap_path": F.lit(None).cast("boolean")})
+        s = s.withColumns({"heap_kb": F.lit(None).cast("bigint"), "heap_holder": F.lit(None).cast("string"), "heap_path": F.lit(None).cast("boolean"), "chain": F.lit(None).cast("string")})
     else:
-        s = s.join(heap.select(*SUSPECT, "heap_kb", "heap_holder", "heap_path"), SUSPECT, "left")
+        s = s.join(heap.select(*SUSPECT, "heap_kb", "heap_holder", "heap_path", "chain"), SUSPECT, "left")
     pss, owner = F.coalesce("max_pss_kb", F.lit(0)), text.known(F.col("heap_holder"), F.col("holder"))
     estimate, path = retained_kb(pss), F.coalesce("heap_path", F.lit(False))
     evidence = (F.when(path, "confirmed_path").when(F.col("confirmed") < F.col("count"), "time_only").when(F.col("confirmed") > 0, "after_explicit_gc")
@@ -70,17 +71,23 @@ def leak_scores(found: DataFrame, memory: DataFrame, heap: DataFrame | None = No
 
 
 def leak_fingerprint() -> Column:
-    """P26 without a heap chain: the place and parties, lower case."""
-    return F.lower(F.concat_ws("|", "class", "holder", "screen", "flow", "step"))
+    """The reference chain where a dump has one, else place and parties in lower case."""
+    names = F.lower(F.concat_ws("|", *[F.trim(c) for c in SUSPECT[1:]]))
+    return F.when(F.col("chain") != "", F.concat(F.lit("chain|"), "chain")).otherwise(names)
 
 
 def leak_compare(scored: DataFrame) -> DataFrame:
-    """New, resolved, worse, better or same by fingerprint, with the severity of the change."""
+    """New, resolved, worse, better or same by fingerprint, with the severity of the change.
+
+    Of several suspects of a run set with one fingerprint, a chain seen in several places, the one with the largest score
+    stands for it; ties go by count, age, size and names.
+    """
     rows = scored.withColumn("fingerprint", leak_fingerprint())
-    side = lambda s, v, a: F.max(F.when(F.col("run_set") == s, F.col(v))).alias(a)
     values = ["score", "count", "max_age_ms", "retained_kb"]
-    j = rows.groupBy("fingerprint").agg(F.min("class").alias("class"), *[side("baseline", v, f"b_{v}") for v in [*values, "evidence"]],
-                                        *[side("candidate", v, f"c_{v}") for v in [*values, "evidence", "severity"]])
+    side = lambda s: F.max_by(F.struct(*values, "evidence", "severity", "class", "holder", "chain"), F.when(F.col("run_set") == s, F.struct(*values, *SUSPECT[1:])))
+    j = rows.groupBy("fingerprint").agg(side("baseline").alias("b"), side("candidate").alias("c"))
+    names = [*values, "evidence", "holder", "chain"]
+    j = j.select("fingerprint", F.coalesce("c.class", "b.class").alias("class"), *[F.col(f"{p}.{v}").alias(f"{p}_{v}") for p in "bc" for v in names], F.col("b.class").alias("b_class"), F.col("c.class").alias("c_class"), F.col("c.severity").alias("c_severity"))
     d = {v: F.col(f"c_{v}") - F.col(f"b_{v}") for v in values}
     no_b, no_c = F.col("b_score").isNull(), F.col("c_score").isNull()
     much = (d["score"] >= 8) | (d["count"] >= 5) | (d["max_age_ms"] >= 30000) | (d["retained_kb"] >= 8192)

@@ -281,11 +281,18 @@ def warnings_about_leaks(warnings: DataFrame) -> DataFrame:
 
 
 def match_confidence(d: DataFrame) -> DataFrame:
-    """L11 for pairs with b_/c_ columns score (null on a missing side), class, holder, evidence, degraded."""
-    both = F.col("b_score").isNotNull() & F.col("c_score").isNotNull()
-    degraded = F.coalesce("b_degraded", F.lit(False)) | F.coalesce("c_degraded", F.lit(False))
-    code = (F.when(degraded, "low_degraded").when(both & (F.col("b_evidence") != F.col("c_evidence")), "low_evidence_differs").when(~both, "medium_one_side")
-            .otherwise("high_fingerprint"))
+    """L11 for pairs of ``leak_compare``: how well both sides of a fingerprint belong together, as the column ``match``.
+
+    b_degraded and c_degraded, where they exist, say that a side's data was lost or cut.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in d.columns else F.lit(False)
+    both = F.col("has_baseline") & F.col("has_candidate")
+    heap = F.coalesce(F.col("b_evidence") == "confirmed_path", F.lit(False)) | F.coalesce(F.col("c_evidence") == "confirmed_path", F.lit(False))
+    same = lambda c: F.col(f"b_{c}") == F.col(f"c_{c}")
+    code = (F.when(flag("b_degraded") | flag("c_degraded"), "low_degraded").when(both & ~same("evidence"), "low_evidence_differs")
+            .when(~both & heap, "medium_chain_one_side").when(~both, "medium_one_side")
+            .when((F.col("b_chain") != "") & same("chain") & heap, "high_heap_chain").when((F.col("b_chain") != "") & same("chain"), "high_chain")
+            .when(same("class") & (F.col("b_holder") != "") & same("holder"), "medium_class_holder").when(same("class"), "low_class_only").otherwise("low_fallback"))
     return d.withColumn("match", code)
 
 

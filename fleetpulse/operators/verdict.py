@@ -22,7 +22,7 @@ def _rated(name: str, score: Column, exercised: Column | None = None, idle: floa
 
 
 def scorecard(facts: DataFrame) -> DataFrame:
-    """V08, V09 of one row of facts: weighted rows, their mean, and go, qa_only or blocked.
+    """V08, V09 of one row of facts: weighted rows, their mean, go, qa_only or blocked by the mean before rounding, next actions.
 
     facts: confidence, baseline_quality, candidate_quality (levels), cohort_warnings, quality_warnings, baseline_logs,
     candidate_logs; of the candidate's leaks: leaks, unknown_holder, user_owned, max_age_ms, heap_confirmed, with_field,
@@ -43,12 +43,14 @@ def scorecard(facts: DataFrame) -> DataFrame:
     rows = F.array(_rated("data_quality", base - less(cohorts) - less(quality)), _rated("retained_signal", retained, leaks > 0), _rated("heap_actionability", heap, leaks > 0),
                    _rated("compare_stability", stable, c("deltas") > 0, 6.0), _rated("gate_readiness", clamped), _rated("readability", 3 + ratio(c("explained"), leaks) * 7, leaks > 0, 6.0))
     each = facts.withColumn("rows", rows)
-    total = F.round(F.aggregate("rows", F.lit(0.0), lambda a, r: a + r["score"] * r["weight"]) / sum(WEIGHTS.values()), 1)
-    each = each.withColumn("total", total)
+    whole = F.aggregate("rows", F.lit(0.0), lambda a, r: a + r["score"] * r["weight"]) / sum(WEIGHTS.values())
+    each = each.withColumn("whole", whole)  # decides before it is rounded
     low = (c("baseline_quality") == "low") | (c("candidate_quality") == "low")
     clean = (c("confidence") != "low") & (cohorts == 0) & (quality == 0)
-    decision = F.when(low, "blocked").when((F.col("total") >= 8) & clean, "go").when(F.col("total") >= 6, "qa_only").otherwise("blocked")
-    return each.withColumn("decision", decision).select(F.inline("rows"), "total", "decision")
+    decision = F.when(low, "blocked").when((F.col("whole") >= 8) & clean, "go").when(F.col("whole") >= 6, "qa_only").otherwise("blocked")
+    actions = F.concat_ws("|", F.when(c("baseline_quality") != "high", "resolve_baseline_quality"), F.when(c("candidate_quality") != "high", "resolve_candidate_quality"), F.when(cohorts > 0, "align_cohorts"),
+                          F.when((leaks > c("heap_confirmed")) & (c("heap_confirmed") == 0), "collect_heap_evidence"))
+    return each.withColumns({"decision": decision, "next_actions": actions, "total": F.round("whole", 1)}).select(F.inline("rows"), "total", "decision", "next_actions")
 
 
 def findings(s: DataFrame) -> DataFrame:

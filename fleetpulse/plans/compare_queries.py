@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fleetpulse.operators import compare as op
 from fleetpulse.operators import inspect as ins
 from fleetpulse.plans.inspect_queries import ALL_PROBLEMS, FLOW_VIEWS, HTTP, ROUTES, flows, problems
+from fleetpulse.plans.evidence_queries import SEGMENTS, q05
 from fleetpulse.register import query
 from fleetpulse.sources import adapter as src
 from fleetpulse.sources.adapter import DEVICE_SQL, RETAINED_SQL, STALL_SQL, UI_SQL, sql
@@ -86,10 +87,14 @@ DELTAS = """deltas AS (
   FROM (SELECT *, CASE WHEN b <> 0 THEN (c - b) * 100.0::DOUBLE / b ELSE 0 END AS pct FROM (
     SELECT metric, worse, rate, coalesce(max(v) FILTER (run_set = 'baseline'), 0) AS b, coalesce(max(v) FILTER (run_set = 'candidate'), 0) AS c,
       least(coalesce(max(n) FILTER (run_set = 'baseline'), 0), coalesce(max(n) FILTER (run_set = 'candidate'), 0)) AS sample_size FROM long GROUP BY metric, worse, rate)))"""
-CONF = """conf AS (SELECT CASE WHEN min(logs) >= 5 AND min(n) >= 500 THEN 'high' WHEN min(logs) >= 2 AND min(n) >= 80 THEN 'medium' ELSE 'low' END AS confidence FROM (
-  SELECT run_set, count(DISTINCT source) AS logs, count(*) AS n FROM tel GROUP BY run_set))"""
+QUALITY = """quality AS (SELECT run_set, CASE WHEN heavy THEN 'low' WHEN lost > 0 OR unsealed > 0 THEN 'medium' ELSE 'high' END AS level, concat_ws('|', CASE WHEN heavy THEN 'heavy_loss' WHEN lost > 0 THEN 'some_loss' END, CASE WHEN unsealed > 0 THEN 'unsealed_segments' END) AS reasons FROM (
+  SELECT *, lost >= 100 OR pct >= 1 AS heavy FROM (SELECT run_set, sum(accepted - written) AS lost, sum(accepted - written) * 100.0::DOUBLE / sum(accepted) AS pct, count(*) FILTER (NOT sealed) AS unsealed FROM segments GROUP BY run_set)))"""
+CONF = """conf AS (SELECT CASE least(CASE WHEN logs >= 5 AND n >= 500 THEN 3 WHEN logs >= 2 AND n >= 80 THEN 2 ELSE 1 END, (SELECT min(CASE level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) FROM quality)) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS confidence FROM (
+  SELECT min(logs) AS logs, min(n) AS n FROM (SELECT run_set, count(DISTINCT source) AS logs, count(*) AS n FROM tel GROUP BY run_set)))"""
 ADJUSTED = "adjusted AS (SELECT *, CASE WHEN effect = 'high' AND (confidence = 'low' OR sample_size < 3) THEN 'medium' ELSE effect END AS severity FROM deltas, conf)"
-DELTA_VIEWS = [*ALL_PROBLEMS, DEVICE_SQL, SUMMARY, LONG, DELTAS, CONF, ADJUSTED]
+MIX = """mix AS (SELECT dimension, CASE WHEN baseline IS NOT DISTINCT FROM candidate THEN 'ok' ELSE 'medium' END AS severity FROM (SELECT dimension, max(summary) FILTER (run_set = 'baseline') AS baseline, max(summary) FILTER (run_set = 'candidate') AS candidate FROM (
+    SELECT run_set, dimension, string_agg(value || '=' || n, ', ' ORDER BY n DESC, value) AS summary FROM (SELECT run_set, 'network' AS dimension, network AS value, count(*) AS n FROM device GROUP BY ALL UNION ALL SELECT run_set, 'source', source, count(*) FROM tel GROUP BY ALL) GROUP BY ALL) GROUP BY dimension))"""
+DELTA_VIEWS = [*ALL_PROBLEMS, DEVICE_SQL, SUMMARY, LONG, DELTAS, SEGMENTS, QUALITY, CONF, ADJUSTED]
 
 
 def summary(spark, d):
@@ -111,8 +116,7 @@ def summary(spark, d):
 
 
 def adjusted(spark, d):
-    confidence = ins.run_totals(src.events(spark, d))
-    return op.adjusted(op.metric_deltas(summary(spark, d)), confidence.agg(op.sample_confidence(confidence).alias("confidence")))
+    return op.adjusted(op.metric_deltas(summary(spark, d)), op.comparison_confidence(ins.run_totals(src.events(spark, d)), q05(spark, d)))
 
 
 @query("v01_metric_deltas", sql(*DELTA_VIEWS, body="SELECT * FROM adjusted"))
@@ -143,3 +147,9 @@ def v02(spark, d):
     net = ins.mix(src.device(spark, d), "network").withColumn("dimension", F.lit("network"))
     logs = ins.mix(src.events(spark, d), "source").withColumn("dimension", F.lit("source"))
     return op.mix_deltas(net.unionByName(logs))
+
+
+@query("v06_comparison_gate", sql(*DELTA_VIEWS, MIX, body="""
+SELECT 'cohort_mismatch' AS rule, dimension AS value FROM mix WHERE severity <> 'ok' UNION ALL SELECT DISTINCT 'confidence', confidence FROM adjusted WHERE confidence <> 'high'"""))
+def v06_comparison(spark, d):
+    return op.comparison_gate(adjusted(spark, d), v02(spark, d).filter("severity <> 'ok'"), "high", True)

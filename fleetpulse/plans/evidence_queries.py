@@ -18,18 +18,18 @@ SUSPECTS = """suspects AS (SELECT run_set, class, CASE WHEN holder = 'unknown' T
 KIND = """CASE WHEN lower(class) LIKE '%activity%' THEN 'activity' WHEN lower(class) LIKE '%fragment%' THEN 'fragment' WHEN lower(class) LIKE '%view%' THEN 'view' WHEN starts_with(lower(class), 'android.') THEN 'system' ELSE 'user' END"""
 MEMORY_SQL = "memory AS (SELECT run_set, max(pss_kb) AS max_pss_kb, count(*) FILTER (low_memory) AS low_memory FROM device GROUP BY run_set)"
 #: hs stands for the heap evidence of each suspect; without a dump there is none.
-SCORED = f"""hs AS (SELECT run_set, class, holder, screen, flow, step, NULL::BIGINT AS heap_kb, NULL::VARCHAR AS heap_holder, false AS heap_path FROM suspects),
+SCORED = f"""hs AS (SELECT run_set, class, holder, screen, flow, step, NULL::BIGINT AS heap_kb, NULL::VARCHAR AS heap_holder, false AS heap_path, NULL::VARCHAR AS chain FROM suspects),
   sized AS (SELECT *, CASE WHEN max_pss_kb > 0 THEN least(full_kb, greatest(max_pss_kb // 3, base)) ELSE full_kb END AS estimate FROM (
     SELECT *, base * greatest(count, 1) * CASE WHEN max_age_ms >= 60000 THEN 3 WHEN max_age_ms >= 30000 THEN 2 ELSE 1 END AS full_kb FROM (
       SELECT *, CASE kind WHEN 'activity' THEN 2048 WHEN 'fragment' THEN 1024 WHEN 'view' THEN 768 WHEN 'system' THEN 128 ELSE 256 END::BIGINT AS base,
         CASE WHEN heap_path THEN 'confirmed_path' WHEN confirmed < count THEN 'time_only' WHEN confirmed > 0 THEN 'after_explicit_gc' WHEN heap_kb IS NOT NULL THEN 'unconfirmed_heap' ELSE 'time_only' END AS evidence,
         starts_with(class, 'android.') AS system, NOT starts_with(class, 'android.') OR contains(coalesce(heap_holder, holder), '.') AS user_owned, regexp_matches(lower(class), 'activity|fragment|view') AS risky FROM (
-          SELECT s.*, {KIND} AS kind, m.max_pss_kb, m.low_memory, h.heap_kb, h.heap_holder, h.heap_path FROM suspects s LEFT JOIN memory m USING (run_set) JOIN hs h USING (run_set, class, holder, screen, flow, step))))),
+          SELECT s.*, {KIND} AS kind, m.max_pss_kb, m.low_memory, h.heap_kb, h.heap_holder, h.heap_path, h.chain FROM suspects s LEFT JOIN memory m USING (run_set) JOIN hs h USING (run_set, class, holder, screen, flow, step))))),
   raw_scores AS (SELECT *, (count * 2.0::DOUBLE + max_age_ms / 10000.0::DOUBLE + CASE WHEN max_age_ms >= 60000 THEN 8 WHEN max_age_ms >= 30000 THEN 4 ELSE 0 END + CASE WHEN user_owned THEN 4 ELSE 0 END + CASE WHEN system THEN 3 ELSE 0 END
       + CASE WHEN risky THEN 5 ELSE 0 END + CASE WHEN low_memory > 0 THEN 2 ELSE 0 END + CASE WHEN max_pss_kb >= 524288 THEN 2 ELSE 0 END + CASE WHEN estimate >= 16384 THEN 5 WHEN estimate >= 4096 THEN 2 ELSE 0 END)
       * CASE evidence WHEN 'confirmed_path' THEN 1.0::DOUBLE WHEN 'after_explicit_gc' THEN 0.75::DOUBLE WHEN 'unconfirmed_heap' THEN 0.6::DOUBLE ELSE 0.45::DOUBLE END
       + CASE WHEN heap_path THEN 6 + CASE WHEN retained_kb >= 16384 THEN 4 WHEN retained_kb >= 4096 THEN 2 ELSE 0 END ELSE 0 END AS raw_score FROM (SELECT *, CASE WHEN heap_kb > 0 THEN heap_kb ELSE estimate END AS retained_kb FROM sized)),
-  scored AS (SELECT run_set, class, holder, screen, flow, step, count, max_age_ms, confirmed, kind, retained_kb, evidence, round(raw_score, 1) AS score,
+  scored AS (SELECT run_set, class, holder, screen, flow, step, count, max_age_ms, confirmed, kind, chain, retained_kb, evidence, round(raw_score, 1) AS score,
     CASE WHEN high AND evidence NOT IN ('time_only', 'unconfirmed_heap') THEN 'high' WHEN high OR medium THEN 'medium' ELSE 'ok' END AS severity FROM (
     SELECT *, raw_score >= 16 OR max_age_ms >= 60000 OR count >= 10 OR retained_kb >= 16384 AS high, raw_score >= 7 OR max_age_ms >= 15000 OR count >= 2 OR retained_kb >= 4096 AS medium FROM raw_scores))"""
 LEAKS = [RETAINED_SQL, DEVICE_SQL, SUSPECTS, MEMORY_SQL, SCORED]

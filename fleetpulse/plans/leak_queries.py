@@ -84,7 +84,7 @@ def h07(spark, d):
     return op.best_per_class(evidence(spark, d)).select("run_set", "class", "holder", "field", "root", "kb", F.col("actionability").cast("bigint").alias("actionability"))
 
 
-BEST = f"""best AS (SELECT * FROM (SELECT s.run_set, s.class, s.holder, s.screen, s.flow, s.step, h.holder AS heap_holder, h.field, h.root, h.kb, h.path, h.alternatives, row_number() OVER (PARTITION BY s.run_set, s.class, s.holder, s.screen, s.flow, s.step
+BEST = f"""best AS (SELECT * FROM (SELECT s.run_set, s.class, s.holder, s.screen, s.flow, s.step, h.holder AS heap_holder, h.field, h.root, h.kb, h.path, h.alternatives, h.fingerprint, row_number() OVER (PARTITION BY s.run_set, s.class, s.holder, s.screen, s.flow, s.step
     ORDER BY CASE WHEN h.holder <> '' AND contains(lower(h.holder), lower(s.holder)) THEN 1000 ELSE 0 END + CASE WHEN h.field <> '' AND contains(lower(h.field), lower(s.holder)) THEN 800 ELSE 0 END + actionability * 100 + floor(least(kb, 524288) / 1024)
       + CASE WHEN len(path) BETWEEN 1 AND 47 THEN 48 - len(path) ELSE 0 END DESC, {ORDER}, h.holder, h.field, h.root) AS rn FROM suspects s JOIN ruled h ON h.run_set = s.run_set AND h.class = s.class) WHERE rn = 1)"""
 
@@ -110,14 +110,14 @@ def j09(spark, d):
 
 
 #: The score's SQL with a heap: the suspect's best evidence replaces size and holder, a path adds to the score.
-HEAP_SCORED = LEAKS[-1].replace("hs AS (SELECT run_set, class, holder, screen, flow, step, NULL::BIGINT AS heap_kb, NULL::VARCHAR AS heap_holder, false AS heap_path FROM suspects)",
-                                "hs AS (SELECT s.run_set, s.class, s.holder, s.screen, s.flow, s.step, b.kb AS heap_kb, nullif(coalesce(nullif(b.heap_holder, ''), b.field), '') AS heap_holder, coalesce(len(b.path) >= 2, false) AS heap_path FROM suspects s LEFT JOIN best b USING (run_set, class, holder, screen, flow, step))")
+HEAP_SCORED = LEAKS[-1].replace("hs AS (SELECT run_set, class, holder, screen, flow, step, NULL::BIGINT AS heap_kb, NULL::VARCHAR AS heap_holder, false AS heap_path, NULL::VARCHAR AS chain FROM suspects)",
+                                "hs AS (SELECT s.run_set, s.class, s.holder, s.screen, s.flow, s.step, b.kb AS heap_kb, nullif(coalesce(nullif(b.heap_holder, ''), b.field), '') AS heap_holder, coalesce(len(b.path) >= 2, false) AS heap_path, b.fingerprint AS chain FROM suspects s LEFT JOIN best b USING (run_set, class, holder, screen, flow, step))")
 HEAP_LEAKS = [RETAINED_SQL, DEVICE_SQL, SUSPECTS, MEMORY_SQL, *HEAP, BEST, HEAP_SCORED]
 
 
 def heap_scored(spark, d) -> DataFrame:
     named = F.when(F.col("heap_holder") != "", F.col("heap_holder")).when(F.col("field") != "", F.col("field"))
-    b = best(spark, d).select(*ev.SUSPECT, F.col("kb").alias("heap_kb"), named.alias("heap_holder"), (F.size("path") >= 2).alias("heap_path"))
+    b = best(spark, d).select(*ev.SUSPECT, F.col("kb").alias("heap_kb"), named.alias("heap_holder"), (F.size("path") >= 2).alias("heap_path"), F.col("fingerprint").alias("chain"))
     return ev.leak_scores(ev.suspects(src.retained(spark, d)), memory(spark, d), b)
 
 
@@ -172,27 +172,40 @@ def l15(spark, d):
     return op.ordered(leaks(spark, d)).select(*ev.SUSPECT, "score", "rank")
 
 
+FINGERPRINT = "CASE WHEN chain <> '' THEN 'chain|' || chain ELSE lower(concat_ws('|', class, holder, screen, flow, step)) END"
 DELTAS = """deltas AS (SELECT *, CASE WHEN effect = 'high' AND coalesce(c_evidence IN ('time_only', 'unconfirmed_heap'), false) THEN 'medium' ELSE effect END AS severity FROM (
   SELECT *, CASE WHEN b_score IS NULL THEN 'new' WHEN c_score IS NULL THEN 'resolved' WHEN much OR more THEN 'worse' WHEN less THEN 'better' ELSE 'same' END AS status,
     CASE WHEN b_score IS NULL THEN CASE WHEN c_severity = 'high' THEN 'high' ELSE 'medium' END WHEN c_score IS NULL THEN 'ok' WHEN much THEN 'high' WHEN more THEN CASE WHEN c_severity = 'high' THEN 'high' ELSE 'medium' END WHEN less THEN 'ok' ELSE c_severity END AS effect FROM (
     SELECT *, c_score - b_score >= 8 OR c_count - b_count >= 5 OR c_max_age_ms - b_max_age_ms >= 30000 OR c_retained_kb - b_retained_kb >= 8192 AS much,
       c_score - b_score >= 3 OR c_count > b_count OR c_max_age_ms > b_max_age_ms OR c_retained_kb > b_retained_kb AS more, c_score - b_score <= -3 OR c_count < b_count OR c_max_age_ms < b_max_age_ms OR c_retained_kb < b_retained_kb AS less FROM (
-      SELECT lower(concat_ws('|', class, holder, screen, flow, step)) AS fingerprint, min(class) AS class, """ + ", ".join(
-    f"max({v}) FILTER (run_set = '{s}') AS {p}_{v}" for p, s in (("b", "baseline"), ("c", "candidate")) for v in ("score", "count", "max_age_ms", "retained_kb", "evidence", "severity")) + " FROM scored GROUP BY 1))))"
+      SELECT fingerprint, coalesce(c.class, b.class) AS class, b.class AS b_class, c.class AS c_class, c.severity AS c_severity, """ + ", ".join(f"{p}.{v} AS {p}_{v}" for p in "bc" for v in ("score", "count", "max_age_ms", "retained_kb", "evidence", "holder", "chain")) + " FROM (SELECT fingerprint, " + ", ".join(
+    f"arg_max(side, (score, count, max_age_ms, retained_kb, class, holder, screen, flow, step)) FILTER (run_set = '{s}') AS {p}" for p, s in (("b", "baseline"), ("c", "candidate"))) + f" FROM (SELECT *, {FINGERPRINT} AS fingerprint, {{'score': score, 'count': count, 'max_age_ms': max_age_ms, 'retained_kb': retained_kb, 'evidence': evidence, 'severity': severity, 'class': class, 'holder': holder, 'chain': chain}} AS side FROM scored) GROUP BY fingerprint)))))"
 
 
 @query("l10_leak_compare", sql(*LEAKS, DELTAS, body="SELECT fingerprint, class, status, severity, " + ", ".join(f"coalesce({p}_{v}, 0) AS {p}_{v}" for p in "bc" for v in ("score", "count", "max_age_ms", "retained_kb")) +
-                               ", b_evidence, c_evidence, b_score IS NOT NULL AS has_baseline, c_score IS NOT NULL AS has_candidate FROM deltas"))
+                               ", b_evidence, c_evidence, b_holder, c_holder, b_chain, c_chain, b_class, c_class, b_score IS NOT NULL AS has_baseline, c_score IS NOT NULL AS has_candidate FROM deltas"))
 def l10(spark, d):
     return ev.leak_compare(leaks(spark, d))
 
 
-@query("l11_match_confidence", sql(*LEAKS, DELTAS, body="""
-SELECT match, count(*) AS n FROM (SELECT CASE WHEN b_score IS NOT NULL AND c_score IS NOT NULL THEN CASE WHEN b_evidence <> c_evidence THEN 'low_evidence_differs' ELSE 'high_fingerprint' END ELSE 'medium_one_side' END AS match FROM deltas) GROUP BY match"""))
+MATCH = """CASE WHEN b_score IS NOT NULL AND c_score IS NOT NULL AND b_evidence <> c_evidence THEN 'low_evidence_differs' WHEN (b_score IS NULL OR c_score IS NULL) AND (coalesce(b_evidence = 'confirmed_path', false) OR coalesce(c_evidence = 'confirmed_path', false)) THEN 'medium_chain_one_side'
+  WHEN b_score IS NULL OR c_score IS NULL THEN 'medium_one_side' WHEN b_chain <> '' AND b_chain = c_chain AND b_evidence = 'confirmed_path' THEN 'high_heap_chain' WHEN b_chain <> '' AND b_chain = c_chain THEN 'high_chain'
+  WHEN b_class = c_class AND b_holder <> '' AND b_holder = c_holder THEN 'medium_class_holder' WHEN b_class = c_class THEN 'low_class_only' ELSE 'low_fallback' END"""
+
+
+@query("l11_match_confidence", sql(*LEAKS, DELTAS, body=f"SELECT match, count(*) AS n FROM (SELECT {MATCH} AS match FROM deltas) GROUP BY match"))
 def l11(spark, d):
-    j = ev.leak_compare(leaks(spark, d))
-    j = j.withColumns({"b_score": F.when(F.col("has_baseline"), F.col("b_score")), "c_score": F.when(F.col("has_candidate"), F.col("c_score")), "b_degraded": F.lit(False), "c_degraded": F.lit(False)})
-    return op.match_confidence(j).groupBy("match").agg(F.count(F.lit(1)).alias("n"))
+    return op.match_confidence(ev.leak_compare(leaks(spark, d))).groupBy("match").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("l11_heap_match_confidence", sql(*HEAP_LEAKS, DELTAS, body=f"SELECT fingerprint, {MATCH} AS match FROM deltas"))
+def l11_heap(spark, d):
+    return op.match_confidence(ev.leak_compare(heap_scored(spark, d))).select("fingerprint", "match")
+
+
+@query("l10_heap_leak_compare", sql(*HEAP_LEAKS, DELTAS, body="SELECT fingerprint, class, status, severity, b_score IS NOT NULL AS has_baseline, c_score IS NOT NULL AS has_candidate FROM deltas"))
+def l10_heap(spark, d):
+    return ev.leak_compare(heap_scored(spark, d)).select("fingerprint", "class", "status", "severity", "has_baseline", "has_candidate")
 
 
 @query("l12_compare_statistics", sql(*LEAKS, DELTAS, body="""

@@ -8,13 +8,14 @@ from fleetpulse.functions import text
 from fleetpulse.operators import compare
 from fleetpulse.operators import evidence as ev
 from fleetpulse.operators import inspect as ins
+from fleetpulse.operators.leaks import match_confidence
 from fleetpulse.operators import timeline as tl
 from fleetpulse.operators import verdict as op
-from fleetpulse.plans.compare_queries import CONF, DELTA_VIEWS, adjusted, summary, v02
+from fleetpulse.plans.compare_queries import CONF, DELTA_VIEWS, MIX, QUALITY, adjusted, summary, v02
 from fleetpulse.plans.evidence_queries import INFLUENCE, LEAKS, SEGMENTS, SIG, class_graph, influence, leaks, q05, signals
 from fleetpulse.plans.inspect_queries import FLOW_VIEWS, HTTP, SCORE, flows
 from fleetpulse.plans.leak_queries import DELTAS as LEAK_DELTAS
-from fleetpulse.plans.leak_queries import HEAP_LEAKS, best, heap_scored
+from fleetpulse.plans.leak_queries import HEAP_LEAKS, MATCH, best, heap_scored
 from fleetpulse.plans.timeline_queries import AREAS as AREAS_SQL
 from fleetpulse.plans.timeline_queries import CANDS, POINTS, STATES, change_points, picked, timeline
 from fleetpulse.register import query
@@ -36,12 +37,6 @@ def v10(spark, d):
     return op.findings(s.fillna(0))
 
 
-QUALITY = """quality AS (SELECT run_set, CASE WHEN heavy THEN 'low' WHEN lost > 0 OR unsealed > 0 THEN 'medium' ELSE 'high' END AS level, concat_ws('|', CASE WHEN heavy THEN 'heavy_loss' WHEN lost > 0 THEN 'some_loss' END, CASE WHEN unsealed > 0 THEN 'unsealed_segments' END) AS reasons FROM (
-  SELECT *, lost >= 100 OR pct >= 1 AS heavy FROM (SELECT run_set, sum(accepted - written) AS lost, sum(accepted - written) * 100.0::DOUBLE / sum(accepted) AS pct, count(*) FILTER (NOT sealed) AS unsealed FROM segments GROUP BY run_set)))"""
-MIX = """mix AS (SELECT dimension, CASE WHEN baseline IS NOT DISTINCT FROM candidate THEN 'ok' ELSE 'medium' END AS severity FROM (SELECT dimension, max(summary) FILTER (run_set = 'baseline') AS baseline, max(summary) FILTER (run_set = 'candidate') AS candidate FROM (
-    SELECT run_set, dimension, string_agg(value || '=' || n, ', ' ORDER BY n DESC, value) AS summary FROM (SELECT run_set, 'network' AS dimension, network AS value, count(*) AS n FROM device GROUP BY ALL UNION ALL SELECT run_set, 'source', source, count(*) FROM tel GROUP BY ALL) GROUP BY ALL) GROUP BY dimension))"""
-
-
 def quality(spark, d):
     return q05(spark, d).select("run_set", "level", "reasons")
 
@@ -52,10 +47,10 @@ def v05(spark, d):
     return op.warnings(v02(spark, d), quality(spark, d))
 
 
-FACTS = f"""facts AS (SELECT CASE least((SELECT CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END FROM conf), (SELECT min(CASE level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) FROM quality)) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS confidence,
+FACTS = f"""facts AS (SELECT (SELECT confidence FROM conf) AS confidence,
     (SELECT max(level) FROM quality WHERE run_set = 'baseline') AS bq, (SELECT max(level) FROM quality WHERE run_set = 'candidate') AS cq, (SELECT count(*) FROM mix WHERE severity <> 'ok') AS cohorts,
     (SELECT sum(len(string_split(CASE WHEN reasons = '' THEN level ELSE reasons END, '|'))) FROM quality WHERE level <> 'high') AS qw, (SELECT count(DISTINCT source) FROM tel WHERE run_set = 'baseline') AS bl, (SELECT count(DISTINCT source) FROM tel WHERE run_set = 'candidate') AS cl,
-    l.*, (SELECT count(*) FROM deltas) AS nd, (SELECT count(*) FROM deltas WHERE b_evidence = c_evidence) AS hm, (SELECT count(*) FROM deltas WHERE b_score IS NULL OR c_score IS NULL) AS mm FROM (
+    l.*, (SELECT count(*) FROM deltas) AS nd, (SELECT count(*) FROM deltas WHERE ({MATCH}) LIKE 'high%') AS hm, (SELECT count(*) FROM deltas WHERE ({MATCH}) LIKE 'medium%') AS mm FROM (
     SELECT count(*) AS n, count(*) FILTER (s.holder = 'unknown') AS unknown, count(*) FILTER (NOT starts_with(class, 'android.') OR contains(s.holder, '.')) AS own, max(max_age_ms) AS age, count(*) FILTER (evidence = 'confirmed_path') AS heap, count(*) FILTER (evidence = 'confirmed_path' AND b.field <> '') AS field,
       count(*) FILTER (evidence = 'confirmed_path' AND b.alternatives > 0) AS alt FROM scored s LEFT JOIN best b USING (run_set, class, holder, screen, flow, step) WHERE run_set = 'candidate') l)"""
 BASE = "CASE confidence WHEN 'high' THEN 9 WHEN 'medium' THEN 7 ELSE 4 END"
@@ -83,9 +78,8 @@ def facts(spark, d):
     user = text.is_app(F.col("class")) | text.is_app(F.col("holder"))
     leak = own.agg(F.count(F.lit(1)).alias("leaks"), F.count_if(text.is_unknown(F.col("holder"))).alias("unknown_holder"), F.count_if(user).alias("user_owned"), F.max("max_age_ms").alias("max_age_ms"), F.count_if(path).alias("heap_confirmed"),
                    F.count_if(path & (F.col("field") != "")).alias("with_field"), F.count_if(path).alias("with_path"), F.count_if(path & (F.col("alternatives") > 0)).alias("with_alternatives"), F.count(F.lit(1)).alias("explained"))
-    cmp = ev.leak_compare(s)
-    both = F.col("has_baseline") & F.col("has_candidate")
-    moves = cmp.agg(F.count(F.lit(1)).alias("deltas"), F.count_if(both & (F.col("b_evidence") == F.col("c_evidence"))).alias("high_match"), F.count_if(~both).alias("medium_match"))
+    cmp = match_confidence(ev.leak_compare(s))
+    moves = cmp.agg(F.count(F.lit(1)).alias("deltas"), F.count_if(F.col("match").startswith("high")).alias("high_match"), F.count_if(F.col("match").startswith("medium")).alias("medium_match"))
     cohorts = v02(spark, d).agg(F.count_if(F.col("severity") != "ok").alias("cohort_warnings"))
     out = sample
     for part in (levels, leak, moves, cohorts):
@@ -93,8 +87,9 @@ def facts(spark, d):
     return out.withColumn("confidence", F.when(worst == 3, "high").when(worst == 2, "medium").otherwise("low"))
 
 
-@query("v09_scorecard", sql(*HEAP_LEAKS, LEAK_DELTAS, SEGMENTS, QUALITY, MIX, CONF, FACTS, CARD_SQL, body="""
-SELECT area, weight, score, status, total, CASE WHEN f.bq = 'low' OR f.cq = 'low' THEN 'blocked' WHEN total >= 8 AND f.confidence <> 'low' AND f.cohorts = 0 AND coalesce(f.qw, 0) = 0 THEN 'go' WHEN total >= 6 THEN 'qa_only' ELSE 'blocked' END AS decision FROM card, (SELECT round(sum(score * weight) / sum(weight), 1) AS total FROM card), facts f"""))
+@query("v09_scorecard", sql(*HEAP_LEAKS, LEAK_DELTAS, SEGMENTS, QUALITY, CONF, MIX, FACTS, CARD_SQL, body="""
+SELECT area, weight, score, status, round(whole, 1) AS total, CASE WHEN f.bq = 'low' OR f.cq = 'low' THEN 'blocked' WHEN whole >= 8 AND f.confidence <> 'low' AND f.cohorts = 0 AND coalesce(f.qw, 0) = 0 THEN 'go' WHEN whole >= 6 THEN 'qa_only' ELSE 'blocked' END AS decision,
+  concat_ws('|', CASE WHEN f.bq <> 'high' THEN 'resolve_baseline_quality' END, CASE WHEN f.cq <> 'high' THEN 'resolve_candidate_quality' END, CASE WHEN f.cohorts > 0 THEN 'align_cohorts' END, CASE WHEN f.n > f.heap AND f.heap = 0 THEN 'collect_heap_evidence' END) AS next_actions FROM card, (SELECT sum(score * weight) / sum(weight) AS whole FROM card), facts f"""))
 def v09(spark, d):
     return op.scorecard(facts(spark, d))
 
