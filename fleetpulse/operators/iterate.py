@@ -78,12 +78,14 @@ def dominators(edges: DataFrame, roots: DataFrame, depth: int = 256, rounds: int
 
 
 def retained(edges: DataFrame, roots: DataFrame, targets: DataFrame, nodes: DataFrame, depth: int = 256, rounds: int = 1000, most: int = 8) -> DataFrame:
-    """What a target (g, node) alone keeps alive: the nodes it dominates, itself included; nodes has (g, node, size, class).
+    """What a target (g, node) alone keeps alive: the nodes it dominates, itself included; nodes has (g, node, size) and,
+    where it is known, class.
 
     One dominator tree answers for all targets: a node counts for the targets in its chain.  A target beyond the budget,
     or with a node below it that is, falls back to itself alone and is not exact.  Targets that no root reaches keep what
     they reach and no root does.  ``classes`` has the ``most`` most frequent classes, the least name first among equals.
     """
+    nodes = nodes if "class" in nodes.columns else nodes.withColumn("class", F.lit(""))
     t = targets.select("g", F.col("node").alias("target")).distinct()
     tree = cut(dominators(edges, roots, depth, rounds), "dominators")
     under = tree.select("g", "node", "exact", F.explode("chain").alias("target")).join(t, ["g", "target"])

@@ -108,26 +108,17 @@ def symptoms(b: DataFrame) -> DataFrame:
     return b.withColumn("symptoms", F.array_compact(every))
 
 
-def weighted_states(buckets: DataFrame, loops: DataFrame | None = None) -> DataFrame:
-    """K01-K03 with loops and weights: the dominant symptom's state, its weight, and recovering after a bad bucket."""
+def states(buckets: DataFrame, loops: DataFrame | None = None) -> DataFrame:
+    """The dominant symptom's state of each bucket and its weight, and recovering right after a bad bucket.
+
+    loops (run_set, first_ms, last_ms, confidence) and the timeline's dns_ms and connect_ms count where they are given.
+    """
     b = symptoms(with_loops(with_floor(buckets), loops)).withColumn("first", F.get("symptoms", F.lit(0)))
     b = b.withColumns({"raw": F.coalesce("first.state", F.lit("healthy")), "weight": F.coalesce("first.weight", F.lit(0.0))})
     after_bad = F.coalesce(F.lag(F.col("raw") != "healthy").over(Window.partitionBy("run_set").orderBy("bucket")), F.lit(False))
     return b.withColumns({"state": F.when((F.col("raw") == "healthy") & after_bad, "recovering").otherwise(F.col("raw")), "bad": F.col("raw") != "healthy"}).drop("first")
 
 
-def states(buckets: DataFrame) -> DataFrame:
-    """The dominant symptom of each bucket, and recovering right after a bad bucket."""
-    b = with_floor(buckets)
-    memory = ((F.col("pss_floor") > 0) & (F.col("pss_kb") >= F.col("pss_floor") + GROWTH_KB)) | ((F.col("ram_kb") > 0) & (F.col("ram_kb") < LOW_RAM_KB))
-    raw = (F.when(F.col("stalls") > 0, "stalled").when(memory, "memory_pressure").when(jank_pct() >= 5, "janky")
-           .when((F.col("http_failed") > 0) | ((F.col("http") > 0) & (F.col("http_p95_ms") >= 500)), "network_slow").otherwise("healthy"))
-    seq = Window.partitionBy("run_set").orderBy("bucket")
-    out = b.withColumn("raw", raw)
-    after_bad = F.coalesce(F.lag(F.col("raw") != "healthy").over(seq), F.lit(False))
-    return out.withColumn("state", F.when((F.col("raw") == "healthy") & after_bad, "recovering").otherwise(F.col("raw"))).withColumn("bad", F.col("raw") != "healthy")
-
-
 def transitions(s: DataFrame) -> DataFrame:
     """How often one state follows another, with the share of its row."""
     nxt = F.lead("state").over(Window.partitionBy("run_set").orderBy("bucket"))
@@ -227,18 +218,32 @@ def model_compare(s: DataFrame) -> DataFrame:
 LIMITS = {"jank_pressure_area": (60, 180), "latency_pain_area": (500, 2000), "network_failure_burn": (5, 20), "memory_pressure_area": (128, 1024), "recovery_debt": (8, 30)}
 
 
-def integrals(s: DataFrame) -> DataFrame:
-    """I01-I06 of ``states``: areas over time in seconds, one row per score, with severity."""
-    dt = F.col("size") / 1000.0
+def sore() -> Column:
+    """Buckets that count for the recovery debt: jank, slow or failed calls, memory; stalls and loops don't."""
+    grown = (F.col("pss_floor") > 0) & (F.col("pss_kb") >= F.col("pss_floor") + GROWTH_KB)
+    short = (F.col("ram_kb") > 0) & (F.col("ram_kb") < LOW_RAM_KB)
+    return (jank_pct() >= 5) | ((F.col("http") > 0) & (F.col("http_p95_ms") >= 500)) | (F.col("http_failed") > 0) | grown | short
+
+
+def integrals(s: DataFrame, loops: DataFrame | None = None) -> DataFrame:
+    """I01-I06 of ``states``: areas over time in seconds, one row per score, with severity.
+
+    Failures burn with a quarter of each call that looked a name up or connected (dns, connect, where the timeline has
+    them) and with the burn of the run set's loops (run_set, burn).
+    """
     seq = Window.partitionBy("run_set").orderBy("bucket")
-    rows = s.withColumn("island", F.sum(F.when(F.col("bad"), 0).otherwise(1)).over(seq)).withColumn("dt", dt)
-    streak = F.sum("dt").over(Window.partitionBy("run_set", "island", "bad").orderBy("bucket"))
-    rows = rows.withColumn("streak", F.when(F.col("bad"), streak).otherwise(0.0))
+    rows = s.withColumns({"sore": sore(), "dt": F.col("size") / 1000.0})
+    rows = rows.withColumn("island", F.sum(F.when(F.col("sore"), 0).otherwise(1)).over(seq))
+    streak = F.sum("dt").over(Window.partitionBy("run_set", "island", "sore").orderBy("bucket"))
+    rows = rows.withColumn("streak", F.when(F.col("sore"), streak).otherwise(0.0))
     grown = F.when((F.col("pss_floor") > 0) & (F.col("pss_kb") > F.col("pss_floor")), F.col("pss_kb") - F.col("pss_floor")).otherwise(0)
     short = F.when((F.col("ram_kb") > 0) & (F.col("ram_kb") < LOW_RAM_KB), LOW_RAM_KB - F.col("ram_kb")).otherwise(0)
+    phases = [0.25 * F.col(c) if c in s.columns else F.lit(0.0) for c in ("dns", "connect")]
     areas = rows.groupBy("run_set").agg(
         F.sum(jank_pct() * F.col("dt")).alias("jank_pressure_area"), F.sum(F.greatest(F.col("http_p95_ms") - PAIN_MS, F.lit(0)) * F.col("dt")).alias("latency_pain_area"),
-        F.sum(F.col("http_failed") * F.col("dt")).alias("network_failure_burn"), F.sum((grown + short) / 1024.0 * F.col("dt")).alias("memory_pressure_area"), F.sum(F.col("streak") * F.col("dt")).alias("recovery_debt"))
+        F.sum((F.col("http_failed") + phases[0] + phases[1]) * F.col("dt")).alias("network_failure_burn"), F.sum((grown + short) / 1024.0 * F.col("dt")).alias("memory_pressure_area"), F.sum(F.col("streak") * F.col("dt")).alias("recovery_debt"))
+    if loops is not None:
+        areas = areas.join(loops.groupBy("run_set").agg(F.sum("burn").alias("burn")), "run_set", "left").withColumn("network_failure_burn", F.col("network_failure_burn") + F.coalesce("burn", F.lit(0.0)))
     long = areas.unpivot("run_set", list(LIMITS), "score", "value")
     severity = F.lit("ok")
     for name, (medium, high) in LIMITS.items():

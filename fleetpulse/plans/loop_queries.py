@@ -9,24 +9,12 @@ from fleetpulse.functions.staging import cut
 from fleetpulse.operators import causal, loops, periodic
 from fleetpulse.operators import timeline as tl
 from fleetpulse.plans.graph_queries import whole_series
-from fleetpulse.plans.timeline_queries import AREAS, STATES, TL, change_points, timeline
+from fleetpulse.plans.timeline_queries import AREAS, HTTP, STATES, TL, bucketed, change_points, http, load_scores, model, timeline
 from fleetpulse.register import query
 from fleetpulse.sources import adapter as src
 from fleetpulse.sources.adapter import NET_NAME_SQL, PHASES, sql
 
 
-def bucketed(spark, d) -> DataFrame:
-    """All events with their bucket."""
-    rel = tl.relative(src.wide(spark, d))
-    scale = rel.groupBy("run_set").agg(tl.bucket_size(F.max("rel_ms")).alias("size"))
-    return rel.join(F.broadcast(scale), "run_set").withColumn("bucket", F.expr("rel_ms div size"))
-
-
-def http(rows: DataFrame) -> DataFrame:
-    return src.phases(rows.filter("type = 'http'"))
-
-
-HTTP = f"calls_in AS (SELECT *, {PHASES} FROM bucketed WHERE type = 'http')"
 BASE = "['route:' || route, 'owner:' || owner]"
 METRIC_KIND = """CASE k % 9 WHEN 0 THEN {'kind': 'dns', 'route': 'get_r1', 'owner': '', 'tokens': ['dns_high', 'route:get_r1']} WHEN 1 THEN {'kind': 'connect', 'route': 'post_x', 'owner': '', 'tokens': ['connect_high', 'route:post_x']}
   WHEN 2 THEN {'kind': 'retry', 'route': '', 'owner': '', 'tokens': ['reconnect_high']} WHEN 3 THEN {'kind': 'websocket', 'route': '', 'owner': 'chat', 'tokens': ['websocket_reconnect', 'reconnect_high', 'owner:chat']}
@@ -171,41 +159,13 @@ def c03_nearby(spark, d):
     return tl.described_changes(change_points(spark, d), samples(bucketed(spark, d)))
 
 
-#: Eight windows of each run set stand for its loops: the spans of calls that share k % 100 and their share as confidence.
-WINDOWS_SQL = """loops AS (SELECT run_set, first_ms, last_ms, confidence FROM (SELECT run_set, min(bucket) * any_value(size) AS first_ms, (min(bucket) + (max(bucket) - min(bucket)) // 40) * any_value(size) AS last_ms, (k % 100) / 100.0::DOUBLE AS confidence,
-  row_number() OVER (PARTITION BY run_set ORDER BY count(*) DESC, k % 100) AS rn FROM bucketed WHERE type = 'http' GROUP BY run_set, k % 100) WHERE rn <= 8)"""
-WSTATES = ["""floors AS (SELECT t.*, f.pss_floor, coalesce((SELECT max(confidence) FROM loops l WHERE l.run_set = t.run_set AND confidence >= 0.35 AND t.bucket * t.size BETWEEN first_ms AND last_ms), 0) AS loop_confidence, coalesce(p.dns_ms, 0) AS dns_ms, coalesce(p.connect_ms, 0) AS connect_ms
-    FROM tl t JOIN (SELECT run_set, coalesce(min(nullif(pss_kb, 0)), 0) AS pss_floor FROM tl GROUP BY run_set) f USING (run_set) LEFT JOIN (SELECT run_set, bucket, CAST(sum(dns_ms) // nullif(count(nullif(dns_ms, 0)), 0) AS BIGINT) AS dns_ms, CAST(sum(connect_ms) // nullif(count(nullif(connect_ms, 0)), 0) AS BIGINT) AS connect_ms FROM calls_in GROUP BY ALL) p USING (run_set, bucket))""",
-           """weights AS (SELECT *, CASE WHEN loop_confidence >= 0.35 THEN least(1, greatest(0.05, loop_confidence)) END AS w0, CASE WHEN stalls > 0 THEN least(1, greatest(0.05, 0.65 + stalls * 0.1::DOUBLE + stall_max_ms / 3000.0::DOUBLE)) END AS w1,
-    CASE WHEN (pss_floor > 0 AND pss_kb >= pss_floor + 32768) OR (ram_kb > 0 AND ram_kb < 262144) THEN greatest(CASE WHEN pss_floor > 0 AND pss_kb >= pss_floor + 32768 THEN least(1, greatest(0.05, (pss_kb - pss_floor) / 131072.0::DOUBLE)) ELSE 0 END, CASE WHEN ram_kb > 0 AND ram_kb < 262144 THEN least(1, greatest(0.05, (262144 - ram_kb) / 262144.0::DOUBLE)) ELSE 0 END) END AS w2,
-    CASE WHEN frames > 0 AND jank * 100.0::DOUBLE / frames >= 5 THEN least(1, greatest(0.05, jank * 100.0::DOUBLE / frames / 20)) END AS w3,
-    nullif(greatest(CASE WHEN http_failed > 0 THEN least(1, greatest(0.05, 0.75 + http_failed * 0.1::DOUBLE)) ELSE 0 END, CASE WHEN http > 0 AND http_p95_ms >= 500 THEN least(1, greatest(0.05, (http_p95_ms - 300) / 1000.0::DOUBLE)) ELSE 0 END,
-      CASE WHEN dns_ms >= 100 THEN least(1, greatest(0.05, (dns_ms - 50) / 500.0::DOUBLE)) ELSE 0 END, CASE WHEN connect_ms >= 150 THEN least(1, greatest(0.05, (connect_ms - 100) / 700.0::DOUBLE)) ELSE 0 END), 0) AS w4 FROM floors)""",
-           """wraw AS (SELECT *, CASE WHEN w0 IS NOT NULL THEN 'network_loop' WHEN w1 IS NOT NULL THEN 'stalled' WHEN w2 IS NOT NULL THEN 'memory_pressure' WHEN w3 IS NOT NULL THEN 'janky' WHEN w4 IS NOT NULL THEN 'network_slow' ELSE 'healthy' END AS raw, coalesce(w0, w1, w2, w3, w4, 0) AS weight FROM weights),
-  wstates AS (SELECT *, raw <> 'healthy' AS bad, CASE WHEN raw = 'healthy' AND coalesce(lag(raw <> 'healthy') OVER (PARTITION BY run_set ORDER BY bucket), false) THEN 'recovering' ELSE raw END AS state FROM wraw)"""]
-MODEL = [*TL, HTTP, WINDOWS_SQL, *WSTATES]
-
-
-def windows(rows: DataFrame) -> DataFrame:
-    h = rows.filter("type = 'http'").groupBy("run_set", (F.col("k") % 100).alias("m")).agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    h = h.withColumn("rn", F.expr("row_number() over (partition by run_set order by n desc, m)")).filter("rn <= 8")
-    return h.select("run_set", (F.col("a") * F.col("size")).alias("first_ms"), ((F.col("a") + F.expr("(b - a) div 40")) * F.col("size")).alias("last_ms"), (F.col("m") / 100.0).alias("confidence"))
-
-
-def model(spark, d) -> DataFrame:
-    """Weighted states of all buckets, with loop windows and phases."""
-    rows = bucketed(spark, d)
-    t = timeline(spark, d).join(tl.phase_buckets(http(rows)), ["run_set", "bucket"], "left").fillna(0, ["dns", "dns_ms", "connect", "connect_ms", "ttfb_ms"])
-    return tl.weighted_states(t, windows(rows))
-
-
-@query("k01_contributors", sql(*MODEL, body="SELECT run_set, state, count(*) AS windows, round(sum(weight), 4) AS weight, count(w0) AS loops, count(w1) AS stalls, count(w2) AS memory, count(w3) AS janky, count(w4) AS slow FROM wstates GROUP BY ALL"))
+@query("k01_contributors", sql(*STATES, body="SELECT run_set, state, count(*) AS windows, round(sum(weight), 4) AS weight, count(w0) AS loops, count(w1) AS stalls, count(w2) AS memory, count(w3) AS janky, count(w4) AS slow FROM states GROUP BY ALL"))
 def k01(spark, d):
     n = lambda s: F.count_if(F.exists("symptoms", lambda x: x["state"] == s))
     return model(spark, d).groupBy("run_set", "state").agg(F.count(F.lit(1)).alias("windows"), F.round(F.sum("weight"), 4).alias("weight"), n("network_loop").alias("loops"), n("stalled").alias("stalls"), n("memory_pressure").alias("memory"), n("janky").alias("janky"), n("network_slow").alias("slow"))
 
 
-@query("k08_context_sticky", sql(*MODEL, SAMPLES, """ctxs AS (SELECT s.run_set, s.bucket, state, bad, concat_ws('|', 'owner:' || owner, 'route:' || route, 'screen:' || screen, 'network:' || network) AS context FROM wstates s LEFT JOIN samples USING (run_set, bucket))""", body="""
+@query("k08_context_sticky", sql(*STATES, SAMPLES, """ctxs AS (SELECT s.run_set, s.bucket, state, bad, concat_ws('|', 'owner:' || owner, 'route:' || route, 'screen:' || screen, 'network:' || network) AS context FROM states s LEFT JOIN samples USING (run_set, bucket))""", body="""
 SELECT run_set, state, context, CAST(c AS BIGINT) AS count, p AS probability, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY run_set ORDER BY p DESC, c DESC, state, context) AS rn FROM (
   SELECT run_set, state, context, count(*) FILTER (state = ns AND context = nc) AS c, round(count(*) FILTER (state = ns AND context = nc) / count(*), 6) AS p FROM (SELECT *, lead(state) OVER w AS ns, lead(context) OVER w AS nc FROM ctxs WINDOW w AS (PARTITION BY run_set ORDER BY bucket)) WHERE ns IS NOT NULL AND bad AND context <> '' GROUP BY ALL) WHERE c > 0) WHERE rn <= 5"""))
 def k08(spark, d):
@@ -226,7 +186,7 @@ WTRANS = """trans AS (SELECT *, round(count / sum(count) OVER (PARTITION BY run_
 
 @query("k09_model_summary", sql(*STATES, WTRANS, body="SELECT * FROM model"))
 def k09(spark, d):
-    return tl.model_summary(tl.states(timeline(spark, d)))
+    return tl.model_summary(model(spark, d))
 
 
 def _severity(kind: str) -> str:
@@ -241,14 +201,14 @@ def _severity(kind: str) -> str:
 SELECT metric, round(b, 6) AS baseline, round(c, 6) AS candidate, d AS delta, CASE kind WHEN 'count' THEN {_severity('count')} WHEN 'share' THEN {_severity('share')} ELSE {_severity('duration')} END AS severity FROM (
   SELECT *, CASE WHEN up THEN d ELSE -d END AS w FROM (SELECT *, round(c - b, 6) AS d FROM (SELECT metric, kind, up, coalesce(max(v) FILTER (run_set = 'baseline'), 0) AS b, coalesce(max(v) FILTER (run_set = 'candidate'), 0) AS c FROM mrows GROUP BY ALL)))"""))
 def k10(spark, d):
-    return tl.model_compare(tl.states(timeline(spark, d)))
+    return tl.model_compare(model(spark, d))
 
 
 @query("j21_integral_compare", sql(*STATES, AREAS, "scores AS (" + " UNION ALL ".join(f"SELECT run_set, '{n}' AS score, round({n}, 4) AS value, {m} AS m, {h} AS h FROM areas" for n, (m, h) in tl.LIMITS.items()) + ")", body="""
 SELECT score, baseline, candidate, delta, round(pct, 4) AS delta_pct, CASE WHEN delta <= 0 THEN 'ok' WHEN delta >= h * 0.35::DOUBLE OR pct >= 50 THEN 'high' WHEN delta >= m * 0.35::DOUBLE OR pct >= 15 THEN 'medium' ELSE 'ok' END AS severity FROM (
   SELECT *, CASE WHEN baseline <> 0 THEN delta * 100 / baseline ELSE 0 END AS pct FROM (SELECT score, m, h, baseline, candidate, round(candidate - baseline, 4) AS delta FROM (SELECT score, m, h, coalesce(max(value) FILTER (run_set = 'baseline'), 0) AS baseline, coalesce(max(value) FILTER (run_set = 'candidate'), 0) AS candidate FROM scores GROUP BY ALL)))"""))
 def j21(spark, d):
-    return tl.integral_compare(tl.integrals(tl.states(timeline(spark, d))))
+    return tl.integral_compare(load_scores(spark, d))
 
 
 S = "CASE WHEN bad THEN 2.0::DOUBLE WHEN state = 'recovering' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END"
@@ -261,14 +221,14 @@ def _edge(a: str, b: str, kind: str, strength: str, when: str = "true") -> str:
 
 ST, SC, OW, RO, NE = "'state:' || state", "'screen:' || screen", "'owner:' || owner", "'route:' || route", "'network:' || network"
 SLOW, DNS, CON = "'symptom:network_slow'", "'phase:DNS'", "'phase:connect'"
-GRAPH = ["g AS (SELECT s.*, " + S + " AS base, screen, owner, route, network, coalesce(p.dns, 0) AS dns, coalesce(p.connect, 0) AS connect FROM wstates s LEFT JOIN samples USING (run_set, bucket) LEFT JOIN (SELECT run_set, bucket, count(nullif(dns_ms, 0)) AS dns, count(nullif(connect_ms, 0)) AS connect FROM calls_in GROUP BY ALL) p USING (run_set, bucket))",
+GRAPH = ["g AS (SELECT s.*, " + S + " AS base, screen, owner, route, network, coalesce(p.dns, 0) AS dns, coalesce(p.connect, 0) AS connect FROM states s LEFT JOIN samples USING (run_set, bucket) LEFT JOIN (SELECT run_set, bucket, count(nullif(dns_ms, 0)) AS dns, count(nullif(connect_ms, 0)) AS connect FROM calls_in GROUP BY ALL) p USING (run_set, bucket))",
          "one_way AS (" + " UNION ALL ".join([
              _edge(ST, SYMPTOM, "state-symptom", "base"), _edge(SC, ST, "screen-state", "base"), _edge(OW, ST, "owner-state", "base"), _edge(SC, OW, "screen-owner", "base * 0.8::DOUBLE"), _edge(RO, ST, "route-state", "base"), _edge(OW, RO, "owner-route", "base + 0.5::DOUBLE"),
              _edge(RO, "'phase:HTTP'", "route-phase", "base", "http > 0"), _edge(RO, DNS, "route-phase", "base + dns * 0.3::DOUBLE", "dns > 0"), _edge(DNS, SLOW, "phase-symptom", "base + 0.5::DOUBLE", "dns > 0 AND route IS NOT NULL"), _edge(RO, CON, "route-phase", "base + connect * 0.3::DOUBLE", "connect > 0"),
              _edge(CON, SLOW, "phase-symptom", "base + 0.5::DOUBLE", "connect > 0 AND route IS NOT NULL"), _edge(RO, SLOW, "route-symptom", "base + http_failed", "http_failed > 0"), _edge(NE, ST, "network-state", "base * 0.7::DOUBLE")]) + ")",
          """edges AS (SELECT run_set, "from", "to", kind, CAST(sum(n) AS BIGINT) AS count, least(1, sum(s) / 6) AS confidence, 1 / least(1, sum(s) / 6) AS weight FROM (
   SELECT run_set, a AS "from", b AS "to", kind, 1 AS n, greatest(0.1, s) AS s FROM one_way UNION ALL SELECT run_set, b, a, kind, 1, greatest(0.1, s) FROM one_way) WHERE "from" <> "to" GROUP BY ALL)"""]
-CAUSAL = [*MODEL, SAMPLES, *GRAPH]
+CAUSAL = [*STATES, SAMPLES, *GRAPH]
 
 
 def contributions(spark, d) -> DataFrame:

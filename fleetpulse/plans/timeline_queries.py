@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetpulse.functions.staging import cut
 from fleetpulse.operators import robust as rob
 from fleetpulse.operators import timeline as op
 from fleetpulse.register import query
 from fleetpulse.sources import adapter as src
-from fleetpulse.sources.adapter import METRIC_SQL, STALL_SQL, UI_SQL, WIDE_SQL, sql
+from fleetpulse.sources.adapter import METRIC_SQL, PHASES, STALL_SQL, UI_SQL, WIDE_SQL, sql
 
 SCALE_CASE = "CASE " + " ".join(f"WHEN span // {s * 1000} + 1 <= 50000 THEN {s * 1000}" for s in op.SCALES) + " ELSE CAST(ceil(span / 180000000000.0::DOUBLE) AS BIGINT) * 3600000 END"
 REL = ["rel AS (SELECT *, greatest(time_ms - min(time_ms) OVER (PARTITION BY run_set, source), 0) AS rel_ms FROM wide)", f"scale AS (SELECT run_set, span, CAST({SCALE_CASE} AS BIGINT) AS size FROM (SELECT run_set, max(rel_ms) AS span FROM rel GROUP BY run_set))"]
@@ -46,35 +48,83 @@ def m07(spark, d):
     return op.top_sample(rows, "route")
 
 
-@query("m08_series", sql(*TL, "long AS (UNPIVOT (SELECT run_set, bucket, " + ", ".join(f"{s}::BIGINT AS {s}" for s in op.SERIES) + " FROM tl) ON " + ", ".join(op.SERIES) + " INTO NAME signal VALUE value)", body="""
-SELECT run_set, bucket, signal, value FROM long WHERE (run_set, signal) IN (SELECT (run_set, signal) FROM long GROUP BY ALL HAVING max(abs(value)) > 0)"""))
+@query("m08_series", sql(*TL, "long AS (UNPIVOT (SELECT run_set, bucket, " + ", ".join(f"{s}::BIGINT AS {s}" for s in op.SERIES) + " FROM tl) ON " + ", ".join(op.SERIES) + " INTO NAME signal VALUE value)",
+                         "live AS (SELECT run_set, signal FROM long GROUP BY run_set, signal HAVING max(abs(value)) > 0)", body="SELECT run_set, bucket, signal, value FROM long JOIN live USING (run_set, signal)"))
 def m08(spark, d):
     return op.series(timeline(spark, d))
 
 
-STATES = [*TL, """raw AS (SELECT t.*, f.pss_floor, CASE WHEN stalls > 0 THEN 'stalled' WHEN (f.pss_floor > 0 AND pss_kb >= f.pss_floor + 32768) OR (ram_kb > 0 AND ram_kb < 262144) THEN 'memory_pressure'
-    WHEN frames > 0 AND jank * 100.0::DOUBLE / frames >= 5 THEN 'janky' WHEN http_failed > 0 OR (http > 0 AND http_p95_ms >= 500) THEN 'network_slow' ELSE 'healthy' END AS raw
-  FROM tl t JOIN (SELECT run_set, coalesce(min(nullif(pss_kb, 0)), 0) AS pss_floor FROM tl GROUP BY run_set) f USING (run_set))""",
-          """states AS (SELECT *, raw <> 'healthy' AS bad, CASE WHEN raw = 'healthy' AND coalesce(lag(raw <> 'healthy') OVER (PARTITION BY run_set ORDER BY bucket), false) THEN 'recovering' ELSE raw END AS state FROM raw)"""]
+def bucketed(spark, d) -> DataFrame:
+    """All events with their bucket."""
+    rel = op.relative(src.wide(spark, d))
+    scale = rel.groupBy("run_set").agg(op.bucket_size(F.max("rel_ms")).alias("size"))
+    return rel.join(F.broadcast(scale), "run_set").withColumn("bucket", F.expr("rel_ms div size"))
+
+
+def http(rows: DataFrame) -> DataFrame:
+    return src.phases(rows.filter("type = 'http'"))
+
+
+HTTP = f"calls_in AS (SELECT *, {PHASES} FROM bucketed WHERE type = 'http')"
+
+
+#: Eight windows of each run set stand for its loops: the spans of calls that share k % 100 and their share as confidence.
+WINDOWS_SQL = """loops AS (SELECT run_set, first_ms, last_ms, confidence, burn FROM (SELECT run_set, count(*) * (1 + (k % 100) / 100.0::DOUBLE) / 50 AS burn, min(bucket) * any_value(size) AS first_ms, (min(bucket) + (max(bucket) - min(bucket)) // 40) * any_value(size) AS last_ms, (k % 100) / 100.0::DOUBLE AS confidence,
+  row_number() OVER (PARTITION BY run_set ORDER BY count(*) DESC, k % 100) AS rn FROM bucketed WHERE type = 'http' GROUP BY run_set, k % 100) WHERE rn <= 8)"""
+_STATES = ["""floors AS (SELECT t.*, f.pss_floor, coalesce((SELECT max(confidence) FROM loops l WHERE l.run_set = t.run_set AND confidence >= 0.35 AND t.bucket * t.size BETWEEN first_ms AND last_ms), 0) AS loop_confidence, coalesce(p.dns, 0) AS dns, coalesce(p.connect, 0) AS connect, coalesce(p.dns_ms, 0) AS dns_ms, coalesce(p.connect_ms, 0) AS connect_ms
+    FROM tl t JOIN (SELECT run_set, coalesce(min(nullif(pss_kb, 0)), 0) AS pss_floor FROM tl GROUP BY run_set) f USING (run_set) LEFT JOIN (SELECT run_set, bucket, count(nullif(dns_ms, 0)) AS dns, count(nullif(connect_ms, 0)) AS connect, CAST(sum(dns_ms) // nullif(count(nullif(dns_ms, 0)), 0) AS BIGINT) AS dns_ms, CAST(sum(connect_ms) // nullif(count(nullif(connect_ms, 0)), 0) AS BIGINT) AS connect_ms FROM calls_in GROUP BY ALL) p USING (run_set, bucket))""",
+           """weights AS (SELECT *, CASE WHEN loop_confidence >= 0.35 THEN least(1, greatest(0.05, loop_confidence)) END AS w0, CASE WHEN stalls > 0 THEN least(1, greatest(0.05, 0.65 + stalls * 0.1::DOUBLE + stall_max_ms / 3000.0::DOUBLE)) END AS w1,
+    CASE WHEN (pss_floor > 0 AND pss_kb >= pss_floor + 32768) OR (ram_kb > 0 AND ram_kb < 262144) THEN greatest(CASE WHEN pss_floor > 0 AND pss_kb >= pss_floor + 32768 THEN least(1, greatest(0.05, (pss_kb - pss_floor) / 131072.0::DOUBLE)) ELSE 0 END, CASE WHEN ram_kb > 0 AND ram_kb < 262144 THEN least(1, greatest(0.05, (262144 - ram_kb) / 262144.0::DOUBLE)) ELSE 0 END) END AS w2,
+    CASE WHEN frames > 0 AND jank * 100.0::DOUBLE / frames >= 5 THEN least(1, greatest(0.05, jank * 100.0::DOUBLE / frames / 20)) END AS w3,
+    nullif(greatest(CASE WHEN http_failed > 0 THEN least(1, greatest(0.05, 0.75 + http_failed * 0.1::DOUBLE)) ELSE 0 END, CASE WHEN http > 0 AND http_p95_ms >= 500 THEN least(1, greatest(0.05, (http_p95_ms - 300) / 1000.0::DOUBLE)) ELSE 0 END,
+      CASE WHEN dns_ms >= 100 THEN least(1, greatest(0.05, (dns_ms - 50) / 500.0::DOUBLE)) ELSE 0 END, CASE WHEN connect_ms >= 150 THEN least(1, greatest(0.05, (connect_ms - 100) / 700.0::DOUBLE)) ELSE 0 END), 0) AS w4 FROM floors)""",
+           """raw AS (SELECT *, CASE WHEN w0 IS NOT NULL THEN 'network_loop' WHEN w1 IS NOT NULL THEN 'stalled' WHEN w2 IS NOT NULL THEN 'memory_pressure' WHEN w3 IS NOT NULL THEN 'janky' WHEN w4 IS NOT NULL THEN 'network_slow' ELSE 'healthy' END AS raw, coalesce(w0, w1, w2, w3, w4, 0) AS weight FROM weights),
+  states AS (SELECT *, raw <> 'healthy' AS bad, CASE WHEN raw = 'healthy' AND coalesce(lag(raw <> 'healthy') OVER (PARTITION BY run_set ORDER BY bucket), false) THEN 'recovering' ELSE raw END AS state FROM raw)"""]
+STATES = [*TL, HTTP, WINDOWS_SQL, *_STATES]
+
+
+def windows(rows: DataFrame) -> DataFrame:
+    h = rows.filter("type = 'http'").groupBy("run_set", (F.col("k") % 100).alias("m")).agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    h = h.withColumn("rn", F.expr("row_number() over (partition by run_set order by n desc, m)")).filter("rn <= 8")
+    return h.select("run_set", (F.col("a") * F.col("size")).alias("first_ms"), ((F.col("a") + F.expr("(b - a) div 40")) * F.col("size")).alias("last_ms"), (F.col("m") / 100.0).alias("confidence"), (F.col("n") * (1 + F.col("m") / 100.0) / 50).alias("burn"))
+
+
+def model_inputs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(timeline with phases, loop windows), from one pass over the event table: its rows are staged with their buckets."""
+    rows = cut(bucketed(spark, d), "bucketed")
+    t = op.timeline(rows.drop("size", "bucket")).join(op.phase_buckets(http(rows)), ["run_set", "bucket"], "left").fillna(0, ["dns", "dns_ms", "connect", "connect_ms", "ttfb_ms"])
+    return t, windows(rows)
+
+
+def model(spark, d) -> DataFrame:
+    """States of all buckets, with loop windows and phases."""
+    return cut(op.states(*model_inputs(spark, d)), "states")
+
+
+def load_scores(spark, d) -> DataFrame:
+    t, loops = model_inputs(spark, d)
+    return op.integrals(op.states(t, loops), loops)
+
+
 TRANS = """trans AS (SELECT *, round(count / sum(count) OVER (PARTITION BY run_set, from_state), 6) AS probability FROM (
   SELECT run_set, from_state, to_state, count(*) AS count FROM (SELECT run_set, state AS from_state, lead(state) OVER (PARTITION BY run_set ORDER BY bucket) AS to_state FROM states) WHERE to_state IS NOT NULL GROUP BY ALL))"""
 
 
 @query("k03_states", sql(*STATES, body="SELECT run_set, state, bad, count(*) AS windows, min(bucket) AS first, max(bucket) AS last FROM states GROUP BY ALL"))
 def k03(spark, d):
-    return op.states(timeline(spark, d)).groupBy("run_set", "state", "bad").agg(F.count(F.lit(1)).alias("windows"), F.min("bucket").alias("first"), F.max("bucket").alias("last"))
+    return model(spark, d).groupBy("run_set", "state", "bad").agg(F.count(F.lit(1)).alias("windows"), F.min("bucket").alias("first"), F.max("bucket").alias("last"))
 
 
 @query("k04_transitions", sql(*STATES, TRANS, body="SELECT * FROM trans"))
 def k04(spark, d):
-    return op.transitions(op.states(timeline(spark, d)))
+    return op.transitions(model(spark, d))
 
 
 @query("k05_recovery", sql(*STATES, TRANS, body="""
 SELECT run_set, CAST(sum(CASE WHEN f AND NOT t THEN count ELSE 0 END) AS BIGINT) AS healthy_to_bad, round(CASE WHEN sum(CASE WHEN NOT f THEN count ELSE 0 END) > 0 THEN sum(CASE WHEN NOT f AND t THEN count ELSE 0 END) / sum(CASE WHEN NOT f THEN count ELSE 0 END) ELSE 1 END, 6) AS recovery_probability
 FROM (SELECT *, from_state IN ('healthy', 'recovering') AS f, to_state IN ('healthy', 'recovering') AS t FROM trans) GROUP BY run_set"""))
 def k05(spark, d):
-    return op.transition_summary(op.transitions(op.states(timeline(spark, d))))
+    return op.transition_summary(op.transitions(model(spark, d)))
 
 
 @query("k06_episodes", sql(*STATES, body="""
@@ -82,13 +132,13 @@ SELECT run_set, count(*) AS episodes, round(coalesce(avg(n) FILTER (e < last), 0
   SELECT run_set, island, count(*) AS n, max(bucket) AS e, max(last) AS last, max(size) AS size FROM (
     SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY run_set ORDER BY bucket) AS island, max(bucket) OVER (PARTITION BY run_set) AS last FROM states) WHERE bad GROUP BY run_set, island) GROUP BY run_set"""))
 def k06(spark, d):
-    return op.episodes(op.states(timeline(spark, d)))
+    return op.episodes(model(spark, d))
 
 
 @query("k07_exposure", sql(*STATES, body="""
 SELECT run_set, state, n AS windows, round(n / total, 6) AS share FROM (SELECT run_set, state, count(*) AS n FROM states WHERE bad GROUP BY ALL) JOIN (SELECT run_set, count(*) AS total FROM states GROUP BY run_set) USING (run_set)"""))
 def k07(spark, d):
-    return op.exposure(op.states(timeline(spark, d)))
+    return op.exposure(model(spark, d))
 
 
 @query("k11_divergence", sql(*STATES, TRANS, body="""
@@ -96,19 +146,22 @@ SELECT round(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + C
   SELECT from_state, to_state, coalesce(max(s) FILTER (run_set = 'baseline'), 0) AS p, coalesce(max(s) FILTER (run_set = 'candidate'), 0) AS q FROM (
     SELECT *, count / sum(count) OVER (PARTITION BY run_set) AS s FROM trans) GROUP BY ALL)"""))
 def k11(spark, d):
-    return op.divergence(op.transitions(op.states(timeline(spark, d))))
+    return op.divergence(op.transitions(model(spark, d)))
 
 
-AREAS = """areas AS (SELECT run_set, sum(CASE WHEN frames > 0 THEN jank * 100.0::DOUBLE / frames ELSE 0 END * dt) AS jank_pressure_area, sum(greatest(http_p95_ms - 300, 0) * dt) AS latency_pain_area, sum(http_failed * dt) AS network_failure_burn,
+AREAS = """areas AS (SELECT a.run_set, jank_pressure_area, latency_pain_area, network_failure_burn + coalesce(burn, 0) AS network_failure_burn, memory_pressure_area, recovery_debt FROM (
+  SELECT run_set, sum(CASE WHEN frames > 0 THEN jank * 100.0::DOUBLE / frames ELSE 0 END * dt) AS jank_pressure_area, sum(greatest(http_p95_ms - 300, 0) * dt) AS latency_pain_area, sum((http_failed + 0.25::DOUBLE * dns + 0.25::DOUBLE * connect) * dt) AS network_failure_burn,
     sum((CASE WHEN pss_floor > 0 AND pss_kb > pss_floor THEN pss_kb - pss_floor ELSE 0 END + CASE WHEN ram_kb > 0 AND ram_kb < 262144 THEN 262144 - ram_kb ELSE 0 END) / 1024.0::DOUBLE * dt) AS memory_pressure_area, sum(streak * dt) AS recovery_debt
-  FROM (SELECT *, CASE WHEN bad THEN sum(dt) OVER (PARTITION BY run_set, island, bad ORDER BY bucket) ELSE 0 END AS streak FROM (
-    SELECT *, size / 1000.0::DOUBLE AS dt, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY run_set ORDER BY bucket) AS island FROM states)) GROUP BY run_set)"""
+  FROM (SELECT *, CASE WHEN sore THEN sum(dt) OVER (PARTITION BY run_set, island, sore ORDER BY bucket) ELSE 0 END AS streak FROM (
+    SELECT *, sum(CASE WHEN sore THEN 0 ELSE 1 END) OVER (PARTITION BY run_set ORDER BY bucket) AS island FROM (
+      SELECT *, size / 1000.0::DOUBLE AS dt, (frames > 0 AND jank * 100.0::DOUBLE / frames >= 5) OR (http > 0 AND http_p95_ms >= 500) OR http_failed > 0 OR (pss_floor > 0 AND pss_kb >= pss_floor + 32768) OR (ram_kb > 0 AND ram_kb < 262144) AS sore FROM states))) GROUP BY run_set) a
+  LEFT JOIN (SELECT run_set, sum(burn) AS burn FROM loops GROUP BY run_set) USING (run_set))"""
 
 
 @query("i06_load_scores", sql(*STATES, AREAS, body=" UNION ALL ".join(
     f"SELECT run_set, '{n}' AS score, round({n}, 4) AS value, CASE WHEN {n} >= {h} THEN 'high' WHEN {n} >= {m} THEN 'medium' ELSE 'ok' END AS severity FROM areas" for n, (m, h) in op.LIMITS.items())))
 def i06(spark, d):
-    return op.integrals(op.states(timeline(spark, d)))
+    return load_scores(spark, d)
 
 
 JANK = "CASE WHEN frames > 0 THEN jank * 100.0::DOUBLE / frames ELSE 0 END"
@@ -136,7 +189,7 @@ def picked(n: int = 5) -> list[str]:
 
 
 def change_points(spark, d):
-    return op.change_points(op.change_candidates(op.signal_points(timeline(spark, d))))
+    return op.change_points(op.change_candidates(op.signal_points(cut(timeline(spark, d), "timeline"))))
 
 
 @query("c03_change_points", sql(*TL, POINTS, CANDS, *picked(), body="SELECT run_set, signal, bucket, size, before, after, delta, round(score, 6) AS score FROM chosen"))

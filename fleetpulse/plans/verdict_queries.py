@@ -17,7 +17,7 @@ from fleetpulse.plans.inspect_queries import FLOW_VIEWS, HTTP, SCORE, flows
 from fleetpulse.plans.leak_queries import DELTAS as LEAK_DELTAS
 from fleetpulse.plans.leak_queries import HEAP_LEAKS, MATCH, best, heap_scored
 from fleetpulse.plans.timeline_queries import AREAS as AREAS_SQL
-from fleetpulse.plans.timeline_queries import CANDS, POINTS, STATES, change_points, picked, timeline
+from fleetpulse.plans.timeline_queries import CANDS, POINTS, STATES, change_points, load_scores, model, picked
 from fleetpulse.register import query
 from fleetpulse.sources import adapter as src
 from fleetpulse.sources.adapter import CALL_SQL, DEVICE_SQL, UI_SQL, sql
@@ -107,7 +107,7 @@ def v11(spark, d):
     " UNION ALL SELECT run_set, 'changes', signal || '@' || bucket, CASE WHEN delta <= 0 THEN 'ok' WHEN score >= 6 THEN 'high' ELSE 'medium' END, round(score, 6) FROM chosen)", body="""
 SELECT run_set, section, CASE max(r) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'ok' END AS status, count(*) FILTER (r > 1) AS findings, arg_max(name, (r, score, name)) AS top FROM (SELECT *, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS r FROM sections) GROUP BY ALL"""))
 def v12(spark, d):
-    one = tl.integrals(tl.states(timeline(spark, d))).select("run_set", F.lit("integrals").alias("section"), F.col("score").alias("name"), "severity", F.col("value").alias("score"))
+    one = load_scores(spark, d).select("run_set", F.lit("integrals").alias("section"), F.col("score").alias("name"), "severity", F.col("value").alias("score"))
     points = change_points(spark, d)
     severity = F.when(F.col("delta") <= 0, "ok").when(F.col("score") >= 6, "high").otherwise("medium")
     two = points.select("run_set", F.lit("changes").alias("section"), F.concat_ws("@", "signal", F.col("bucket").cast("string")).alias("name"), severity.alias("severity"), F.round("score", 6).alias("score"))
@@ -116,7 +116,7 @@ def v12(spark, d):
 
 @query("v13_significant_buckets", sql(*STATES, body="SELECT run_set, bucket, state FROM states WHERE state <> 'healthy' AND (http > 0 OR http_failed > 0 OR frames > 0 OR jank > 0 OR stalls > 0 OR pss_kb > 0 OR rx > 0 OR tx > 0)"))
 def v13(spark, d):
-    return op.significant(tl.states(timeline(spark, d))).select("run_set", "bucket", "state")
+    return op.significant(model(spark, d)).select("run_set", "bucket", "state")
 
 
 @query("v14_deltas_by_area", sql(*DELTA_VIEWS, body="SELECT area, count(*) AS metrics, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, arg_max(metric, (regression_pct, metric)) AS worst FROM (SELECT *, CASE " + " ".join(

@@ -65,7 +65,9 @@ class _Key:
 
 
 def _prepared(rows: DataFrame, keys: list[str], step: Step) -> DataFrame:
-    return rows.select(*keys, F.col("ms").cast("bigint").alias("ms"), F.col("ord").cast("bigint").alias("ord"), *step.columns)
+    """ord, where there is none, is 0: rows of one ms then have no order."""
+    ties = F.col("ord") if "ord" in rows.columns else F.lit(0)
+    return rows.select(*keys, F.col("ms").cast("bigint").alias("ms"), ties.cast("bigint").alias("ord"), *step.columns)
 
 
 def _schema(rows: DataFrame, keys: list[str], step: Step) -> str:

@@ -183,3 +183,13 @@ def test_gate(spark):
     deltas = spark.createDataFrame([("m", "high", 5.0, 10.0, 9), ("n", "ok", 0.0, 0.0, 9)], "metric string, severity string, regression_abs double, regression_pct double, sample_size bigint")
     limits = spark.createDataFrame([("*", "medium", None, None), ("m", None, 4.0, 0.0)], "metric string, max_severity string, max_abs double, max_pct double")
     assert rows(compare.gate(deltas, limits), "metric", "rule") == [("m", "regression_abs"), ("m", "severity")]
+
+
+def test_failures_burn_with_phases_and_loops(spark):
+    b = buckets(spark, [{"http": 1, "http_failed": 2}, {"stalls": 1}, {}]).withColumn("dns", F.lit(4)).withColumn("connect", F.lit(2)).withColumn("dns_ms", F.lit(0)).withColumn("connect_ms", F.lit(0))
+    loops = spark.createDataFrame([("r", 2000, 2000, 0.8, 7.5), ("r", 0, 0, 0.2, 1.0)], "run_set string, first_ms bigint, last_ms bigint, confidence double, burn double")
+    s = timeline.states(b, loops)
+    assert [r["state"] for r in s.orderBy("bucket").collect()] == ["network_slow", "stalled", "network_loop"]  # the weak loop names no state
+    got = dict(rows(timeline.integrals(s, loops), "score", "value"))
+    assert got["network_failure_burn"] == 2 + 3 * 1.5 + 8.5 and got["recovery_debt"] == 1  # stalls and loops owe nothing
+    assert dict(rows(timeline.integrals(s), "score", "value"))["network_failure_burn"] == 6.5
