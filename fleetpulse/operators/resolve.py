@@ -1,10 +1,14 @@
-"""Joins that resolve names and select inputs: S14, S15, J01, J02, J05, S04, S05."""
+"""Joins that resolve names and select inputs: S14, S15, J01, J02, J05, J06, S04, S05."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetpulse.operators.leaks import normal_evidence
+
 #: What may follow an obfuscated prefix.
 BOUNDARIES = [".", "$", "#", " ", "(", "[", ":"]
 
@@ -46,6 +50,36 @@ def deobfuscate(values: DataFrame, col: str, mapping: DataFrame) -> DataFrame:
     return j.withColumn("plain", plain).drop("m")
 
 
+def renamed(rows: DataFrame, mapping: DataFrame, *columns: str) -> DataFrame:
+    """J05 on several columns at once: their distinct values are resolved together and joined back."""
+    values = reduce(DataFrame.unionByName, [rows.select(F.col(c).alias("value")) for c in columns]).filter("value is not null").distinct()
+    names = deobfuscate(values, "value", mapping)
+    for c in columns:
+        rows = rows.join(names.select(F.col("value").alias(c), F.col("plain").alias(f"_{c}")), c, "left").withColumn(c, F.col(f"_{c}")).drop(f"_{c}")
+    return rows
+
+
+def plain_class_graph(edges: DataFrame, mapping: DataFrame) -> DataFrame:
+    """A class graph (run_set, from_class, to_class, count) under original names; edges that become one are merged,
+    those of a class to itself go."""
+    out = renamed(edges, mapping, "from_class", "to_class").filter("from_class <> to_class")
+    return out.groupBy("run_set", "from_class", "to_class").agg(F.sum("count").cast("bigint").alias("count"))
+
+
+def plain_heap_evidence(leaks: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Heap evidence (class, holder, field, root, path) under original names, steps of paths included; the chain's
+    fingerprint is computed again from them.
+
+    Paths are taken apart, their distinct names resolved with all others, and put together in their order.
+    """
+    keyed = leaks.withColumn("_id", F.xxhash64(*[F.col(c) for c in leaks.columns if c != "path"], F.to_json("path")))
+    steps = keyed.select("_id", F.posexplode("path").alias("at", "s")).distinct().select("_id", "at", F.col("s.class").alias("step_class"), "s")
+    paths = renamed(steps, mapping, "step_class").groupBy("_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("step_class").alias("class"), F.col("s.field").alias("field"), F.col("s.kind").alias("kind")))),
+                                                                                     lambda x: F.struct(x["class"].alias("class"), x["field"].alias("field"), x["kind"].alias("kind"))).alias("_path"))
+    out = renamed(keyed.join(paths, "_id", "left").withColumn("path", F.coalesce("_path", "path")).drop("_path", "_id"), mapping, "class", "holder", "field", "root")
+    return normal_evidence(out.withColumn("fingerprint", F.lit("")))
+
+
 def owner_conflicts(maps: DataFrame) -> DataFrame:
     """Ids that merged owner maps give two names."""
     return maps.groupBy("id").agg(F.count_distinct("owner").alias("owners")).filter("owners > 1")

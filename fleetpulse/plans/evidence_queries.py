@@ -302,6 +302,15 @@ def j05(spark, d):
     return resolve.deobfuscate(values, "value", spark.createDataFrame(MAPPING, "obfuscated string, original string"))
 
 
+PLAIN = """coalesce((SELECT arg_max(original || substr({v}, length(obfuscated) + 1), length(obfuscated)) FROM mapping WHERE {v} = obfuscated OR (starts_with({v}, obfuscated) AND substr({v}, length(obfuscated) + 1, 1) IN ('.', '$', '#', ' ', '(', '[', ':'))), {v})"""
+
+
+@query("j06_plain_class_graph", sql(CALL_SQL, EDGES, MAP_SQL, body=f"""
+SELECT run_set, from_class, to_class, CAST(sum(count) AS BIGINT) AS count FROM (SELECT run_set, {PLAIN.format(v='from_class')} AS from_class, {PLAIN.format(v='to_class')} AS to_class, count FROM edges) WHERE from_class <> to_class GROUP BY ALL"""))
+def j06(spark, d):
+    return resolve.plain_class_graph(op.class_edges(src.calls(spark, d)), spark.createDataFrame(MAPPING, "obfuscated string, original string"))
+
+
 STALLS = sql(body="""
 SELECT source, user_id, beat AS start_ms, nxt - beat AS duration_ms FROM (SELECT source, user_id, time_ms AS beat, lead(time_ms) OVER (PARTITION BY user_id ORDER BY time_ms, ord) AS nxt FROM ctx) WHERE nxt - beat >= 700""")
 

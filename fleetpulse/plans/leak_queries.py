@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from fleetpulse.functions import text
 from fleetpulse.operators import evidence as ev
 from fleetpulse.operators import leaks as op
-from fleetpulse.plans.evidence_queries import KIND, LEAKS, MEMORY_SQL, SUSPECTS, leaks, memory
+from fleetpulse.operators import resolve
+from fleetpulse.plans.evidence_queries import KIND, LEAKS, MEMORY_SQL, PLAIN, SUSPECTS, leaks, memory
 from fleetpulse.register import query
 from fleetpulse.sources import adapter as src
 from fleetpulse.sources.adapter import DEVICE_SQL, HEAP_SQL, RETAINED_SQL, sql
@@ -51,6 +52,21 @@ def s12(spark, d):
     return op.merged_evidence(src.heap_leaks(spark, d).select("run_set", "class", F.concat(F.lit("dump "), (F.col("objects") % 3).cast("string")).alias("source"), F.col("root").alias("warning")))
 
 
+HEAP_NAMES = [("com.app.FeedActivity", "a.Feed"), ("com.app.Holder", "h.Any"), ("com.app.Holder1", "h.One"), ("com.app.Cached", "c.Cached"), ("java.util.HashMap", "java.util.HashMap"), ("clickListener", "onClick")]
+NAMES_SQL = "mapping AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in HEAP_NAMES) + ") t(obfuscated, original))"
+#: Each name once, resolved.
+PLAIN_NAMES = """names AS (SELECT DISTINCT unnest([class, holder, field, root] || list_transform(path, lambda s: s.class)) AS v FROM heap),
+  plain AS (SELECT v, """ + PLAIN.format(v="v") + " AS p FROM names), said AS (SELECT map(list(v), list(p)) AS m FROM plain)"
+
+
+@query("j06_plain_heap_evidence", sql(HEAP_SQL, NAMES_SQL, PLAIN_NAMES, body=f"""
+SELECT run_set, class, holder, field, kb, {tok('class')} || '|' || {tok('holder')} || '|' || {tok('field')} || '|' || {tok('category')} || CASE WHEN len(path) = 0 THEN '' ELSE '|' || array_to_string(list_transform(path, lambda s: {tok('s.class')} || '.' || {tok('s.field')} || '.' || s.kind), '|') END AS fingerprint FROM (
+  SELECT run_set, m[class] AS class, m[holder] AS holder, m[field] AS field, m[root] AS root, kb, list_transform(path, lambda s: {{'class': m[s.class], 'field': s.field, 'kind': s.kind}}) AS path, {CATEGORY.format(c='m[root]')} AS category FROM heap, said)"""))
+def j06_heap(spark, d):
+    raw = src.heap_leaks(spark, d).withColumns({"category": F.lit(""), "fingerprint": F.lit(""), "bytes": F.lit(0), "source": F.lit("dump")})
+    return resolve.plain_heap_evidence(raw, spark.createDataFrame(HEAP_NAMES, "obfuscated string, original string")).select("run_set", "class", "holder", "field", "kb", "fingerprint")
+
+
 @query("p27_path_rules", sql(*HEAP, body="SELECT run_set, class, holder, field, root, array_to_string(matchers, '|') AS matchers, pattern, actionability::BIGINT AS actionability FROM ruled"))
 def p27(spark, d):
     return evidence(spark, d).select("run_set", "class", "holder", "field", "root", F.array_join("matchers", "|").alias("matchers"), "pattern", F.col("actionability").cast("bigint").alias("actionability"))

@@ -1,9 +1,12 @@
-"""Scans and sinks of telemetry files: S01-S09, S13, S16, S17, S19."""
+"""Scans and sinks of telemetry files: S01-S04, S06, S07, S09, S13, S16, S19; problem datasets are in ``datasets``."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Versions of the side files.
 VERSIONS = {"owner_map": 4, "class_graph": 1, "diagnostics": 1, "di_catalog": 1}
@@ -64,6 +67,68 @@ def read_class_graph(spark: SparkSession, path: str) -> DataFrame:
     return out.filter("from_class <> to_class")
 
 
+#: One line for each class: S09.
+DIAGNOSTICS = """format int, class string, methods int, ignoredMethods int, annotatedMethods int, skippedMethods array<struct<reason:string,count:bigint>>, hooks array<struct<intent:string,signature:string,bridge:string,method:string,line:int,count:bigint>>,
+  decisions array<struct<kind:string,module:string,family:string,reason:string,method:string,line:int,count:bigint>>, annotations array<struct<owner:string,screen:string,flow:string,trace:string,count:bigint>>"""
+
+
+def known_keys(text: Column, schema: str, what: str) -> Column:
+    """The text, or an error that names the keys of its JSON object which the schema doesn't have."""
+    names = F.array(*[F.lit(c) for c in T.StructType.fromDDL(schema).names])
+    more = F.array_except(F.map_keys(F.from_json(text, "map<string,string>")), names)
+    return F.when(F.size(more) > 0, F.raise_error(F.concat(F.lit(f"unknown keys in {what}: "), F.array_join(more, ", "))).cast("string")).otherwise(text)
+
+
+def read_diagnostics(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Build diagnostics by class; with ``strict`` a key that isn't known is an error, else it is ignored."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    text = known_keys(F.col("value"), DIAGNOSTICS, "diagnostics") if strict else F.col("value")
+    return versioned(lines.select(F.from_json(text, DIAGNOSTICS, {"mode": "FAILFAST"}).alias("r")).select("r.*"), "diagnostics")
+
+
+def diagnostic_records(diagnostics: DataFrame) -> DataFrame:
+    """S09 as E01 takes it: one row (dimension, the keys of all dimensions, count) for each skipped method, hook, decision and annotation."""
+    dims = {"skipped": ("skippedMethods", ["reason"]), "hook": ("hooks", ["intent", "signature", "bridge", "method"]), "decision": ("decisions", ["kind", "module", "family", "reason", "method"]), "annotation": ("annotations", ["owner", "screen", "flow", "trace"])}
+    keys = list(dict.fromkeys(k for _, ks in dims.values() for k in ks))
+    parts = [diagnostics.select(F.col("class"), F.inline(c)).select("class", F.lit(name).alias("dimension"), *[(F.col(k) if k in ks else F.lit(None).cast("string")).alias(k) for k in keys], "count") for name, (c, ks) in dims.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+LEAK_LIMITS = ["max_candidate_total", "max_new", "max_worse", "max_high", "max_runtime_only", "fail_on_new", "fail_on_worse", "fail_on_new_high", "require_heap_for_high"]
+THRESHOLDS = ("max_severity string, min_confidence string, require_clean_cohorts boolean, metrics map<string,struct<max_severity:string,max_regression_abs:double,max_regression_pct:double>>, leaks struct<"
+              + ",".join(f"{c}:{'int' if c.startswith('max') else 'boolean'}" for c in LEAK_LIMITS) + ">")
+
+
+def read_thresholds(spark: SparkSession, path: str | None, strict: bool = False) -> DataFrame:
+    """One row of the gate's limits; no path is a row without limits, a document that is no such object fails."""
+    if not path:
+        return spark.range(1).select(F.from_json(F.lit("{}"), THRESHOLDS).alias("r")).select("r.*")
+    text = known_keys(F.col("value"), THRESHOLDS, "thresholds") if strict else F.col("value")
+    return spark.read.text(path, wholetext=True).select(F.from_json(text, THRESHOLDS, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def metric_limits(thresholds: DataFrame) -> DataFrame:
+    """S13 as V06 takes it: metric ('*' for all), max_severity, max_abs, max_pct."""
+    every = thresholds.select(F.lit("*").alias("metric"), F.nullif("max_severity", F.lit("")).alias("max_severity"), F.lit(None).cast("double").alias("max_abs"), F.lit(None).cast("double").alias("max_pct"))
+    own = thresholds.select(F.explode("metrics").alias("metric", "m")).select("metric", F.nullif("m.max_severity", F.lit("")).alias("max_severity"), F.col("m.max_regression_abs").alias("max_abs"), F.col("m.max_regression_pct").alias("max_pct"))
+    return every.unionByName(own)
+
+
+def leak_limits(thresholds: DataFrame) -> dict[str, int]:
+    """S13 as V07 takes it; the one row's leak limits by name without ``max_``."""
+    row = thresholds.select(*[F.coalesce(F.col("leaks")[c].cast("int"), F.lit(0)).alias(c.removeprefix("max_")) for c in LEAK_LIMITS]).first()
+    return {c: v for c, v in row.asDict().items() if v}
+
+
+def event_lines(events: DataFrame) -> DataFrame:
+    """Each event as one line of JSON, fields in the columns' order, without those that are null; ``read_events`` reads them."""
+    return events.select(F.to_json(F.struct(*[c for c in events.columns if c != "source"])).alias("value"))
+
+
+def write_events(events: DataFrame, path: str) -> None:
+    event_lines(events).write.text(path)
+
+
 def write_results(results: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:
     """One dataset for each result table."""
     for name, df in results.items():

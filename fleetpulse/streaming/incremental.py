@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.functions.numbers import counter_delta, int_div, share
 from fleetpulse.operators import inspect as op
+from fleetpulse.streaming.windows import latest_snapshots
 
 SUMS, LOWS, TOPS = 8, 2, 3
 NUMBERS = [f"s{i}" for i in range(SUMS)] + [f"l{i}" for i in range(LOWS)] + [f"t{i}" for i in range(TOPS)]
@@ -203,10 +204,10 @@ def result(state: DataFrame, name: str) -> DataFrame:
 
 
 class StateTable:
-    """Partial states in a folder, by batch, with compacted versions."""
+    """Partial states in a folder, by batch, with compacted versions; ``merge`` makes one state of several."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, schema: str = STATE, merge: Callable[[DataFrame], DataFrame] = merged) -> None:
+        self.spark, self.path, self.schema, self.merge = spark, path.rstrip("/"), schema, merge
         self._hadoop = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._hadoop(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -229,8 +230,8 @@ class StateTable:
             state.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
 
     def read(self) -> DataFrame:
-        parts = [self.spark.read.schema(STATE).parquet(f) for f in self.folders()]
-        return merged(reduce(DataFrame.unionByName, parts)) if parts else self.spark.createDataFrame([], STATE)
+        parts = [self.spark.read.schema(self.schema).parquet(f) for f in self.folders()]
+        return self.merge(reduce(DataFrame.unionByName, parts)) if parts else self.spark.createDataFrame([], self.schema)
 
     def compact(self) -> None:
         """A new version of all complete batches; the version before it stays for readers, what that one had taken in goes."""
@@ -257,3 +258,23 @@ def inspect_stream(events: DataFrame, views: Callable[[DataFrame], dict[str, Dat
             table.compact()
 
     return events.writeStream.foreachBatch(add)
+
+
+#: What is known of a file's segment.
+SEGMENT = "source string, sequence bigint, bytes bigint, sealed boolean"
+
+
+def snapshot_table(spark: SparkSession, path: str) -> StateTable:
+    """The last known row of each file; a later read of a file that has grown supersedes its open row."""
+    return StateTable(spark, path, SEGMENT, latest_snapshots)
+
+
+def follow_snapshots(segments: DataFrame, path: str, every: int = 20):
+    """W20 as a job over a stream of segment rows; a batch that is run again changes nothing."""
+    def add(batch: DataFrame, number: int) -> None:
+        table = snapshot_table(batch.sparkSession, path)
+        table.add(number, latest_snapshots(batch.select(*[c.split()[0] for c in SEGMENT.split(", ")])))
+        if number % every == every - 1:
+            table.compact()
+
+    return segments.writeStream.foreachBatch(add)
