@@ -3,7 +3,8 @@
 Every text becomes one SHA-256 digest, so only digests travel.  Digests of history and of arrivals are counted on the
 map side before they meet, so a group of copies is one row a task however large it is.  Each bucket of digests builds a
 minimal perfect hash over its history: slot i holds one full digest and the locator (largest id) of its winner.
-Arrivals look up their slot and compare all 32 bytes; what is no member forms groups of its own.
+Arrivals look up their slot and compare all 32 bytes; what is no member forms groups of its own.  Rows get their
+group back by shuffle, those of large groups by broadcast of these groups (2000 at most), so no task holds a group.
 
 Edge cases: a null text equals the empty text; null ids never win unless a group has no other id (then ``keep_id`` is
 null); rows that repeat id and text are all kept and all count; an empty table gives an empty result; other columns are
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import checksum_mod, mix64, stage, text_of
+from fleetpulse.llm.common import HOT_KEYS, checksum_mod, join_hot, mix64, stage, text_of
 
 #: Digests that share one perfect hash, on average.
 BUCKET_ROWS = 4096
@@ -130,8 +131,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.unhex(F.sha2(text_of(text_col), 256)).alias("digest"),
     ), "digests")
     history = checksum_mod("doc_id", 2) == 0 if history is None else F.coalesce(history, F.lit(False))
-    classes = digest_classes(digests, history, digests.count())
-    return digests.join(classes, "digest").select(
+    rows = digests.count()
+    classes = stage(digest_classes(digests, history, rows), "digest_classes")
+    return join_hot(digests, classes, ["digest"], "group_size", max(rows, HOT_KEYS)).select(
         "doc_id", "keep_id", "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
