@@ -4,7 +4,7 @@ Every text becomes its set of word 5-grams.  Texts with equal sets are one class
 ``TOKENS`` min-hashed tokens.  A run splits all sets at a few sampled token positions (1 / threshold of them on
 average, the same for all sets of a bucket), so similar sets meet in some bucket; buckets of at most ``SMALL`` sets are
 compared by brute force, larger ones are split again, ``DEPTH`` times at most.  What is still large then is compared in
-blocks of ``BLOCK`` x ``BLOCK``, so no task holds more.  ``RUNS`` runs bring the chance to miss a pair at the
+blocks of ``BLOCK`` x ``BLOCK`` (whole sets: of ``BLOCK_BYTES`` each on average, if that is less), so no task holds more.  ``RUNS`` runs bring the chance to miss a pair at the
 threshold under the target.
 
 Buckets compare by embedded tokens with slack and give only links that keep their clusters connected; the exact
@@ -13,7 +13,8 @@ text's number of links and the final components.  Pairs are never shuffled.
 
 Edge cases: a null or empty text has an empty set, is linked to nothing and forms classes with other empty texts;
 texts of fewer than five words have one n-gram, the whole text; null ids are left out (they can't be reported);
-repeated ids count as copies; other columns are ignored.
+of different texts under one id the one with the least set name stands for all of them in links; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import hashed_words, mix64, small_batches, stage
+from fleetpulse.llm.common import HOT_KEYS, hashed_words, join_hot, mix64, small_batches, stage
 from fleetpulse.llm.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
 TOKENS, RUNS, DEPTH = 64, 10, 3
-SMALL, BLOCK = 200, 1000
+SMALL, BLOCK, BLOCK_BYTES = 200, 1000, 8 << 20
 #: Rows of buckets that are compared together, on average.
 TASK_ROWS = 20_000
 #: Links between embedded sets are kept from this similarity on: three standard deviations under the threshold.
@@ -76,12 +77,17 @@ def _embedded(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _names(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits that name each set."""
+    return np.array([(s.sum(dtype=np.uint64), mix64(s).sum(dtype=np.uint64)) for s in sets], np.uint64).reshape(-1, 2)
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> doc_id, the set's 128-bit name, size and embedding."""
     with np.errstate(over="ignore"):
         for batch in small_batches(batches):
             sets = shingle_sets(batch.column(1))
-            name = np.array([(s.sum(dtype=np.uint64), mix64(s).sum(dtype=np.uint64)) for s in sets], np.uint64).reshape(-1, 2)
+            name = _names(sets)
             sig = _embedded(sets)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0),
@@ -176,9 +182,12 @@ def _compare_tokens(rows: pd.DataFrame) -> pd.DataFrame:
 def in_blocks(rows: DataFrame, group: str, sizes: DataFrame, most: int) -> DataFrame:
     """``rows`` with the columns block, i, j: each row once for every pair of blocks that its block belongs to.
 
-    Groups of at most ``most`` rows have one block and pass unchanged; block numbers come from a hash of doc_id.
+    Groups of at most ``most`` rows, and of BLOCK_BYTES where the sizes have ``bytes``, have one block and pass unchanged;
+    block numbers come from a hash of doc_id.
     """
-    cut = rows.join(sizes.select(group, F.ceil(F.col("size") / most).cast("int").alias("blocks")), group)
+    blocks = F.col("size") / most
+    blocks = F.greatest(blocks, F.least(F.col("bytes") / BLOCK_BYTES, F.col("size"))) if "bytes" in sizes.columns else blocks
+    cut = rows.join(sizes.select(group, F.ceil(blocks).cast("int").alias("blocks")), group)
     cut = cut.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return (cut.withColumn("_other", other)
@@ -207,12 +216,13 @@ def candidate_links(classes: DataFrame) -> DataFrame:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, root, text) -> doc_id, root, the whole set."""
+    """(doc_id, root, text) -> doc_id, root, the whole set and its name."""
     with np.errstate(over="ignore"):
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 200):
             sets = shingle_sets(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())],
-                                             ["doc_id", "root", "grams"])
+            name = _names(sets)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(name[:, 0].view(np.int64)), pa.array(name[:, 1].view(np.int64))],
+                                             ["doc_id", "root", "grams", "set_a", "set_b"])
 
 
 def _compare_sets(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -256,19 +266,22 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     described = stage(rows.mapInArrow(_describe, "doc_id bigint, set_a bigint, set_b bigint, n_grams bigint, tokens binary"), "sets")
-    named = stage(described.groupBy("set_a", "set_b", "n_grams").agg(F.min("doc_id").alias("set_id")), "names")
-    reps = named.filter("n_grams > 0").select(F.col("set_id").alias("doc_id"), "set_a", "set_b")
-    classes = stage(described.join(reps, ["doc_id", "set_a", "set_b"]).select("doc_id", "tokens").dropDuplicates(["doc_id"]), "classes")
+    named = stage(described.groupBy("set_a", "set_b", "n_grams").agg(F.min("doc_id").alias("set_id"), F.count(F.lit(1)).alias("n")), "names")
+    name = F.struct("set_a", "set_b", "n_grams")
+    reps = named.filter("n_grams > 0").groupBy(F.col("set_id").alias("doc_id")).agg(F.min(name).alias("s")).select("doc_id", "s.*")  # one set for an id
+    classes = stage(described.join(reps, ["doc_id", "set_a", "set_b", "n_grams"]).select("doc_id", "tokens").dropDuplicates(["doc_id"]), "classes")
     near = stage(components(candidate_links(classes)), "near")
-    sizes = near.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    nodes = near.join(reps.select(F.col("doc_id").alias("node"), "set_a", "set_b", "n_grams"), "node")
+    sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("size"), (8 * F.sum("n_grams")).alias("bytes"))
     sets = rows.join(near.select(F.col("node").alias("doc_id"), "root"), "doc_id").select("doc_id", "root", "text")
-    sets = sets.mapInArrow(_grams, "doc_id bigint, root bigint, grams binary").dropDuplicates(["doc_id"])
+    sets = sets.mapInArrow(_grams, "doc_id bigint, root bigint, grams binary, set_a bigint, set_b bigint")
+    sets = sets.join(reps.select("doc_id", "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi").select("doc_id", "root", "grams").dropDuplicates(["doc_id"])
     exact = stage(in_blocks(sets, "root", sizes, BLOCK).groupBy("root", "i", "j")
                   .applyInPandas(_compare_sets, "a bigint, b bigint, n bigint"), "links")
     roots = components(exact.filter("b is not null").select("a", "b"))
     counts = exact.filter("n is not null").groupBy(F.col("a").alias("set_id")).agg(F.sum("n").alias("n_links"))
     per_set = (named.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").join(counts, "set_id", "left")
-               .select("set_a", "set_b", "n_grams", "set_id", F.coalesce("root", "set_id").alias("class_id"),
+               .select("set_a", "set_b", "n_grams", "n", "set_id", F.coalesce("root", "set_id").alias("class_id"),
                        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
-    return described.select("doc_id", "set_a", "set_b", "n_grams").join(per_set, ["set_a", "set_b", "n_grams"]).select(
-        "doc_id", "class_id", "set_id", "n_links")
+    slim = described.select("doc_id", "set_a", "set_b", "n_grams")
+    return join_hot(slim, stage(per_set, "per_set"), ["set_a", "set_b", "n_grams"], "n", max(described.count(), HOT_KEYS)).select("doc_id", "class_id", "set_id", "n_links")
