@@ -13,8 +13,8 @@ text's number of links and the final components.  Pairs are never shuffled.
 
 Edge cases: a null or empty text has an empty set, is linked to nothing and forms classes with other empty texts;
 texts of fewer than five words have one n-gram, the whole text; null ids are left out (they can't be reported);
-of different texts under one id the one with the least set name stands for all of them in links; other columns are
-ignored.
+of different texts under one id each has a set of its own (all but one of them under an inner, negative number), so
+none loses links; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import HOT_KEYS, hashed_words, join_hot, mix64, small_batches, stage
@@ -216,13 +216,13 @@ def candidate_links(classes: DataFrame) -> DataFrame:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, root, text) -> doc_id, root, the whole set and its name."""
+    """(node, root, text, set_a, set_b) -> doc_id (the node), root and the whole set, where it is the one so named."""
     with np.errstate(over="ignore"):
         for batch in small_batches(batches, 200):
             sets = shingle_sets(batch.column(2))
-            name = _names(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(name[:, 0].view(np.int64)), pa.array(name[:, 1].view(np.int64))],
-                                             ["doc_id", "root", "grams", "set_a", "set_b"])
+            wanted = np.stack([np.asarray(batch.column(i)).view(np.uint64) for i in (3, 4)], axis=1)
+            same = pa.array((_names(sets) == wanted).all(axis=1), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "root", "grams"]).filter(same)
 
 
 def _compare_sets(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -266,22 +266,23 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     described = stage(rows.mapInArrow(_describe, "doc_id bigint, set_a bigint, set_b bigint, n_grams bigint, tokens binary"), "sets")
-    named = stage(described.groupBy("set_a", "set_b", "n_grams").agg(F.min("doc_id").alias("set_id"), F.count(F.lit(1)).alias("n")), "names")
-    name = F.struct("set_a", "set_b", "n_grams")
-    reps = named.filter("n_grams > 0").groupBy(F.col("set_id").alias("doc_id")).agg(F.min(name).alias("s")).select("doc_id", "s.*")  # one set for an id
-    classes = stage(described.join(reps, ["doc_id", "set_a", "set_b", "n_grams"]).select("doc_id", "tokens").dropDuplicates(["doc_id"]), "classes")
+    by = ["set_a", "set_b", "n_grams"]
+    named = described.groupBy(*by).agg(F.min("doc_id").alias("set_id"), F.count(F.lit(1)).alias("n"))
+    own = F.row_number().over(Window.partitionBy("set_id").orderBy(*by)) == 1  # sets that share an id are few: texts of one document
+    named = stage(named.withColumn("node", F.when(own, F.col("set_id")).otherwise(-1 - F.shiftrightunsigned(F.xxhash64(*by), 2))), "names")
+    reps = named.filter("n_grams > 0").select(F.col("set_id").alias("doc_id"), *by, "node")
+    classes = stage(described.join(reps, ["doc_id", *by]).select(F.col("node").alias("doc_id"), "tokens").dropDuplicates(["doc_id"]), "classes")
     near = stage(components(candidate_links(classes)), "near")
-    nodes = near.join(reps.select(F.col("doc_id").alias("node"), "set_a", "set_b", "n_grams"), "node")
+    nodes = near.join(reps, "node")
     sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("size"), (8 * F.sum("n_grams")).alias("bytes"))
-    sets = rows.join(near.select(F.col("node").alias("doc_id"), "root"), "doc_id").select("doc_id", "root", "text")
-    sets = sets.mapInArrow(_grams, "doc_id bigint, root bigint, grams binary, set_a bigint, set_b bigint")
-    sets = sets.join(reps.select("doc_id", "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi").select("doc_id", "root", "grams").dropDuplicates(["doc_id"])
+    sets = rows.join(nodes.select("doc_id", "node", "root", "set_a", "set_b"), "doc_id").select("node", "root", "text", "set_a", "set_b")
+    sets = sets.mapInArrow(_grams, "doc_id bigint, root bigint, grams binary").dropDuplicates(["doc_id"])
     exact = stage(in_blocks(sets, "root", sizes, BLOCK).groupBy("root", "i", "j")
                   .applyInPandas(_compare_sets, "a bigint, b bigint, n bigint"), "links")
-    roots = components(exact.filter("b is not null").select("a", "b"))
-    counts = exact.filter("n is not null").groupBy(F.col("a").alias("set_id")).agg(F.sum("n").alias("n_links"))
-    per_set = (named.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").join(counts, "set_id", "left")
-               .select("set_a", "set_b", "n_grams", "n", "set_id", F.coalesce("root", "set_id").alias("class_id"),
-                       F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
-    slim = described.select("doc_id", "set_a", "set_b", "n_grams")
-    return join_hot(slim, stage(per_set, "per_set"), ["set_a", "set_b", "n_grams"], "n", max(described.count(), HOT_KEYS)).select("doc_id", "class_id", "set_id", "n_links")
+    roots = stage(components(exact.filter("b is not null").select("a", "b")), "roots")
+    least = roots.join(named.select("node", "set_id"), "node").groupBy("root").agg(F.min("set_id").alias("class_id"))
+    counts = exact.filter("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+    per_set = (named.join(roots.join(least, "root").select("node", "class_id"), "node", "left").join(counts, "node", "left")
+               .select(*by, "n", "set_id", F.coalesce("class_id", "set_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
+    slim = described.select("doc_id", *by)
+    return join_hot(slim, stage(per_set, "per_set"), by, "n", max(described.count(), HOT_KEYS)).select("doc_id", "class_id", "set_id", "n_links")

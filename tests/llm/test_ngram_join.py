@@ -59,3 +59,12 @@ def test_recall_on_the_table(spark):
 
 def test_empty(no_docs):
     assert ngram_join(no_docs).count() == 0
+
+
+def test_texts_under_one_id_are_sets_of_their_own(spark):
+    """Ids 5 and 6 have a copy of another text and a text of their own; the latter link to each other only."""
+    words = [f"w{i}" for i in range(60)]
+    copy, own = " ".join(words), " ".join(reversed(words))
+    rows = [(9, copy), (5, copy), (5, own), (1, copy + " end"), (6, copy + " end"), (6, own + " end")]
+    got = sorted((r["doc_id"], r["class_id"], r["set_id"], r["n_links"]) for r in ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == sorted([(9, 1, 5, 1), (5, 1, 5, 1), (1, 1, 1, 1), (6, 1, 1, 1), (5, 5, 5, 1), (6, 5, 6, 1)])

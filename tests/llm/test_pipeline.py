@@ -67,3 +67,18 @@ def test_stages_keep_columns_and_bear_odd_rows(spark):
         assert out.columns == docs.columns
         assert {r["doc_id"] for r in out.collect()} >= {None, 3}
         assert step(spark, docs.limit(0), DIR).count() == 0
+
+
+def test_texts_under_one_id_and_clashing_names(spark):
+    """Id 5 has a copy of another document and a text of its own, which has to stay; both texts of id 6 are near copies."""
+    rnd = [f"w{i * 7919 % 1009}" for i in range(60)]
+    copy, own = " ".join(rnd), " ".join(reversed([f"v{i}" for i in range(60)]))
+    near = " ".join([*rnd[:-1], "changed"])
+    rows = [(9, copy), (5, copy), (5, own), (1, near), (6, near + " end"), (6, own + " more words of its own here")]
+    docs = spark.createDataFrame([(i, t, 7.0, "x", "y") for i, t in rows], "doc_id bigint, text string, _toxicity double, _gone string, _digest string")
+    exact = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_copies(spark, docs, DIR).collect())
+    assert exact == sorted(r for r in rows if r != (5, copy))
+    kept = {(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, DIR).collect()}
+    assert {(1, near), (5, own)} <= kept and not {i for i, _ in kept} & {6, 9}
+    scored = corpus_pipeline.drop_toxic(spark, docs, DIR)
+    assert scored.columns == docs.columns and {r["_toxicity"] for r in scored.collect()} <= {7.0}
