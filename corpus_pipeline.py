@@ -19,23 +19,36 @@ from fleetpulse.llm.ngram_join import ngram_join
 from fleetpulse.llm.toxicity import scorer, train
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs, table(spark, sf_dir, "labels"), checksum_mod("_id", 5) != 0)
-    return docs.withColumn("_toxicity", scorer(docs, model)(F.col("text").cast("string"))).filter("_toxicity < 0.5").select(*docs.columns)
+    score = _fresh(docs, "_toxicity")
+    return docs.withColumn(score, scorer(docs, model)(F.col("text").cast("string"))).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = exact_dedup(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of equal texts the one with the largest id stays; another text under a dropped copy's id stays as well."""
+    who, what = _fresh(docs, "_gone"), _fresh(docs, "_digest")
+    gone = exact_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(who), F.col("text_sha256").alias(what))
+    same = (docs["doc_id"].cast("bigint") == F.col(who)) & (F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256) == F.col(what))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the least id stays."""
-    gone = ngram_join(docs).filter(F.col("doc_id") != F.col("class_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of linked documents the one with the least id stays; so does an id with another text that is no copy."""
+    who = _fresh(docs, "_gone")
+    gone = ngram_join(docs).groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("class_id")).alias("gone")).filter("gone").select(F.col("doc_id").alias(who))
+    return docs.join(gone, docs["doc_id"].cast("bigint") == F.col(who), "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """An id with a leaked passage goes with all of its texts: leaks are reported by id."""
     leaks = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
 
