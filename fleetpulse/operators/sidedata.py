@@ -229,8 +229,8 @@ def sample_quality(n: Column) -> Column:
 
 
 def data_size(kb: Column) -> Column:
-    """KB, MB or GB with one decimal."""
-    say = lambda v, u: F.concat(F.format_number(v, 1), F.lit(f" {u}"))
+    """KB, MB or GB with one decimal, ties to even."""
+    say = lambda v, u: F.format_string(f"%.1f {u}", F.bround(v, 1))
     return F.when(kb >= 1024 * 1024, say(kb / (1024 * 1024), "GB")).when(kb >= 1024, say(kb / 1024, "MB")).otherwise(F.concat(kb.cast("string"), F.lit(" KB")))
 
 
