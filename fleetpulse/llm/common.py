@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetpulse.functions.staging import remember_table, run_path, staging_root
+
 #: White space of the contracts: space, tab, LF, VT, FF, CR.
 SPACE_RE = r"[\x20\x09-\x0D]+"
 
@@ -23,15 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); where it is unset, a temporary one, but only on one machine."""
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    if not own:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
-        own = "file://" + tempfile.mkdtemp(prefix="fleetpulse-")
-        spark.conf.set("spark.fleetpulse.scratch", own) if not spark.conf.get("spark.fleetpulse.scratch", None) else None
-        own = spark.conf.get("spark.fleetpulse.scratch")
-    return own.rstrip("/")
+    """The folder of the current run in the one all executors share (``spark.checkpoint.dir``)."""
+    return run_path(spark, staging_root(spark))
 
 
 @contextmanager
@@ -69,6 +62,7 @@ def bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
     """Write ``df`` once as a table bucketed by ``key``; later joins on the key don't move its rows again."""
     spark = df.sparkSession
     name, n = f"{label}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    remember_table(spark, name)
     with dropping_shuffles(spark):
         df.repartition(n, key).write.format("parquet").option("compression", "zstd").bucketBy(n, key).saveAsTable(name)
     return spark.table(name)
