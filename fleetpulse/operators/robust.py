@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,16 +12,28 @@ KEY = ["dimension", "name", "metric"]
 ROUNDS, BASE, LEAST = 200, 512, 20
 
 
-def samples(http: DataFrame, ui: DataFrame, stalls: DataFrame, metrics: DataFrame) -> DataFrame:
-    """One row per value; gauges weigh as many samples as they stand for, last values and states one."""
-    def part(df: DataFrame, dimension: str, name: str, metric: str, value: Column, weight: Column | None = None) -> DataFrame:
+def samples(http: DataFrame, ui: DataFrame, stalls: DataFrame, metrics: DataFrame, retained: DataFrame | None = None, device: DataFrame | None = None) -> DataFrame:
+    """One row per value; gauges weigh as many samples as they stand for, last values and states one.
+
+    Calls count by route and by owner, their phases (dns_ms, connect_ms) where they took time; frames where there were any;
+    retained objects by class; memory (pss_kb, java_kb, native_kb) and context (ram_kb, battery, temperature) where the
+    device rows have them.  A level of 0 is unset for the battery and its temperature.
+    """
+    def part(df: DataFrame, dimension: str, name: str | Column, metric: str, value: Column, weight: Column | None = None) -> DataFrame:
         w = F.lit(1) if weight is None else weight
-        return df.select("run_set", F.lit(dimension).alias("dimension"), F.col(name).alias("name"), F.lit(metric).alias("metric"), value.cast("double").alias("value"), w.cast("int").alias("weight"))
+        return df.select("run_set", F.lit(dimension).alias("dimension"), (F.col(name) if isinstance(name, str) else name).alias("name"), F.lit(metric).alias("metric"), value.cast("double").alias("value"), w.cast("int").alias("weight"))
 
     weight = F.when(F.col("mode").isin("last", "state"), F.lit(1)).otherwise(F.greatest("n", F.lit(1)))
-    return (part(http, "Route", "route", "http_ms", F.col("dur")).unionByName(part(ui, "Screen", "screen", "ui_p95_ms", F.col("p95_ms")))
-            .unionByName(part(ui, "Screen", "screen", "jank_pct", F.col("jank") * 100.0 / F.col("frames"))).unionByName(part(stalls, "Owner", "owner", "stall_ms", F.col("dur")))
-            .unionByName(part(metrics.filter("mode <> 'counter'"), "Gauge", "name", "value", F.col("v"), weight)))
+    parts = [part(http, "Route", "route", "http_ms", F.col("dur")), part(http, "Owner", "owner", "http_ms", F.col("dur")), part(ui.filter("p95_ms > 0"), "Screen", "screen", "ui_p95_ms", F.col("p95_ms")),
+             part(ui.filter("frames > 0"), "Screen", "screen", "jank_pct", F.col("jank") * 100.0 / F.col("frames")), part(stalls, "Owner", "owner", "stall_ms", F.col("dur")),
+             part(metrics.filter("mode <> 'counter'"), "Gauge", "name", "value", F.col("v"), weight)]
+    parts += [part(http.filter(F.col(c) > 0), "Route", "route", c, F.col(c)) for c in ("dns_ms", "connect_ms") if c in http.columns]
+    if retained is not None:
+        parts.append(part(retained, "Owner", "class", "retained_age_ms", F.col("age_ms")))
+    if device is not None:
+        parts += [part(device, "Memory", F.lit("process"), c, F.col(c)) for c in ("pss_kb", "java_kb", "native_kb") if c in device.columns]
+        parts += [part(device.filter(F.col(c) != 0) if c != "ram_kb" else device, "Context", F.lit("device"), c, F.col(c)) for c in ("ram_kb", "battery", "temperature") if c in device.columns]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _weighted(s: DataFrame) -> DataFrame:

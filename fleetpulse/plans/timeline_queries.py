@@ -10,7 +10,7 @@ from fleetpulse.operators import robust as rob
 from fleetpulse.operators import timeline as op
 from fleetpulse.register import query
 from fleetpulse.sources import adapter as src
-from fleetpulse.sources.adapter import METRIC_SQL, PHASES, STALL_SQL, UI_SQL, WIDE_SQL, sql
+from fleetpulse.sources.adapter import DEVICE_SQL, METRIC_SQL, PHASES, RETAINED_SQL, STALL_SQL, UI_SQL, WIDE_SQL, sql
 
 SCALE_CASE = "CASE " + " ".join(f"WHEN span // {s * 1000} + 1 <= 50000 THEN {s * 1000}" for s in op.SCALES) + " ELSE CAST(ceil(span / 180000000000.0::DOUBLE) AS BIGINT) * 3600000 END"
 REL = ["rel AS (SELECT *, greatest(time_ms - min(time_ms) OVER (PARTITION BY run_set, source), 0) AS rel_ms FROM wide)", f"scale AS (SELECT run_set, span, CAST({SCALE_CASE} AS BIGINT) AS size FROM (SELECT run_set, max(rel_ms) AS span FROM rel GROUP BY run_set))"]
@@ -205,14 +205,17 @@ def c05(spark, d):
     return op.change_compare(change_points(spark, d))
 
 
-SAMPLES = """samples AS (SELECT run_set, 'Route' AS dimension, route AS name, 'http_ms' AS metric, dur::DOUBLE AS value, 1 AS weight FROM ctx WHERE type = 'http'
-  UNION ALL SELECT run_set, 'Screen', screen, 'ui_p95_ms', p95_ms, 1 FROM ui UNION ALL SELECT run_set, 'Screen', screen, 'jank_pct', jank * 100.0::DOUBLE / frames, 1 FROM ui
-  UNION ALL SELECT run_set, 'Owner', owner, 'stall_ms', dur, 1 FROM stalls UNION ALL SELECT run_set, 'Gauge', name, 'value', v, CASE WHEN mode IN ('last', 'state') THEN 1 ELSE greatest(n, 1) END FROM metrics WHERE mode <> 'counter')"""
-RVIEWS = [UI_SQL, STALL_SQL, METRIC_SQL, SAMPLES]
+SAMPLES = f"""hp AS (SELECT *, {PHASES} FROM ctx WHERE type = 'http'), samples AS (SELECT run_set, 'Route' AS dimension, route AS name, 'http_ms' AS metric, dur::DOUBLE AS value, 1 AS weight FROM hp
+  UNION ALL SELECT run_set, 'Owner', owner, 'http_ms', dur, 1 FROM hp UNION ALL SELECT run_set, 'Route', route, 'dns_ms', dns_ms, 1 FROM hp WHERE dns_ms > 0 UNION ALL SELECT run_set, 'Route', route, 'connect_ms', connect_ms, 1 FROM hp WHERE connect_ms > 0
+  UNION ALL SELECT run_set, 'Screen', screen, 'ui_p95_ms', p95_ms, 1 FROM ui WHERE p95_ms > 0 UNION ALL SELECT run_set, 'Screen', screen, 'jank_pct', jank * 100.0::DOUBLE / frames, 1 FROM ui
+  UNION ALL SELECT run_set, 'Owner', owner, 'stall_ms', dur, 1 FROM stalls UNION ALL SELECT run_set, 'Owner', class, 'retained_age_ms', age_ms, 1 FROM retained UNION ALL SELECT run_set, 'Memory', 'process', 'pss_kb', pss_kb, 1 FROM device
+  UNION ALL SELECT run_set, 'Context', 'device', 'ram_kb', ram_kb, 1 FROM device UNION ALL SELECT run_set, 'Context', 'device', 'battery', battery, 1 FROM device WHERE battery <> 0
+  UNION ALL SELECT run_set, 'Gauge', name, 'value', v, CASE WHEN mode IN ('last', 'state') THEN 1 ELSE greatest(n, 1) END FROM metrics WHERE mode <> 'counter')"""
+RVIEWS = [UI_SQL, STALL_SQL, RETAINED_SQL, DEVICE_SQL, METRIC_SQL, SAMPLES]
 
 
 def samples(spark, d):
-    return rob.samples(src.of_type(spark, d, "http"), src.ui_windows(spark, d), src.stalls(spark, d), src.metrics(spark, d))
+    return rob.samples(http(src.events(spark, d)), src.ui_windows(spark, d), src.stalls(spark, d), src.metrics(spark, d), src.retained(spark, d), src.device(spark, d))
 
 
 DIST = """dist AS (SELECT run_set, dimension, name, metric, n, median, p90, p95, p99, mad, round(trimmed, 6) AS trimmed, lo AS min, hi AS max FROM (
