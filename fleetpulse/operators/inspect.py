@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetpulse.functions.flags import http_failed
 from fleetpulse.functions.numbers import counter_delta, int_div, nearest_rank, share
 
 CONTEXT = ["screen", "flow", "step", "owner"]
@@ -65,18 +66,39 @@ def stall_totals(stalls: DataFrame) -> DataFrame:
 
 
 def problem_rows(http: DataFrame, ui: DataFrame, stalls: DataFrame, retained: DataFrame, spam: DataFrame) -> DataFrame:
-    """The problems that signals imply, one row each: context, kind, count, window, largest value."""
+    """The problems that signals imply, one row each: context, kind, count, window, largest value.
+
+    Calls and windows that their client classified (http_classified, ui_classified) count by its flags slow and ui_problem;
+    durations and frames decide for the others, and for all where the rows don't have these flags.
+    """
+    said = lambda df, c: F.coalesce(F.col(c), F.lit(False)) if c in df.columns else F.lit(False)
     def rows(df: DataFrame, kind: str, when: Column | bool, n: Column, window: Column, top: Column) -> DataFrame:
         return df.filter(when).select("run_set", "source", *CONTEXT, F.lit(kind).alias("kind"), n.cast("bigint").alias("n"), window.cast("bigint").alias("window_ms"), top.cast("bigint").alias("max_ms"))
 
     one, zero = F.lit(1), F.lit(0)
-    return (rows(http, "http_problem", F.col("failed") | (F.col("dur") >= HTTP_SLOW_MS), one, F.col("dur"), F.col("dur"))
-            .unionByName(rows(ui, "ui_jank", (F.col("jank") > 0) | (F.col("p95_ms") >= UI_SLOW_MS), F.greatest("jank", one), F.col("window_ms"), F.col("p95_ms")))
+    return (rows(http, "http_problem", http_failed(http) | said(http, "slow") | (~said(http, "http_classified") & (F.col("dur") >= HTTP_SLOW_MS)), one, F.col("dur"), F.col("dur"))
+            .unionByName(rows(ui, "ui_jank", said(ui, "ui_problem") | (~said(ui, "ui_classified") & ((F.col("jank") > 0) | (F.col("p95_ms") >= UI_SLOW_MS))), F.greatest("jank", one), F.col("window_ms"), F.col("p95_ms")))
             .unionByName(rows(stalls, "main_thread_stall", F.lit(True), one, F.col("dur"), F.col("dur")))
             .unionByName(rows(retained, "retained_object", F.lit(True), F.col("n"), zero, F.col("age_ms")))
             .unionByName(rows(spam, "log_spam", F.col("n") >= SPAM_COUNT, F.col("n"), F.lit(5000), zero)))
 
 
+#: By type of event, what of its payload stands for a part of its context.
+OVERRIDES = {"http": {"owner": "p_owner"}, "stall": {"owner": "p_owner"}, "ui": {"screen": "p_screen"}, "retained": {"screen": "p_screen", "owner": "p_owner", "flow": "p_flow", "step": "p_step"}, "call": {"owner": "caller"}}
+
+
+def with_overrides(events: DataFrame) -> DataFrame:
+    """The context of each event, where its payload (p_screen, p_owner, p_flow, p_step, caller) has a say by its type."""
+    out = {}
+    for part in CONTEXT:
+        value = F.col(part)
+        for kind, fields in OVERRIDES.items():
+            if part in fields and fields[part] in events.columns:
+                value = F.when((F.col("type") == kind) & (F.coalesce(F.trim(fields[part]), F.lit("")) != ""), F.col(fields[part])).otherwise(value)
+        out[part] = value
+    return events.withColumns(out)
+
+
 def without_legacy(canonical: DataFrame, legacy: DataFrame) -> DataFrame:
     """Problems that clients logged themselves count only where the same log derived none of that kind there."""
     on = ["run_set", "source", *CONTEXT, "kind"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetpulse.functions import text
+from fleetpulse.functions import flags, text
 from fleetpulse.operators import inspect as op
 from fleetpulse.operators import sketch
 from fleetpulse.register import query
@@ -276,6 +276,43 @@ def p07(spark, d):
         F.count_if(on(1)).alias("failed"), F.count_if(on(2)).alias("slow"), F.count_if(on(4)).alias("classified"), F.count_if(on(8)).alias("tls"), F.count_if(on(1) & on(2)).alias("failed_and_slow"))
 
 
+BITS = "flagged AS (SELECT *, ord * 7919 AS flags FROM ctx)"
+
+
+def flagged(rows):
+    """Flag bits spread over the rows by their number."""
+    return rows.withColumn("flags", F.col("ord") * 7919)
+
+
+@query("p07_flag_bits", sql(BITS, body="SELECT run_set, " + ", ".join(f"count(*) FILTER (flags & {1 << b} <> 0) AS {n}" for n, b in flags.FLAGS.items()) + " FROM flagged GROUP BY run_set"))
+def p07_bits(spark, d):
+    return flags.with_flags(flagged(src.events(spark, d)).drop("failed")).groupBy("run_set").agg(*[F.count_if(n).alias(n) for n in flags.FLAGS])
+
+
+@query("p09_classified_problems", sql(UI_SQL, body="""
+SELECT run_set, kind, count(*) AS windows, CAST(sum(n) AS BIGINT) AS count FROM (
+  SELECT run_set, 'http_problem' AS kind, 1 AS n FROM (SELECT *, ord * 7919 AS f FROM ctx WHERE type = 'http') WHERE f & 2 <> 0 OR k % 100 >= 97 OR f & 32768 <> 0 OR (f & 131072 = 0 AND dur >= 1000)
+  UNION ALL SELECT run_set, 'ui_jank', greatest(jank, 1) FROM (SELECT *, ord * 7919 AS f FROM ui) WHERE f & 65536 <> 0 OR (f & 262144 = 0 AND (jank > 0 OR p95_ms >= 32))) GROUP BY ALL"""))
+def p09(spark, d):
+    none = src.stalls(spark, d).limit(0)
+    h = flags.with_flags(flagged(src.of_type(spark, d, "http")).withColumn("status", F.when(F.col("k") % 100 >= 97, 503).otherwise(200)), "failed", "slow", "http_classified")
+    u = flags.with_flags(flagged(src.ui_windows(spark, d)), "ui_problem", "ui_classified")
+    rows = op.problem_rows(h, u, none, none.withColumns({"n": F.lit(0), "age_ms": F.lit(0)}), none.withColumn("n", F.lit(0)))
+    return rows.groupBy("run_set", "kind").agg(F.count(F.lit(1)).alias("windows"), F.sum("n").alias("count"))
+
+
+@query("p06_context_overrides", sql(body="""
+SELECT run_set, type, screen, owner, flow, count(*) AS n FROM (SELECT run_set, t AS type, CASE WHEN t IN ('ui', 'retained') AND k % 3 = 0 THEN 'Payload' || (k % 4) ELSE screen END AS screen,
+  CASE WHEN t IN ('http', 'retained') AND k % 4 = 0 THEN 'p.Owner' || (k % 3) WHEN t = 'call' THEN 'c.Caller' || (k % 2) ELSE owner END AS owner, CASE WHEN t = 'retained' AND k % 5 = 0 THEN 'pf' ELSE flow END AS flow
+  FROM (SELECT *, CASE type WHEN 'memory' THEN 'retained' ELSE type END AS t FROM ctx)) GROUP BY ALL"""))
+def p06(spark, d):
+    k = F.col("k")
+    some = lambda n, v: F.when(k % n == 0, v).otherwise("")
+    e = src.events(spark, d).withColumns({"type": F.when(F.col("type") == "memory", "retained").otherwise(F.col("type")), "p_screen": some(3, F.concat(F.lit("Payload"), (k % 4).cast("string"))), "p_owner": some(4, F.concat(F.lit("p.Owner"), (k % 3).cast("string"))),
+                                          "p_flow": some(5, F.lit("pf")), "p_step": F.lit(None).cast("string"), "caller": F.concat(F.lit("c.Caller"), (k % 2).cast("string"))})
+    return op.with_overrides(e).groupBy("run_set", "type", "screen", "owner", "flow").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("p14_owner_parts", sql(body=r"""
 SELECT owner, regexp_extract(owner, '^(.+)\.[^.]*$', 1) AS class, regexp_extract(owner, '([^.]*)$', 1) AS method, regexp_extract(owner, '([^.]+\.[^.]+)$', 1) AS short, count(*) AS n FROM ctx GROUP BY ALL"""))
 def p14(spark, d):
