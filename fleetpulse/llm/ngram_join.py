@@ -130,25 +130,29 @@ def _next_split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"node": nodes.view(np.int64), "doc_id": b["doc_id"].to_numpy()[rows]})
 
 
-def _spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Of the links (a, b) those that join what was apart."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent.setdefault(p, p)
+class Forest:
+    """Of links between 0..n-1, added in batches, those that join what was apart: n - 1 at most, whatever is added."""
+
+    def __init__(self, n: int) -> None:
+        self.root, self.links = np.arange(n), []
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        apart = self.root[x] != self.root[y]
+        if not apart.any():
+            return
+        for p, q in zip(x[apart].tolist(), y[apart].tolist()):
+            r, s = self._find(p), self._find(q)
+            if r != s:
+                self.root[s] = r
+                self.links.append((p, q))
+        while not np.array_equal(up := self.root[self.root], self.root):
+            self.root = up
+
+    def _find(self, x: int) -> int:
+        while (up := self.root[x]) != x:
+            x = up
         return x
 
-    out = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        p, q = find(x), find(y)
-        if p != q:
-            parent[q] = p
-            out.append((x, y))
-    return out
-
-
-
 
 def _compare_tokens(rows: pd.DataFrame) -> pd.DataFrame:
     """Many buckets (or pairs of blocks of large ones): links between embedded sets, thinned to a spanning forest.
@@ -160,7 +164,8 @@ def _compare_tokens(rows: pd.DataFrame) -> pd.DataFrame:
     ids, block = rows["doc_id"].to_numpy(), rows["block"].to_numpy()
     one_block = (rows["i"] == rows["j"]).to_numpy()
     bucket = rows.groupby(["node", "i", "j"], sort=False).ngroup().to_numpy()
-    a, b, d = [], [], 1
+    known, code = np.unique(ids, return_inverse=True)
+    forest, d = Forest(len(known)), 1
     active = np.arange(len(rows))
     while True:
         active = active[active + d < len(rows)]
@@ -172,11 +177,9 @@ def _compare_tokens(rows: pd.DataFrame) -> pd.DataFrame:
             asked = one_block[x] | (block[x] != block[y])
             x, y = x[asked], y[asked]
             hit = (tok[x] == tok[y]).mean(axis=1) >= SLACK
-            a.append(ids[x[hit]])
-            b.append(ids[y[hit]])
+            forest.add(code[x[hit]], code[y[hit]])
         d += 1
-    links = _spanning(np.concatenate(a), np.concatenate(b)) if a else []
-    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+    return pd.DataFrame([(known[p], known[q]) for p, q in forest.links], columns=["a", "b"], dtype="int64")
 
 
 def in_blocks(rows: DataFrame, group: str, sizes: DataFrame, most: int) -> DataFrame:
@@ -232,7 +235,7 @@ def _compare_sets(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     ids, block = rows["doc_id"].to_numpy(), rows["block"].to_numpy()
     left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
     size = np.array([len(s) for s in sets])
-    out_a, out_b = [], []
+    forest, number = Forest(len(ids)), np.zeros(len(ids), np.int64)
     if len(left) and len(right):
         flat = np.concatenate([sets[r] for r in right])
         owner = np.repeat(np.arange(len(right)), size[right])
@@ -245,13 +248,11 @@ def _compare_sets(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             common = np.bincount(owner[at], minlength=len(right))
             hit = right[common >= THRESHOLD * (size[x] + size[right] - common) - 1e-9]
             hit = hit[hit > x] if key[1] == key[2] else hit
-            out_a.append(np.full(len(hit), x))
-            out_b.append(hit)
-    a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-    b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-    number = np.bincount(np.concatenate((a, b)).astype(np.int64), minlength=len(ids))
+            number[x] += len(hit)
+            number[hit] += 1
+            forest.add(np.full(len(hit), x), hit)
     some = np.flatnonzero(number)
-    links = _spanning(ids[a.astype(np.int64)], ids[b.astype(np.int64)])
+    links = [(ids[p], ids[q]) for p, q in forest.links]
     return pd.DataFrame({
         "a": [x for x, _ in links] + ids[some].tolist(),
         "b": pd.array([y for _, y in links] + [None] * len(some), dtype="Int64"),
