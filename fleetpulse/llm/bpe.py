@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding by a segment tree over byte positions.
 
 A piece (one match of the splitting pattern) is a row of live byte spans.  Leaf i of the segment tree holds the rank of
-the pair that starts at byte i, with i in its low bits; an inner node holds the least value below it, so the root names
-the leftmost pair of least rank.  A merge joins two live neighbours and updates three leaves, so a piece of n bytes
-costs O(n log n) even where it has no break.  Pieces repeat, so each Python worker keeps what it has merged in a bounded
+the pair that starts at byte i; an inner node holds the least rank of its ``WIDE`` children, so the way down to the first
+child with the root's rank names the leftmost pair of least rank.  A merge joins two live neighbours and updates three leaves, so a piece
+of n bytes costs O(n log n) even where it has no break; the tree of a short piece is its leaves and the root.  Pieces repeat, so each Python worker keeps what it has merged in a bounded
 cache.
 
 Edge cases: a null or empty text has no tokens and decodes to no bytes; rows are independent, so repeated rows, ties
@@ -13,6 +13,7 @@ and other columns don't matter; columns that exist under the result's names are
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NONE = 1 << 62
-PLACE = (1 << 32) - 1
+#: Above all ranks.
+NO_RANK = (1 << 30) - 1
+#: Children of an inner node.
+WIDE = 16
 CACHE_PIECES = 150_000
 CACHE_PIECE_CHARS = 40
 
@@ -37,7 +40,8 @@ class MergedPieces:
     def __call__(self, piece: str) -> bytes:
         got = self.old.get(piece)
         if got is None:
-            got = np.array(merge_piece(piece.encode(), self.ranks), "<u4").tobytes()
+            ids = merge_piece(piece.encode(), self.ranks)
+            got = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= CACHE_PIECE_CHARS:
             if len(self.young) >= CACHE_PIECES:
                 self.old, self.young = self.young.copy(), self.young
@@ -61,43 +65,34 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if whole is not None:
         return [whole]
     n = len(piece)
-    width = 1
-    while width < n:
-        width *= 2
     rank = ranks.get
-    tree = [NONE] * (2 * width)
-    for i in range(n - 1):
-        r = rank(piece[i:i + 2])
-        if r is not None:
-            tree[width + i] = r << 32 | i
-    for i in range(width - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a < b else b
+    leaves = [rank(piece[i:i + 2], NO_RANK) for i in range(n - 1)] + [NO_RANK]
+    levels = [leaves]
+    while len(levels[-1]) > WIDE:
+        below = levels[-1]
+        levels.append([min(below[k:k + WIDE]) for k in range(0, len(below), WIDE)])
+    top, down, inner = levels[-1], levels[-2::-1], list(zip(levels, levels[1:]))
     end = list(range(1, n + 1))  # live span i covers piece[i:end[i]]
     before = list(range(-1, n))
 
-    while (least := tree[1]) != NONE:
-        i = least & PLACE
+    while (least := min(top)) < NO_RANK:
+        i = top.index(least)
+        for level in down:
+            i = level.index(least, i * WIDE)
         j = end[i]
         k = end[i] = end[j]
         before[k] = i
         h = before[i]
-        right = rank(piece[i:end[k]]) if k < n else None
-        left = rank(piece[h:k]) if h >= 0 else None
-        for at, r in ((j, None), (i, right), (h, left)):
-            if at < 0:
-                continue
-            value = NONE if r is None else r << 32 | at
-            at += width
-            tree[at] = value
-            while at > 1:
-                other = tree[at ^ 1]
-                if other < value:
-                    value = other
-                at >>= 1
-                if tree[at] == value:
-                    break
-                tree[at] = value
+        leaves[j] = NO_RANK
+        leaves[i] = rank(piece[i:end[k]], NO_RANK) if k < n else NO_RANK
+        if h >= 0:
+            leaves[h] = rank(piece[h:k], NO_RANK)
+        if inner:
+            changed = {i, j, max(h, 0)}
+            for below, level in inner:
+                changed = {at // WIDE for at in changed}
+                for at in changed:
+                    level[at] = min(below[at * WIDE:at * WIDE + WIDE])
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i:end[i]]])

@@ -1,3 +1,6 @@
+import random
+import sys
+
 import hypothesis.strategies as st
 import numpy as np
 import public_tokenizers as P
@@ -32,3 +35,27 @@ def test_documents(hard_docs, hard_rows, no_docs):
 def test_long_run_without_break():
     piece = b"ab" * 20000
     assert merge_piece(piece, RANKS) == WHOLE.encode_ordinary(piece.decode())
+
+
+def test_trees_of_several_levels():
+    rnd = random.Random(3)
+    for n in (1, 2, 15, 16, 17, 255, 256, 257, 4097):
+        piece = "".join(rnd.choices("aehinost", k=n))
+        assert merge_piece(piece.encode(), RANKS) == WHOLE.encode_ordinary(piece)
+
+
+def test_short_pieces_take_few_steps():
+    steps = 0
+
+    def count(frame, event, arg):
+        nonlocal steps
+        steps += event == "line"
+        return count
+
+    was = sys.gettrace()
+    sys.settrace(count)
+    try:
+        merge_piece(b" oftionnten", RANKS)
+    finally:
+        sys.settrace(was)
+    assert steps < 150
