@@ -26,8 +26,7 @@ def components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.filter(F.col("v") > F.col("u")).join(least, "u")
-                 .select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi != lo").distinct())
+        large = now.join(least.withColumnRenamed("u", "lo"), "lo").select("hi", F.col("m").alias("lo")).distinct()  # m <= lo < hi
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         pairs = large.join(down, "hi")
         after = stage(pairs.select(F.greatest("lo", "m").alias("hi"), F.least("lo", "m").alias("lo"))

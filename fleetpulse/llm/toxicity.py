@@ -278,11 +278,24 @@ def train(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str = "doc
     for kind in (1, 0):
         part = marked.filter((F.col("_toxic") == kind) & trains).orderBy(F.crc32(F.reverse(F.col("_id").cast("string"))), "_id").limit(MAX_TRAIN)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen), "_id").collect()
-    rows.sort(key=lambda r: (r["_id"], r["_text"]))
-    toxic = list(dict.fromkeys(r["_text"] for r in rows if r["_toxic"] == 1))
-    clean = list(dict.fromkeys(r["_text"] for r in rows if r["_toxic"] == 0))
-    return fit(toxic, clean)
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    fitted = rows.select("_id", "_text", "_toxic").repartition(1).mapInPandas(_fit_rows, "at array<int>, weights array<double>, offset double, slope double, shift double").first()
+    return fit([], []) if fitted is None else ToxicModel(_dense(fitted["at"], fitted["weights"]), fitted["offset"], fitted["slope"], fitted["shift"])
+
+
+def _fit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The bounded training rows (_id, _text, _toxic) are fitted in a task; the driver gets the weights only."""
+    rows = sorted((i, t, k) for b in batches for i, t, k in zip(b["_id"], b["_text"], b["_toxic"]))
+    if rows:
+        model = fit(*(list(dict.fromkeys(t for _, t, k in rows if k == kind)) for kind in (1, 0)))
+        at = np.flatnonzero(model.weights)
+        yield pd.DataFrame([(at.tolist(), model.weights[at].tolist(), model.offset, model.slope, model.shift)], columns=["at", "weights", "offset", "slope", "shift"])
+
+
+def _dense(at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    weights = np.zeros(CODES ** 3)
+    weights[np.asarray(at, np.int64)] = values
+    return weights
 
 
 def scorer(docs: DataFrame, model: ToxicModel):
@@ -293,9 +306,7 @@ def scorer(docs: DataFrame, model: ToxicModel):
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         at, values, offset, slope, shift = shared.value
-        weights = np.zeros(CODES ** 3)
-        weights[at] = values
-        own = ToxicModel(weights, offset, slope, shift)
+        own = ToxicModel(_dense(at, values), offset, slope, shift)
         for texts in batches:
             parts = [_batch_worst(pa.array(texts.iloc[k:k + 500], pa.large_string(), from_pandas=True), own) for k in range(0, len(texts), 500)]
             yield pd.Series(own.curve(np.concatenate(parts)) if parts else np.zeros(0))

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from fleetpulse.llm import toxicity
 from fleetpulse.llm.toxicity import toxic_scores, train
 
 
@@ -40,3 +41,16 @@ def test_without_labels_nothing_is_toxic(spark, labelled):
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert all(r["score"] < 0.5 for r in toxic_scores(docs, train(docs, labels, F.lit(True))).collect())
     assert toxic_scores(docs.limit(0), train(docs.limit(0), labels, F.lit(True))).count() == 0
+
+
+def test_the_driver_fits_nothing(spark, labelled, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t, _ in labelled], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in labelled], "doc_id bigint, toxic int")
+
+    def in_driver(*_):
+        raise AssertionError("the driver fits the training texts")
+
+    monkeypatch.setattr(toxicity, "fit", in_driver)
+    model = train(docs, labels, F.lit(True))
+    scores = {r["doc_id"]: r["score"] for r in toxic_scores(docs, model).collect()}
+    assert sum((scores[i] >= 0.5) == bool(x) for i, _, x in labelled) >= 0.95 * len(labelled)
