@@ -5,7 +5,7 @@ Repeated passages are found by anchors (see ``repeats``).  The contents of a sha
 string, whose suffix array is built by induced sorting: positions are classified as smaller or larger than the next,
 leftmost-smaller substrings are sorted by a first induction, named, and sorted recursively where names repeat; a second
 induction places all other suffixes.  Induction runs bucket by bucket over arrays, so it costs a few array operations
-for each round of a bucket.  Permuted common prefixes with the neighbour in suffix order, most of which follow from the
+for each round of a bucket; short rounds go one by one.  Permuted common prefixes with the neighbour in suffix order, most of which follow from the
 position before, tell which windows occur twice.
 
 Edge cases: null and empty texts have no bytes; texts under 200 bytes lose nothing; all copies of a repeated passage go,
@@ -30,6 +30,8 @@ from fleetpulse.llm.repeats import Repeats, Windows, candidates, covered, runs_o
 BYTES, GRAM = 200, 32
 #: Symbols of larger alphabets are written as two digits, so that induction walks few buckets.
 MAX_SIGMA = 1024
+#: Up to so many suffixes are induced one by one: array operations cost more for them.
+FEW = 96
 
 
 def _induce(t: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, sigma: int) -> np.ndarray:
@@ -38,9 +40,21 @@ def _induce(t: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, sigma: int) -
     end = np.cumsum(size)
     head, tail = end - size, end.copy()
     out = np.empty(len(t), np.int32)
+    symbol, is_smaller, placed, place = memoryview(t), memoryview(smaller), memoryview(out), {1: memoryview(head), -1: memoryview(tail)}
+
+    def put_few(entries: list[int], kind: bool, step: int) -> None:
+        at = place[step]
+        for p in entries:
+            if p and is_smaller[p - 1] == kind:
+                s = symbol[p - 1]
+                placed[at[s] if step > 0 else at[s] - 1] = p - 1
+                at[s] += step
 
     def put(entries: np.ndarray, kind: bool, at: np.ndarray, step: int) -> None:
         """The suffixes one symbol longer than ``entries``, of one kind, into their buckets from ``at`` on."""
+        if len(entries) <= FEW:
+            put_few(entries.tolist(), kind, step)
+            return
         p = entries[entries > 0] - 1
         p = p[smaller[p] == kind]
         if not len(p):
